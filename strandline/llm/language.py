@@ -179,7 +179,7 @@ def fit(docs: DataFrame, train: Column, documents: int = FIT_DOCUMENTS, symbols:
     rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64("doc_id").alias("h"), F.col(text).alias("text"))
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     # A hash below the limit is met by ``documents`` rows on average.
-    limits = F.create_map(*(x for r in counts for x in (F.lit(r.lang), F.lit(int(min(1.0, documents / r.n) * (2**64 - 1)) - 2**63)))) if counts else None
+    limits = F.create_map(*(x for r in counts for x in (F.lit(r.lang), F.lit(min(2**64 * documents // r.n, 2**64 - 1) - 2**63).cast("long")))) if counts else None
     texts: dict[str, list[str]] = {r.lang: [] for r in counts}
     if counts:
         sample = rows.where(F.col("h") <= F.element_at(limits, F.col("lang"))).select("lang", "h", F.substring("text", 1, symbols).alias("text"))
