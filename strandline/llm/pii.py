@@ -99,7 +99,7 @@ def _card(m: Column, key: str) -> Column:
     """First digit kept, the others permuted, the check digit set anew; null unless the number passes Luhn."""
     d = _digits(m)
     body = F.concat(F.substring(d, 1, 1), permute_text(F.substring(d, F.lit(2), F.length(d) - 2), key + "/card"))
-    return F.when(F.luhn_check(d) & d.rlike("[1-9]"), _refill(m, F.concat(body, _luhn_digit(body))))
+    return F.when(F.call_function("luhn_check", d) & d.rlike("[1-9]"), _refill(m, F.concat(body, _luhn_digit(body))))
 
 
 def _ip(m: Column, key: str) -> Column:
