@@ -28,6 +28,8 @@ from strandline.llm.common import cut, ship, slices
 FIT_ROWS = 20_000
 #: An entry needs so many toxic rows, and log odds so many standard errors above zero.
 MIN_TOXIC, MIN_Z, MIN_WEIGHT = 3, 4.0, 1.5
+#: Beginnings of longer words that may become entries (marked by a final *), in letters.
+BEGINNINGS = (5, 6, 7, 8)
 #: Partial counts of a task are handed on beyond so many words.
 FLUSH = 200_000
 
@@ -58,9 +60,14 @@ def fold(text: str | None) -> str:
     return f" {_OTHER.sub(' ', t).strip()} " if t.strip() else " "
 
 
+def units(word: str) -> list[str]:
+    """A word and its beginnings."""
+    return [word, *(f"{word[:k]}*" for k in BEGINNINGS if len(word) > k)]
+
+
 @dataclass
 class Lexicon:
-    """Entries (folded words or phrases) with weights, and phrases in which an entry doesn't count."""
+    """Entries (folded words or phrases, or beginnings of words with a final *) with weights, and phrases in which an entry doesn't count."""
 
     weights: dict[str, float]
     exceptions: frozenset[str] = frozenset()
@@ -79,30 +86,34 @@ class Lexicon:
             for phrase in self.exceptions:
                 a.add_word(f" {phrase} ", (phrase, None))
             for entry, w in self.weights.items():
-                a.add_word(f" {entry} ", (entry, w))
+                a.add_word(f" {entry[:-1]}" if entry.endswith("*") else f" {entry} ", (entry, w))
             a.make_automaton()
             self._automaton = a
         return self._automaton
 
     def found(self, folded: str) -> list[tuple[str, float]]:
-        """Entries outside exception phrases, with their weights."""
+        """Entries outside exception phrases, with their weights; of those that begin at one place the heaviest."""
         if not self.weights:
             return []
-        hits, shielded = [], []
+        best, shielded = {}, []
         for end, (entry, weight) in self.automaton().iter(folded):
-            start = end - len(entry) - 1
-            shielded.append((start, end)) if weight is None else hits.append((start, end, entry, weight))
+            if weight is None:
+                shielded.append((end - len(entry) - 1, end))
+                continue
+            start = end - len(entry) + (1 if entry.endswith("*") else -1)
+            if start not in best or (weight, entry) > best[start]:
+                best[start] = weight, entry
         if shielded:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in shielded)]
-        return [(e, w) for _, _, e, w in hits]
+            best = {p: x for p, x in best.items() if not any(a <= p < b for a, b in shielded)}
+        return [(e, w) for _, (w, e) in sorted(best.items())]
 
     def density(self, folded: str) -> float:
-        """Summed weights, normalised: divided by the logarithm of the number of words, so that one entry
-        counts for more in a short text and several are asked of no text."""
+        """Summed weights, normalised by the root of the length in words, so that one entry counts for
+        more in a short text than in a long one."""
         hits = self.found(folded)
         if not hits:
             return 0.0
-        return sum(w for _, w in hits) / math.log(math.e + folded.count(" ") / 100.0)
+        return sum(w for _, w in hits) / math.sqrt(1 + folded.count(" ") / 100.0)
 
     def score(self, folded: str) -> float:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.slope * self.density(folded) + self.shift))))
@@ -128,8 +139,10 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "label") -> Lexi
         for b in slices(batches, "text"):
             for t, y in zip(b.column("text").to_pylist(), b.column("label").to_pylist()):
                 words = fold(t).split()
-                units = set(words) if phrases is None else {p for x, y2 in zip(words, words[1:]) if x in phrases or y2 in phrases for p in (f"{x} {y2}",)}
-                seen[1 if y == 1 else 0].update(units)
+                if phrases is None:
+                    seen[1 if y == 1 else 0].update({u for w in set(words) for u in units(w)})
+                else:
+                    seen[1 if y == 1 else 0].update({f"{v} {w}" for v, w in zip(words, words[1:]) if v in phrases or w in phrases})
             if len(seen[0]) + len(seen[1]) > FLUSH:
                 yield from flush()
         yield from flush()
@@ -144,7 +157,7 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "label") -> Lexi
     weights = {r.word: float(r.w) for r in picked.collect()}
     exceptions: set[str] = set()
     if weights:
-        entries = frozenset(weights)
+        entries = frozenset(e for e in weights if not e.endswith("*"))
         pairs = rows.mapInArrow(lambda it: count(it, entries), schema).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         exceptions = {r.word for r in pairs.where((F.col("clean") >= MIN_TOXIC) & (F.col("clean") > 4 * F.col("toxic"))).collect()}
     lexicon = Lexicon(weights, frozenset(exceptions))
