@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -152,21 +153,34 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similari
     are read in blocks of ``ITEM_WORDS`` words; documents are never exchanged.
     """
     ship(docs.sparkSession)
+    id_type = benchmark.schema["item_id"].dataType.simpleString()
+    parts = [_mapped(docs.select("doc_id", text), bench, text, id_type) for bench in _blocks(benchmark, k, similarity, radius)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text holds no benchmark item (as find_leaks finds them)."""
+    ship(docs.sparkSession)
+    for bench in _blocks(benchmark, k, similarity, radius):
+        docs = _mapped(docs, bench, text)
+    return docs
+
+
+def _blocks(benchmark: DataFrame, k: int, similarity: float, radius: int) -> Iterator[Benchmark]:
+    """The benchmark in parts of about ``ITEM_WORDS`` words; one at least."""
     items = benchmark.select("item_id", F.col("text").alias("text")).where("text is not null").distinct()
-    sized = items.withColumn("size", F.octet_length("text"))
-    total = sized.agg(F.sum("size")).first()[0] or 0
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(total // (ITEM_WORDS * 6)) + 1
-    out = None
     for block in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         rows = mine.orderBy("item_id", "text").collect()
-        part = _matched(docs, Benchmark([r.item_id for r in rows], [r.text for r in rows], k, similarity, radius), items.schema["item_id"].dataType.simpleString(), text)
-        out = part if out is None else out.unionByName(part)
-    return out
+        yield Benchmark([r.item_id for r in rows], [r.text for r in rows], k, similarity, radius)
 
 
-def _matched(docs: DataFrame, benchmark: Benchmark, id_type: str, text: str) -> DataFrame:
+def _mapped(docs: DataFrame, benchmark: Benchmark, text: str, id_type: str | None = None) -> DataFrame:
+    """The leaks of each text if ``id_type`` is given, else the rows without any."""
     shared = docs.sparkSession.sparkContext.broadcast(benchmark)
+    types = (pa.int64(), pa.string() if id_type == "string" else pa.int64(), pa.float64(), pa.int64(), pa.int64())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = shared.value
@@ -174,13 +188,15 @@ def _matched(docs: DataFrame, benchmark: Benchmark, id_type: str, text: str) ->
             raw, offsets = text_bytes(b.column(text))
             starts, ends, first = word_spans(raw, offsets)
             h = hash_words(raw, starts, ends)
-            found = []
-            ids = b.column("doc_id").to_pylist()
+            found, clean = [], []
             for row, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-                shingles = {k: shingle_hashes(h[a:z], k) for k in bench.filters if z - a >= k}
-                for i, sim, w in bench.matches(h[a:z], shingles):
-                    found.append((ids[row], bench.ids[i], sim, w, min(z - a, bench.words_of(i))))
-            columns = list(zip(*found)) if found else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), None if found else pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
-
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id long, item_id {id_type}, similarity double, first_word long, n_words long")
+                matches = bench.matches(h[a:z], {k: shingle_hashes(h[a:z], k) for k in bench.filters if z - a >= k})
+                clean.append(not matches)
+                if id_type:
+                    found += [(b.column("doc_id")[row].as_py(), bench.ids[i], sim, w, min(z - a, bench.words_of(i))) for i, sim, w in matches]
+            if id_type:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 5, types)], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
+            else:
+                yield b.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, f"doc_id long, item_id {id_type}, similarity double, first_word long, n_words long" if id_type else docs.schema)

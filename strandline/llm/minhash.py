@@ -1,14 +1,16 @@
 """Near-duplicate documents: MinHash bands, odd sketches, exact confirmation.
 
 Texts of one shingle set are folded to one representative first. A representative's MinHash samples give
-band keys, and are folded into a parity bitmap (an odd sketch); the population count of two bitmaps' XOR
-estimates high similarities precisely, so few candidates of the bands need the exact look at both sets.
+band keys. Further samples, the minima of its hashes in 1,024 equal parts of their range, are folded into
+a parity bitmap (an odd sketch); the population count of two bitmaps' XOR estimates high similarities
+precisely, so few candidates of the bands need the exact look at both sets.
 
 Within a band, every member is first compared with the smallest one only, so a group of thousands of
 copies costs a pair per member. Components of the links found then tell the bands whose members still
 lie in different components; there the members outside the largest component are compared with all others,
 in blocks that Spark deals out, within neighbouring size classes (sets whose sizes are too far apart
-can't be similar). No link between components can be lost that shares a band.
+can't be similar). Each offers its nearest sketches first, and more of them in every further round, until
+no pair of different components is left out: no link between components is lost that shares a band.
 """
 
 from __future__ import annotations
@@ -34,26 +36,31 @@ BLOCK = 256
 class Scheme:
     """``bands`` of ``rows`` samples: at similarity s a band agrees with probability s ** rows.
 
-    With 30 bands of 5, a link at 0.85 is missed once in 40 million; the sketch's margin of 0.15 below the
-    threshold is five standard errors of 150 samples.
+    With 30 bands of 5, a link at 0.85 is missed once in 40 million.
     """
 
     k: int = 3
     percent: int = 85
     bands: int = 30
     rows: int = 5
-    sketch_bits: int = 1024
-    margin: float = 0.15
+    parts: int = 1024
+    sketch_bits: int = 2048
 
     @property
     def samples(self) -> int:
         return self.bands * self.rows
 
-    def most_apart(self) -> int:
-        """The largest XOR population count whose estimate reaches the threshold less the margin."""
-        j = self.percent / 100 - self.margin
-        n, differing = self.sketch_bits, 2 * self.samples * (1 - j)
-        return math.ceil(n / 2 * (1 - math.exp(-2 * differing / n)))
+    def may_be_similar(self, apart: np.ndarray, na: np.ndarray, nb: np.ndarray, ea: np.ndarray, eb: np.ndarray) -> np.ndarray:
+        """Whether sets of sizes ``na`` and ``nb``, with ``ea`` and ``eb`` parts filled, whose bitmaps differ in
+        ``apart`` bits, lie within five standard errors of what the threshold makes expect."""
+        bits, j = self.sketch_bits, self.percent / 100
+        differ = -bits / 2 * np.log(1 - 2 * np.minimum(apart, 0.49 * bits) / bits)
+        union = (na + nb) / (1 + j)
+        filled = self.parts * (1 - (1 - 1 / self.parts) ** union)
+        expected = np.maximum(ea + eb - 2 * j * filled, 0)
+        # Samples stand for all hashes but those that share a part; bits stand for samples but those that meet.
+        sampled = np.sqrt(filled * j * (1 - j) * np.maximum(1 - filled / union, 0))
+        return differ <= expected + 10 * sampled + 5 * expected * np.sqrt(2 / bits) + 6
 
 
 def signatures(sets: list[np.ndarray], scheme: Scheme) -> np.ndarray:
@@ -74,14 +81,17 @@ def signatures(sets: list[np.ndarray], scheme: Scheme) -> np.ndarray:
     return out
 
 
-def odd_sketches(samples: np.ndarray, bits: int) -> np.ndarray:
-    """Parity bitmaps [set, byte]: each sample (with its number) flips one bit."""
-    number = np.arange(samples.shape[1], dtype=np.uint64) << np.uint64(32)
-    at = (mix(samples.astype(np.uint64) | number) % np.uint64(bits)).astype(np.int64)
-    flips = np.zeros((len(samples), bits), np.uint8)
-    for j in range(samples.shape[1]):
-        flips[np.arange(len(samples)), at[:, j]] ^= 1
-    return np.packbits(flips, 1)
+def odd_sketches(sets: list[np.ndarray], scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """(parity bitmaps [set, byte], parts filled) of non-empty sorted sets: each part's least hash flips one bit."""
+    bits = scheme.sketch_bits
+    if not sets:
+        return np.zeros((0, bits // 8), np.uint8), np.zeros(0, np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    part = flat // np.uint64((1 << 64) // scheme.parts)
+    least = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])))
+    at = (mix(flat[least]) % np.uint64(bits)).astype(np.int64)
+    flips = np.bincount(owner[least] * bits + at, minlength=len(sets) * bits).astype(np.uint8) & 1
+    return np.packbits(flips.reshape(len(sets), bits), 1), np.bincount(owner[least], minlength=len(sets))
 
 
 def band_keys(samples: np.ndarray, scheme: Scheme) -> np.ndarray:
@@ -94,7 +104,7 @@ def band_keys(samples: np.ndarray, scheme: Scheme) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, scheme: Scheme, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, fp (a fingerprint of the set; null if empty), sketch, bands: one narrow pass."""
+    """doc_id, n_shingles, fp (a fingerprint of the set; null if empty), sketch, filled, bands: one narrow pass."""
     ship(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,33 +112,33 @@ def sketched(docs: DataFrame, scheme: Scheme, text: str = "text") -> DataFrame:
             sets = shingle_sets(b.column(text), scheme.k)
             some = [i for i, s in enumerate(sets) if len(s)]
             samples = signatures([sets[i] for i in some], scheme)
-            bitmaps, keys = odd_sketches(samples, scheme.sketch_bits), band_keys(samples, scheme)
-            fp, sketch, bands = ([None] * len(sets) for _ in range(3))
+            keys = band_keys(samples, scheme)
+            bitmaps, full = odd_sketches([sets[i] for i in some], scheme)
+            fp, sketch, filled, bands = ([None] * len(sets) for _ in range(4))
             for row, i in enumerate(some):
                 s = sets[i]
                 fp[i] = np.array([mix(s).sum(), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(), len(s)], np.uint64).tobytes()
-                sketch[i], bands[i] = bitmaps[row].tobytes(), keys[row]
+                sketch[i], filled[i], bands[i] = bitmaps[row].tobytes(), int(full[row]), keys[row]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(fp, pa.binary()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "fp", "sketch", "bands"],
+                [b.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(fp, pa.binary()), pa.array(sketch, pa.binary()), pa.array(filled, pa.int32()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "fp", "sketch", "filled", "bands"],
             )
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n_shingles long, fp binary, sketch binary, bands array<long>")
+    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n_shingles long, fp binary, sketch binary, filled int, bands array<long>")
 
 
 def _sketch_filter(pairs: DataFrame, scheme: Scheme) -> DataFrame:
-    """(a, b) of rows a, b, sa, sb, na, nb whose sizes allow the similarity and whose sketches promise it."""
-    most = scheme.most_apart()
+    """(a, b) of rows a, b, sa, sb, na, nb, ea, eb whose sizes and sketches allow the similarity."""
     sized = pairs.where((F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * scheme.percent))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (_bitmaps(b.column(c), scheme) for c in ("sa", "sb"))
-                near = np.bitwise_count(x ^ y).sum(1) <= most
-                yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(near)), b.column("b").filter(pa.array(near))], ["a", "b"])
+                apart = np.bitwise_count(_bitmaps(b.column("sa"), scheme) ^ _bitmaps(b.column("sb"), scheme)).sum(1)
+                near = pa.array(scheme.may_be_similar(apart, *(b.column(c).to_numpy() for c in ("na", "nb", "ea", "eb"))))
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(near), b.column("b").filter(near)], ["a", "b"])
 
-    return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return sized.select("a", "b", "sa", "sb", "na", "nb", "ea", "eb").mapInArrow(run, "a long, b long")
 
 
 def _bitmaps(column: pa.Array, scheme: Scheme) -> np.ndarray:
@@ -150,41 +160,37 @@ def confirmed(pairs: DataFrame, docs: DataFrame, scheme: Scheme, text: str = "te
     return both.select("a", "b", shared, F.size("x").alias("nx"), F.size("y").alias("ny")).where(f"100 * shared >= {scheme.percent} * (nx + ny - shared)").select("a", "b").distinct()
 
 
-def _residual(bands: DataFrame, sketches: DataFrame, labels: DataFrame, scheme: Scheme) -> DataFrame:
-    """Candidate pairs between different components of one band, the smallest member's pairs left out."""
+def _residual(bands: DataFrame, sketches: DataFrame, labels: DataFrame, scheme: Scheme, nearest: int) -> DataFrame:
+    """(a, b, more): candidate pairs between different components of one band, the smallest member's pairs left
+    out; of each member outside the band's largest component the ``nearest``, and whether it has more."""
     member = bands.join(labels, bands.doc_id == labels.node, "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     mixed = member.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("c1 < c2 and n > 2").select("band", "pivot")
     left = member.join(mixed, "band").where("doc_id != pivot").join(sketches, "doc_id")
     # Sets of similarity p have sizes within a factor p, so in the same or the next class.
     size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-math.log(scheme.percent / 100) * (1 + 1e-9))).cast("int")
-    sized = left.withColumn("own", size_class).select("band", "doc_id", "c", "n_shingles", "sketch", "own", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("class"))
+    sized = left.withColumn("own", size_class).withColumn("class", F.explode(F.array(F.col("own"), F.col("own") + 1)))
     weight = sized.groupBy("band", "class", "c").agg(F.count(F.lit(1)).alias("n"))
     groups = weight.groupBy("band", "class").agg(F.max_by("c", F.struct("n", "c")).alias("main"), (F.sum("n") - F.max("n")).alias("minor")).where("minor > 0")
     placed = sized.join(groups, ["band", "class"]).withColumn("blocks", F.ceil(F.col("minor") / BLOCK).cast("int"))
-    own_block = F.when(F.col("c") != F.col("main"), F.pmod(F.xxhash64("doc_id", "band"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("mine", own_block).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    most = scheme.most_apart()
+    mine = F.when(F.col("c") != F.col("main"), F.pmod(F.xxhash64("doc_id", "band"), F.col("blocks"))).otherwise(-1).cast("int")
+    dealt = placed.withColumn("mine", mine).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        t = pa.Table.from_batches(parts)
+    def compare(t: pa.Table) -> pa.Table:
         bits = _bitmaps(t.column("sketch").combine_chunks(), scheme)
-        doc, c, n, own, cls, mine, block = (t.column(k).to_numpy() for k in ("doc_id", "c", "n_shingles", "own", "class", "mine", "block"))
-        minor = np.flatnonzero(mine == block)
-        a_out, b_out = [], []
-        for i in minor.tolist():
-            ok = (c != c[i]) & ((own == cls) | (own[i] == cls[i])) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * scheme.percent)
-            at = np.flatnonzero(ok)
-            at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(1) <= most]
-            a_out.append(np.minimum(doc[at], doc[i])), b_out.append(np.maximum(doc[at], doc[i]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return dealt.select("band", "doc_id", "c", "n_shingles", "sketch", "own", "class", F.coalesce("mine", F.lit(-1)).alias("mine"), "block").groupBy("band", "class", "block").applyInArrow(lambda t: _one(compare, t), "a long, b long").distinct()
-
-
-def _one(compare, t: pa.Table) -> pa.Table:
-    return pa.Table.from_batches(list(compare(iter(t.to_batches()))))
+        doc, c, n, filled, own, cls, mine, block = (t.column(k).to_numpy() for k in ("doc_id", "c", "n_shingles", "filled", "own", "class", "mine", "block"))
+        found = []
+        for i in np.flatnonzero(mine == block).tolist():
+            at = np.flatnonzero((c != c[i]) & ((own == cls) | (own[i] == cls[i])) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * scheme.percent))
+            apart = np.bitwise_count(bits[at] ^ bits[i]).sum(1)
+            near = scheme.may_be_similar(apart, n[at], n[i], filled[at], filled[i])
+            at = at[near][np.argsort(apart[near], kind="stable")]
+            some = at[:nearest]
+            found.append((np.minimum(doc[some], doc[i]), np.maximum(doc[some], doc[i]), np.full(len(some), len(at) > nearest)))
+        a, b, more = (np.concatenate(x) for x in zip(*found)) if found else ([], [], [])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
+
+    columns = ["band", "doc_id", "c", "n_shingles", "filled", "sketch", "own", "class", "mine", "block"]
+    return dealt.select(*columns).groupBy("band", "class", "block").applyInArrow(compare, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), text: str = "text") -> DataFrame:
@@ -198,23 +204,30 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), text: str = "tex
     base = cut(sketched(docs, scheme, text))
     sets = base.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     sets = cut(sets)
-    reps = base.where("fp is not null").join(sets, (base.fp == sets.fp) & (base.doc_id == sets.rep)).select("doc_id", "n_shingles", "sketch", "bands").dropDuplicates(["doc_id"])
+    reps = base.where("fp is not null").join(sets, (base.fp == sets.fp) & (base.doc_id == sets.rep)).select("doc_id", "n_shingles", "sketch", "filled", "bands").dropDuplicates(["doc_id"])
     reps = cut(reps)
-    sketches = reps.select("doc_id", "n_shingles", "sketch")
+    sketches = reps.select("doc_id", "n_shingles", "sketch", "filled")
     bands = reps.select("doc_id", F.explode("bands").alias("band"))
     pivots = bands.groupBy("band").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     bands = cut(bands.join(pivots, "band").select("band", "doc_id", "a"))
     pairs = bands.where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct()
-    with_sketches = pairs.join(sketches.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb")), "b").join(
+    with_sketches = pairs.join(sketches.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), F.col("filled").alias("eb")), "b").join(
         sketches.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa")), "a"
     )
     stars = cut(confirmed(cut(_sketch_filter(with_sketches, scheme)), docs, scheme, text))
     labels = components(stars)
-    more = cut(_residual(bands.select("band", "doc_id"), sketches, labels, scheme))
-    if not more.isEmpty():
-        found = confirmed(more, docs, scheme, text)
-        stars = stars.unionByName(found)
-        labels = components(stars)
+    nearest = 2
+    while True:
+        offered = cut(_residual(bands.select("band", "doc_id"), sketches, labels, scheme, nearest))
+        if offered.isEmpty():
+            break
+        found = cut(confirmed(offered.select("a", "b"), docs, scheme, text))
+        if not found.isEmpty():
+            stars = stars.unionByName(found)
+            labels = components(stars)
+        if offered.where("more").isEmpty():
+            break
+        nearest *= 8
     named = sets.join(labels, sets.rep == labels.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     alone = base.where("fp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     linked = base.where("fp is not null").select("doc_id", "n_shingles", "fp").join(named, "fp").select("doc_id", "n_shingles", "component_id")

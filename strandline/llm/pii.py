@@ -178,8 +178,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", findings: str =
 
     ``start`` counts code points of the text given, from 0; ``replaced`` is false where validation failed
     and the text stays as it is. A narrow projection over whole texts: no shuffle, rows and other columns
-    as they were. A null text stays null with null findings; an empty one has none. The pseudonym has the
-    length of what it replaces. A column already named ``findings`` is replaced.
+    as they were. A null text stays null with null findings; an empty one has none. Only an IP address may change its
+    length. A column already named ``findings`` is replaced.
     """
     t = F.col(text)
     found = F.regexp_extract_all(t, F.lit(ANY), F.lit(0))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, html, language, minhash, pieces, pii, shards, toxicity, urls
+from strandline.llm import decontaminate, hamming_search, html, language, minhash, pieces, pii, shards, toxicity, urls
 from strandline.llm.common import crc_mod, table
 
 #: Replace by a secret of your own: whoever has it can undo the pseudonyms.
@@ -57,6 +57,10 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_url_filters": op8_url_filters,
+    "op9_top_k_search": op9_top_k_search,
     "op10_sharding": op10_sharding,
 }
 
@@ -92,4 +97,15 @@ ORACLES: dict[str, str] = {
         )
         SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
     """,
+    "op9_top_k_search": """
+        WITH codes AS (
+            SELECT vec_id, CAST(list_sum(list_transform(range(64), i -> CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS HUGEINT) << i ELSE 0 END)) AS HUGEINT) AS code FROM embeddings
+        ), pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(bit_count(xor(q.code, c.code)) AS BIGINT) AS distance
+            FROM codes q JOIN codes c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance FROM pairs
+        )
+        SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+    """,
 }

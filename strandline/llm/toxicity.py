@@ -215,6 +215,19 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, text: str = "text", extra
     return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in extra) + ", score double, hits array<string>")
 
 
+def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below ``threshold``: a narrow map."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = shared.value
+        for b in slices(batches, text):
+            yield b.filter(pa.array([lex.score(fold(t)) < threshold for t in b.column(text).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, train, rows: int = FIT_ROWS) -> Lexicon:
     """Learn from a bounded sample; the sample is checkpointed, as it is read several times."""
     return learn(cut(bounded(docs, labels, train, rows=rows)))

@@ -1,0 +1,66 @@
+import datetime
+import re
+
+from strandline.llm import pii
+
+
+def luhn(n):
+    d = [int(c) for c in n if c.isdigit()][::-1]
+    return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10 == 0
+
+
+def iban_ok(s):
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def run(spark, texts, key="k"):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r.text, r.pii) for r in pii.pseudonymise(df, key).orderBy("doc_id").collect()]
+
+
+def test_formats_validity_and_links(spark):
+    texts = [
+        "card 4111 1111 1111 1111, bad 4111 1111 1111 1112.", "again 4111-1111-1111-1111!", "mail jane.doe7@mail.example.com and JANE@x.org", "ip 10.1.2.255, not 10.1.2.256",
+        "call +1 (743) 555-3824 or (743) 555-3824", "ssn 123-45-6789, not 000-12-3456", "on 2024-02-29, 31.12.1999, 07/04/2020, not 2023-02-30", "IBAN DE89370400440532013000, bad DE88370400440532013000",
+        'key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', None, "", "nothing here", "x" * 100_000 + " a@b.com",
+    ]
+    got = run(spark, texts)
+    card = re.search(r"card ([\d ]+), bad (.*)\.", got[0][0])
+    assert luhn(card[1]) and card[1] != "4111 1111 1111 1111" and card[1][0] == "4" and card[2] == "4111 1111 1111 1112"
+    assert [x.replaced for x in got[0][1]] == [True, False]
+    assert re.search(r"again ([\d-]+)!", got[1][0])[1].replace("-", "") == card[1].replace(" ", "")  # linked across documents and spellings
+    assert re.fullmatch(r"mail [a-z]{4}\.[a-z]{3}\d@mail\.example\.com and [A-Z]{4}@x\.org", got[2][0]) and "jane.doe7" not in got[2][0]
+    ip = re.fullmatch(r"ip (\S+), not 10\.1\.2\.256", got[3][0])[1]
+    assert ip != "10.1.2.255" and all(0 <= int(x) < 256 for x in ip.split("."))
+    phones = re.fullmatch(r"call \+1 (\(\d{3}\) \d{3}-\d{4}) or (\(\d{3}\) \d{3}-\d{4})", got[4][0])
+    assert phones[1] == phones[2] != "(743) 555-3824"
+    ssn = re.fullmatch(r"ssn (\d{3})-(\d{2})-(\d{4}), not 000-12-3456", got[5][0])
+    assert 0 < int(ssn[1]) < 900 and ssn[1] != "666" and int(ssn[2]) and int(ssn[3]) and ssn[0] != texts[5]
+    dates = re.fullmatch(r"on (\S+), (\S+), (\S+), not 2023-02-30", got[6][0])
+    for d, f in zip(dates.groups(), ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y")):
+        datetime.datetime.strptime(d, f)
+    iban = re.fullmatch(r"IBAN (DE\d{20}), bad DE88370400440532013000", got[7][0])[1]
+    assert iban_ok(iban) and iban != "DE89370400440532013000"
+    assert re.fullmatch(r'key = "[0-9a-f]{40}"', got[8][0]) and got[8][0] != texts[8]
+    assert got[9] == (None, None) and got[10] == ("", []) and got[11] == ("nothing here", [])
+    assert len(got[12][0]) == len(texts[12]) and not got[12][0].endswith(" a@b.com") and got[12][1][0].start == 100_001
+    assert run(spark, texts[:9]) == got[:9]  # the same key, the same pseudonyms
+    assert run(spark, texts[:1], "other") != got[:1]
+
+
+def test_pseudonyms_are_a_permutation(spark):
+    base = datetime.date(1970, 1, 1)
+    days = [(base + datetime.timedelta(i)).isoformat() for i in range(pii.DATE_SIDE**2)]
+    out = [t for t, _ in run(spark, days)]
+    assert sorted(out) == sorted(days) and out != days
+    mails = [f"a{i:03d}@x.org" for i in range(1000)]
+    out = {t for t, _ in run(spark, mails)}
+    assert len(out) == 1000
+    ips = [f"1.2.{i}.{j}" for i in range(0, 256, 5) for j in range(0, 256, 5)]
+    assert len({t for t, _ in run(spark, ips)}) == len(ips)
+
+
+def test_clashing_column_and_empty_table(spark):
+    df = spark.createDataFrame([(1, "a@b.com", "old")], "doc_id long, text string, pii string")
+    assert pii.pseudonymise(df, "k").first().pii[0].kind == "email"
+    assert pii.pseudonymise(df.limit(0), "k").count() == 0
