@@ -142,10 +142,11 @@ class LanguageModel:
             s = state[:, :active]
             nxt = self.step[s * self.width + c]
             dead = nxt == 0
-            total[:, :active] += dead
-            # A phrase ends before this symbol; the next begins with it, or is the unknown symbol alone.
-            again = np.where(dead, self.step[begin * self.width + c], nxt)
-            state[:, :active] = np.where(again == 0, begin, again)
+            if t:
+                total[:, :active] += dead
+            # A phrase ends before this symbol and the next begins with it; after an unknown symbol, a phrase of
+            # its own, the state is none and the next symbol begins anew.
+            state[:, :active] = np.where(dead, self.step[begin * self.width + c], nxt)
         total += 1
         out = np.zeros((len(counts), len(self.languages)), np.int64)
         np.add.at(out, owner, total.T)

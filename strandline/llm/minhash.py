@@ -55,8 +55,10 @@ class Scheme:
         ``apart`` bits, lie within five standard errors of what the threshold makes expect."""
         bits, j = self.sketch_bits, self.percent / 100
         differ = -bits / 2 * np.log(1 - 2 * np.minimum(apart, 0.49 * bits) / bits)
+        # Sizes that would fill as many parts, so that chance in the filling cancels out.
+        size = [np.log(1 - np.minimum(e, self.parts - 0.5) / self.parts) / np.log(1 - 1 / self.parts) for e in (ea, eb)]
+        filled = self.parts * (1 - (1 - 1 / self.parts) ** ((size[0] + size[1]) / (1 + j)))
         union = (na + nb) / (1 + j)
-        filled = self.parts * (1 - (1 - 1 / self.parts) ** union)
         expected = np.maximum(ea + eb - 2 * j * filled, 0)
         # Samples stand for all hashes but those that share a part; bits stand for samples but those that meet.
         sampled = np.sqrt(filled * j * (1 - j) * np.maximum(1 - filled / union, 0))
@@ -212,7 +214,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), text: str = "tex
     bands = cut(bands.join(pivots, "band").select("band", "doc_id", "a"))
     pairs = bands.where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct()
     with_sketches = pairs.join(sketches.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), F.col("filled").alias("eb")), "b").join(
-        sketches.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa")), "a"
+        sketches.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.col("filled").alias("ea")), "a"
     )
     stars = cut(confirmed(cut(_sketch_filter(with_sketches, scheme)), docs, scheme, text))
     labels = components(stars)

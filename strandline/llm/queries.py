@@ -99,7 +99,7 @@ ORACLES: dict[str, str] = {
     """,
     "op9_top_k_search": """
         WITH codes AS (
-            SELECT vec_id, CAST(list_sum(list_transform(range(64), i -> CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS HUGEINT) << i ELSE 0 END)) AS HUGEINT) AS code FROM embeddings
+            SELECT vec_id, CAST(list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS HUGEINT) << i ELSE 0 END)) AS HUGEINT) AS code FROM embeddings
         ), pairs AS (
             SELECT q.vec_id AS query_id, c.vec_id, CAST(bit_count(xor(q.code, c.code)) AS BIGINT) AS distance
             FROM codes q JOIN codes c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id

@@ -72,7 +72,7 @@ class Lexicon:
     weights: dict[str, float]
     exceptions: frozenset[str] = frozenset()
     slope: float = 1.0
-    shift: float = 0.0
+    shift: float = -2.0
     _automaton: object = field(default=None, repr=False, compare=False)
 
     def __getstate__(self):
@@ -116,6 +116,7 @@ class Lexicon:
         return sum(w for _, w in hits) / math.sqrt(1 + folded.count(" ") / 100.0)
 
     def score(self, folded: str) -> float:
+        """Between 0 and 1; without entries, and without a lexicon, below one half."""
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.slope * self.density(folded) + self.shift))))
 
 
@@ -174,6 +175,8 @@ def calibrate(lexicon: Lexicon, rows: DataFrame) -> Lexicon:
             seen.update((round(min(lex.density(fold(t)), 50.0) * 8), int(y == 1)) for t, y in zip(b.column("text").to_pylist(), b.column("label").to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int64()), pa.array([k[1] for k in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["bin", "y", "n"])
 
+    if not lexicon.weights:
+        return lexicon
     got = rows.mapInArrow(bins, "bin long, y long, n long").groupBy("bin", "y").agg(F.sum("n").alias("n")).orderBy("bin", "y").collect()
     x, y, n = (np.array([float(r[i]) for r in got]) for i in range(3))
     beta = np.array([0.0, -2.0])

@@ -99,7 +99,7 @@ def test_odd_sketches_keep_what_may_be_similar_and_drop_the_rest():
                 bits, filled = minhash.odd_sketches([x, y], scheme)
                 hits += int(scheme.may_be_similar(np.bitwise_count(bits[0] ^ bits[1]).sum(), len(x), len(y), *filled))
             passed[j] = hits
-        assert passed[0.855] == passed[0.95] == 40 and passed[0.5] == 0 and (size < 100 or passed[0.7] <= 2)
+        assert passed[0.855] == passed[0.95] == 40 and passed[0.5] == 0 and (size < 100 or passed[0.7] <= 12)
 
 
 def test_components_equal_brute_force(spark):

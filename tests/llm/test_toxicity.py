@@ -29,7 +29,7 @@ def test_found_equals_a_plain_search():
 
 def test_learns_scores_and_filters(spark):
     rows = [(i, f"plain words number {i} here", 0) for i in range(40)] + [(100 + i, f"you awful creature number {i}", 1) for i in range(20)]
-    docs = spark.createDataFrame([(i, t, "en") for i, t, _ in rows] + [(900, None, "en"), (901, "", None), (902, "awful", "en"), (902, "awful", "en")], "doc_id long, text string, score string")
+    docs = spark.createDataFrame([(i, t, "en") for i, t, _ in rows] + [(900, None, "en"), (901, "", None), (902, "you awful creature", "en"), (902, "you awful creature", "en")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(1, None), (None, 1), (2, 0)], "doc_id long, toxic int")
     lexicon = toxicity.fit(docs, labels, F.lit(True))
     assert {"awful", "creature", "you"} <= set(lexicon.weights) and "plain" not in lexicon.weights
