@@ -1,4 +1,4 @@
 """Registered queries of the panel engine."""
 
-from strandline.plans import flagship, kernels, research, windows  # noqa: F401
+from strandline.plans import flagship, kernels, more, research, windows  # noqa: F401
 from strandline.plans.registry import ORACLES, QUERIES  # noqa: F401

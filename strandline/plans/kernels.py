@@ -94,13 +94,13 @@ def _(p):
 
 # -- graphs ------------------------------------------------------------------------------------------------
 
-_N = PX + ", n AS (SELECT ticker, date, close AS x, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i FROM px WHERE date < DATE '1993-06-01')"
+_N = PX + ", n AS (SELECT ticker, date, close AS x, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i FROM px WHERE date < DATE '1995-07-01')"
 _HVG = _N + ", e AS (SELECT a.ticker, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, a.date AS ti, b.date AS tj FROM n a JOIN n b ON a.ticker = b.ticker AND b.i BETWEEN a.i + 1 AND a.i + 9 WHERE NOT EXISTS (SELECT 1 FROM n k WHERE k.ticker = a.ticker AND k.i > a.i AND k.i < b.i AND k.x >= least(a.x, b.x)))"
 _DEG = ", g AS (SELECT ticker, node, count(*) AS degree FROM (SELECT ticker, i AS node FROM e UNION ALL SELECT ticker, j FROM e) GROUP BY 1, 2)"
 
 
 def early(p):
-    return p.where("date < date'1993-06-01'")
+    return p.where("date < date'1995-07-01'")
 
 
 @query("gr1_horizontal_edges", f"WITH {_HVG} SELECT ticker, i, j, ti, tj FROM e")
@@ -189,14 +189,14 @@ def _(p):
 
 @query("ml6_boosted_trees")
 def _(p):
-    q = learnable(p).where("date < date'1994-01-01'")
-    return ml.boosted_trees(q, _F, "y", F.col("date") < F.lit("1993-06-01").cast("date"), 2, 3)[0].select(*K, "prediction")
+    q = learnable(p).where("date < date'1996-01-01'")
+    return ml.boosted_trees(q, _F, "y", F.col("date") < F.lit("1995-07-01").cast("date"), 2, 3)[0].select(*K, "prediction")
 
 
 @query("ml7_logistic")
 def _(p):
-    q = learnable(p).where("date < date'1994-01-01'").withColumn("label", tr.three_classes("y", 0.05).cast("double"))
-    return ml.logistic(q, _F, "label", F.col("date") < F.lit("1993-06-01").cast("date")).select(*K, F.col("probability")[0].alias("p_down"), F.col("probability")[2].alias("p_up"))
+    q = learnable(p).where("date < date'1996-01-01'").withColumn("label", tr.three_classes("y", 0.05).cast("double"))
+    return ml.logistic(q, _F, "label", F.col("date") < F.lit("1995-07-01").cast("date")).select(*K, F.col("probability")[0].alias("p_down"), F.col("probability")[2].alias("p_up"))
 
 
 @query("ml12_residuals", f"WITH {R}, a AS (SELECT ticker, ret, lag(ret) OVER ({TICKER}) AS l FROM r) SELECT ticker, count(ret) AS n, round(corr(ret, l) FILTER (ret IS NOT NULL AND l IS NOT NULL), 5) + 0.0 AS ac1 FROM a GROUP BY ticker", digits=5)
@@ -210,7 +210,7 @@ def _(p):
 
 @query("st1_permutation")
 def _(p):
-    return st.permutation_test(signals(p).where("date < date'1993-01-01'"), "signal", "fwd", 20)
+    return st.permutation_test(signals(p).where("date < date'1995-04-01'"), "signal", "fwd", 20)
 
 
 @query("st2_bootstrap")
@@ -238,7 +238,7 @@ def _(p):
     return st.quality_checks(p)
 
 
-@query("st8_outliers", f"WITH {R}, q AS (SELECT ticker, ret, quantile_cont(ret, 0.25) OVER t AS q1, quantile_cont(ret, 0.75) OVER t AS q3, avg(ret) OVER t AS m, stddev_samp(ret) OVER t AS s FROM r WINDOW t AS (PARTITION BY ticker)) SELECT ticker, count_if(abs(ret - m) > 3 * s) AS by_z, count_if(ret < q1 - 3 * (q3 - q1) OR ret > q3 + 3 * (q3 - q1)) AS by_iqr FROM q GROUP BY ticker")
+@query("st8_outliers", f"WITH {R}, q AS (SELECT ticker, ret, quantile_cont(ret, 0.25) OVER t AS q1, quantile_cont(ret, 0.75) OVER t AS q3, avg(ret) OVER t AS m, stddev_samp(ret) OVER t AS s FROM r WINDOW t AS (PARTITION BY ticker)) SELECT ticker, CAST(coalesce(count_if(abs(ret - m) > 3 * s), 0) AS BIGINT) AS by_z, CAST(coalesce(count_if(ret < q1 - 3 * (q3 - q1) OR ret > q3 + 3 * (q3 - q1)), 0) AS BIGINT) AS by_iqr FROM q GROUP BY ticker")
 def _(p):
     return st.outliers(p, "ret", z=3.0)
 
@@ -348,9 +348,9 @@ def _streamed(spark, path, build, mode="append"):
     return spark.table(name)
 
 
-@table_query("str1_event_windows", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMPTZ) AS start, CAST(date_trunc('hour', ts) + INTERVAL 1 HOUR AS TIMESTAMPTZ) AS \"end\", event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY 1, 2, 3", digits=4)
+@table_query("str1_event_windows", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, CAST(date_trunc('hour', ts) + INTERVAL 1 HOUR AS TIMESTAMP) AS \"end\", event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY 1, 2, 3", digits=4)
 def _(spark, sf_dir):
-    return _streamed(spark, f"{sf_dir}/events.parquet", lambda e: online.event_windows(e), "complete")
+    return _streamed(spark, f"{sf_dir}/events.parquet", lambda e: online.event_windows(e), "complete").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
 @table_query("str2_online_smoothing")

@@ -26,12 +26,12 @@ def signals(p):
 # -- aggregates ----------------------------------------------------------------------------------------------
 
 
-@query("ag1_daily_distribution", f"WITH {R} SELECT date, round(avg(ret), 6) + 0.0 AS mean, round(stddev_samp(ret), 6) + 0.0 AS std, round(min(ret), 6) + 0.0 AS min, round(max(ret), 6) + 0.0 AS max, round(median(ret), 6) + 0.0 AS median, count(ret) AS n, count_if(ret > 0) AS n_pos FROM r GROUP BY date")
+@query("ag1_daily_distribution", f"WITH {R} SELECT date, round(avg(ret), 6) + 0.0 AS mean, round(stddev_samp(ret), 6) + 0.0 AS std, round(min(ret), 6) + 0.0 AS min, round(max(ret), 6) + 0.0 AS max, round(median(ret), 6) + 0.0 AS median, count(ret) AS n, CAST(coalesce(count_if(ret > 0), 0) AS BIGINT) AS n_pos FROM r GROUP BY date")
 def _(p):
     return p.groupBy("date").agg(F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("std"), F.min("ret").alias("min"), F.max("ret").alias("max"), F.percentile("ret", 0.5).alias("median"), F.count("ret").alias("n"), F.count_if(F.col("ret") > 0).alias("n_pos"))
 
 
-@query("ag2_conditional_counts", f"WITH {R} SELECT ticker, count_if(ret > 0) AS up, count_if(ret < 0) AS down, round(avg(CASE WHEN ret IS NOT NULL THEN CASE WHEN abs(ret) > 0.2 THEN 1.0 ELSE 0.0 END END), 6) + 0.0 AS big FROM r GROUP BY ticker")
+@query("ag2_conditional_counts", f"WITH {R} SELECT ticker, CAST(coalesce(count_if(ret > 0), 0) AS BIGINT) AS up, CAST(coalesce(count_if(ret < 0), 0) AS BIGINT) AS down, round(avg(CASE WHEN ret IS NOT NULL THEN CASE WHEN abs(ret) > 0.2 THEN 1.0 ELSE 0.0 END END), 6) + 0.0 AS big FROM r GROUP BY ticker")
 def _(p):
     return p.groupBy("ticker").agg(F.count_if(F.col("ret") > 0).alias("up"), F.count_if(F.col("ret") < 0).alias("down"), F.avg((F.abs("ret") > 0.2).cast("double")).alias("big"))
 
@@ -99,7 +99,7 @@ def _(p):
     return p.groupBy("ticker").agg(F.count("close").alias("n"), F.min("volume").alias("lo"), q("volume", 0.25).alias("q25"), q("volume", 0.5).alias("q50"), q("volume", 0.75).alias("q75"), F.max("volume").alias("hi"), (F.count_if(F.col("volume") < 0) > 0).alias("has_negative"))
 
 
-@query("ag15_completeness", f"WITH {R} SELECT ticker, count(*) AS n, count_if(ret IS NULL) AS missing_ret, count(*) - count(DISTINCT date) AS duplicates FROM r GROUP BY ticker")
+@query("ag15_completeness", f"WITH {R} SELECT ticker, count(*) AS n, CAST(coalesce(count_if(ret IS NULL), 0) AS BIGINT) AS missing_ret, count(*) - count(DISTINCT date) AS duplicates FROM r GROUP BY ticker")
 def _(p):
     return p.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ret").isNull()).alias("missing_ret"), (F.count(F.lit(1)) - F.countDistinct("date")).alias("duplicates"))
 
@@ -438,7 +438,7 @@ def _(p):
 
 def _bt(lag: int, factor: float) -> str:
     held = f"lag(pos, {lag}) OVER ({TICKER})" if lag else "pos"
-    return f"WITH {SIG}{_BOOK}{_TOP}, h AS (SELECT *, coalesce({held}, 0.0) AS p FROM w), d AS (SELECT *, abs(p - lag(p) OVER ({TICKER})) AS d FROM h), y AS (SELECT date, sum(p * coalesce(ret, 0.0)) AS gross, {factor} * coalesce(sum(d), 0.0) AS turnover, count_if(p > 0) AS longs, count_if(p < 0) AS shorts FROM d GROUP BY date) SELECT date, round(CAST(gross AS DOUBLE), 6) + 0.0 AS gross, round(CAST(turnover AS DOUBLE), 6) + 0.0 AS turnover, longs, shorts, round(CAST(gross - turnover * 0.001 AS DOUBLE), 6) + 0.0 AS net FROM y"
+    return f"WITH {SIG}{_BOOK}{_TOP}, h AS (SELECT *, coalesce({held}, 0.0) AS p FROM w), d AS (SELECT *, abs(p - lag(p) OVER ({TICKER})) AS d FROM h), y AS (SELECT date, sum(p * coalesce(ret, 0.0)) AS gross, {factor} * coalesce(sum(d), 0.0) AS turnover, CAST(coalesce(count_if(p > 0), 0) AS BIGINT) AS longs, CAST(coalesce(count_if(p < 0), 0) AS BIGINT) AS shorts FROM d GROUP BY date) SELECT date, round(CAST(gross AS DOUBLE), 6) + 0.0 AS gross, round(CAST(turnover AS DOUBLE), 6) + 0.0 AS turnover, longs, shorts, round(CAST(gross - turnover * 0.001 AS DOUBLE), 6) + 0.0 AS net FROM y"
 
 
 def _bt_columns(d):

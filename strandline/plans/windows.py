@@ -199,9 +199,9 @@ def _(p):
     return q.groupBy("state").agg(F.avg((F.col("next") == 0).cast("double")).alias("to_0"), F.avg((F.col("next") == 1).cast("double")).alias("to_1"))
 
 
-@query("rsh9_reindex_fill", f"WITH {PX}, g AS (SELECT t.ticker, d.date FROM (SELECT DISTINCT ticker FROM px) t CROSS JOIN (SELECT DISTINCT date FROM px WHERE date < DATE '1993-01-01') d) SELECT g.ticker, g.date, round(last_value(px.close IGNORE NULLS) OVER (PARTITION BY g.ticker ORDER BY g.date ROWS UNBOUNDED PRECEDING), 4) + 0.0 AS close FROM g LEFT JOIN px ON px.ticker = g.ticker AND px.date = g.date", digits=4)
+@query("rsh9_reindex_fill", f"WITH {PX}, g AS (SELECT t.ticker, d.date FROM (SELECT DISTINCT ticker FROM px) t CROSS JOIN (SELECT DISTINCT date FROM px WHERE date < DATE '1995-04-01') d) SELECT g.ticker, g.date, round(last_value(px.close IGNORE NULLS) OVER (PARTITION BY g.ticker ORDER BY g.date ROWS UNBOUNDED PRECEDING), 4) + 0.0 AS close FROM g LEFT JOIN px ON px.ticker = g.ticker AND px.date = g.date", digits=4)
 def _(p):
-    days = p.where("date < date'1993-01-01'").select("date").distinct()
+    days = p.where("date < date'1995-04-01'").select("date").distinct()
     grid = p.select("ticker").distinct().crossJoin(days)  # the calendar of every ticker is the result itself
     return grid.join(p.select(*K, "close"), K, "left").select(*K, w.ffill("close").alias("close"))
 
@@ -222,9 +222,9 @@ def _(p):
     return a.join(b, K, "full").select(*K, fe.composite(["x1", "x2"]).alias("ensemble"))
 
 
-@query("jn6_semi_anti", f"WITH {R}, h AS (SELECT ticker, date, row_number() OVER (PARTITION BY date ORDER BY volume DESC, ticker) <= 3 AS held FROM r WHERE date < DATE '1994-01-01'), d AS (SELECT date, lag(date) OVER (ORDER BY date) AS before FROM (SELECT DISTINCT date FROM h)) SELECT n.ticker, n.date FROM h n JOIN d ON d.date = n.date LEFT JOIN h o ON o.ticker = n.ticker AND o.date = d.before AND o.held WHERE n.held AND d.before IS NOT NULL AND o.ticker IS NULL")
+@query("jn6_semi_anti", f"WITH {R}, h AS (SELECT ticker, date, row_number() OVER (PARTITION BY date ORDER BY volume DESC, ticker) <= 3 AS held FROM r WHERE date < DATE '1996-01-01'), d AS (SELECT date, lag(date) OVER (ORDER BY date) AS before FROM (SELECT DISTINCT date FROM h)) SELECT n.ticker, n.date FROM h n JOIN d ON d.date = n.date LEFT JOIN h o ON o.ticker = n.ticker AND o.date = d.before AND o.held WHERE n.held AND d.before IS NOT NULL AND o.ticker IS NULL")
 def _(p):
-    h = w.top_k(p.where("date < date'1994-01-01'"), "volume", "held", 3).where("held").select(*K)
+    h = w.top_k(p.where("date < date'1996-01-01'"), "volume", "held", 3).where("held").select(*K)
     days = h.select("date").distinct().withColumn("next", F.lead("date").over(Window.partitionBy(F.lit(1)).orderBy("date")))
     old = h.join(days, "date").where("next is not null").select("ticker", F.col("next").alias("date"))
     later = h.join(days.select(F.col("next").alias("date")).where("date is not null"), "date", "left_semi")
@@ -251,9 +251,9 @@ def _(p):
     return e.join(p, "ticker").where(F.col("date").between(F.date_sub("event", 10), F.date_add("event", 10))).groupBy("ticker", "event").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean_ret"))
 
 
-@query("jn11_folds", f"WITH {R}, f AS (SELECT CAST(range AS INTEGER) AS fold, DATE '1992-06-01' + INTERVAL (range * 180) DAY AS a, DATE '1992-06-01' + INTERVAL (range * 180 + 365) DAY AS b FROM range(8)) SELECT fold, count(*) AS n, round(avg(ret), 6) + 0.0 AS mean_ret FROM f JOIN r ON r.date >= f.a AND r.date < f.b GROUP BY fold")
+@query("jn11_folds", f"WITH {R}, f AS (SELECT CAST(range AS INTEGER) AS fold, DATE '1995-01-01' + INTERVAL (range * 180) DAY AS a, DATE '1995-01-01' + INTERVAL (range * 180 + 365) DAY AS b FROM range(8)) SELECT fold, count(*) AS n, round(avg(ret), 6) + 0.0 AS mean_ret FROM f JOIN r ON r.date >= f.a AND r.date < f.b GROUP BY fold")
 def _(p):
-    start = F.lit("1992-06-01").cast("date")
+    start = F.lit("1995-01-01").cast("date")
     folds = p.sparkSession.range(8).select(F.col("id").cast("int").alias("fold"), F.date_add(start, (F.col("id") * 180).cast("int")).alias("a"), F.date_add(start, (F.col("id") * 180 + 365).cast("int")).alias("b"))
     return p.join(F.broadcast(folds), (F.col("date") >= F.col("a")) & (F.col("date") < F.col("b"))).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean_ret"))
 
