@@ -1,7 +1,7 @@
 """Near-duplicate documents: MinHash bands, odd sketches, exact confirmation.
 
 Texts of one shingle set are folded to one representative first. A representative's MinHash samples give
-band keys. Further samples, the minima of its hashes in 1,024 equal parts of their range, are folded into
+band keys. Further samples, the minima of its hashes in 4,096 equal parts of their range, are folded into
 a parity bitmap (an odd sketch); the population count of two bitmaps' XOR estimates high similarities
 precisely, so few candidates of the bands need the exact look at both sets.
 
@@ -30,6 +30,8 @@ from strandline.llm.words import mix, shingle_sets
 
 #: Members of a band that one block compares with all others.
 BLOCK = 256
+#: Ids that may be broadcast to pick the texts to confirm; more are joined by exchange.
+BROADCAST_IDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -43,7 +45,7 @@ class Scheme:
     percent: int = 85
     bands: int = 30
     rows: int = 5
-    parts: int = 1024
+    parts: int = 4096
     sketch_bits: int = 2048
 
     @property
@@ -61,8 +63,10 @@ class Scheme:
         union = (na + nb) / (1 + j)
         expected = np.maximum(ea + eb - 2 * j * filled, 0)
         # Samples stand for all hashes but those that share a part; bits stand for samples but those that meet.
-        sampled = np.sqrt(filled * j * (1 - j) * np.maximum(1 - filled / union, 0))
-        return differ <= expected + 10 * sampled + 5 * expected * np.sqrt(2 / bits) + 6
+        sampled = 4 * filled * j * (1 - j) * np.maximum(1 - filled / union, 0)
+        left = np.exp(-4 * expected / bits)
+        folded = np.maximum(bits / 4 * (1 - left) - expected * left, 0) / left
+        return differ <= expected + 5 * np.sqrt(sampled + folded) + 3
 
 
 def signatures(sets: list[np.ndarray], scheme: Scheme) -> np.ndarray:
@@ -149,7 +153,9 @@ def _bitmaps(column: pa.Array, scheme: Scheme) -> np.ndarray:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, scheme: Scheme, text: str = "text") -> DataFrame:
     """The pairs (a, b) of doc_ids whose full shingle sets are similar enough."""
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    nodes = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    if nodes.count() <= BROADCAST_IDS:
+        nodes = F.broadcast(nodes)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text, 2 << 20):
@@ -164,7 +170,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, scheme: Scheme, text: str = "te
 
 def _residual(bands: DataFrame, sketches: DataFrame, labels: DataFrame, scheme: Scheme, nearest: int) -> DataFrame:
     """(a, b, more): candidate pairs between different components of one band, the smallest member's pairs left
-    out; of each member outside the band's largest component the ``nearest``, and whether it has more."""
+    out; of each member outside the band's largest component the ``nearest``, and whether it has more. A pair
+    that shares several bands is offered in the first of them alone."""
     member = bands.join(labels, bands.doc_id == labels.node, "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     mixed = member.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("c1 < c2 and n > 2").select("band", "pivot")
     left = member.join(mixed, "band").where("doc_id != pivot").join(sketches, "doc_id")
@@ -179,10 +186,13 @@ def _residual(bands: DataFrame, sketches: DataFrame, labels: DataFrame, scheme:
 
     def compare(t: pa.Table) -> pa.Table:
         bits = _bitmaps(t.column("sketch").combine_chunks(), scheme)
+        keys = np.stack(t.column("keys").to_numpy())
+        place = int((keys == np.int32(t.column("band")[0].as_py() >> 32)).all(0).argmax())
         doc, c, n, filled, own, cls, mine, block = (t.column(k).to_numpy() for k in ("doc_id", "c", "n_shingles", "filled", "own", "class", "mine", "block"))
         found = []
         for i in np.flatnonzero(mine == block).tolist():
             at = np.flatnonzero((c != c[i]) & ((own == cls) | (own[i] == cls[i])) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * scheme.percent))
+            at = at[(keys[at, : place + 1] == keys[i, : place + 1]).argmax(1) == place]
             apart = np.bitwise_count(bits[at] ^ bits[i]).sum(1)
             near = scheme.may_be_similar(apart, n[at], n[i], filled[at], filled[i])
             at = at[near][np.argsort(apart[near], kind="stable")]
@@ -191,7 +201,7 @@ def _residual(bands: DataFrame, sketches: DataFrame, labels: DataFrame, scheme:
         a, b, more = (np.concatenate(x) for x in zip(*found)) if found else ([], [], [])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
 
-    columns = ["band", "doc_id", "c", "n_shingles", "filled", "sketch", "own", "class", "mine", "block"]
+    columns = ["band", "doc_id", "c", "n_shingles", "filled", "sketch", "keys", "own", "class", "mine", "block"]
     return dealt.select(*columns).groupBy("band", "class", "block").applyInArrow(compare, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
@@ -218,9 +228,10 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), text: str = "tex
     )
     stars = cut(confirmed(cut(_sketch_filter(with_sketches, scheme)), docs, scheme, text))
     labels = components(stars)
-    nearest = 2
+    members = reps.select("doc_id", "n_shingles", "sketch", "filled", F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("keys"))
+    nearest = 4
     while True:
-        offered = cut(_residual(bands.select("band", "doc_id"), sketches, labels, scheme, nearest))
+        offered = cut(_residual(bands.select("band", "doc_id"), members, labels, scheme, nearest))
         if offered.isEmpty():
             break
         found = cut(confirmed(offered.select("a", "b"), docs, scheme, text))
@@ -229,7 +240,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), text: str = "tex
             labels = components(stars)
         if offered.where("more").isEmpty():
             break
-        nearest *= 8
+        nearest *= 16
     named = sets.join(labels, sets.rep == labels.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     alone = base.where("fp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     linked = base.where("fp is not null").select("doc_id", "n_shingles", "fp").join(named, "fp").select("doc_id", "n_shingles", "component_id")
