@@ -7,10 +7,11 @@ precisely, so few candidates of the bands need the exact look at both sets.
 
 Within a band, every member is first compared with the smallest one only, so a group of thousands of
 copies costs a pair per member. Components of the links found then tell the bands whose members still
-lie in different components; there the members outside the largest component are compared with all others,
-in blocks that Spark deals out, within neighbouring size classes (sets whose sizes are too far apart
-can't be similar). Each offers its nearest sketches first, and more of them in every further round, until
-no pair of different components is left out: no link between components is lost that shares a band.
+lie in different components; there the members outside the largest component are compared with all others, in
+cells of bounded size that Spark deals out. A cell is sent the sets beside the bitmaps, confirms what the bitmaps
+allow, and gives the links that join components, fewer than its rows. Pairs of long sets leave it as candidates
+instead, the nearest first and more in every further round, until none of different components is left out: no
+link between components is lost that shares a band.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from strandline.llm.common import cut, ship, slices
 from strandline.llm.graph import components
 from strandline.llm.words import mix, shingle_sets
 
-#: Members of a band that one block compares with all others.
-BLOCK = 256
 #: Ids that may be broadcast to pick the texts to confirm; more are joined by exchange.
 BROADCAST_IDS = 1_000_000
 
@@ -38,7 +37,8 @@ BROADCAST_IDS = 1_000_000
 class Scheme:
     """``bands`` of ``rows`` samples: at similarity s a band agrees with probability s ** rows.
 
-    With 30 bands of 5, a link at 0.85 is missed once in 40 million.
+    With 30 bands of 5, a link at 0.85 is missed once in 40 million. ``block``: members on a side of a cell
+    of comparisons; ``carried``: shingles of a set up to which it is sent into the cells.
     """
 
     k: int = 3
@@ -47,6 +47,8 @@ class Scheme:
     rows: int = 5
     parts: int = 4096
     sketch_bits: int = 2048
+    block: int = 4096
+    carried: int = 1024
 
     @property
     def samples(self) -> int:
@@ -168,41 +170,97 @@ def confirmed(pairs: DataFrame, docs: DataFrame, scheme: Scheme, text: str = "te
     return both.select("a", "b", shared, F.size("x").alias("nx"), F.size("y").alias("ny")).where(f"100 * shared >= {scheme.percent} * (nx + ny - shared)").select("a", "b").distinct()
 
 
-def _residual(bands: DataFrame, sketches: DataFrame, labels: DataFrame, scheme: Scheme, nearest: int) -> DataFrame:
-    """(a, b, more): candidate pairs between different components of one band, the smallest member's pairs left
-    out; of each member outside the band's largest component the ``nearest``, and whether it has more. A pair
-    that shares several bands is offered in the first of them alone."""
-    member = bands.join(labels, bands.doc_id == labels.node, "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+def _packed(docs: DataFrame, ids: DataFrame, scheme: Scheme, text: str) -> DataFrame:
+    """doc_id and pack: the sorted shingle hashes of each document of ``ids``, cut to 40 bits; null above ``carried`` shingles."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text, 2 << 20):
+            sets = shingle_sets(b.column(text), scheme.k)
+            packs = [(s >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() if len(s) <= scheme.carried else None for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(packs, pa.binary())], ["doc_id", "pack"])
+
+    return docs.select("doc_id", text).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, pack binary").groupBy("doc_id").agg(F.first("pack").alias("pack"))
+
+
+def _unpacked(pack: bytes | None) -> np.ndarray | None:
+    if pack is None:
+        return None
+    out = np.zeros((len(pack) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(pack, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
+def _overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements of the sorted set ``one`` each of the sets ``others`` holds."""
+    flat = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    return np.add.reduceat(hit, np.cumsum([0, *map(len, others[:-1])]), dtype=np.int64)
+
+
+def _residual(bands: DataFrame, sketches: DataFrame, labels: DataFrame, docs: DataFrame, scheme: Scheme, text: str, nearest: int, again: bool) -> DataFrame:
+    """(a, b, sure, more): links and candidates between different components of one band, the smallest member's
+    pairs left out.
+
+    A band's members are dealt over cells of at most ``block`` seekers (members outside the band's largest
+    component) by ``block`` members. A cell tells the pairs whose bitmaps allow the similarity and confirms
+    them on the sets it was sent; of those it gives just the links that join two components (``sure``). Where a set is too
+    long to be sent, the seeker's ``nearest`` candidates are given, and whether it has ``more``; ``again``: these pairs alone.
+    A pair that shares several bands is looked at in the first of them alone.
+    """
+    member = bands.join(labels, bands.doc_id == labels.node).select("band", "doc_id", F.col("component").alias("c"))
     mixed = member.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("c1 < c2 and n > 2").select("band", "pivot")
-    left = member.join(mixed, "band").where("doc_id != pivot").join(sketches, "doc_id")
-    # Sets of similarity p have sizes within a factor p, so in the same or the next class.
-    size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-math.log(scheme.percent / 100) * (1 + 1e-9))).cast("int")
-    sized = left.withColumn("own", size_class).withColumn("class", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-    weight = sized.groupBy("band", "class", "c").agg(F.count(F.lit(1)).alias("n"))
-    groups = weight.groupBy("band", "class").agg(F.max_by("c", F.struct("n", "c")).alias("main"), (F.sum("n") - F.max("n")).alias("minor")).where("minor > 0")
-    placed = sized.join(groups, ["band", "class"]).withColumn("blocks", F.ceil(F.col("minor") / BLOCK).cast("int"))
-    mine = F.when(F.col("c") != F.col("main"), F.pmod(F.xxhash64("doc_id", "band"), F.col("blocks"))).otherwise(-1).cast("int")
-    dealt = placed.withColumn("mine", mine).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = member.join(mixed, "band").where("doc_id != pivot")
+    if again:  # partners of a long set are nearly as long
+        left = left.join(sketches.where(F.col("n_shingles") * 100 >= scheme.carried * scheme.percent).select("doc_id"), "doc_id", "left_semi")
+    weight = left.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
+    groups = weight.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("minor")).where("minor > 0")
+    placed = cut(left.join(groups, "band").select("band", "doc_id", "c", "main", "all", "minor"))
+    ids = cut(placed.select("doc_id").distinct())
+    packs = _packed(docs, F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, scheme, text)
+    rows, columns = (F.ceil(F.col(k) / scheme.block).cast("int") for k in ("minor", "all"))
+    mine = F.when(F.col("c") != F.col("main"), F.pmod(F.xxhash64("doc_id", "band"), rows).cast("int"))
+    dealt = placed.select("band", "doc_id", "c", mine.alias("i"), F.pmod(F.xxhash64("band", "doc_id"), columns).cast("int").alias("j"), rows.alias("rows"), columns.alias("columns"))
+    down = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda x: F.struct(x.alias("row"), F.col("j").alias("column")))
+    across = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda x: F.struct(F.col("i").alias("row"), x.alias("column")))
+    cells = dealt.withColumn("cell", F.explode(F.when(F.col("i").isNull(), down).otherwise(F.array_union(down, across)))).drop("rows", "columns")
+    whole = cells.join(sketches, "doc_id").join(packs, "doc_id").select("band", F.col("cell.row").alias("row"), F.col("cell.column").alias("column"), "doc_id", "c", F.coalesce("i", F.lit(-1)).alias("i"), "j", "n_shingles", "filled", "sketch", "keys", "pack")
 
     def compare(t: pa.Table) -> pa.Table:
         bits = _bitmaps(t.column("sketch").combine_chunks(), scheme)
         keys = np.stack(t.column("keys").to_numpy())
         place = int((keys == np.int32(t.column("band")[0].as_py() >> 32)).all(0).argmax())
-        doc, c, n, filled, own, cls, mine, block = (t.column(k).to_numpy() for k in ("doc_id", "c", "n_shingles", "filled", "own", "class", "mine", "block"))
-        found = []
-        for i in np.flatnonzero(mine == block).tolist():
-            at = np.flatnonzero((c != c[i]) & ((own == cls) | (own[i] == cls[i])) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * scheme.percent))
-            at = at[(keys[at, : place + 1] == keys[i, : place + 1]).argmax(1) == place]
-            apart = np.bitwise_count(bits[at] ^ bits[i]).sum(1)
-            near = scheme.may_be_similar(apart, n[at], n[i], filled[at], filled[i])
+        doc, c, n, filled, i, j = (t.column(k).to_numpy() for k in ("doc_id", "c", "n_shingles", "filled", "i", "j"))
+        sets = [_unpacked(p) for p in t.column("pack").to_pylist()]
+        short = np.array([s is not None for s in sets])
+        c, here = c.copy(), j == t.column("column")[0].as_py()
+        out: list[tuple[int, int, bool, bool]] = []
+        for s in np.flatnonzero(i == t.column("row")[0].as_py()).tolist():
+            at = np.flatnonzero(here & (c != c[s]) & (np.minimum(n, n[s]) * 100 >= np.maximum(n, n[s]) * scheme.percent))
+            at = at[(keys[at, : place + 1] == keys[s, : place + 1]).argmax(1) == place]
+            apart = np.bitwise_count(bits[at] ^ bits[s]).sum(1)
+            near = scheme.may_be_similar(apart, n[at], n[s], filled[at], filled[s])
             at = at[near][np.argsort(apart[near], kind="stable")]
-            some = at[:nearest]
-            found.append((np.minimum(doc[some], doc[i]), np.maximum(doc[some], doc[i]), np.full(len(some), len(at) > nearest)))
-        a, b, more = (np.concatenate(x) for x in zip(*found)) if found else ([], [], [])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
+            sent = at[short[at]] if short[s] else at[:0]
+            if len(sent) and not again:
+                shared = _overlaps(sets[s], [sets[x] for x in sent])
+                for x in sent[100 * shared >= scheme.percent * (n[sent] + n[s] - shared)].tolist():
+                    if c[x] != c[s]:
+                        out.append((doc[x], doc[s], True, False))
+                        c[c == c[x]] = c[s]
+            rest = at[~short[at]] if short[s] else at
+            rest = rest[c[rest] != c[s]]
+            out += [(doc[x], doc[s], False, len(rest) > nearest) for x in rest[:nearest].tolist()]
+        a, b, sure, more = zip(*out) if out else ((), (), (), ())
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "sure": pa.array(sure, pa.bool_()), "more": pa.array(more, pa.bool_())})
+
+    return whole.groupBy("band", "row", "column").applyInArrow(compare, "a long, b long, sure boolean, more boolean")
 
-    columns = ["band", "doc_id", "c", "n_shingles", "filled", "sketch", "keys", "own", "class", "mine", "block"]
-    return dealt.select(*columns).groupBy("band", "class", "block").applyInArrow(compare, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after further links: components of the components, so the work follows the links."""
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
+    further = components(ends.where("x != y").select("x", "y").distinct(), "x", "y").select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return cut(labels.join(further, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), text: str = "text") -> DataFrame:
@@ -227,21 +285,21 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), text: str = "tex
         sketches.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.col("filled").alias("ea")), "a"
     )
     stars = cut(confirmed(cut(_sketch_filter(with_sketches, scheme)), docs, scheme, text))
-    labels = components(stars)
+    known = components(stars)
+    labels = cut(reps.join(known, reps.doc_id == known.node, "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "doc_id").alias("component")))
     members = reps.select("doc_id", "n_shingles", "sketch", "filled", F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("keys"))
-    nearest = 4
+    nearest, again = 4, False
     while True:
-        offered = cut(_residual(bands.select("band", "doc_id"), members, labels, scheme, nearest))
-        if offered.isEmpty():
-            break
-        found = cut(confirmed(offered.select("a", "b"), docs, scheme, text))
+        offered = cut(_residual(bands.select("band", "doc_id"), members, labels, docs, scheme, text, nearest, again))
+        found, open_pairs = offered.where("sure").select("a", "b"), offered.where("not sure").select("a", "b").distinct()
+        if not open_pairs.isEmpty():
+            found = cut(found.unionByName(confirmed(open_pairs, docs, scheme, text)))
         if not found.isEmpty():
-            stars = stars.unionByName(found)
-            labels = components(stars)
+            labels = _joined(labels, found)
         if offered.where("more").isEmpty():
             break
-        nearest *= 16
-    named = sets.join(labels, sets.rep == labels.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+        nearest, again = nearest * 16, True
+    named = sets.join(labels, sets.rep == labels.node).select("fp", F.col("component").alias("component_id"))
     alone = base.where("fp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     linked = base.where("fp is not null").select("doc_id", "n_shingles", "fp").join(named, "fp").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))

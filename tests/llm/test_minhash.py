@@ -63,7 +63,7 @@ def test_equals_brute_force(spark):
     rng.shuffle(texts)
     rows = list(enumerate(texts))
     df = spark.createDataFrame([(i, t, "c", 5) for i, t in rows], "doc_id long, text string, component_id string, kept int")
-    for scheme in (minhash.Scheme(), minhash.Scheme(k=5, percent=80, bands=32, rows=4)):
+    for scheme in (minhash.Scheme(), minhash.Scheme(k=5, percent=80, bands=32, rows=4), minhash.Scheme(block=3), minhash.Scheme(block=5, carried=30)):
         got = {tuple(r) for r in minhash.near_duplicates(df, scheme).collect()}
         assert got == brute(rows, scheme.k, scheme.percent)
 
