@@ -107,17 +107,17 @@ class Lexicon:
             best = {p: x for p, x in best.items() if not any(a <= p < b for a, b in shielded)}
         return [(e, w) for _, (w, e) in sorted(best.items())]
 
-    def density(self, folded: str) -> float:
+    def density(self, folded: str, hits: list[tuple[str, float]] | None = None) -> float:
         """Summed weights, normalised by the root of the length in words, so that one entry counts for
-        more in a short text than in a long one."""
-        hits = self.found(folded)
+        more in a short text than in a long one; ``hits``: the entries, if found before."""
+        hits = self.found(folded) if hits is None else hits
         if not hits:
             return 0.0
         return sum(w for _, w in hits) / math.sqrt(1 + folded.count(" ") / 100.0)
 
-    def score(self, folded: str) -> float:
+    def score(self, folded: str, hits: list[tuple[str, float]] | None = None) -> float:
         """Between 0 and 1; without entries, and without a lexicon, below one half."""
-        return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.slope * self.density(folded) + self.shift))))
+        return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.slope * self.density(folded, hits) + self.shift))))
 
 
 def learn(labelled: DataFrame, text: str = "text", label: str = "label") -> Lexicon:
@@ -210,8 +210,9 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, text: str = "text", extra
         lex = shared.value
         for b in slices(batches, text):
             folded = list(map(fold, b.column(text).to_pylist()))
+            hits = list(map(lex.found, folded))
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in extra), pa.array(list(map(lex.score, folded)), pa.float64()), pa.array([[e for e, _ in lex.found(f)] for f in folded], pa.list_(pa.string()))],
+                [*(b.column(c) for c in extra), pa.array(list(map(lex.score, folded, hits)), pa.float64()), pa.array([[e for e, _ in h] for h in hits], pa.list_(pa.string()))],
                 [*extra, "score", "hits"],
             )
 
