@@ -61,7 +61,7 @@ def crc_mod(col: str, modulus: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % modulus
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each slice holds about ``max_bytes`` of one text column (a row stays whole)."""
     for batch in batches:
         if batch.num_rows == 0:

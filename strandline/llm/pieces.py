@@ -145,7 +145,7 @@ class PieceTable:
         """Bytes of a character that has no piece."""
         return tuple(self.byte_id.get(b, self.unk) for b in char.encode("utf-8", "replace")) if self.byte_id else (self.unk,)
 
-    def encode(self, texts: Sequence[str | None], remember: int = 600_000) -> list[list[int]]:
+    def encode(self, texts: Sequence[str | None], remember: int = 200_000) -> list[list[int]]:
         """Ids of each whole text with the end id; null counts as empty. Words met before are looked up."""
         split = [_WORD.findall((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
         known = self._known
@@ -197,7 +197,7 @@ def _mapped(docs: DataFrame, table: PieceTable, text: str, extra: Sequence[str],
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared.value
-        for b in slices(batches, text, 8 << 20):
+        for b in slices(batches, text, 1 << 20):
             ids = pieces.encode(b.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in extra), *columns(ids, list(map(pieces.decode, ids)))], names)
 
