@@ -92,26 +92,36 @@ def rolling_features(df: DataFrame, x: str, window: int, key: str = "ticker", ti
     return rows.where(F.col("end") >= window - 1).join(counts, [key, "end"]).select(key, time, "edges", (2.0 * F.col("edges") / window).alias("degree_mean"), (2.0 * F.col("edges") / (window * (window - 1))).alias("density"))
 
 
-def path_lengths(edges: DataFrame, key: str = "ticker", limit: int = 200) -> DataFrame:
-    """(key, mean_path, diameter) of the first ``limit`` nodes' graph, by breadth-first search per series."""
+def path_lengths(edges: DataFrame, key: str = "ticker") -> DataFrame:
+    """(key, mean_path, diameter) of each series' whole graph, by breadth-first search from all nodes at once:
+    per node a bit set of the sources that reach it, so a level is one pass over the edges."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        n = int(g.j.max()) + 1
-        near: list[list[int]] = [[] for _ in range(n)]
-        for a, b in zip(g.i, g.j):
-            near[a].append(b), near[b].append(a)
-        total = pairs = far = 0
-        for s in range(n):
-            dist, queue = {s: 0}, [s]
-            for u in queue:
-                for v in near[u]:
-                    if v not in dist:
-                        dist[v] = dist[u] + 1
-                        queue.append(v)
-            total, pairs, far = total + sum(dist.values()), pairs + len(dist) - 1, max(far, *dist.values())
-        return pd.DataFrame({key: [g[key].iloc[0]], "mean_path": [total / max(pairs, 1)], "diameter": [far]})
-
-    return edges.where(F.col("j") < limit).select(key, "i", "j").groupBy(key).applyInPandas(run, f"{key} string, mean_path double, diameter long")
+        i, j = g.i.to_numpy(), g.j.to_numpy()
+        nodes, ends = np.unique(np.concatenate([i, j]), return_inverse=True)
+        a, b = ends[: len(i)], ends[len(i) :]
+        to, other = np.concatenate([a, b]), np.concatenate([b, a])
+        order = np.argsort(to, kind="stable")
+        to, other = to[order], other[order]
+        turn = np.arange(len(to)) - np.searchsorted(to, to)
+        sides = [(to[turn == k], other[turn == k]) for k in range(turn.max() + 1)]  # every node's k-th neighbour
+        at = np.arange(len(nodes))
+        reach = np.zeros((len(nodes), len(nodes) // 64 + 1), np.uint64)
+        reach[at, at // 64] = np.uint64(1) << (at % 64).astype(np.uint64)
+        total = far = 0
+        known = len(nodes)
+        while True:
+            before = reach.copy()
+            for x, y in sides:
+                reach[x] |= before[y]
+            now = int(np.bitwise_count(reach).sum(dtype=np.int64))
+            if now == known:
+                break
+            far += 1
+            total, known = total + far * (now - known), now
+        return pd.DataFrame({key: [g[key].iloc[0]], "mean_path": [total / max(known - len(nodes), 1)], "diameter": [far]})
+
+    return edges.select(key, "i", "j").groupBy(key).applyInPandas(run, f"{key} string, mean_path double, diameter long")
 
 
 def weighted(edges: DataFrame, df: DataFrame, x: str, key: str = "ticker", time: str = "date") -> DataFrame:
@@ -126,8 +136,8 @@ def market_state(density: str, low: float, high: float):
     return F.when(F.col(density) < low, "trending").when(F.col(density) > high, "noisy").otherwise("mixed")
 
 
-def spectrum(edges: DataFrame, top: int = 5, key: str = "ticker", limit: int = 200) -> DataFrame:
-    """(key, eigenvalues) of the adjacency of the first ``limit`` nodes, largest first."""
+def spectrum(edges: DataFrame, top: int = 5, key: str = "ticker") -> DataFrame:
+    """(key, eigenvalues) of the adjacency of each series' whole graph, largest first."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         n = int(g.j.max()) + 1
@@ -135,5 +145,5 @@ def spectrum(edges: DataFrame, top: int = 5, key: str = "ticker", limit: int = 2
         a[g.i, g.j] = a[g.j, g.i] = 1
         return pd.DataFrame({key: [g[key].iloc[0]], "eigenvalues": [np.linalg.eigvalsh(a)[::-1][:top].round(6).tolist()]})
 
-    return edges.where(F.col("j") < limit).select(key, "i", "j").groupBy(key).applyInPandas(run, f"{key} string, eigenvalues array<double>")
+    return edges.select(key, "i", "j").groupBy(key).applyInPandas(run, f"{key} string, eigenvalues array<double>")
 
