@@ -152,6 +152,8 @@ def _(p):
 # -- learning ------------------------------------------------------------------------------------------------
 
 _F = ("m5", "m21")
+#: Models that aren't walked forward are fitted on the rows before this date, and predict all rows.
+FIT_UNTIL = "1995-07-01"
 
 
 def learnable(p):
@@ -184,14 +186,13 @@ def _(p):
 
 @query("ml6_boosted_trees")
 def _(p):
-    q = learnable(p).where("date < date'1996-01-01'")
-    return ml.boosted_trees(q, _F, "y", F.col("date") < F.lit("1995-07-01").cast("date"), 2, 3)[0].select(*K, "prediction")
+    return ml.boosted_trees(learnable(p), _F, "y", F.col("date") < F.lit(FIT_UNTIL).cast("date"))[0].select(*K, "prediction")
 
 
 @query("ml7_logistic")
 def _(p):
-    q = learnable(p).where("date < date'1996-01-01'").withColumn("label", tr.three_classes("y", 0.05).cast("double"))
-    return ml.logistic(q, _F, "label", F.col("date") < F.lit("1995-07-01").cast("date")).select(*K, F.col("probability")[0].alias("p_down"), F.col("probability")[2].alias("p_up"))
+    q = learnable(p).withColumn("label", tr.three_classes("y", 0.05).cast("double"))
+    return ml.logistic(q, _F, "label", F.col("date") < F.lit(FIT_UNTIL).cast("date")).select(*K, F.col("probability")[0].alias("p_down"), F.col("probability")[2].alias("p_up"))
 
 
 @query("ml12_residuals", f"WITH {R}, a AS (SELECT ticker, ret, lag(ret) OVER ({TICKER}) AS l FROM r) SELECT ticker, count(ret) AS n, round(corr(ret, l) FILTER (ret IS NOT NULL AND l IS NOT NULL), 5) + 0.0 AS ac1 FROM a GROUP BY ticker", digits=5)
@@ -205,12 +206,12 @@ def _(p):
 
 @query("st1_permutation")
 def _(p):
-    return st.permutation_test(signals(p).where("date < date'1995-04-01'"), "signal", "fwd", 20)
+    return st.permutation_test(signals(p), "signal", "fwd")
 
 
 @query("st2_bootstrap")
 def _(p):
-    return st.bootstrap_mean(daily(p), "net", 50)
+    return st.bootstrap_mean(daily(p), "net")
 
 
 @query("st3_t_test", f"WITH {R} SELECT ticker, count(ret) AS n, round(avg(ret), 6) + 0.0 AS mean, round(avg(ret) / (stddev_samp(ret) / sqrt(count(ret))), 6) + 0.0 AS t FROM r GROUP BY ticker")
@@ -253,14 +254,12 @@ def _(p):
 
 @query("bt18_pair_positions")
 def _(p):
-    some = p.where("ticker in ('Brand#11', 'Brand#12', 'Brand#13')")
-    return md.pair_positions(md.pair_spreads(some))
+    return md.pair_positions(md.pair_spreads(p))
 
 
 @query("ss5_kalman_pairs")
 def _(p):
-    some = p.where("ticker in ('Brand#11', 'Brand#12')")
-    return md.kalman_pair(md.pair_spreads(some)).select("asset1", "asset2", "date", "alpha", "beta", "error")
+    return md.kalman_pair(md.pair_spreads(p)).select("asset1", "asset2", "date", "alpha", "beta", "error")
 
 
 @query("co2_lead_lag", f"WITH {R}, l AS (SELECT ticker, date, unnest([0, 1, 2]) AS lag, unnest([ret, lag(ret, 1) OVER ({TICKER}), lag(ret, 2) OVER ({TICKER})]) AS y FROM r) SELECT a.ticker AS asset1, l.ticker AS asset2, CAST(l.lag AS INTEGER) AS lag, round(corr(a.ret, l.y) FILTER (a.ret IS NOT NULL AND l.y IS NOT NULL), 5) + 0.0 AS corr FROM r a JOIN l ON l.date = a.date AND l.ticker <> a.ticker GROUP BY 1, 2, 3", digits=5)
@@ -270,7 +269,7 @@ def _(p):
 
 @query("fe32_average_correlation", digits=5)
 def _(p):
-    return md.average_correlation(p.where("ticker < 'Brand#14'"))
+    return md.average_correlation(p)
 
 
 @query("fe26_factors", digits=4)
@@ -285,7 +284,7 @@ def _(p):
 
 @query("hm2_regimes")
 def _(p):
-    return md.hmm_regimes(p.where("ticker in ('Brand#11', 'Brand#12')"), every=126).select(*K, "regime", F.col("probabilities")[0].alias("p_calm"))
+    return md.hmm_regimes(p).select(*K, "regime", F.col("probabilities")[0].alias("p_calm"))
 
 
 # -- calendars and exploration -------------------------------------------------------------------------------

@@ -41,7 +41,7 @@ def _(p):
 
 @query("rsh7_align_target", f"WITH {R}, t AS (SELECT ticker, date, lead(ret) OVER ({TICKER}) AS target FROM r WHERE ticker < 'Brand#2') SELECT r.ticker, r.date, round(r.ret, 6) + 0.0 AS ret, round(t.target, 6) + 0.0 AS target FROM r LEFT JOIN t ON t.ticker = r.ticker AND t.date = r.date")
 def _(p):
-    t = p.where("ticker < 'Brand#2'").select(*K, w.lag("ret", -1).alias("target"))
+    t = p.select(*K, w.lag("ret", -1).alias("target"))
     return p.join(t, K, "left").select(*K, "ret", "target")
 
 
@@ -250,7 +250,7 @@ def _(p):
 
 @query("ml5_elastic_net")
 def _(p):
-    return bk.elastic_net(learnable(p).where("date < date'1996-01-01'"), ["m5", "m21"], "y", 0.01, 0.5).select(*K, "prediction")
+    return bk.elastic_net(learnable(p), ["m5", "m21"], "y", 0.01, 0.5).select(*K, "prediction")
 
 
 @query("ml10_time_split", f"WITH {PX}, d AS (SELECT date, row_number() OVER (ORDER BY date) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM px)) SELECT CASE WHEN i <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS part, count(*) AS rows, min(px.date) AS first_date FROM px JOIN d USING (date) GROUP BY 1")
@@ -290,7 +290,7 @@ def _(p):
 
 @query("st9_kalman_causality")
 def _(p):
-    some = p.where("ticker = 'Brand#11'").select(*K, F.ln("close").alias("lp"))
+    some = p.select(*K, F.ln("close").alias("lp"))
     whole = kn.along(some, {"a": kn.kalman_level("lp")})
     part = kn.along(some.where("date < date'1998-01-01'"), {"b": kn.kalman_level("lp")})
     return whole.join(part.select(*K, "b"), K).agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("largest_gap"), F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,8 @@ import pytest
 
 import __spark_entry__ as entry
 from strandline.operators import graphs as gr
+from strandline.operators import models
+from strandline.sources import panel
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -48,3 +50,23 @@ def test_paths_and_spectrum_of_all_nodes(spark):
     got = gr.path_lengths(edges).first()
     assert got.diameter == dist.max() and abs(got.mean_path - dist.sum() / (260 * 259)) < 1e-9
     assert np.allclose(gr.spectrum(edges).first().eigenvalues, np.linalg.eigvalsh(a)[::-1][:5], atol=1e-6)
+
+
+@pytest.mark.parametrize("name, cut", [("rsh7_align_target", " WHERE ticker < 'Brand#2'"), ("rsh9_reindex_fill", " WHERE date < DATE '1995-04-01'"), ("jn6_semi_anti", " WHERE date < DATE '1996-01-01'")])
+def test_joins_of_all_rows(spark, name, cut):
+    assert ORACLES[name].count(cut) == 1
+    equal(spark, name, ORACLES[name].replace(cut, ""))
+
+
+def test_predictions_of_all_tickers_and_dates(spark):
+    px = panel.trades_panel(spark, FOLDER)
+    tickers, last = px.select("ticker").distinct().count(), px.agg({"date": "max"}).first()[0]
+    for name in ("ml5_elastic_net", "ml6_boosted_trees", "ml7_logistic"):
+        out = QUERIES[name](spark, FOLDER)
+        assert out.select("ticker").distinct().count() == tickers and out.agg({"date": "max"}).first()[0] == last
+
+
+def test_pairs_of_all_tickers(spark):
+    folder = "/root/testdata/sf0.01"
+    pairs = models.pair_spreads(panel.trades_panel(spark, folder)).select("asset1", "asset2").distinct().count()
+    assert QUERIES["bt18_pair_positions"](spark, folder).select("asset1", "asset2").distinct().count() == pairs > 3
