@@ -17,14 +17,17 @@ ROUNDS = 8
 DATE_ORIGIN, DATE_SIDE = "1970-01-01", 128
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
-SECRET = r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,64}(?![A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9])(?:(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,64}|(?=[A-F]*[0-9])(?=[0-9]*[A-F])[0-9A-F]{32,64})(?![A-Za-z0-9])"
 DATE = r"(?<![0-9A-Za-z.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z]|[.-][0-9])"
 IP = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
-PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z-])(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
+#: With ``+`` and a country code: ten digits as in North America, or seven to fourteen in any groups (15 digits at most).
+PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])|\+[1-9](?:[ .-]?\(?[0-9]\)?){7,14}(?![0-9A-Za-z]|[ .-][0-9])|(?<![0-9A-Za-z.-])(?<![0-9] )(?:\([0-9]{3}\) ?[0-9]{3}[ .-]|[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.| [0-9]{3} ))[0-9]{4}(?![0-9A-Za-z]|[ .-][0-9])"
+#: Eight groups, or fewer around one ``::``; an IPv4 tail is not read.
+IPV6 = r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![0-9A-Za-z:]|\.[0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 CARD = r"(?<![0-9A-Za-z])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[ -][0-9])"
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, IBAN, SECRET, DATE, IP, PHONE, SSN, CARD))
+ANY = "|".join(f"(?:{p})" for p in (EMAIL, IBAN, SECRET, DATE, IPV6, IP, PHONE, SSN, CARD))
 
 
 def feistel(values: Column, radixes: Column, key: str) -> Column:
@@ -45,8 +48,8 @@ def feistel(values: Column, radixes: Column, key: str) -> Column:
 
 def permute_text(text: Column, key: str, alphabet: str = "auto") -> Column:
     """Permute the ASCII digits and letters of a string, each within digits, small or capital letters
-    (``hex``: within 0-9a-f); all else stays in place."""
-    kinds = ["0123456789abcdef"] if alphabet == "hex" else ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    (``hex``, ``HEX``: within 0-9a-f, 0-9A-F); all else stays in place."""
+    kinds = {"hex": ["0123456789abcdef"], "HEX": ["0123456789ABCDEF"]}.get(alphabet) or ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
     chars = F.split(text, "")
 
     def place(c: Column) -> Column:
@@ -108,6 +111,19 @@ def _ip(m: Column, key: str) -> Column:
     return F.when(F.forall(octets, lambda x: x < 256), out)
 
 
+def _ipv6(m: Column, key: str) -> Column:
+    """The 128 bits permuted by groups of 16 and written in full, in small letters; null where there aren't eight groups.
+
+    All spellings of one address get the same pseudonym."""
+    sides = F.split(m, "::")
+    head, tail = (F.filter(F.split(F.coalesce(F.get(sides, F.lit(i)), F.lit("")), ":"), lambda x: x != "") for i in range(2))
+    short = F.size(sides) == 2
+    missing = F.lit(8) - F.size(head) - F.size(tail)
+    groups = F.transform(F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), tail), lambda x: F.conv(x, 16, 10).cast("bigint"))
+    moved = feistel(groups, F.array_repeat(F.lit(65536).cast("bigint"), 8), key + "/ipv6")
+    return F.when(F.when(short, missing > 0).otherwise(missing == 0), F.array_join(F.transform(moved, lambda x: F.lower(F.hex(x))), ":"))
+
+
 def _ssn(m: Column, key: str) -> Column:
     """Areas 001-899 without 666, groups 01-99, serials 0001-9999."""
     area, group, serial = (F.get(F.split(m, "-"), F.lit(i)).cast("bigint") for i in range(3))
@@ -126,12 +142,21 @@ def _iban_rest(text: Column) -> Column:
     )
 
 
+def _spaced(shape: Column, text: Column) -> Column:
+    """``text`` with blanks where ``shape`` has them."""
+    parts = F.transform(F.split(shape, " "), lambda x: F.length(x))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(1).alias("at"))
+    return F.aggregate(parts, start, lambda acc, n: F.struct(F.concat(acc["out"], F.array(F.substring(text, acc["at"], n))).alias("out"), (acc["at"] + n).alias("at")), lambda acc: F.array_join(acc["out"], " "))
+
+
 def _iban(m: Column, key: str) -> Column:
-    """Country kept, account permuted, check digits set anew; null unless the number passes the mod-97 check."""
+    """Country kept, account permuted, check digits set anew; null unless the number passes the mod-97 check.
+    Grouped and compact spellings get the same pseudonym."""
+    shape, m = m, F.replace(m, F.lit(" "), F.lit(""))
     country, account = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m) - 4)
     moved = permute_text(account, key + "/iban/")
     check = F.lpad((F.lit(98) - _iban_rest(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(_iban_rest(F.concat(account, F.substring(m, 1, 4))) == 1, F.concat(country, check, moved))
+    return F.when(_iban_rest(F.concat(account, F.substring(m, 1, 4))) == 1, _spaced(shape, F.concat(country, check, moved)))
 
 
 def _date(m: Column, key: str, pattern: str) -> Column:
@@ -143,15 +168,15 @@ def _date(m: Column, key: str, pattern: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """Country code kept, the other ten digits permuted."""
+    """North American form: country code kept, the other ten digits permuted. Otherwise the first two digits are kept."""
     d = _digits(m)
-    code = F.length(d) - 10
-    return _refill(m, F.concat(F.substring(d, F.lit(1), code), permute_text(F.substring(d, code + 1, F.lit(10)), key + "/phone")))
+    code = F.when(m.rlike(r"^(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}$"), F.length(d) - 10).otherwise(2)
+    return _refill(m, F.concat(F.substring(d, F.lit(1), code), permute_text(F.substring(d, code + 1, F.length(d)), key + "/phone")))
 
 
 def kind_of(m: Column) -> Column:
     out = F.lit("card")
-    for kind, pattern in (("ssn", SSN), ("phone", PHONE), ("ip", IP), ("date", DATE), ("secret", SECRET), ("iban", IBAN), ("email", EMAIL)):
+    for kind, pattern in (("ssn", SSN), ("phone", PHONE), ("ip", IP), ("ip", IPV6), ("date", DATE), ("secret", SECRET), ("iban", IBAN), ("email", EMAIL)):
         out = F.when(m.rlike(f"^(?:{pattern})$"), kind).otherwise(out)
     return out
 
@@ -162,7 +187,8 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return (
         F.when(kind == "email", F.concat(permute_text(F.substring(m, F.lit(1), at - 1), key + "/email"), F.substring(m, at, F.length(m))))
         .when(kind == "iban", _iban(m, key))
-        .when(kind == "secret", permute_text(m, key + "/secret", "hex"))
+        .when(kind == "secret", F.when(m.rlike("[a-f]"), permute_text(m, key + "/secret", "hex")).otherwise(permute_text(m, key + "/secret", "HEX")))
+        .when((kind == "ip") & m.contains(":"), _ipv6(m, key))
         .when(kind == "ip", _ip(m, key))
         .when(kind == "phone", _phone(m, key))
         .when(kind == "ssn", _ssn(m, key))

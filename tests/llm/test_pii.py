@@ -64,3 +64,22 @@ def test_clashing_column_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a@b.com", "old")], "doc_id long, text string, pii string")
     assert pii.pseudonymise(df, "k").first().pii[0].kind == "email"
     assert pii.pseudonymise(df.limit(0), "k").count() == 0
+
+
+def test_further_forms(spark):
+    low = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    texts = [
+        f'TOKEN = "{low.upper()}"', "IBAN DE89 3704 0044 0532 0130 00, bad DE88 3704 0044 0532 0130 00", "DE89370400440532013000", "743.555.3824", "743 555 3824", "(743) 555-3824",
+        "call +49 30 1234567 now", "call +44 20 7946 0958 now", "at 2001:db8::8a2e:370:7334.", "at 2001:0db8:0000:0000:0000:8a2e:0370:7334.", "time 12:30:45 and std::vector",
+    ]
+    got = [t for t, _ in run(spark, texts)]
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{40}"', got[0]) and got[0] != texts[0]
+    iban = re.fullmatch(r"IBAN (DE\d\d(?: \d{4}){4} \d\d), bad DE88 3704 0044 0532 0130 00", got[1])[1]
+    assert iban_ok(iban.replace(" ", "")) and iban.replace(" ", "") == got[2] != texts[2]
+    assert re.fullmatch(r"\d{3}\.\d{3}\.\d{4}", got[3]) and re.fullmatch(r"\d{3} \d{3} \d{4}", got[4])
+    digits = lambda t: re.sub(r"\D", "", t)
+    assert digits(got[3]) == digits(got[4]) == digits(got[5]) != digits(texts[3])
+    assert re.fullmatch(r"call \+49 \d\d \d{7} now", got[6]) and got[6] != texts[6]
+    assert re.fullmatch(r"call \+44 \d\d \d{4} \d{4} now", got[7]) and got[7] != texts[7]
+    assert got[8] == got[9] != texts[9] and re.fullmatch(r"at (?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}\.", got[8])
+    assert got[10] == texts[10]
