@@ -29,6 +29,9 @@ SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 CARD = r"(?<![0-9A-Za-z])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[ -][0-9])"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, IBAN, SECRET, DATE, IPV6, IP, PHONE, SSN, CARD))
 
+#: Every finding holds a digit or an @, but for an IPv6 address of letters alone.
+GATE = r"[0-9@]|[A-Fa-f]:[A-Fa-f]"
+
 
 def feistel(values: Column, radixes: Column, key: str) -> Column:
     """Permute an array<bigint> of values below the radixes of the same array position."""
@@ -212,7 +215,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", findings: str =
     gaps = F.split(t, ANY, -1)
     named = F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
     done = F.transform(named, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), pseudonym(x["m"], x["kind"], key).alias("p")))
-    work = docs.withColumn("_done", F.when(t.rlike(r"[0-9]{2}|@"), done)).withColumn("_gaps", F.when(F.size("_done") > 0, gaps))
+    work = docs.withColumn("_done", F.when(t.rlike(GATE), done)).withColumn("_gaps", F.when(F.size("_done") > 0, gaps))
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<kind:string,start:int,length:int,replaced:boolean>>)").alias("spans"))
 
     def span(acc: Column, x: Column) -> Column:

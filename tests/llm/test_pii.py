@@ -83,3 +83,11 @@ def test_further_forms(spark):
     assert re.fullmatch(r"call \+44 \d\d \d{4} \d{4} now", got[7]) and got[7] != texts[7]
     assert got[8] == got[9] != texts[9] and re.fullmatch(r"at (?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}\.", got[8])
     assert got[10] == texts[10]
+
+
+def test_findings_without_neighbouring_digits(spark):
+    texts = ["dns 8.8.8.8", "dns 8.8.8.8 since 2001", "card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "at abcd:abcd:abcd:abcd:abcd:abcd:abcd:abcd"]
+    got = run(spark, texts)
+    assert all(len(found) == 1 and found[0].replaced for _, found in got)
+    assert "8.8.8.8" not in got[0][0] and got[1][0] == got[0][0] + " since 2001"
+    assert luhn(got[2][0]) and got[2][0] != texts[2] and "abcd:abcd" not in got[3][0]
