@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), text: str = "tex
         if offered.where("more").isEmpty():
             break
         nearest, again = nearest * 16, True
-    named = sets.join(labels, sets.rep == labels.node).select("fp", F.col("component").alias("component_id"))
+    named = sets.join(labels, sets.rep == labels.node, "left").select("fp", F.col("component").alias("component_id"))
     alone = base.where("fp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     linked = base.where("fp is not null").select("doc_id", "n_shingles", "fp").join(named, "fp").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -112,3 +112,9 @@ def test_components_equal_brute_force(spark):
             if b is not None:
                 parent[a] = parent[b] = min(parent[a], parent[b])
     assert got == parent
+
+
+def test_null_id_with_a_text_of_its_own(spark):
+    rows = [(None, "one two three four five six seven eight"), (1, "red green blue black white grey pink brown"), (2, "red green blue black white grey pink brown")]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), minhash.Scheme(k=3)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.n_shingles) for r in out) == [(0, 0, 6), (1, 1, 6), (2, 1, 6)]
