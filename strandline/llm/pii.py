@@ -9,16 +9,23 @@ get equal pseudonyms in every document and different values never meet. What fai
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
 #: Days permuted among themselves: blocks of 128 x 128 days from this date, so a date stays in its era.
 DATE_ORIGIN, DATE_SIDE = "1970-01-01", 128
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: The part before the @ has at most 64 characters and a name at most 127 labels, so no text makes the matcher recurse deeply.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,63}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
 SECRET = r"(?<![A-Za-z0-9])(?:(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,64}|(?=[A-F]*[0-9])(?=[0-9]*[A-F])[0-9A-F]{32,64})(?![A-Za-z0-9])"
+#: Beginnings of well-known access keys, and how they go on.
+TOKEN_FORMS = {
+    "AKIA": "[0-9A-Z]{16}", "ASIA": "[0-9A-Z]{16}", "AIza": "[0-9A-Za-z_-]{35}", "sk-": "[0-9A-Za-z_-]{20,200}", "sk_live_": "[0-9A-Za-z]{16,100}", "ghp_": "[0-9A-Za-z]{36,80}", "gho_": "[0-9A-Za-z]{36,80}",
+    "ghs_": "[0-9A-Za-z]{36,80}", "glpat-": "[0-9A-Za-z_-]{20,80}", "xoxb-": "[0-9A-Za-z-]{20,120}", "xoxp-": "[0-9A-Za-z-]{20,120}", "hf_": "[0-9A-Za-z]{30,80}",
+}
+TOKEN = "(?<![A-Za-z0-9])(?:" + "|".join(p + f for p, f in TOKEN_FORMS.items()) + ")(?![A-Za-z0-9])"
 DATE = r"(?<![0-9A-Za-z.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z]|[.-][0-9])"
 IP = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
 #: With ``+`` and a country code: ten digits as in North America, or seven to fourteen in any groups (15 digits at most).
@@ -27,12 +34,21 @@ PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Z
 IPV6 = r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![0-9A-Za-z:]|\.[0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 CARD = r"(?<![0-9A-Za-z])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[ -][0-9])"
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, IBAN, SECRET, DATE, IPV6, IP, PHONE, SSN, CARD))
+#: All patterns but the phones with ``+`` begin at the beginning of a word; the grouping by first character is for speed alone.
+_DIGIT = "(?=[0-9(])"
+ANY = f"(?<![0-9A-Za-z])(?=[0-9A-Za-z._%+(:-])(?:{EMAIL}|(?=[A-Z]){IBAN}|(?=[0-9A-Fa-f]){SECRET}|(?=[Aagshx]){TOKEN}|{_DIGIT}{DATE}|(?=[0-9A-Fa-f:]){IPV6}|{_DIGIT}{IP}|(?=[0-9(+])(?:{PHONE})|{_DIGIT}(?:{SSN}|{CARD}))|(?=\\+)(?:{PHONE})"
 
 #: Every finding holds a digit or an @, but for an IPv6 address of letters alone.
 GATE = r"[0-9@]|[A-Fa-f]:[A-Fa-f]"
 
 
+#: Characters that mark findings in a text, and the one that guards such a character of the text itself.
+_MARK, _GUARD = "\x01\x03", "\x01\x02"
+#: Times a date is permuted at most until its day can't be read as a month (one in 10^25 needs more).
+WALK = 64
+_BLOCK = 256
+
+
 def feistel(values: Column, radixes: Column, key: str) -> Column:
     """Permute an array<bigint> of values below the radixes of the same array position."""
 
@@ -162,12 +178,22 @@ def _iban(m: Column, key: str) -> Column:
     return F.when(_iban_rest(F.concat(account, F.substring(m, 1, 4))) == 1, _spaced(shape, F.concat(country, check, moved)))
 
 
-def _date(m: Column, key: str, pattern: str) -> Column:
+def _date(m: Column, key: str, pattern: str, late: bool = False) -> Column:
+    """Days permuted within their block; ``late``: among the days after the 12th of a month, by permuting again until one is met."""
     day = F.datediff(F.to_date(F.try_to_timestamp(m, F.lit(pattern))), F.lit(DATE_ORIGIN).cast("date")).cast("bigint")
     side, block = F.lit(DATE_SIDE).cast("bigint"), F.floor(day / F.lit(float(DATE_SIDE * DATE_SIDE))).cast("bigint")
     within = day - block * side * side
-    moved = feistel(F.array(F.floor(within / F.lit(float(DATE_SIDE))).cast("bigint"), within % side), F.array(side, side), key + "/date")
-    return F.aggregate(F.array(moved), F.lit(None).cast("string"), lambda _, v: F.date_format(F.date_add(F.lit(DATE_ORIGIN).cast("date"), (block * side * side + v[0] * side + v[1]).cast("int")), pattern))
+
+    def shown(v: Column) -> Column:
+        return F.date_add(F.lit(DATE_ORIGIN).cast("date"), (block * side * side + v[0] * side + v[1]).cast("int"))
+
+    def moved(v: Column) -> Column:
+        return feistel(v, F.array(side, side), key + "/date")
+
+    out = moved(F.array(F.floor(within / F.lit(float(DATE_SIDE))).cast("bigint"), within % side))
+    if late:
+        out = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), out, lambda v, _: F.when(F.dayofmonth(shown(v)) > 12, v).otherwise(moved(v)))
+    return F.aggregate(F.array(out), F.lit(None).cast("string"), lambda _, v: F.date_format(shown(v), pattern))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -177,9 +203,15 @@ def _phone(m: Column, key: str) -> Column:
     return _refill(m, F.concat(F.substring(d, F.lit(1), code), permute_text(F.substring(d, code + 1, F.length(d)), key + "/phone")))
 
 
+def _token(m: Column, key: str) -> Column:
+    """The beginning that names the issuer is kept."""
+    head = F.regexp_extract(m, "^(?:" + "|".join(TOKEN_FORMS) + ")", 0)
+    return F.concat(head, permute_text(F.substring(m, F.length(head) + 1, F.length(m)), key + "/token"))
+
+
 def kind_of(m: Column) -> Column:
     out = F.lit("card")
-    for kind, pattern in (("ssn", SSN), ("phone", PHONE), ("ip", IP), ("ip", IPV6), ("date", DATE), ("secret", SECRET), ("iban", IBAN), ("email", EMAIL)):
+    for kind, pattern in (("ssn", SSN), ("phone", PHONE), ("ip", IP), ("ip", IPV6), ("date", DATE), ("token", TOKEN), ("secret", SECRET), ("iban", IBAN), ("email", EMAIL)):
         out = F.when(m.rlike(f"^(?:{pattern})$"), kind).otherwise(out)
     return out
 
@@ -191,6 +223,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
         F.when(kind == "email", F.concat(permute_text(F.substring(m, F.lit(1), at - 1), key + "/email"), F.substring(m, at, F.length(m))))
         .when(kind == "iban", _iban(m, key))
         .when(kind == "secret", F.when(m.rlike("[a-f]"), permute_text(m, key + "/secret", "hex")).otherwise(permute_text(m, key + "/secret", "HEX")))
+        .when(kind == "token", _token(m, key))
         .when((kind == "ip") & m.contains(":"), _ipv6(m, key))
         .when(kind == "ip", _ip(m, key))
         .when(kind == "phone", _phone(m, key))
@@ -198,32 +231,59 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
         .when(kind == "card", _card(m, key))
         .when((kind == "date") & m.like("____-%"), _date(m, key, "yyyy-MM-dd"))
         .when((kind == "date") & m.like("__.%"), _date(m, key, "dd.MM.yyyy"))
+        .when((kind == "date") & (F.substring(m, 1, 2) > "12"), _date(m, key, "dd/MM/yyyy", late=True))
         .when(kind == "date", _date(m, key, "MM/dd/yyyy"))
     )
 
 
+def key_of(spark: SparkSession) -> str:
+    """The key of the pseudonyms: ``spark.strandline.pii.key``; whoever has it can undo them. The default is for trials alone."""
+    return spark.conf.get("spark.strandline.pii.key", "strandline")
+
+
+def _fresh(df: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", findings: str = "pii") -> DataFrame:
     """``docs`` with its text pseudonymised, and ``findings``: array of (kind, start, length, replaced).
 
     ``start`` counts code points of the text given, from 0; ``replaced`` is false where validation failed
     and the text stays as it is. A narrow projection over whole texts: no shuffle, rows and other columns
-    as they were. A null text stays null with null findings; an empty one has none. Only an IP address may change its
-    length. A column already named ``findings`` is replaced.
+    as they were, repeated rows alike. A null text stays null with null findings; an empty one has none; an
+    empty table stays empty. Of findings that overlap the first and, from one place, the kind first listed counts. A date with slashes is read as
+    month/day, or as day/month where only that is one. Only an IP address may change its length. A column already
+    named ``findings`` is replaced.
     """
     t = F.col(text)
-    found = F.regexp_extract_all(t, F.lit(ANY), F.lit(0))
-    gaps = F.split(t, ANY, -1)
-    named = F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
+    marked = F.regexp_replace(F.replace(t, F.lit(_MARK[0]), F.lit(_GUARD)), ANY, f"{_MARK}$0{_MARK}")
+    parts, found = _fresh(docs, "_parts"), _fresh(docs, "_found")
+    # One pass of the patterns: the text is cut at both ends of its findings, which take every second place.
+    work = docs.withColumn(parts, F.when(t.rlike(GATE), F.split(marked, _MARK)))
+    named = F.transform(F.filter(parts, lambda _, i: i % 2 == 1), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
     done = F.transform(named, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), pseudonym(x["m"], x["kind"], key).alias("p")))
-    work = docs.withColumn("_done", F.when(t.rlike(GATE), done)).withColumn("_gaps", F.when(F.size("_done") > 0, gaps))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<kind:string,start:int,length:int,replaced:boolean>>)").alias("spans"))
+    work = work.withColumn(found, F.when(F.size(parts) > 1, done))
+    gaps = F.transform(F.filter(parts, lambda _, i: i % 2 == 0), lambda g: F.replace(g, F.lit(_GUARD), F.lit(_MARK[0])))
+    kinds = "struct<kind:string,start:int,length:int,replaced:boolean>"
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{kinds}>)").alias("spans"))
 
     def span(acc: Column, x: Column) -> Column:
         at = acc["at"] + F.length(x["gap"])
         one = F.struct(x["d"]["kind"].alias("kind"), at.alias("start"), F.length(x["d"]["m"]).alias("length"), x["d"]["p"].isNotNull().alias("replaced"))
         return F.struct((at + F.length(x["d"]["m"])).alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
 
-    pairs = F.zip_with("_gaps", "_done", lambda g, d: F.struct(g.alias("gap"), d.alias("d")))
-    spans = F.aggregate(F.filter(pairs, lambda x: x["d"].isNotNull()), start, span, lambda acc: acc["spans"])
+    def further(acc: Column, block: Column) -> Column:
+        moved = F.transform(block["spans"], lambda x: F.struct(x["kind"].alias("kind"), (x["start"] + acc["at"]).alias("start"), x["length"].alias("length"), x["replaced"].alias("replaced")))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["spans"], F.array(moved)).alias("spans"))
+
+    pairs = F.zip_with(gaps, found, lambda g, d: F.struct(g.alias("gap"), d.alias("d")))
+    # Places add up within blocks of findings and then over the blocks, as appending to one long list would be quadratic.
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / _BLOCK).cast("int")), lambda b: F.slice(F.slice(pairs, F.lit(1), F.size(found)), b * _BLOCK + 1, F.lit(_BLOCK)))
+    many = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<array<{kinds}>>)").alias("spans"))
+    spans = F.aggregate(F.transform(blocks, lambda b: F.aggregate(b, start, span)), many, further, lambda acc: F.flatten(acc["spans"]))
     joined = F.array_join(F.transform(pairs, lambda x: F.concat(x["gap"], F.coalesce(x["d"]["p"], x["d"]["m"], F.lit("")))), "")
-    return work.withColumns({text: F.when(F.col("_gaps").isNotNull(), joined).otherwise(t), findings: F.when(F.col("_gaps").isNotNull(), spans).when(t.isNotNull(), start["spans"])}).drop("_done", "_gaps")
+    has = F.col(found).isNotNull()
+    return work.withColumns({text: F.when(has, joined).otherwise(t), findings: F.when(has, spans).when(t.isNotNull(), start["spans"])}).drop(parts, found)

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from strandline.llm import decontaminate, hamming_search, html, language, minhash, pieces, pii, shards, toxicity, urls
 from strandline.llm.common import crc_mod, table
 
-#: Replace by a secret of your own: whoever has it can undo the pseudonyms.
-PII_KEY = "strandline"
 URL_RULES = [urls.Rule("block", "net"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/")]
 
 
@@ -35,7 +33,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = pii.pseudonymise(docs, PII_KEY)
+    done = pii.pseudonymise(docs, pii.key_of(spark))
     return done.withColumns({"n_found": F.coalesce(F.size("pii"), F.lit(0)), "n_replaced": F.coalesce(F.size(F.filter("pii", lambda x: x["replaced"])), F.lit(0))})
 
 
