@@ -19,8 +19,6 @@ from strandline.llm.common import checkpoint_dir, crc_mod, table
 
 #: Near-duplicates: five words a shingle, similarity 0.8 or more. 32 bands of 4 miss such a pair once in 20 million.
 NEAR = minhash.Scheme(k=5, percent=80, bands=32, rows=4)
-#: Replace by a secret of your own: whoever has it can undo the pseudonyms.
-PII_KEY = "strandline"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +40,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms in their texts."""
-    done = pii.pseudonymise(docs, PII_KEY, findings="_pii")
+    done = pii.pseudonymise(docs, pii.key_of(spark), findings="_pii")
     return done.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
