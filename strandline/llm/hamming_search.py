@@ -4,7 +4,10 @@ Vectors are made binary by sign. Every partition of the indexed rows cuts its co
 log2(rows) bits and keeps one table per segment. A query looks up its own segments, then all segments that
 differ in one bit, in two, and so on; after radius r in all m segments, every code at a distance below
 m * (r + 1) has been met, so the search of a query stops as soon as its kth verified distance lies below that.
-The partitions' answers, k rows a query at most, are merged. Queries are sent to the tasks in blocks of
+
+The rows are searched in rounds: first as many as one partition holds, then four times as many, and so on. The kth
+distance after a round is sent along to the next one, which gives only what is as near: about 4 k rows a query and
+round, however many partitions there are, not k from each. Queries are sent to the tasks in blocks of
 bounded size; the indexed rows are never exchanged.
 """
 
@@ -23,7 +26,9 @@ from pyspark.sql import functions as F
 from strandline.llm.common import cut, ship
 
 #: Queries sent to the tasks at a time, and answered together within a task.
-QUERIES_AT_ONCE, TOGETHER = 50_000, 16
+QUERIES_AT_ONCE, TOGETHER = 200_000, 16
+#: Times more rows that a round searches than the one before.
+GROWTH = 4
 
 
 def binary_codes(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,8 +69,8 @@ class SegmentIndex:
             self.masks[key] = np.array([sum(1 << i for i in c) for c in combinations(range(width), radius)], np.int64)
         return self.masks[key]
 
-    def search(self, ids: np.ndarray, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query row, id, distance): of each query the k nearest other ids by (distance, id)."""
+    def search(self, ids: np.ndarray, codes: np.ndarray, k: int, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, id, distance): of each query the k nearest other ids by (distance, id), those beyond its bound left out."""
         out: list[tuple[np.ndarray, ...]] = []
         parts = self.segments(codes)
         n, span = max(len(self.ids), 1), self.codes.shape[1] * 8 + 1
@@ -75,6 +80,8 @@ class SegmentIndex:
             # Query, distance and code row in one number; rows are in the order of their ids.
             found = np.zeros(0, np.int64)
             kth = np.full(TOGETHER, span)
+            if bounds is not None:
+                kth[: len(open_rows)] = np.minimum(bounds[open_rows], span)
             radius = 0
             while len(open_rows):
                 q, hit = self._probe(parts[open_rows], open_rows, radius)
@@ -91,9 +98,9 @@ class SegmentIndex:
                 found, row = found[keep], row[keep]
                 counts = np.bincount(row, minlength=TOGETHER)
                 full = np.flatnonzero(counts >= k)
-                kth[full] = found[np.cumsum(counts)[full] - 1] // n % span
+                kth[full] = np.minimum(kth[full], found[np.cumsum(counts)[full] - 1] // n % span)
                 covered = self.m * (radius + 1)
-                over = (kth[open_rows - a] < covered) & (counts[open_rows - a] >= k) | (radius >= max(w for _, w in self.parts))
+                over = (kth[open_rows - a] < covered) | (radius >= max(w for _, w in self.parts))
                 open_rows = open_rows[~over]
                 radius += 1
             out.append((found // (n * span) + a, self.ids[found % n], found // n % span))
@@ -119,44 +126,72 @@ class SegmentIndex:
 class _Block:
     ids: np.ndarray
     codes: np.ndarray
+    bounds: np.ndarray
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "embedding", key: str = "vec_id", bits: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, distance: of each row that fulfils ``is_query`` the ``k`` rows of the
     smallest Hamming distance, ties by the smaller id, the query itself left out.
 
-    Vectors that are null, or not of the largest dimension found, have no code: they are not found and find
-    nothing. A repeated id counts once, at its nearest code, and as a query by each of its distinct codes
-    together. With fewer than ``k`` other ids all are returned.
+    ``bits`` is the dimension of the vectors, by default the commonest one (of equally common ones the largest).
+    Vectors that are null, empty or of another dimension have no code: they are not found and find
+    nothing. Rows with a null id are left out. A repeated id counts once, at its nearest code, and as a query by each of
+    its distinct codes together. With fewer than ``k`` other ids all are returned; an empty table gives none. Other columns are not read.
     """
     ship(vectors.sparkSession)
     rows = vectors.select(F.col(key).alias("vec_id"), F.col(vector).alias("embedding"), is_query.alias("q")).where("vec_id is not null")
-    bits = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    if bits is None:
+        sizes = rows.groupBy(F.size("embedding").alias("bits")).agg(F.count(F.lit(1)).alias("n")).where("bits > 0")
+        bits = sizes.agg(F.max_by("bits", F.struct("n", "bits"))).first()[0] or 0
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
         for b in batches:
             codes, has = binary_codes(b.column("embedding"), bits)
             keep = pa.array(has)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").filter(keep), pa.array([c.tobytes() for c in codes], pa.binary()), b.column("q").filter(keep)], ["vec_id", "code", "q"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("vec_id").filter(keep), pa.array([c.tobytes() for c in codes], pa.binary()), b.column("q").filter(keep), pa.array(np.arange(turn, turn + len(codes)))], ["vec_id", "code", "q", "turn"]
+            )
+            turn += len(codes)
 
-    coded = cut((rows if bits > 0 else rows.limit(0)).mapInArrow(encode, "vec_id long, code binary, q boolean"))
+    coded = cut((rows if bits > 0 else rows.limit(0)).mapInArrow(encode, "vec_id long, code binary, q boolean, turn long"))
+    parts = coded.select(F.spark_partition_id()).distinct().count()
     queries = coded.where("q").select("vec_id", "code").distinct()
     blocks = queries.count() // QUERIES_AT_ONCE + 1
     out = None
     for i in range(blocks):
         mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i)
-        part = _searched(coded, mine, k)
+        part = _searched(coded, mine, k, parts)
         out = part if out is None else out.unionByName(part)
-    nearest = out.groupBy("query_id", "vec_id").agg(F.min("distance").alias("distance"))
-    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return nearest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+    return out.select("query_id", "rank", "vec_id", "distance")
 
 
-def _searched(coded: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _searched(coded: DataFrame, queries: DataFrame, k: int, parts: int) -> DataFrame:
+    """The answers to one block of queries, in rounds over ever more rows; each round's rows are new."""
     got = sorted(queries.collect())
     ids = np.array([r.vec_id for r in got], np.int64)
     codes = np.frombuffer(b"".join(bytes(r.code) for r in got), np.uint8).reshape(len(got), -1) if got else np.zeros((0, 1), np.uint8)
-    shared = coded.sparkSession.sparkContext.broadcast(_Block(ids, codes))
+    bounds = np.full(len(ids), np.iinfo(np.int64).max)
+    best, step = None, 1
+    while step < parts:
+        step *= GROWTH
+    top = step
+    while True:
+        rows = coded if top == 1 else coded.where((F.col("turn") % step == 0) & (F.lit(step == top) | (F.col("turn") % (step * GROWTH) != 0))).coalesce(max(1, -(-parts // step)))
+        found = _probed(rows, _Block(ids, codes, bounds), k)
+        found = found if best is None else best.select("query_id", "vec_id", "distance").unionByName(found)
+        nearest = found.groupBy("query_id", "vec_id").agg(F.min("distance").alias("distance"))
+        best = nearest.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
+        if step == 1:
+            return best
+        best = cut(best)
+        kth = {r.query_id: r.distance for r in best.where(F.col("rank") == k).collect()}  # one row a query
+        bounds = np.array([kth.get(i, np.iinfo(np.int64).max) for i in ids.tolist()], np.int64)
+        step //= GROWTH
+
+
+def _probed(rows: DataFrame, block: _Block, k: int) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value
@@ -167,7 +202,7 @@ def _searched(coded: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         own_codes = np.concatenate([np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1) for b in parts])
         index = SegmentIndex(own, own_codes)
         for a in range(0, len(asked.ids), 4_096):
-            q, found, distance = index.search(asked.ids[a : a + 4_096], asked.codes[a : a + 4_096], k)
+            q, found, distance = index.search(asked.ids[a : a + 4_096], asked.codes[a : a + 4_096], k, asked.bounds[a : a + 4_096])
             yield pa.RecordBatch.from_arrays([pa.array(asked.ids[a + q]), pa.array(found), pa.array(distance)], ["query_id", "vec_id", "distance"])
 
-    return coded.select("vec_id", "code").mapInArrow(run, "query_id long, vec_id long, distance long")
+    return rows.select("vec_id", "code").mapInArrow(run, "query_id long, vec_id long, distance long")
