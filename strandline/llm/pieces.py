@@ -5,7 +5,9 @@ model file). A text is normalised (white space to the mark U+2581, one mark in f
 at marks that follow another symbol and at line ends; no piece of the vocabulary crosses such a place, which
 is checked on loading. Distinct words of a batch are then merged together: all symbols lie in one flat array, each round
 takes the lowest-ranked pair of every word by a segmented minimum, merges it in all words at once, leftmost
-first, and compacts the array, until no pair is left. Symbols without a piece fall back to bytes.
+first, and compacts the array, until no pair is left. Long words have several segments: what happens to a symbol reaches no
+further than the longest piece, so a pair that is the lowest within a segment and its neighbours, each wider than two such
+pieces, merges as if its turn had come. Symbols without a piece fall back to bytes.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import codecs
 import hashlib
 import re
 from collections.abc import Iterable, Iterator, Sequence
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -26,6 +29,8 @@ MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 #: Words whose symbols share the arrays of a merge; few enough for the processor's cache.
 MERGED_AT_ONCE = 16000
+#: Rounds after which words that allow one merge a round (long runs of one sign) are ended merge by merge.
+ROUNDS = 300
 _NO_RANK = np.int64(1 << 62)
 codecs.register_error("strandline_each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -62,7 +67,10 @@ class PieceTable:
         shown = {"normal": lambda p: p.replace(MARK, " ").encode(), "byte": lambda p: bytes([int(p[3:5], 16)]), "unknown": lambda _: " ⁇ ".encode()}
         self.raw = [shown.get(k, lambda _: b"")(p) for p, k in zip(pieces, kinds)]
         self.silent = frozenset(i for i, b in enumerate(self.raw) if not b)
+        #: Characters of a segment.
+        self.reach = 2 * max(map(len, usable), default=1) + 2
         self._known: dict[str, tuple[int, ...]] = {}
+        self._pair_of: dict[tuple[int, int], tuple[int, int]] = {}
 
     @classmethod
     def load(cls, path: str) -> PieceTable:
@@ -74,7 +82,7 @@ class PieceTable:
         return cls([sp.id_to_piece(i) for i in ids], [sp.get_score(i) for i in ids], kinds, sp.eos_id(), sp.unk_id())
 
     def __getstate__(self):
-        return self.__dict__ | {"_known": {}}
+        return self.__dict__ | {"_known": {}, "_pair_of": {}}
 
     def merge(self, words: Sequence[str]) -> list[tuple[int, ...]]:
         """Ids of each word, by merge rounds over all words at once."""
@@ -88,29 +96,51 @@ class PieceTable:
         symbol, word = id_of[inverse] if len(distinct) else np.zeros(0, np.int64), np.repeat(np.arange(len(words)), lengths)
         done_symbol, done_word, done_order = [], [], []
         order = np.arange(len(symbol))
+        place = order - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        segment = np.cumsum(place % self.reach == 0)
         rank, piece = self._pairs(symbol, word)
+        rounds = 0
         while len(symbol):
-            begin = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            best = np.repeat(np.minimum.reduceat(rank, begin), np.diff(np.append(begin, len(symbol))))
-            over = best == _NO_RANK
-            if over.any():  # words without a pair leave the array
+            if rounds == ROUNDS:
+                cuts = np.flatnonzero(np.append(True, word[1:] != word[:-1])).tolist()
+                kept = np.concatenate([a + self._one_by_one(symbol[a:b]) for a, b in zip(cuts, [*cuts[1:], len(symbol)])])
+                symbol, word, order = symbol[kept], word[kept], order[kept]
+                break
+            rounds += 1
+            begin = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
+            sizes = np.diff(np.append(begin, len(symbol)))
+            low = np.minimum.reduceat(rank, begin)
+            owner = word[begin]
+            starts = np.append(True, owner[1:] != owner[:-1])
+            words_low = np.minimum.reduceat(low, np.flatnonzero(starts))
+            if (words_low == _NO_RANK).any():  # words without a pair leave the array
+                over = np.repeat((words_low == _NO_RANK)[np.cumsum(starts) - 1], sizes)
                 done_symbol.append(symbol[over]), done_word.append(word[over]), done_order.append(order[over])
                 keep = ~over
-                symbol, word, order, rank, piece, best = (x[keep] for x in (symbol, word, order, rank, piece, best))
-                if not len(symbol):
-                    break
-            hit = np.flatnonzero(rank == best)
-            # Leftmost first: of a run of overlapping hits every second one merges; where a merge may
-            # open a better pair, only the first hit of the word does.
-            run = np.flatnonzero(np.append(True, np.diff(hit) != 1))
-            place = np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))
-            first = np.append(True, word[hit[1:]] != word[hit[:-1]])
-            hit = hit[np.where(self.rank_is_hasty[rank[hit]], first, place % 2 == 0)]
+                symbol, word, order, segment, rank, piece = (x[keep] for x in (symbol, word, order, segment, rank, piece))
+                continue
+            # A segment's lowest pair has its turn if the neighbours' aren't lower; of equal ones that open better pairs the left is first.
+            before = np.where(starts, _NO_RANK, np.append(0, low[:-1]))
+            after = np.append(np.where(starts[1:], _NO_RANK, low[1:]), _NO_RANK)
+            hasty = self.rank_is_hasty[np.minimum(low, len(self.rank_is_hasty) - 1)]
+            turn = (low <= after) & np.where(hasty, low < before, low <= before)
+            hit = np.flatnonzero((rank == np.repeat(low, sizes)) & (rank != _NO_RANK))
+            has_turn = np.repeat(turn, sizes)[hit]
+            # Leftmost first: of a run of overlapping hits every second one merges, up to the first without its turn; where a
+            # merge may open a better pair, only the first hit of the segment does.
+            new_run = np.append(True, (np.diff(hit) != 1) | (rank[hit[1:]] != rank[hit[:-1]]))
+            run = np.flatnonzero(new_run)
+            length = np.diff(np.append(run, len(hit)))
+            within = np.arange(len(hit)) - np.repeat(run, length)
+            halted = np.cumsum(~has_turn)
+            free = halted == np.repeat(halted[run] - ~has_turn[run], length)
+            first = np.append(True, segment[hit[1:]] != segment[hit[:-1]])
+            hit = hit[np.where(self.rank_is_hasty[rank[hit]], first & has_turn, (within % 2 == 0) & free)]
             symbol[hit] = piece[hit]
             stay = np.ones(len(symbol), bool)
             stay[hit + 1] = False
             hit -= np.arange(len(hit))  # where the merged symbols stand after compaction
-            symbol, word, order, rank, piece = (x[stay] for x in (symbol, word, order, rank, piece))
+            symbol, word, order, segment, rank, piece = (x[stay] for x in (symbol, word, order, segment, rank, piece))
             # Only pairs that touch a merged symbol are new.
             touched = np.zeros(len(symbol), bool)
             touched[hit] = touched[hit[hit > 0] - 1] = True
@@ -130,6 +160,31 @@ class PieceTable:
                 out[k] = tuple(chain.from_iterable(spelled.get(i, (i,)) for i in out[k]))
         return out
 
+    def _one_by_one(self, symbol: np.ndarray) -> np.ndarray:
+        """Merges one word in place, the lowest and leftmost pair first; the places of the symbols that are left."""
+        at = symbol.tolist()
+        n, size = len(self.pieces), len(at)
+        if not self._pair_of:
+            left, right = np.divmod(self.pair_keys, n)
+            self._pair_of.update(zip(zip(left.tolist(), right.tolist()), zip(self.pair_rank.tolist(), self.pair_piece.tolist())))
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        heap = [(self._pair_of[x][0], i, x) for i, x in enumerate(zip(at, at[1:])) if x in self._pair_of]
+        heapify(heap)
+        while heap:
+            _, i, pair = heappop(heap)
+            j = after[i] if at[i] >= 0 else size
+            if j >= size or (at[i], at[j]) != pair:
+                continue
+            at[i], at[j] = self._pair_of[pair][1], -1
+            after[i] = after[j]
+            if after[j] < size:
+                before[after[j]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < size and (at[a], at[b]) in self._pair_of:
+                    heappush(heap, (self._pair_of[at[a], at[b]][0], a, (at[a], at[b])))
+        symbol[:] = at
+        return np.flatnonzero(symbol >= 0)
+
     def _pairs(self, symbol: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and piece of the pair that begins at each symbol."""
         return self._rank(symbol, np.append(symbol[1:], 0), np.append(word[1:] == word[:-1], False)[: len(symbol)])

@@ -43,3 +43,19 @@ def test_null_empty_repeated_rows_and_clashing_columns(spark, both):
     three = (3, len(ids), sha(" ".join(map(str, ids))), sha("two words"))
     assert [tuple(r) for r in rows] == [(1, 1, sha("2"), sha("")), (2, 1, sha("2"), sha("")), three, three]
     assert pieces.encode_documents(docs.limit(0), own).count() == 0
+
+
+def test_long_words_in_little_time():
+    """Long words without blanks: random letters, runs of one sign (one merge a round for some), short periods, another script."""
+    import random
+    import time
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    table, sp = pieces.PieceTable.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=80_000)), "#" * 50_000, "o" * 50_000, "=" * 200_000, "the" * 20_000, "ab" * 50_000, "".join(map(chr, rng.choices(range(0x4E00, 0x9000), k=30_000)))]
+    words += ["".join(rng.choices(letters, k=rng.randrange(1, 400))) for letters in ("ent", "=-#", "oo.", "aeioust") for _ in range(200)]
+    began = time.process_time()
+    got = table.encode(words)
+    assert time.process_time() - began < 30
+    assert got == [sp.encode(w) + [sp.eos_id()] for w in words]
