@@ -1,6 +1,7 @@
 """Near-duplicate documents: MinHash bands, odd sketches, exact confirmation.
 
-Texts of one shingle set are folded to one representative first. A representative's MinHash samples give
+Texts of one shingle set are folded to one representative first, a node of its own number, so that an id with several
+texts is as many nodes. A representative's MinHash samples give
 band keys. Further samples, the minima of its hashes in 4,096 equal parts of their range, are folded into
 a parity bitmap (an odd sketch); the population count of two bitmaps' XOR estimates high similarities
 precisely, so few candidates of the bands need the exact look at both sets.
@@ -112,7 +113,7 @@ def band_keys(samples: np.ndarray, scheme: Scheme) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, scheme: Scheme, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, fp (a fingerprint of the set; null if empty), sketch, filled, bands: one narrow pass."""
+    """doc_id, text_hash, n_shingles, fp (a fingerprint of the set; null if empty), sketch, filled, bands: one narrow pass."""
     ship(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,11 +129,11 @@ def sketched(docs: DataFrame, scheme: Scheme, text: str = "text") -> DataFrame:
                 fp[i] = np.array([mix(s).sum(), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(), len(s)], np.uint64).tobytes()
                 sketch[i], filled[i], bands[i] = bitmaps[row].tobytes(), int(full[row]), keys[row]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(fp, pa.binary()), pa.array(sketch, pa.binary()), pa.array(filled, pa.int32()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "fp", "sketch", "filled", "bands"],
+                [b.column("doc_id"), b.column("text_hash"), pa.array(list(map(len, sets)), pa.int64()), pa.array(fp, pa.binary()), pa.array(sketch, pa.binary()), pa.array(filled, pa.int32()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n_shingles", "fp", "sketch", "filled", "bands"],
             )
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n_shingles long, fp binary, sketch binary, filled int, bands array<long>")
+    return docs.select("doc_id", text, F.xxhash64(text).alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, fp binary, sketch binary, filled int, bands array<long>")
 
 
 def _sketch_filter(pairs: DataFrame, scheme: Scheme) -> DataFrame:
@@ -153,41 +154,52 @@ def _bitmaps(column: pa.Array, scheme: Scheme) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, scheme.sketch_bits // 64)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, scheme: Scheme, text: str = "text") -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full shingle sets are similar enough."""
-    nodes = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    if nodes.count() <= BROADCAST_IDS:
-        nodes = F.broadcast(nodes)
+@dataclass(frozen=True)
+class _Texts:
+    """The documents' texts by node: a node is read as the row of its representative's id and text hash."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text, 2 << 20):
-            sets = [s.view(np.int64) for s in shingle_sets(b.column(text), scheme.k)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "set"])
+    docs: DataFrame
+    text: str
+    reps: DataFrame  # node, doc_id, text_hash
 
-    sets = cut(docs.select("doc_id", text).join(nodes, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set array<long>"))
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
-    shared = F.size(F.array_intersect("x", "y")).alias("shared")
-    return both.select("a", "b", shared, F.size("x").alias("nx"), F.size("y").alias("ny")).where(f"100 * shared >= {scheme.percent} * (nx + ny - shared)").select("a", "b").distinct()
+    def sets(self, nodes: DataFrame, scheme: Scheme, longest: int | None = None) -> DataFrame:
+        """node and set (the sorted 64-bit hashes of its shingles, as bytes; null beyond ``longest``) of the nodes named."""
+        wanted = self.reps.join(nodes, "node", "left_semi")
+        if nodes.count() <= BROADCAST_IDS:
+            wanted = F.broadcast(wanted)
+        texts = self.docs.select("doc_id", F.xxhash64(self.text).alias("text_hash"), F.col(self.text).alias("text")).join(wanted, ["doc_id", "text_hash"]).select("node", "text")
 
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, "text", 2 << 20):
+                sets = shingle_sets(b.column("text"), scheme.k)
+                packs = [s.tobytes() if longest is None or len(s) <= longest else None for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(packs, pa.binary())], ["node", "set"])
 
-def _packed(docs: DataFrame, ids: DataFrame, scheme: Scheme, text: str) -> DataFrame:
-    """doc_id and pack: the sorted shingle hashes of each document of ``ids``, cut to 40 bits; null above ``carried`` shingles."""
+        # A repeated row of a representative gives its set once.
+        return texts.mapInArrow(run, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
+
+
+def confirmed(pairs: DataFrame, texts: _Texts, scheme: Scheme) -> DataFrame:
+    """The pairs (a, b) of nodes whose full shingle sets are similar enough."""
+    nodes = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    sets = cut(texts.sets(nodes, scheme))
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text, 2 << 20):
-            sets = shingle_sets(b.column(text), scheme.k)
-            packs = [(s >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() if len(s) <= scheme.carried else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(packs, pa.binary())], ["doc_id", "pack"])
+        for b in batches:
+            for piece in slices([b], "x", 8 << 20):
+                like = []
+                for x, y in zip(piece.column("x"), piece.column("y")):
+                    one, two = _unpacked(x.as_py()), _unpacked(y.as_py())
+                    shared = int(_overlaps(one, [two])[0])
+                    like.append(100 * shared >= scheme.percent * (len(one) + len(two) - shared))
+                yield pa.RecordBatch.from_arrays([piece.column("a").filter(pa.array(like, pa.bool_())), piece.column("b").filter(pa.array(like, pa.bool_()))], ["a", "b"])
 
-    return docs.select("doc_id", text).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, pack binary").groupBy("doc_id").agg(F.first("pack").alias("pack"))
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def _unpacked(pack: bytes | None) -> np.ndarray | None:
-    if pack is None:
-        return None
-    out = np.zeros((len(pack) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(pack, np.uint8).reshape(-1, 5)
-    return out.view(np.uint64).ravel()
+    return None if pack is None else np.frombuffer(pack, np.uint64)
 
 
 def _overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -197,7 +209,7 @@ def _overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(hit, np.cumsum([0, *map(len, others[:-1])]), dtype=np.int64)
 
 
-def _residual(bands: DataFrame, sketches: DataFrame, labels: DataFrame, docs: DataFrame, scheme: Scheme, text: str, nearest: int, again: bool) -> DataFrame:
+def _residual(bands: DataFrame, sketches: DataFrame, labels: DataFrame, texts: _Texts, scheme: Scheme, nearest: int, again: bool) -> DataFrame:
     """(a, b, sure, more): links and candidates between different components of one band, the smallest member's
     pairs left out.
 
@@ -207,29 +219,29 @@ def _residual(bands: DataFrame, sketches: DataFrame, labels: DataFrame, docs: Da
     long to be sent, the seeker's ``nearest`` candidates are given, and whether it has ``more``; ``again``: these pairs alone.
     A pair that shares several bands is looked at in the first of them alone.
     """
-    member = bands.join(labels, bands.doc_id == labels.node).select("band", "doc_id", F.col("component").alias("c"))
-    mixed = member.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("c1 < c2 and n > 2").select("band", "pivot")
-    left = member.join(mixed, "band").where("doc_id != pivot")
+    member = bands.join(labels, "node").select("band", "node", F.col("component").alias("c"))
+    mixed = member.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("c1 < c2 and n > 2").select("band", "pivot")
+    left = member.join(mixed, "band").where("node != pivot")
     if again:  # partners of a long set are nearly as long
-        left = left.join(sketches.where(F.col("n_shingles") * 100 >= scheme.carried * scheme.percent).select("doc_id"), "doc_id", "left_semi")
+        left = left.join(sketches.where(F.col("n_shingles") * 100 >= scheme.carried * scheme.percent).select("node"), "node", "left_semi")
     weight = left.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
     groups = weight.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("minor")).where("minor > 0")
-    placed = cut(left.join(groups, "band").select("band", "doc_id", "c", "main", "all", "minor"))
-    ids = cut(placed.select("doc_id").distinct())
-    packs = _packed(docs, F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, scheme, text)
+    placed = cut(left.join(groups, "band").select("band", "node", "c", "main", "all", "minor"))
+    ids = cut(placed.select("node").distinct())
+    packs = texts.sets(ids, scheme, scheme.carried).withColumnRenamed("set", "pack")
     rows, columns = (F.ceil(F.col(k) / scheme.block).cast("int") for k in ("minor", "all"))
-    mine = F.when(F.col("c") != F.col("main"), F.pmod(F.xxhash64("doc_id", "band"), rows).cast("int"))
-    dealt = placed.select("band", "doc_id", "c", mine.alias("i"), F.pmod(F.xxhash64("band", "doc_id"), columns).cast("int").alias("j"), rows.alias("rows"), columns.alias("columns"))
+    mine = F.when(F.col("c") != F.col("main"), F.pmod(F.xxhash64("node", "band"), rows).cast("int"))
+    dealt = placed.select("band", "node", "c", mine.alias("i"), F.pmod(F.xxhash64("band", "node"), columns).cast("int").alias("j"), rows.alias("rows"), columns.alias("columns"))
     down = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda x: F.struct(x.alias("row"), F.col("j").alias("column")))
     across = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda x: F.struct(F.col("i").alias("row"), x.alias("column")))
     cells = dealt.withColumn("cell", F.explode(F.when(F.col("i").isNull(), down).otherwise(F.array_union(down, across)))).drop("rows", "columns")
-    whole = cells.join(sketches, "doc_id").join(packs, "doc_id").select("band", F.col("cell.row").alias("row"), F.col("cell.column").alias("column"), "doc_id", "c", F.coalesce("i", F.lit(-1)).alias("i"), "j", "n_shingles", "filled", "sketch", "keys", "pack")
+    whole = cells.join(sketches, "node").join(packs, "node").select("band", F.col("cell.row").alias("row"), F.col("cell.column").alias("column"), "node", "c", F.coalesce("i", F.lit(-1)).alias("i"), "j", "n_shingles", "filled", "sketch", "keys", "pack")
 
     def compare(t: pa.Table) -> pa.Table:
         bits = _bitmaps(t.column("sketch").combine_chunks(), scheme)
         keys = np.stack(t.column("keys").to_numpy())
         place = int((keys == np.int32(t.column("band")[0].as_py() >> 32)).all(0).argmax())
-        doc, c, n, filled, i, j = (t.column(k).to_numpy() for k in ("doc_id", "c", "n_shingles", "filled", "i", "j"))
+        doc, c, n, filled, i, j = (t.column(k).to_numpy() for k in ("node", "c", "n_shingles", "filled", "i", "j"))
         sets = [_unpacked(p) for p in t.column("pack").to_pylist()]
         short = np.array([s is not None for s in sets])
         c, here = c.copy(), j == t.column("column")[0].as_py()
@@ -269,37 +281,56 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), text: str = "tex
     Two texts are linked if their sets of distinct ``k``-word shingles have a Jaccard similarity of
     ``percent`` / 100 or more; component_id is the smallest doc_id reachable by links. Null texts and texts
     without words have n_shingles 0 and are linked with nothing. Repeated rows of one doc_id each get a
-    row; if their texts differ, each row follows its own text. A null doc_id gets component null.
+    row; if their texts differ, each row follows its own text. A row with a null doc_id follows its text too, with kept null; where all
+    rows of a text have null ids, it takes no part in linking and component_id is null. Other columns are not read.
     """
+    return grouped(docs, scheme, text).drop("text_hash")
+
+
+def without_copies(docs: DataFrame, scheme: Scheme = Scheme(), text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, but those that are not kept: of an id with several texts only the copies go.
+    Rows with null ids and repeated rows of a kept document stay."""
+    gone = grouped(docs, scheme, text).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
+    here = (F.col("doc_id") == F.col("_gone_id")) & (F.xxhash64(text) == F.col("_gone_hash"))
+    return docs.join(gone, here, "left_anti")
+
+
+def grouped(docs: DataFrame, scheme: Scheme, text: str) -> DataFrame:
+    """As near_duplicates, with text_hash, which tells the texts of one doc_id apart."""
     base = cut(sketched(docs, scheme, text))
-    sets = base.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    sets = cut(sets)
-    reps = base.where("fp is not null").join(sets, (base.fp == sets.fp) & (base.doc_id == sets.rep)).select("doc_id", "n_shingles", "sketch", "filled", "bands").dropDuplicates(["doc_id"])
-    reps = cut(reps)
-    sketches = reps.select("doc_id", "n_shingles", "sketch", "filled")
-    bands = reps.select("doc_id", F.explode("bands").alias("band"))
-    pivots = bands.groupBy("band").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    bands = cut(bands.join(pivots, "band").select("band", "doc_id", "a"))
-    pairs = bands.where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct()
-    with_sketches = pairs.join(sketches.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), F.col("filled").alias("eb")), "b").join(
-        sketches.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.col("filled").alias("ea")), "a"
+    full = base.where("fp is not null")
+    sets = full.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    reps = full.join(sets, ["fp", "doc_id"]).dropDuplicates(["fp"]).withColumn("node", F.monotonically_increasing_id())
+    reps = cut(reps.select("node", "fp", "doc_id", "text_hash", "n_shingles", "sketch", "filled", "bands"))
+    texts = _Texts(docs, text, reps.select("node", "doc_id", "text_hash"))
+    sketches = reps.select("node", "n_shingles", "sketch", "filled")
+    bands = reps.select("node", F.explode("bands").alias("band"))
+    pivots = bands.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    bands = cut(bands.join(pivots, "band").select("band", "node", "a"))
+    pairs = bands.where("node != a").select("a", F.col("node").alias("b")).distinct()
+    with_sketches = pairs.join(sketches.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), F.col("filled").alias("eb")), "b").join(
+        sketches.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.col("filled").alias("ea")), "a"
     )
-    stars = cut(confirmed(cut(_sketch_filter(with_sketches, scheme)), docs, scheme, text))
-    known = components(stars)
-    labels = cut(reps.join(known, reps.doc_id == known.node, "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "doc_id").alias("component")))
-    members = reps.select("doc_id", "n_shingles", "sketch", "filled", F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("keys"))
+    stars = cut(confirmed(cut(_sketch_filter(with_sketches, scheme)), texts, scheme))
+    labels = cut(reps.select("node").join(components(stars), "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    members = reps.select("node", "n_shingles", "sketch", "filled", F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("keys"))
     nearest, again = 4, False
     while True:
-        offered = cut(_residual(bands.select("band", "doc_id"), members, labels, docs, scheme, text, nearest, again))
+        offered = cut(_residual(bands.select("band", "node"), members, labels, texts, scheme, nearest, again))
         found, open_pairs = offered.where("sure").select("a", "b"), offered.where("not sure").select("a", "b").distinct()
         if not open_pairs.isEmpty():
-            found = cut(found.unionByName(confirmed(open_pairs, docs, scheme, text)))
+            found = cut(found.unionByName(confirmed(open_pairs, texts, scheme)))
         if not found.isEmpty():
             labels = _joined(labels, found)
         if offered.where("more").isEmpty():
             break
         nearest, again = nearest * 16, True
-    named = sets.join(labels, sets.rep == labels.node, "left").select("fp", F.col("component").alias("component_id"))
-    alone = base.where("fp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    linked = base.where("fp is not null").select("doc_id", "n_shingles", "fp").join(named, "fp").select("doc_id", "n_shingles", "component_id")
+    # A component is named by the smallest doc_id of its nodes; nodes alone name themselves.
+    named = reps.select("fp", "node", "doc_id").join(labels, "node")
+    moved = named.where("node != component").select("component", "doc_id")
+    roots = named.join(moved.select("component").distinct(), "component", "left_semi").where("node = component").select("component", "doc_id")
+    smallest = moved.unionByName(roots).groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    names = named.join(smallest, "component", "left").select("fp", F.coalesce("smallest", "doc_id").alias("component_id"))
+    alone = base.where("fp is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = full.select("doc_id", "text_hash", "n_shingles", "fp").join(names, "fp", "left").select("doc_id", "text_hash", "n_shingles", "component_id")
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))

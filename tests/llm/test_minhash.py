@@ -118,3 +118,35 @@ def test_null_id_with_a_text_of_its_own(spark):
     rows = [(None, "one two three four five six seven eight"), (1, "red green blue black white grey pink brown"), (2, "red green blue black white grey pink brown")]
     out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), minhash.Scheme(k=3)).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0, r.n_shingles) for r in out) == [(0, 0, 6), (1, 1, 6), (2, 1, 6)]
+
+
+def test_an_id_with_several_texts_links_both(spark, monkeypatch):
+    """Ids 1 and 2 have two texts each; each row follows its own, and of the pipeline's rows only the copies go. Both joins."""
+    a, b, c = ("red green blue black white grey pink brown", "one two three four five six seven eight", "up down left right near far in out")
+    rows = [(1, a), (1, b), (2, b), (3, a), (2, c), (4, c), (2, c), (9, "quite another text of some words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (minhash.BROADCAST_IDS, -1):
+        monkeypatch.setattr(minhash, "BROADCAST_IDS", limit)
+        got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(df).collect())
+        assert got == [(1, 1), (1, 1), (2, 1), (2, 2), (2, 2), (3, 1), (4, 2), (9, 9)]
+        kept = sorted(tuple(r) for r in minhash.without_copies(df).collect())
+        assert kept == sorted([(1, a), (1, b), (2, c), (2, c), (9, "quite another text of some words")])
+    near = spark.createDataFrame([(5, " ".join(f"w{i}" for i in range(90))), (5, "x y z"), (6, " ".join(f"w{i}" for i in range(91)))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(near).collect()) == [(5, 5), (5, 5), (6, 5)]
+
+
+def test_links_just_at_the_threshold_are_found():
+    """Pairs of exactly 85 in 100 of all sizes: what the bands offer and the sketches let pass."""
+    rng = np.random.default_rng(2)
+    scheme = minhash.Scheme()
+    for shared in (17, 34, 85, 340, 1700, 8500, 17000):
+        union = shared * 100 // 85
+        extra = union - shared
+        for n in range(30 if shared < 5000 else 8):
+            base = rng.integers(0, 1 << 64, union, dtype=np.uint64)
+            side = rng.integers(0, extra + 1)
+            x, y = np.unique(base[: shared + side]), np.unique(np.concatenate([base[:shared], base[shared + side :]]))
+            bits, filled = minhash.odd_sketches([x, y], scheme)
+            assert scheme.may_be_similar(np.bitwise_count(bits[0] ^ bits[1]).sum(), len(x), len(y), *filled), (shared, n)
+            bands = minhash.band_keys(minhash.signatures([x, y], scheme), scheme)
+            assert (bands[0] == bands[1]).any(), (shared, n)
