@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.shipping import ship
 from strandline.operators import features as fe
 from strandline.operators.trading import safe_corr
 
@@ -126,6 +127,7 @@ def simulate(df: DataFrame, rules: Rules, signal: str = "signal", r: str = "ret"
             out.append((g["_strategy"].iloc[0], date, gross, turnover, gross - turnover * rules.cost_bps / 1e4, len(held)))
         return pd.DataFrame(out, columns=["strategy", "date", "gross", "turnover", "net", "names"])
 
+    ship(df.sparkSession)
     return folded.groupBy("_strategy").applyInPandas(run, "strategy string, date date, gross double, turnover double, net double, names long")
 
 

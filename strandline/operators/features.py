@@ -49,14 +49,16 @@ def mean_reversion(price: str = "close", r: str = "ret") -> Stages:
 
 
 def regime(r: str = "ret", lookback: int = 63, history: int = 252) -> Stages:
-    """Softmax over three volatility regimes placed at the rolling terciles."""
+    """Softmax over three volatility regimes placed at the rolling terciles; the largest exponent is taken off first, so that the
+    sum is never 0 however narrow the terciles lie."""
     lo, hi, v = F.col("_q33"), F.col("_q67"), F.col("_vol")
     spread = hi - lo + 1e-10
     centre = (0.5 * lo, (lo + hi) / 2, 1.5 * hi)
-    score = [F.exp(-F.pow((v - c) / spread, 2.0)) for c in centre]
+    power = [-F.pow((v - c) / spread, 2.0) for c in centre]
+    score = [F.exp(e - F.greatest(*power)) for e in power]
     total = score[0] + score[1] + score[2]
     flat = hi <= lo
-    p = [F.when(flat, F.lit(x)).otherwise(s / total) for s, x in zip(score, (0.33, 0.34, 0.33))]
+    p = [F.when(flat, F.lit(x)).otherwise(ratio(s, total)) for s, x in zip(score, (0.33, 0.34, 0.33))]
     return [
         {"_vol": w.std(r, lookback)},
         {"_q33": w.quantile("_vol", history, 0.33), "_q67": w.quantile("_vol", history, 0.67)},
@@ -100,7 +102,7 @@ def trend(r: str = "ret", n: int = 20, lag: int = 1) -> Stages:
 
 def range_volatility(annual: int = 252) -> Stages:
     """Parkinson and Garman-Klass estimators and average true range."""
-    hl, co = F.ln(F.col("high") / F.col("low")), F.ln(F.col("close") / F.col("open"))
+    hl, co = F.ln(ratio("high", "low")), F.ln(ratio("close", "open"))
     before = w.lag("close")
     true_range = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
     return [

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.shipping import ship
 from strandline.operators import windows as w
 
 
@@ -121,6 +122,7 @@ def path_lengths(edges: DataFrame, key: str = "ticker") -> DataFrame:
             total, known = total + far * (now - known), now
         return pd.DataFrame({key: [g[key].iloc[0]], "mean_path": [total / max(known - len(nodes), 1)], "diameter": [far]})
 
+    ship(edges.sparkSession)
     return edges.select(key, "i", "j").groupBy(key).applyInPandas(run, f"{key} string, mean_path double, diameter long")
 
 
@@ -145,5 +147,6 @@ def spectrum(edges: DataFrame, top: int = 5, key: str = "ticker") -> DataFrame:
         a[g.i, g.j] = a[g.j, g.i] = 1
         return pd.DataFrame({key: [g[key].iloc[0]], "eigenvalues": [np.linalg.eigvalsh(a)[::-1][:top].round(6).tolist()]})
 
+    ship(edges.sparkSession)
     return edges.select(key, "i", "j").groupBy(key).applyInPandas(run, f"{key} string, eigenvalues array<double>")
 

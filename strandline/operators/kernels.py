@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from strandline.functions.shipping import ship
 from strandline.operators.windows import KEY, TIME, ewm_alpha
 
 
@@ -22,6 +23,8 @@ def along(df: DataFrame, columns: dict[str, Callable[[pd.DataFrame], np.ndarray]
     schema = T.StructType([*kept, *(T.StructField(c, (kinds or {}).get(c, T.DoubleType())) for c in columns)])
     names = [f.name for f in kept]
 
+    ship(df.sparkSession)
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(time, kind="stable")[names].reset_index(drop=True)
         return g.assign(**{c: f(g) for c, f in columns.items()})

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.shipping import ship
 from strandline.operators import kernels as kn
 from strandline.operators import windows as w
 
@@ -78,6 +79,7 @@ def hmm_regimes(df: DataFrame, x: str = "ret", states: int = 3, window: int = 25
         got = g.loc[known, [key, "date"]]
         return got.assign(regime=out[known].argmax(1) if known.any() else [], probabilities=list(out[known].round(8).tolist()))
 
+    ship(df.sparkSession)
     return df.select(key, "date", x).groupBy(key).applyInPandas(run, f"{key} string, date date, regime int, probabilities array<double>")
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.shipping import ship
 from strandline.operators import windows as w
 from strandline.operators.trading import safe_corr
 
@@ -132,4 +133,5 @@ def dickey_fuller(df: DataFrame, x: str, key: str = "ticker", lags: int = 1) ->
         var = res @ res / max(len(y) - design.shape[1], 1) * np.linalg.pinv(design.T @ design)
         return pd.DataFrame({key: [g[key].iloc[0]], "stat": [beta[1] / math.sqrt(var[1, 1])], "n": [len(v)]})
 
+    ship(df.sparkSession)
     return df.select(key, "date", x).groupBy(key).applyInPandas(run, f"{key} string, stat double, n long")

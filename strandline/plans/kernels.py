@@ -17,20 +17,26 @@ from strandline.plans.registry import PX, R, TICKER, query, rank, roll, staged,
 from strandline.plans.research import K, SIG, book, daily, signals
 from strandline.streaming import online
 
-_PAST = f"list(ret ORDER BY date) FILTER (ret IS NOT NULL) OVER ({TICKER} ROWS UNBOUNDED PRECEDING)"
 
+def _past(x: str, base: str) -> str:
+    """A CTE l: for each row the list of the ticker's values up to it; one ordered list a ticker, cut at the row's count."""
+    return (
+        f", q AS (SELECT ticker, list({x} ORDER BY date) FILTER ({x} IS NOT NULL) AS a FROM {base} GROUP BY ticker), "
+        f"c AS (SELECT ticker, date, count({x}) OVER ({TICKER} ROWS UNBOUNDED PRECEDING) AS n FROM {base}), l AS (SELECT c.ticker, c.date, CASE WHEN n > 0 THEN a[1:n] END AS l FROM c LEFT JOIN q USING (ticker))"
+    )
 
-@query("w11_ewm", f"WITH {R}, l AS (SELECT ticker, date, {_PAST.replace(' ORDER BY date', '')} AS l FROM r) SELECT ticker, date, round(list_reduce(l, lambda a, b: 0.8 * a + 0.2 * b), 6) + 0.0 AS ewm FROM l")
+
+@query("w11_ewm", f"WITH {R}{_past('ret', 'r')} SELECT ticker, date, round(list_reduce(l, lambda a, b: 0.8 * a + 0.2 * b), 6) + 0.0 AS ewm FROM l")
 def _(p):
     return kn.along(p.select(*K, "ret"), {"ewm": kn.ewm("ret", alpha=0.2)}).select(*K, "ewm")
 
 
-@query("w12_ewm_adjusted", f"WITH {R}, l AS (SELECT ticker, date, {_PAST.replace(' ORDER BY date', '')} AS l FROM r) SELECT ticker, date, round(list_reduce(l, lambda a, b: a * pow(2, -1.0 / 5) + b) / list_reduce(list_transform(l, lambda v: CAST(1 AS DOUBLE)), lambda a, b: a * pow(2, -1.0 / 5) + b), 6) + 0.0 AS ewm FROM l")
+@query("w12_ewm_adjusted", f"WITH {R}{_past('ret', 'r')} SELECT ticker, date, round(list_reduce(l, lambda a, b: a * pow(2, -1.0 / 5) + b) / list_reduce(list_transform(l, lambda v: CAST(1 AS DOUBLE)), lambda a, b: a * pow(2, -1.0 / 5) + b), 6) + 0.0 AS ewm FROM l")
 def _(p):
     return kn.along(p.select(*K, "ret"), {"ewm": kn.ewm("ret", adjust=True, halflife=5)}).select(*K, "ewm")
 
 
-@query("w13_recursive_decay", f"WITH {R}, l AS (SELECT ticker, date, {_PAST.replace(' ORDER BY date', '')} AS l FROM r) SELECT ticker, date, round(list_reduce(l, lambda a, b: 0.7 * a + 0.3 * b), 6) + 0.0 AS s FROM l")
+@query("w13_recursive_decay", f"WITH {R}{_past('ret', 'r')} SELECT ticker, date, round(list_reduce(l, lambda a, b: 0.7 * a + 0.3 * b), 6) + 0.0 AS s FROM l")
 def _(p):
     return kn.along(p.select(*K, "ret"), {"s": kn.decay_smooth("ret", 0.3)}).select(*K, "s")
 
@@ -57,7 +63,7 @@ def _(p):
     return q.select(*K, "kalman_trend", w.zscore("kalman_trend", 63, eps=1e-10).alias("kalman_zscore"), "kalman_slope", w.diff("kalman_slope", 5).alias("kalman_curvature"), F.abs("kalman_trend").alias("kalman_deviation"))
 
 
-@query("sg5_ema_signal", f"WITH {SIG}, l AS (SELECT ticker, date, list(signal) FILTER (signal IS NOT NULL) OVER ({TICKER} ROWS UNBOUNDED PRECEDING) AS l FROM g) SELECT ticker, date, round(list_reduce(l, lambda a, b: a * (1 - 2.0 / 11) + b * 2.0 / 11), 6) + 0.0 AS smooth FROM l")
+@query("sg5_ema_signal", f"WITH {SIG}{_past('signal', 'g')} SELECT ticker, date, round(list_reduce(l, lambda a, b: a * (1 - 2.0 / 11) + b * 2.0 / 11), 6) + 0.0 AS smooth FROM l")
 def _(p):
     return kn.along(signals(p).select(*K, "signal"), {"smooth": kn.ewm("signal", span=10)}).select(*K, "smooth")
 
@@ -94,7 +100,7 @@ def _(p):
 
 # -- graphs ------------------------------------------------------------------------------------------------
 
-_N = PX + ", n AS (SELECT ticker, date, close AS x, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i FROM px WHERE date < DATE '1995-07-01')"
+_N = PX + ", n AS (SELECT ticker, date, close AS x, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i FROM px)"
 _HVG = _N + ", e AS (SELECT a.ticker, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, a.date AS ti, b.date AS tj FROM n a JOIN n b ON a.ticker = b.ticker AND b.i BETWEEN a.i + 1 AND a.i + 9 WHERE NOT EXISTS (SELECT 1 FROM n k WHERE k.ticker = a.ticker AND k.i > a.i AND k.i < b.i AND k.x >= least(a.x, b.x)))"
 _DEG = ", g AS (SELECT ticker, node, count(*) AS degree FROM (SELECT ticker, i AS node FROM e UNION ALL SELECT ticker, j FROM e) GROUP BY 1, 2)"
 

@@ -39,7 +39,7 @@ def _(p):
     return p.select(*K, F.avg("ret").over(w.section()).alias("mkt"))
 
 
-@query("rsh7_align_target", f"WITH {R}, t AS (SELECT ticker, date, lead(ret) OVER ({TICKER}) AS target FROM r WHERE ticker < 'Brand#2') SELECT r.ticker, r.date, round(r.ret, 6) + 0.0 AS ret, round(t.target, 6) + 0.0 AS target FROM r LEFT JOIN t ON t.ticker = r.ticker AND t.date = r.date")
+@query("rsh7_align_target", f"WITH {R}, t AS (SELECT ticker, date, lead(ret) OVER ({TICKER}) AS target FROM r) SELECT r.ticker, r.date, round(r.ret, 6) + 0.0 AS ret, round(t.target, 6) + 0.0 AS target FROM r LEFT JOIN t ON t.ticker = r.ticker AND t.date = r.date")
 def _(p):
     t = p.select(*K, w.lag("ret", -1).alias("target"))
     return p.join(t, K, "left").select(*K, "ret", "target")
@@ -146,7 +146,7 @@ def _(p):
     return book(p).select(*K, w.mean("position", 5, 1).alias("position"))
 
 
-@query("sg9_lagged_ic", " UNION ALL ".join(f"SELECT * FROM (WITH {SIG.replace('lead(ret)', f'lead(ret, {k})')}{_BOTH} SELECT CAST({k} AS INTEGER) AS lag, round(avg(ic), 6) + 0.0 AS mean_ic, round(avg(CASE WHEN ic IS NOT NULL THEN CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END END), 6) + 0.0 AS hit_rate, count(ic) AS n FROM ic)" for k in (1, 2)))
+@query("sg9_lagged_ic", " UNION ALL ".join(f"SELECT * FROM (WITH {SIG.replace('lead(ret)', f'lead(ret, {k})')}{_BOTH} SELECT CAST({k} AS INTEGER) AS lag, round(avg(ic), 6) + 0.0 AS mean_ic, round(avg(CASE WHEN ic IS NOT NULL THEN CASE WHEN round(ic, 9) > 0 THEN 1.0 ELSE 0.0 END END), 6) + 0.0 AS hit_rate, count(ic) AS n FROM ic)" for k in (1, 2)))
 def _(p):
     return tr.lagged_ic(signals(p), "signal", "ret", (1, 2)).select("lag", "mean_ic", "hit_rate", "n")
 

@@ -129,7 +129,7 @@ def _(p):
     return tops.withColumn("o", F.lag("s").over(over)).where("o is not null").select("date", (F.size(F.array_intersect("s", "o")) / F.lit(5.0)).alias("overlap"))
 
 
-@query("ag20_information_ratio", f"WITH {SIG}{_BOTH} SELECT round(avg(ic), 6) + 0.0 AS mean_ic, round(stddev_samp(ic), 6) + 0.0 AS std_ic, round(avg(ic) / stddev_samp(ic), 6) + 0.0 AS ir, round(avg(CASE WHEN ic IS NOT NULL THEN CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END END), 6) + 0.0 AS hit_rate, round(avg(ic) / (stddev_samp(ic) / sqrt(count(ic))), 6) + 0.0 AS t_stat, count(ic) AS n FROM ic")
+@query("ag20_information_ratio", f"WITH {SIG}{_BOTH} SELECT round(avg(ic), 6) + 0.0 AS mean_ic, round(stddev_samp(ic), 6) + 0.0 AS std_ic, round(avg(ic) / stddev_samp(ic), 6) + 0.0 AS ir, round(avg(CASE WHEN ic IS NOT NULL THEN CASE WHEN round(ic, 9) > 0 THEN 1.0 ELSE 0.0 END END), 6) + 0.0 AS hit_rate, round(avg(ic) / (stddev_samp(ic) / sqrt(count(ic))), 6) + 0.0 AS t_stat, count(ic) AS n FROM ic")
 def _(p):
     return tr.information_ratio(tr.information_coefficient(signals(p), "signal", "fwd"))
 
@@ -354,10 +354,10 @@ def _(p):
 _BOOK = f", k AS (SELECT *, {rank('signal')} AS k FROM g)"
 
 
-@query("sg3_threshold_turnover", f"WITH {SIG}{_BOOK}, t AS (SELECT unnest([0.6, 0.7, 0.8]) AS threshold), b AS (SELECT t.threshold, ticker, date, CASE WHEN k > threshold THEN 1.0 WHEN k < 1 - threshold THEN -1.0 ELSE 0.0 END AS side FROM k, t), q AS (SELECT *, coalesce(side / nullif(sum(abs(side)) OVER (PARTITION BY threshold, date), 0), 0) AS pos FROM b), d AS (SELECT *, abs(pos - lag(pos) OVER (PARTITION BY threshold, ticker ORDER BY date)) AS d FROM q) SELECT CAST(threshold AS DOUBLE) AS threshold, date, round(coalesce(sum(d), 0), 6) + 0.0 AS turnover FROM d GROUP BY 1, 2")
+@query("sg3_threshold_turnover", f"WITH {SIG}{_BOOK}, t AS (SELECT unnest([0.6, 0.7, 0.8]) AS threshold), b AS (SELECT t.threshold, ticker, date, CASE WHEN round(k, 9) > threshold THEN 1.0 WHEN round(k, 9) < round(1 - threshold, 9) THEN -1.0 ELSE 0.0 END AS side FROM k, t), q AS (SELECT *, coalesce(side / nullif(sum(abs(side)) OVER (PARTITION BY threshold, date), 0), 0) AS pos FROM b), d AS (SELECT *, abs(pos - lag(pos) OVER (PARTITION BY threshold, ticker ORDER BY date)) AS d FROM q) SELECT CAST(threshold AS DOUBLE) AS threshold, date, round(coalesce(sum(d), 0), 6) + 0.0 AS turnover FROM d GROUP BY 1, 2")
 def _(p):
     q = signals(p).withColumn("k", w.pct_rank("signal")).withColumn("threshold", F.explode(F.array(*map(F.lit, (0.6, 0.7, 0.8)))))
-    q = q.withColumn("side", F.when(F.col("k") > F.col("threshold"), 1.0).when(F.col("k") < 1 - F.col("threshold"), -1.0).otherwise(0.0))
+    q = q.withColumn("side", F.when(F.round("k", 9) > F.col("threshold"), 1.0).when(F.round("k", 9) < F.round(1 - F.col("threshold"), 9), -1.0).otherwise(0.0))
     q = q.withColumn("pos", tr.l1("side", by=["threshold", "date"]))
     d = F.abs(F.col("pos") - F.lag("pos").over(Window.partitionBy("threshold", "ticker").orderBy("date")))
     return q.withColumn("d", d).groupBy("threshold", "date").agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("turnover"))

@@ -199,7 +199,7 @@ def _(p):
     return q.groupBy("state").agg(F.avg((F.col("next") == 0).cast("double")).alias("to_0"), F.avg((F.col("next") == 1).cast("double")).alias("to_1"))
 
 
-@query("rsh9_reindex_fill", f"WITH {PX}, g AS (SELECT t.ticker, d.date FROM (SELECT DISTINCT ticker FROM px) t CROSS JOIN (SELECT DISTINCT date FROM px WHERE date < DATE '1995-04-01') d) SELECT g.ticker, g.date, round(last_value(px.close IGNORE NULLS) OVER (PARTITION BY g.ticker ORDER BY g.date ROWS UNBOUNDED PRECEDING), 4) + 0.0 AS close FROM g LEFT JOIN px ON px.ticker = g.ticker AND px.date = g.date", digits=4)
+@query("rsh9_reindex_fill", f"WITH {PX}, g AS (SELECT t.ticker, d.date FROM (SELECT DISTINCT ticker FROM px) t CROSS JOIN (SELECT DISTINCT date FROM px) d) SELECT g.ticker, g.date, round(last_value(px.close IGNORE NULLS) OVER (PARTITION BY g.ticker ORDER BY g.date ROWS UNBOUNDED PRECEDING), 4) + 0.0 AS close FROM g LEFT JOIN px ON px.ticker = g.ticker AND px.date = g.date", digits=4)
 def _(p):
     days = p.select("date").distinct()
     grid = p.select("ticker").distinct().crossJoin(days)  # the calendar of every ticker is the result itself
@@ -222,7 +222,7 @@ def _(p):
     return a.join(b, K, "full").select(*K, fe.composite(["x1", "x2"]).alias("ensemble"))
 
 
-@query("jn6_semi_anti", f"WITH {R}, h AS (SELECT ticker, date, row_number() OVER (PARTITION BY date ORDER BY volume DESC, ticker) <= 3 AS held FROM r WHERE date < DATE '1996-01-01'), d AS (SELECT date, lag(date) OVER (ORDER BY date) AS before FROM (SELECT DISTINCT date FROM h)) SELECT n.ticker, n.date FROM h n JOIN d ON d.date = n.date LEFT JOIN h o ON o.ticker = n.ticker AND o.date = d.before AND o.held WHERE n.held AND d.before IS NOT NULL AND o.ticker IS NULL")
+@query("jn6_semi_anti", f"WITH {R}, h AS (SELECT ticker, date, row_number() OVER (PARTITION BY date ORDER BY volume DESC, ticker) <= 3 AS held FROM r), d AS (SELECT date, lag(date) OVER (ORDER BY date) AS before FROM (SELECT DISTINCT date FROM h)) SELECT n.ticker, n.date FROM h n JOIN d ON d.date = n.date LEFT JOIN h o ON o.ticker = n.ticker AND o.date = d.before AND o.held WHERE n.held AND d.before IS NOT NULL AND o.ticker IS NULL")
 def _(p):
     h = w.top_k(p, "volume", "held", 3).where("held").select(*K)
     days = h.select("date").distinct().withColumn("next", F.lead("date").over(Window.partitionBy(F.lit(1)).orderBy("date")))

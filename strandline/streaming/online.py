@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from strandline.functions.shipping import ship
+
 
 def event_windows(events: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts and sums per event type in tumbling or sliding windows; rows later than ``late`` are left out.
@@ -50,6 +52,7 @@ def online_smoothing(rows: DataFrame, x: str, alpha: float, key: str = "ticker",
         if level is not None:
             state.update((level,))
 
+    ship(rows.sparkSession)
     return rows.select(key, time, x).groupBy(key).applyInPandasWithState(step, f"{key} {kind[key]}, {time} {kind[time]}, smoothed double", "level double", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -68,4 +71,5 @@ def hit_tracker(rows: DataFrame, prediction: str, outcome: str, n: int = 63, key
         yield pd.DataFrame({key: k[0], time: f[time].to_numpy(), "hit_ratio": out})
         state.update((hits,))
 
+    ship(rows.sparkSession)
     return rows.select(key, time, prediction, outcome).groupBy(key).applyInPandasWithState(step, f"{key} {kind[key]}, {time} {kind[time]}, hit_ratio double", "hits array<int>", "append", GroupStateTimeout.NoTimeout)
