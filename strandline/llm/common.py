@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROOT = Path(__file__).resolve().parents[2]
-
+from strandline.functions.shipping import ship  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,20 +38,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that don't start in the repository."""
-    sc = spark.sparkContext
-    if getattr(sc, "_strandline_shipped", False):
-        return
-    if str(_ROOT) not in os.environ.get("PYTHONPATH", "").split(":"):
-        out = Path(tempfile.mkdtemp(prefix="strandline-")) / "strandline.zip"
-        with zipfile.ZipFile(out, "w") as z:
-            for p in sorted((_ROOT / "strandline").rglob("*.py")):
-                z.write(p, p.relative_to(_ROOT))
-        sc.addPyFile(str(out))
-    sc._strandline_shipped = True
-
-
 def crc_mod(col: str, modulus: int):
     """crc32 of the decimal text of an id, modulo ``modulus``."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % modulus
