@@ -17,17 +17,22 @@ from strandline.functions.shipping import ship
 from strandline.operators.windows import KEY, TIME, ewm_alpha
 
 
-def along(df: DataFrame, columns: dict[str, Callable[[pd.DataFrame], np.ndarray]], key: str | Sequence[str] = KEY, time: str = TIME, kinds: dict[str, T.DataType] | None = None) -> DataFrame:
-    """Add columns computed from each series in the order of ``time``."""
-    kept = [f for f in df.schema.fields if f.name not in columns]
-    schema = T.StructType([*kept, *(T.StructField(c, (kinds or {}).get(c, T.DoubleType())) for c in columns)])
+def along(df: DataFrame, columns: dict[str | tuple[str, ...], Callable[[pd.DataFrame], np.ndarray]], key: str | Sequence[str] = KEY, time: str = TIME, kinds: dict[str, T.DataType] | None = None) -> DataFrame:
+    """Add columns computed from each series in the order of ``time``; a tuple of names takes the columns of one array."""
+    added = [c for k in columns for c in ([k] if isinstance(k, str) else k)]
+    kept = [f for f in df.schema.fields if f.name not in added]
+    schema = T.StructType([*kept, *(T.StructField(c, (kinds or {}).get(c, T.DoubleType())) for c in added)])
     names = [f.name for f in kept]
 
     ship(df.sparkSession)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(time, kind="stable")[names].reset_index(drop=True)
-        return g.assign(**{c: f(g) for c, f in columns.items()})
+        new: dict[str, np.ndarray] = {}
+        for c, f in columns.items():
+            got = f(g)
+            new |= {c: got} if isinstance(c, str) else {name: got[:, i] for i, name in enumerate(c)}
+        return g.assign(**new)
 
     return df.groupBy(*([key] if isinstance(key, str) else key)).applyInPandas(run, schema)
 
@@ -121,7 +126,7 @@ def kalman_trend(x: str, q: float = 1e-4, r: float = 1e-2, velocity: bool = Fals
     return f
 
 
-def kalman_diagnostics(x: str, q: float, r: float, p0: float = 1.0) -> dict[str, Callable[[pd.DataFrame], np.ndarray]]:
+def kalman_diagnostics(x: str, q: float, r: float, p0: float = 1.0) -> dict[tuple[str, ...], Callable[[pd.DataFrame], np.ndarray]]:
     """innovation, innovation variance and log-likelihood of the local level filter."""
 
     def all_of(g: pd.DataFrame) -> np.ndarray:
@@ -139,7 +144,7 @@ def kalman_diagnostics(x: str, q: float, r: float, p0: float = 1.0) -> dict[str,
             s, p = s + k * e, p * (1 - k)
         return out
 
-    return {"innovation": lambda g: all_of(g)[:, 0], "innovation_var": lambda g: all_of(g)[:, 1], "loglik": lambda g: all_of(g)[:, 2]}
+    return {("innovation", "innovation_var", "loglik"): all_of}
 
 
 def hysteresis(x: str, enter: float = 0.15, leave: float = 0.30) -> Callable[[pd.DataFrame], np.ndarray]:

@@ -1,17 +1,20 @@
 """Walk-forward learning: fold tables, scalers, and ridge regression by additive Gram sums.
 
-A fold's normal equations are sums over its rows, so all folds are fitted by one aggregate over the panel
-joined with the fold table; only Gram matrices (features squared per fold) leave the executors.
+A fold's normal equations are sums over its rows, so all folds are fitted from one aggregate of the panel per
+day; Gram matrices (features squared per fold) are solved on the executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.shipping import ship
+
 
 def folds(df: DataFrame, start: int = 252, step: int = 21, embargo: int = 5, history: int | None = None) -> DataFrame:
     """(fold, train_from, train_to, test_from, test_to): day numbers, ends included, over the panel's dates.
@@ -59,12 +62,29 @@ def solve_ridge(row, k: int, alpha: float, standardise: bool = True) -> tuple[li
     return beta.tolist(), float(my - beta @ mx)
 
 
+def fold_grams(rows: DataFrame, x: Sequence[str], y: str, fold_table: DataFrame, weight: str | None = None) -> DataFrame:
+    """Gram sums per fold. ``rows`` have day numbers; sums are taken per day first, so that days, not rows, meet the folds that hold them."""
+    daily = gram(rows, x, y, ("day",), weight)
+    placed = daily.join(F.broadcast(fold_table.select("fold", "train_from", "train_to")), F.col("day").between(F.col("train_from"), F.col("train_to")))
+    sums = {"sx": len(x), "sxy": len(x), "sxx": len(x) * (len(x) + 1) // 2}
+    return placed.groupBy("fold").agg(F.sum("n").alias("n"), F.sum("sw").alias("sw"), F.sum("sy").alias("sy"), *(F.array(*(F.sum(F.col(c)[i]) for i in range(k))).alias(c) for c, k in sums.items()))
+
+
 def walk_forward_ridge(df: DataFrame, x: Sequence[str], y: str, fold_table: DataFrame, alpha: float = 1.0, least: int = 100, weight: str | None = None) -> DataFrame:
-    """ticker, date, fold, target and prediction of every test row; folds of fewer than ``least`` rows are left out."""
+    """ticker, date, fold, target and prediction of every test row; folds of fewer than ``least`` rows are left out.
+
+    The fold table and one model a fold are broadcast: they grow with the dates alone.
+    """
+    ship(df.sparkSession)
     rows = with_day(df)
-    grams = gram(rows.join(F.broadcast(fold_table), F.col("day").between(F.col("train_from"), F.col("train_to"))), x, y, ("fold",), weight)
-    fitted = [(r.fold, *solve_ridge(r, len(x), alpha)) for r in grams.where(F.col("n") >= least).collect()]
-    models = df.sparkSession.createDataFrame(fitted, "fold int, beta array<double>, intercept double")
+    k = len(x)
+
+    def solve(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in frames:
+            got = [(int(r.fold), *solve_ridge(r, k, alpha)) for r in g.itertuples(index=False)]
+            yield pd.DataFrame(got, columns=["fold", "beta", "intercept"])
+
+    models = fold_grams(rows, x, y, fold_table, weight).where(F.col("n") >= least).mapInPandas(solve, "fold int, beta array<double>, intercept double")
     test = rows.join(F.broadcast(fold_table.join(models, "fold")), F.col("day").between(F.col("test_from"), F.col("test_to"))).dropna(subset=list(x))
     dot = sum((F.col("beta")[i] * F.col(c) for i, c in enumerate(x)), F.col("intercept"))
     return test.select("ticker", "date", "fold", F.col(y).alias("target"), dot.alias("prediction"))
@@ -98,6 +118,28 @@ def logistic(df: DataFrame, x: Sequence[str], label: str, train) -> DataFrame:
     return model.transform(rows).withColumn("probability", vector_to_array("_p")).drop("_x", "_p", "rawPrediction")
 
 
+def random_forest(df: DataFrame, x: Sequence[str], y: str, train, trees: int = 20, depth: int = 5, seed: int = 42) -> DataFrame:
+    """Predictions of all rows that have the features, by Spark's random forest."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    rows = VectorAssembler(inputCols=list(x), outputCol="_x").transform(df.dropna(subset=list(x)))
+    model = RandomForestRegressor(featuresCol="_x", labelCol=y, predictionCol="prediction", numTrees=trees, maxDepth=depth, seed=seed).fit(rows.where(train).dropna(subset=[y]))
+    return model.transform(rows).drop("_x")
+
+
+def saved_and_loaded(df: DataFrame, x: Sequence[str], y: str, train, path: str, penalty: float = 0.01) -> DataFrame:
+    """Predictions by a fitted pipeline (assembler, scaler, linear model) written to ``path`` and read back."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    rows = df.dropna(subset=list(x))
+    stages = [VectorAssembler(inputCols=list(x), outputCol="_x"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True), LinearRegression(featuresCol="_z", labelCol=y, regParam=penalty)]
+    Pipeline(stages=stages).fit(rows.where(train).dropna(subset=[y])).write().overwrite().save(path)
+    return PipelineModel.load(path).transform(rows).drop("_x", "_z")
+
+
 def ensemble_weights(scores: Sequence[float]) -> list[float]:
     """Weights in proportion to positive scores; equal ones if none is positive."""
     s = np.maximum(np.array(scores, float), 0)

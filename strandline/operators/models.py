@@ -15,46 +15,64 @@ from strandline.operators import windows as w
 
 
 def fit_hmm(x: np.ndarray, states: int = 3, rounds: int = 30, floor: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Means, variances, transitions and log-likelihood of a Gaussian HMM by scaled Baum-Welch; states are
-    placed at the quantiles of |x - mean| first and ordered by variance at the end."""
-    edges = np.quantile(np.abs(x - x.mean()), np.linspace(0, 1, states + 1))
-    part = np.clip(np.searchsorted(edges, np.abs(x - x.mean()), side="right") - 1, 0, states - 1)
-    mean = np.array([x[part == s].mean() if (part == s).any() else x.mean() for s in range(states)])
-    var = np.array([max(x[part == s].var(), floor) if (part == s).sum() > 1 else max(x.var(), floor) for s in range(states)])
-    step = np.full((states, states), 0.1 / max(states - 1, 1))
-    np.fill_diagonal(step, 0.9 if states > 1 else 1.0)
-    begin, like = np.full(states, 1 / states), -math.inf
+    """Means, variances, transitions and log-likelihood of a Gaussian HMM: one window of ``fit_hmms``."""
+    mean, var, step, like = fit_hmms(x[None], states, rounds, floor)
+    return mean[0], var[0], step[0], float(like[0])
+
+
+def fit_hmms(x: np.ndarray, states: int = 3, rounds: int = 30, floor: float = 1e-6, spread: float | np.ndarray = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As many Gaussian HMMs as ``x`` [fit, row] has rows, by scaled Baum-Welch over all fits in step.
+
+    States are placed at the quantiles of |x - mean| first (to the power ``spread``, one or one a fit, for other starts) and ordered by variance at the end; a fit
+    that has converged is left as it is.
+    """
+    fits = len(x)
+    far = np.abs(x - x.mean(1, keepdims=True))
+    at = np.linspace(0, 1, states + 1) ** np.broadcast_to(spread, fits)[:, None]
+    edges = np.stack([np.quantile(f, q) for f, q in zip(far, at)])
+    part = np.clip((far[:, :, None] >= edges[:, None, :]).sum(2) - 1, 0, states - 1)
+    own = part[:, :, None] == np.arange(states)
+    count = own.sum(1)
+    mean = np.where(count > 0, (own * x[:, :, None]).sum(1) / np.maximum(count, 1), x.mean(1)[:, None])
+    var = np.where(count > 1, (own * (x[:, :, None] - mean[:, None]) ** 2).sum(1) / np.maximum(count, 1), x.var(1)[:, None])
+    var = np.maximum(var, floor)
+    step = np.full((fits, states, states), 0.1 / max(states - 1, 1))
+    step[:, np.arange(states), np.arange(states)] = 0.9 if states > 1 else 1.0
+    begin, like, on = np.full((fits, states), 1 / states), np.full(fits, -np.inf), np.arange(fits)
     for _ in range(rounds):
-        alpha, beta, scale, dens = _passes(x, mean, var, step, begin)
+        v = x[on]
+        alpha, beta, scale, dens = _passes(v, mean[on], var[on], step[on], begin[on])
         post = alpha * beta
-        post /= post.sum(1, keepdims=True)
-        joint = (alpha[:-1, :, None] * step[None] * (dens[1:] * beta[1:])[:, None, :] / scale[1:, None, None]).sum(0)
-        step = np.maximum(joint / np.maximum(joint.sum(1, keepdims=True), 1e-300), floor)
-        step /= step.sum(1, keepdims=True)
-        begin, mass = post[0], np.maximum(post.sum(0), 1e-300)
-        mean = post.T @ x / mass
-        var = np.maximum((post * (x[:, None] - mean) ** 2).sum(0) / mass, floor)
-        new = float(np.log(scale).sum())
-        if abs(new - like) < 1e-6 * abs(new):
-            like = new
+        post /= post.sum(2, keepdims=True)
+        joint = np.einsum("bti,bij,btj->bij", alpha[:, :-1], step[on], dens[:, 1:] * beta[:, 1:] / scale[:, 1:, None])
+        moved = np.maximum(joint / np.maximum(joint.sum(2, keepdims=True), 1e-300), floor)
+        step[on] = moved / moved.sum(2, keepdims=True)
+        begin[on], mass = post[:, 0], np.maximum(post.sum(1), 1e-300)
+        mean[on] = np.einsum("btk,bt->bk", post, v) / mass
+        var[on] = np.maximum((post * (v[:, :, None] - mean[on][:, None]) ** 2).sum(1) / mass, floor)
+        new = np.log(scale).sum(1)
+        still = ~(np.abs(new - like[on]) < 1e-6 * np.abs(new))
+        like[on] = new
+        on = on[still]
+        if not len(on):
             break
-        like = new
-    order = np.argsort(var)
-    return mean[order], var[order], step[order][:, order], like
+    order = np.argsort(var, 1, kind="stable")
+    row = np.arange(fits)[:, None]
+    return mean[row, order], var[row, order], step[row[:, :, None], order[:, :, None], order[:, None, :]], like
 
 
 def _passes(x, mean, var, step, begin):
-    dens = np.maximum(np.exp(-0.5 * (x[:, None] - mean) ** 2 / var) / np.sqrt(2 * np.pi * var), 1e-300)
-    n, k = dens.shape
-    alpha, beta, scale = np.empty((n, k)), np.ones((n, k)), np.empty(n)
-    row = begin * dens[0]
+    dens = np.maximum(np.exp(-0.5 * (x[:, :, None] - mean[:, None]) ** 2 / var[:, None]) / np.sqrt(2 * np.pi * var)[:, None], 1e-300)
+    fits, n, k = dens.shape
+    alpha, beta, scale = np.empty((fits, n, k)), np.ones((fits, n, k)), np.empty((fits, n))
+    row = begin * dens[:, 0]
     for t in range(n):
         if t:
-            row = (alpha[t - 1] @ step) * dens[t]
-        scale[t] = row.sum()
-        alpha[t] = row / scale[t]
+            row = (alpha[:, t - 1, None] @ step)[:, 0] * dens[:, t]
+        scale[:, t] = row.sum(1)
+        alpha[:, t] = row / scale[:, t, None]
     for t in range(n - 2, -1, -1):
-        beta[t] = step @ (dens[t + 1] * beta[t + 1]) / scale[t + 1]
+        beta[:, t] = (step @ (dens[:, t + 1] * beta[:, t + 1])[:, :, None])[:, :, 0] / scale[:, t + 1, None]
     return alpha, beta, scale, dens
 
 
@@ -65,13 +83,15 @@ def hmm_regimes(df: DataFrame, x: str = "ret", states: int = 3, window: int = 25
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("date").dropna(subset=[x]).reset_index(drop=True)
         v, out = g[x].to_numpy(float), np.full((len(g), states), np.nan)
-        model, row = None, None
-        for t in range(len(g)):
-            if t >= window and (t - window) % every == 0:
-                model = fit_hmm(v[t - window : t], states)
+        cuts = range(window, len(g), every)
+        models = fit_hmms(np.stack([v[t - window : t] for t in cuts]), states) if len(cuts) else None
+        row = None
+        for t in range(window, len(g)):
+            fit = (t - window) // every
+            if (t - window) % every == 0:
                 row = np.full(states, 1 / states)
-            if model is not None:
-                mean, var, step, _ = model
+            if models is not None:
+                mean, var, step = (m[fit] for m in models[:3])
                 row = (row @ step) * np.maximum(np.exp(-0.5 * (v[t] - mean) ** 2 / var) / np.sqrt(2 * np.pi * var), 1e-300)
                 row = row / row.sum()
                 out[t] = row
@@ -83,6 +103,43 @@ def hmm_regimes(df: DataFrame, x: str = "ret", states: int = 3, window: int = 25
     return df.select(key, "date", x).groupBy(key).applyInPandas(run, f"{key} string, date date, regime int, probabilities array<double>")
 
 
+def select_hmm(df: DataFrame, x: str = "ret", states: tuple[int, ...] = (2, 3, 4), starts: tuple[float, ...] = (1.0, 0.5, 2.0), least: int = 100, key: str = "ticker") -> DataFrame:
+    """(key, states, loglik, aic, bic, least_share, mean_days, chosen): models of several sizes, each the best of several starts.
+
+    ``least_share`` is the smallest share of rows that a state is the likeliest in, ``mean_days`` the mean length of its spells; the size of the
+    smallest BIC is chosen, of those whose states all hold a twentieth of the rows if there are any. Series of fewer than ``least`` rows give none.
+    """
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        v = g.sort_values("date")[x].dropna().to_numpy(float)
+        rows = []
+        for k in states if len(v) >= least else ():
+            fits = fit_hmms(np.tile(v, (len(starts), 1)), k, spread=np.array(starts))
+            best = [int(fits[3].argmax())]
+            mean, var, step, like = (f[best] for f in fits)
+            alpha, beta, _, _ = _passes(v[None], mean, var, step, np.full((1, k), 1 / k))
+            path = (alpha * beta)[0].argmax(1)
+            free = k * k + 2 * k - 1
+            spells = 1 + int((path[1:] != path[:-1]).sum())
+            rows.append((g[key].iloc[0], k, like[0], 2 * free - 2 * like[0], free * math.log(len(v)) - 2 * like[0], np.bincount(path, minlength=k).min() / len(v), len(v) / spells))
+        if rows:
+            sound = [r for r in rows if r[5] >= 0.05] or rows
+            best = min(sound, key=lambda r: r[4])[1]
+            rows = [(*r, r[1] == best) for r in rows]
+        return pd.DataFrame(rows, columns=[key, "states", "loglik", "aic", "bic", "least_share", "mean_days", "chosen"])
+
+    ship(df.sparkSession)
+    return df.select(key, "date", x).groupBy(key).applyInPandas(run, f"{key} string, states int, loglik double, aic double, bic double, least_share double, mean_days double, chosen boolean")
+
+
+def regime_stability(df: DataFrame, state: str, key: str = "ticker") -> DataFrame:
+    """(key, n, changes, mean_days, stay): rows, changes of state, mean length of a spell, and the share of rows that keep the state of the row before."""
+    over = w.series(key)
+    q = df.where(F.col(state).isNotNull()).select(key, "date", F.col(state).alias("s")).withColumn("b", F.lag("s").over(over))
+    changed = F.count_if(F.col("b").isNotNull() & (F.col("b") != F.col("s")))
+    return q.groupBy(key).agg(F.count(F.lit(1)).alias("n"), changed.alias("changes"), (F.count(F.lit(1)) / (changed + 1)).alias("mean_days"), F.try_divide((F.count("b") - changed).cast("double"), F.count("b").cast("double")).alias("stay"))
+
+
 def pair_spreads(df: DataFrame, price: str = "close", least: int = 100) -> DataFrame:
     """Per pair of tickers and date both log prices, the hedge ratio and intercept of the whole sample, and the
     spread. Pairs are of tickers (few), formed within a date, never of rows of one ticker."""
@@ -93,6 +150,15 @@ def pair_spreads(df: DataFrame, price: str = "close", least: int = 100) -> DataF
     return both.join(fit, ["asset1", "asset2"]).withColumn("spread", F.col("lp1") - F.col("hedge_ratio") * F.col("lp2") - F.col("intercept"))
 
 
+def engle_granger(spreads: DataFrame, critical: float = -3.34) -> DataFrame:
+    """asset1, asset2, stat, n, cointegrated: the unit-root statistic of each pair's spread against the 5 % value of two series."""
+    from strandline.operators.stats import dickey_fuller
+
+    named = spreads.select(F.concat_ws("|", "asset1", "asset2").alias("pair"), "date", "spread")
+    got = dickey_fuller(named, "spread", "pair").where("stat is not null")
+    return got.select(F.split("pair", "[|]")[0].alias("asset1"), F.split("pair", "[|]")[1].alias("asset2"), "stat", "n", (F.col("stat") < critical).alias("cointegrated"))
+
+
 def half_lives(spreads: DataFrame) -> DataFrame:
     """Per pair: speed of reversion (slope of the change on the level), half-life in rows, deviation of the spread."""
     over = Window.partitionBy("asset1", "asset2").orderBy("date")
@@ -123,7 +189,7 @@ def kalman_pair(df: DataFrame, y: str = "lp1", x: str = "lp2", q: float = 1e-5,
             out[i] = *state, e
         return out
 
-    return kn.along(df, {"alpha": lambda g: run(g)[:, 0], "beta": lambda g: run(g)[:, 1], "error": lambda g: run(g)[:, 2]}, ["asset1", "asset2"])
+    return kn.along(df, {("alpha", "beta", "error"): run}, ["asset1", "asset2"])
 
 
 def lead_lag(df: DataFrame, reach: int = 5, x: str = "ret") -> DataFrame:

@@ -201,12 +201,19 @@ def demean(x: str | Column, by: str | list[str] = TIME) -> Column:
     return col(x) - F.avg(col(x)).over(section(by))
 
 
-def winsorise(x: str | Column, low: float, high: float, by: str | list[str] | None = TIME) -> Column:
+def winsorise(x: str | Column, low: float, high: float, by: str | list[str] = TIME) -> Column:
     x = col(x)
-    w = section(by) if by else Window.partitionBy(F.lit(1))
+    w = section(by)
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.percentile(x, low).over(w)), F.percentile(x, high).over(w)))
 
 
+def winsorise_all(df: DataFrame, x: str, low: float, high: float, accuracy: int = 1_000_000) -> DataFrame:
+    """``x`` cut at quantiles over all rows (to one part in ``accuracy`` of the rows): one aggregate and one broadcast row."""
+    edges = df.agg(F.percentile_approx(x, F.array(F.lit(low), F.lit(high)), accuracy).alias("_edges"))
+    cut = F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x), F.col("_edges")[0]), F.col("_edges")[1]))
+    return df.join(F.broadcast(edges)).withColumn(x, cut).drop("_edges")
+
+
 def quantile_bucket(x: str | Column, q: int, by: str | list[str] = TIME) -> Column:
     """0 to q - 1 by right-closed quantile edges of the section."""
     x = col(x)

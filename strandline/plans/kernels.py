@@ -250,10 +250,10 @@ def _(p):
     return st.dickey_fuller(p.withColumn("lp", F.ln("close")), "lp")
 
 
-_PAIR = PX + ", l AS (SELECT ticker, date, ln(close) AS lp FROM px), b AS (SELECT a.ticker AS asset1, b.ticker AS asset2, a.date, a.lp AS lp1, b.lp AS lp2 FROM l a JOIN l b ON a.date = b.date AND a.ticker < b.ticker), f AS (SELECT asset1, asset2, regr_slope(lp1, lp2) AS h, regr_intercept(lp1, lp2) AS c, count(*) AS n FROM b GROUP BY 1, 2), s AS (SELECT b.*, h, lp1 - h * lp2 - c AS spread FROM b JOIN f USING (asset1, asset2) WHERE n >= 100)"
+_LP_PAIR = PX + ", l AS (SELECT ticker, date, ln(close) AS lp FROM px), b AS (SELECT a.ticker AS asset1, b.ticker AS asset2, a.date, a.lp AS lp1, b.lp AS lp2 FROM l a JOIN l b ON a.date = b.date AND a.ticker < b.ticker), f AS (SELECT asset1, asset2, regr_slope(lp1, lp2) AS h, regr_intercept(lp1, lp2) AS c, count(*) AS n FROM b GROUP BY 1, 2), s AS (SELECT b.*, h, lp1 - h * lp2 - c AS spread FROM b JOIN f USING (asset1, asset2) WHERE n >= 100)"
 
 
-@query("co1_half_lives", f"WITH {_PAIR}, d AS (SELECT *, lag(spread) OVER (PARTITION BY asset1, asset2 ORDER BY date) AS before FROM s), q AS (SELECT asset1, asset2, max(h) AS h, regr_slope(spread - before, before) AS speed, stddev_samp(spread) AS sd, count(before) AS n FROM d GROUP BY 1, 2) SELECT asset1, asset2, round(h, 5) + 0.0 AS hedge_ratio, round(speed, 5) + 0.0 AS speed, round(sd, 5) + 0.0 AS spread_std, n, round(CASE WHEN speed < 0 THEN -ln(2) / speed END, 5) + 0.0 AS half_life FROM q", digits=5)
+@query("co1_half_lives", f"WITH {_LP_PAIR}, d AS (SELECT *, lag(spread) OVER (PARTITION BY asset1, asset2 ORDER BY date) AS before FROM s), q AS (SELECT asset1, asset2, max(h) AS h, regr_slope(spread - before, before) AS speed, stddev_samp(spread) AS sd, count(before) AS n FROM d GROUP BY 1, 2) SELECT asset1, asset2, round(h, 5) + 0.0 AS hedge_ratio, round(speed, 5) + 0.0 AS speed, round(sd, 5) + 0.0 AS spread_std, n, round(CASE WHEN speed < 0 THEN -ln(2) / speed END, 5) + 0.0 AS half_life FROM q", digits=5)
 def _(p):
     return md.half_lives(md.pair_spreads(p))
 

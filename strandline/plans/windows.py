@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -240,8 +242,11 @@ def _(p):
 @query("jn9_band_match", f"WITH {R}, f AS (SELECT ticker, avg(ret) AS m, stddev_samp(ret) AS s FROM r GROUP BY ticker) SELECT a.ticker AS ticker_a, min_by(b.ticker, (abs(a.m - b.m), b.ticker)) AS best, count(*) AS candidates FROM f a JOIN f b ON a.ticker <> b.ticker AND abs(a.s - b.s) <= 0.2 * abs(a.s) GROUP BY 1")
 def _(p):
     f = p.groupBy("ticker").agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"))
-    a, b = (f.toDF(f"ticker_{x}", f"m_{x}", f"s_{x}") for x in "ab")
-    near = a.join(F.broadcast(b), (F.col("ticker_a") != F.col("ticker_b")) & (F.abs(F.col("s_a") - F.col("s_b")) <= 0.2 * F.abs("s_a")))
+    # Bands on a logarithmic scale: a deviation within a fifth lies in one of four neighbouring bands, so the join has a key.
+    banded = f.where("s >= 0").withColumn("band", F.coalesce(F.floor(F.ln(F.nullif("s", F.lit(0.0))) / math.log(1.2)), F.lit(-(1 << 40))))
+    a = banded.toDF("ticker_a", "m_a", "s_a", "own").withColumn("band", F.explode(F.sequence(F.col("own") - 2, F.col("own") + 1)))
+    b = banded.toDF("ticker_b", "m_b", "s_b", "band")
+    near = a.join(b, "band").where((F.col("ticker_a") != F.col("ticker_b")) & (F.abs(F.col("s_a") - F.col("s_b")) <= 0.2 * F.abs("s_a")))
     return near.groupBy("ticker_a").agg(F.min_by("ticker_b", F.struct(F.abs(F.col("m_a") - F.col("m_b")), "ticker_b")).alias("best"), F.count(F.lit(1)).alias("candidates"))
 
 

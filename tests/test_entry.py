@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-SOME = ["q0_weekly_momentum", "w3_rolling_moments", "w14_pct_rank", "jn8_pairs", "ag6_daily_spearman", "fe1_momentum", "bt5_rebalanced_long", "gr6_clustering"]
+SOME = ["q0_weekly_momentum", "w3_rolling_moments", "w14_pct_rank", "jn8_pairs", "ag6_daily_spearman", "fe1_momentum", "bt5_rebalanced_long", "gr6_clustering", "w11_ewm", "sg3_threshold_turnover", "ag20_information_ratio", "ss2_kalman_trend", "bt11_stop_loss", "ml9_walk_forward_ridge", "fe18_long_side", "fe23_macd", "bt24_top_softmax", "co1_engle_granger", "ss3_smoothed_level", "snk2_csv_round_trip"]
 
 
 def test_names_and_flagship(spark):
