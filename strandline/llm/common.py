@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.shipping import ship  # noqa: F401
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -180,7 +180,7 @@ def _blocks(benchmark: DataFrame, k: int, similarity: float, radius: int) -> Ite
 def _mapped(docs: DataFrame, benchmark: Benchmark, text: str, id_type: str | None = None) -> DataFrame:
     """The leaks of each text if ``id_type`` is given, else the rows without any."""
     shared = docs.sparkSession.sparkContext.broadcast(benchmark)
-    types = (pa.int64(), pa.string() if id_type == "string" else pa.int64(), pa.float64(), pa.int64(), pa.int64())
+    item_type = {"string": pa.string(), "int": pa.int32()}.get(id_type, pa.int64())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = shared.value
@@ -193,10 +193,12 @@ def _mapped(docs: DataFrame, benchmark: Benchmark, text: str, id_type: str | Non
                 matches = bench.matches(h[a:z], {k: shingle_hashes(h[a:z], k) for k in bench.filters if z - a >= k})
                 clean.append(not matches)
                 if id_type:
-                    found += [(b.column("doc_id")[row].as_py(), bench.ids[i], sim, w, min(z - a, bench.words_of(i))) for i, sim, w in matches]
+                    found += [(row, bench.ids[i], sim, w, min(z - a, bench.words_of(i))) for i, sim, w in matches]
             if id_type:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 5, types)], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
+                rows, items, sims, firsts, lengths = zip(*found) if found else [()] * 5
+                arrays = [b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(items, item_type), pa.array(sims, pa.float64()), pa.array(firsts, pa.int64()), pa.array(lengths, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "similarity", "first_word", "n_words"])
             else:
                 yield b.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, f"doc_id long, item_id {id_type}, similarity double, first_word long, n_words long" if id_type else docs.schema)
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {id_type}, similarity double, first_word long, n_words long" if id_type else docs.schema)

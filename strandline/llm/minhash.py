@@ -133,7 +133,7 @@ def sketched(docs: DataFrame, scheme: Scheme, text: str = "text") -> DataFrame:
                 ["doc_id", "text_hash", "n_shingles", "fp", "sketch", "filled", "bands"],
             )
 
-    return docs.select("doc_id", text, F.xxhash64(text).alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, fp binary, sketch binary, filled int, bands array<long>")
+    return docs.select("doc_id", text, F.xxhash64(text).alias("text_hash")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, fp binary, sketch binary, filled int, bands array<long>")
 
 
 def _sketch_filter(pairs: DataFrame, scheme: Scheme) -> DataFrame:
@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), text: str = "tex
     ``percent`` / 100 or more; component_id is the smallest doc_id reachable by links. Null texts and texts
     without words have n_shingles 0 and are linked with nothing. Repeated rows of one doc_id each get a
     row; if their texts differ, each row follows its own text. A row with a null doc_id follows its text too, with kept null; where all
-    rows of a text have null ids, it takes no part in linking and component_id is null. Other columns are not read.
+    rows of a text have null ids, it takes no part in linking and component_id is null. Ids may be of any type that has an order. Other columns are not read.
     """
     return grouped(docs, scheme, text).drop("text_hash")
 

@@ -15,11 +15,13 @@ URL_RULES = [urls.Rule("block", "net"), urls.Rule("allow", "example.net", "/en/"
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded: n_tokens and digests of ids and decoded text; a null text counts as empty."""
     model = pieces.PieceTable.load(public_tokenizers.path("piece_bpe_32k.model"))
     return pieces.digest_documents(table(spark, sf_dir, "documents"), model)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score per document, from a lexicon learnt on a bounded sample of labelled rows outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
     return toxicity.score_documents(docs, lexicon).select(
@@ -28,38 +30,46 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page by the site style trees of all pages."""
     return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with pseudonyms, and the findings; the key is read from ``spark.strandline.pii.key``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = pii.pseudonymise(docs, pii.key_of(spark))
     return done.withColumns({"n_found": F.coalesce(F.size("pii"), F.lit(0)), "n_replaced": F.coalesce(F.size(F.filter("pii", lambda x: x["replaced"])), F.lit(0))})
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best window of each document for each benchmark item it holds, counted over all documents and items."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learnt on a bounded sample of labelled rows outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs, crc_mod("doc_id", 4) != 2)
     return language.identify(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicates among all documents: 85 in 100 of the three-word shingles, confirmed on full sets."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op9_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows by Hamming distance of every vector whose id is divisible by 50, against all rows."""
     return hamming_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards near equal in bytes."""
     return shards.shard(table(spark, sf_dir, "documents"))
 
 

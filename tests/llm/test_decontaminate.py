@@ -80,3 +80,10 @@ def test_hamming_blocks_find_all_within_the_radius():
         q, c = BlockIndex(codes, radius).within(queries)
         plain = np.bitwise_count(queries[:, None] ^ codes[None]).sum(2) <= radius
         assert set(zip(q.tolist(), c.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(plain))))
+
+
+def test_ids_of_other_types(spark):
+    words = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([("a", "x " + words + " y"), ("b", "nothing of it"), (None, words)], "doc_id string, text string")
+    bench = spark.createDataFrame([(3, words)], "item_id int, text string")
+    assert sorted((str(r.doc_id), r.item_id, r.first_word) for r in decontaminate.find_leaks(docs, bench).collect()) == [("None", 3, 0), ("a", 3, 1)]

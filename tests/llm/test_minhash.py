@@ -150,3 +150,8 @@ def test_links_just_at_the_threshold_are_found():
             assert scheme.may_be_similar(np.bitwise_count(bits[0] ^ bits[1]).sum(), len(x), len(y), *filled), (shared, n)
             bands = minhash.band_keys(minhash.signatures([x, y], scheme), scheme)
             assert (bands[0] == bands[1]).any(), (shared, n)
+
+
+def test_ids_of_another_type(spark):
+    df = spark.createDataFrame([("b", "one two three four"), ("a", "one two three four"), ("c", "else")], "doc_id string, text string")
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()) == [("a", "a", True), ("b", "a", False), ("c", "c", True)]

@@ -48,3 +48,14 @@ def test_oracles(spark, name):
     got = queries.QUERIES[name](spark, folder)
     assert sorted(got.columns) == sorted(want.columns)
     assert sorted(map(str, map(tuple, got.select(want.columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_empty_tables_and_repeated_rows(spark, tmp_path):
+    """Without rows no stage gives any; repeated rows of one document stay or go together."""
+    schemas = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    for name, schema in schemas.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/empty/{name}.parquet")
+        rows = [(i % 3, f"a text of its own number {i % 3} for the stages", "en", "s", 40) for i in range(6)] if name == "documents" else []
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/twice/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/twice").collect()) == [0, 0, 1, 1, 2, 2]

@@ -45,3 +45,29 @@ def test_without_labels_nothing_is_toxic(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     lexicon = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
     assert lexicon.weights == {} and toxicity.score_documents(docs, lexicon).first().score < 0.5
+
+
+def test_score_by_its_definition(spark):
+    """Scores of whole texts, short and very long ones, by a plain word-by-word search and the formula."""
+    import math
+    import random
+
+    rng = random.Random(4)
+    lex = toxicity.Lexicon({"bad": 2.0, "very bad": 3.0, "badl*": 1.5, "awful": 2.5}, frozenset({"bad luck"}), 1.3, -1.1)
+    texts = [" ".join(rng.choices(["Bad", "badly", "luck", "very", "awful", "b4d", "fine", "day,", "AWFUL!"], k=rng.randrange(1, 60))) for _ in range(60)]
+    texts += [None, "", "awful " + "fine day " * 100_000]
+
+    def plain(text):
+        words = toxicity.fold(text).split()
+        shielded = {i for i in range(len(words) - 1) if words[i : i + 2] == ["bad", "luck"]}
+        total = 0.0
+        for i, w in enumerate(words):
+            fits = [wt for e, wt in lex.weights.items() if (e.endswith("*") and w.startswith(e[:-1])) or words[i : i + len(e.split())] == e.split()]
+            if fits and not {i, i - 1} & shielded:
+                total += max(fits)
+        blanks = toxicity.fold(text).count(" ")
+        return 1 / (1 + math.exp(-(lex.slope * (total / math.sqrt(1 + blanks / 100) if total else 0.0) + lex.shift)))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score_documents(df, lex).collect()}
+    assert all(abs(got[i] - plain(t)) < 1e-12 for i, t in enumerate(texts))
