@@ -356,4 +356,4 @@ def _(spark, sf_dir):
 @table_query("str2_online_smoothing")
 def _(spark, sf_dir):
     build = lambda e: online.online_smoothing(e.select(F.col("user_id").cast("string").alias("ticker"), F.col("ts").cast("timestamp").alias("date"), "value"), "value", 0.3)
-    return _streamed(spark, f"{sf_dir}/events.parquet", build)
+    return _streamed(spark, f"{sf_dir}/events.parquet", build).withColumn("date", F.col("date").cast("timestamp_ntz"))

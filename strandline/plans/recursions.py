@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strandline.plans.kernels import _LP_PAIR
 from strandline.plans.registry import ORACLES, PX, R, TICKER, lagged, rank, roll, staged
 from strandline.plans.research import _BOOK, _DAILY, _TOP, SIG
 
@@ -170,3 +171,89 @@ ORACLES["sg13_graph_signal"] = (
     f"{_DENSITY}, t AS (SELECT ticker, date, 2.0 * edges / 90 AS density FROM x) SELECT ticker, date, round(-coalesce((density - avg(density) OVER d) / nullif(stddev_samp(density) OVER d, 0), 0), 6) + 0.0 AS signal, "
     "CASE WHEN density < 0.35 THEN 'trending' WHEN density > 0.5 THEN 'noisy' ELSE 'mixed' END AS state FROM t WINDOW d AS (PARTITION BY date)"
 )
+
+# -- walk-forward models ---------------------------------------------------------------------------------------
+
+_LEARN = (
+    f"{R}, g AS (SELECT *, {roll('sum', 'ret', 5)} AS m5, {roll('sum', 'ret', 21)} AS m21, lead(ret) OVER ({TICKER}) AS y FROM r), dd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS day FROM (SELECT DISTINCT date FROM r)), "
+    "xd AS (SELECT g.*, dd.day, CASE WHEN y IS NULL THEN NULL WHEN y > 0.3 THEN 2 WHEN y < -0.3 THEN 0 ELSE 1 END AS label FROM g JOIN dd USING (date)), nn AS (SELECT count(*) AS n FROM dd)"
+)
+
+
+def ridge(name: str, x: list[str], y: str, step: int, last: int | None = None) -> str:
+    """CTEs ending with <name>_p: ticker, date, fold, target and prediction of a ridge of penalty 1 on one or two scaled features, walked forward
+    over 504 days; ``last``: the last fold, whose model predicts all later days."""
+    both = " AND ".join(f"{c} IS NOT NULL" for c in x)
+    one, two = x[0], x[-1]
+    rho = "(n * c12 / (d1 * d2))" if len(x) == 2 else "0.0"
+    u, v = "(n * c1 / d1)", "(n * c2 / d2)" if len(x) == 2 else "0.0"
+    det = f"(pow(n + 1.0, 2) - pow({rho}, 2))"
+    end = f"cut + {4 + step}" if last is None else f"CASE WHEN cut = {252 + step * last} THEN 1000000 ELSE cut + {4 + step} END"
+    kept = "" if last is None else f" WHERE cut <= {252 + step * last}"
+    b2 = f"((n + 1.0) * {v} - {rho} * {u}) / {det} / d2" if len(x) == 2 else "0.0"
+    return (
+        f", {name}_c AS (SELECT unnest(range(252, n - 5, {step})) AS cut FROM nn), {name}_f AS (SELECT CAST((cut - 252) / {step} AS INTEGER) AS fold, greatest(cut - 504, 0) AS a, cut - 1 AS b, cut + 5 AS t0, {end} AS t1 FROM {name}_c{kept}), "
+        f"{name}_s AS (SELECT fold, count(*) AS n, avg({one}) AS a1, avg({two}) AS a2, avg({y}) AS ay, stddev_pop({one}) AS d1, stddev_pop({two}) AS d2, covar_pop({one}, {two}) AS c12, covar_pop({one}, {y}) AS c1, covar_pop({two}, {y}) AS c2 "
+        f"FROM xd JOIN {name}_f f ON xd.day BETWEEN f.a AND f.b WHERE {both} AND {y} IS NOT NULL GROUP BY fold HAVING count(*) >= 100), "
+        f"{name}_b AS (SELECT *, ((n + 1.0) * {u} - {rho} * {v}) / {det} / d1 AS b1, {b2} AS b2 FROM {name}_s), "
+        f"{name}_p AS (SELECT xd.ticker, xd.date, b.fold, {y} AS target, xd.label, ay - b1 * a1 - b2 * a2 + b1 * {one} + b2 * {two} AS prediction FROM xd JOIN {name}_f f ON xd.day BETWEEN f.t0 AND f.t1 JOIN {name}_b b ON b.fold = f.fold WHERE {both})"
+    )
+
+
+def daily_ic(name: str) -> str:
+    """CTEs ending with <name>_i: the daily rank correlation of prediction and target of <name>_p."""
+    return (
+        f", {name}_k AS (SELECT *, {rank('prediction')} AS rx, {rank('target')} AS ry FROM {name}_p WHERE prediction IS NOT NULL AND target IS NOT NULL), "
+        f"{name}_i AS (SELECT date, CASE WHEN count(*) > 5 THEN covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) END AS ic FROM {name}_k GROUP BY date)"
+    )
+
+
+ORACLES["ml18_frozen_retraining"] = f"WITH {_LEARN}{ridge('w', ['m5', 'm21'], 'y', 126, 6)} SELECT ticker, date, fold, round(target, 6) + 0.0 AS target, round(prediction, 6) + 0.0 AS prediction FROM w_p"
+ORACLES["ml11_decayed_predictions"] = (
+    f"WITH {_LEARN}{ridge('w', ['m5', 'm21'], 'y', 63)}, q AS (SELECT ticker, list(prediction ORDER BY date) AS a FROM w_p GROUP BY ticker), c AS (SELECT ticker, date, count(*) OVER ({TICKER} ROWS UNBOUNDED PRECEDING) AS n FROM w_p) "
+    "SELECT c.ticker, c.date, round(list_reduce(a[1:n], lambda u, v: 0.7 * u + 0.3 * v), 6) + 0.0 AS smooth FROM c JOIN q USING (ticker)"
+)
+_ABLATED = {"none": ["m5", "m21"], "m5": ["m21"], "m21": ["m5"]}
+ORACLES["ml13_ablation"] = (
+    f"WITH {_LEARN}" + "".join(ridge(f"w_{k}", x, "y", 252) + daily_ic(f"w_{k}") for k, x in _ABLATED.items()) + " " + " UNION ALL ".join(f"SELECT '{k}' AS dropped, round(avg(ic), 5) + 0.0 AS mean_ic, count(ic) AS n FROM w_{k}_i" for k in _ABLATED)
+)
+ORACLES["ml17_three_classes"] = (
+    f"WITH {_LEARN.replace('nn AS', 'xl AS (SELECT *, (label = 0)::INT::DOUBLE AS is0, (label = 1)::INT::DOUBLE AS is1, (label = 2)::INT::DOUBLE AS is2 FROM xd), nn AS')}"
+    + "".join(ridge(f"w{c}", ["m5", "m21"], f"is{c}", 126).replace("FROM xd JOIN", "FROM xl AS xd JOIN") for c in range(3))
+    + ", j AS (SELECT a.fold, a.label, round(a.prediction, 9) AS p0, round(b.prediction, 9) AS p1, round(c.prediction, 9) AS p2 FROM w0_p a JOIN w1_p b ON a.ticker = b.ticker AND a.date = b.date AND a.fold = b.fold JOIN w2_p c ON a.ticker = c.ticker AND a.date = c.date AND a.fold = c.fold), "
+    "k AS (SELECT *, CASE WHEN p0 >= greatest(p0, p1, p2) THEN 0 WHEN p1 >= greatest(p0, p1, p2) THEN 1 ELSE 2 END AS got FROM j) SELECT fold, count(label) AS n, round(avg(CASE WHEN label IS NOT NULL THEN CASE WHEN got = label THEN 1.0 ELSE 0.0 END END), 5) + 0.0 AS accuracy FROM k GROUP BY fold"
+)
+
+# -- pairs ------------------------------------------------------------------------------------------------------
+
+_PAIRS = _LP_PAIR + ", pr AS (SELECT asset1 || '|' || asset2 AS pair, date, lp1, lp2, spread FROM s)"
+_NAMES = "split_part(pair, '|', 1) AS asset1, split_part(pair, '|', 2) AS asset2, date"
+_Z63 = "CASE WHEN count(spread) OVER w >= 63 THEN (spread - avg(spread) OVER w) / nullif(stddev_samp(spread) OVER w, 0) END"
+
+
+def _turned(pos: str) -> str:
+    return f"CASE WHEN r.z IS NULL THEN {pos} WHEN {pos} <> 0 THEN CASE WHEN abs(r.z) < 0.5 OR abs(r.z) > 4 THEN 0.0 ELSE {pos} END WHEN abs(r.z) > 2 AND abs(r.z) <= 4 THEN -sign(r.z) ELSE 0.0 END"
+
+
+ORACLES["bt18_pair_positions"] = recursive(
+    _PAIRS + f", zs AS (SELECT pair, date, {_Z63} AS z FROM pr WINDOW w AS (PARTITION BY pair ORDER BY date ROWS 62 PRECEDING))", "zs", {"position": f"CAST({_turned('0.0')} AS DOUBLE)"}, {"position": f"CAST({_turned('p.position')} AS DOUBLE)"}, "z",
+    f"SELECT {_NAMES}, round(z, 6) + 0.0 AS z, round(position, 6) + 0.0 AS position FROM k", "pair",
+)
+
+
+def _pair_step(a: str, b: str, c00: str, c01: str, c11: str) -> dict[str, str]:
+    c00, c11 = f"({c00} + 1e-5)", f"({c11} + 1e-5)"
+    h0, h1 = f"({c00} + r.lp2 * {c01})", f"({c01} + r.lp2 * {c11})"
+    err, var = f"(r.lp1 - ({a} + {b} * r.lp2))", f"({h0} + r.lp2 * {h1} + 1e-3)"
+    return {"a": f"{a} + {h0} / {var} * {err}", "b": f"{b} + {h1} / {var} * {err}", "c00": f"{c00} - {h0} / {var} * {h0}", "c01": f"{c01} - {h0} / {var} * {h1}", "c11": f"{c11} - {h1} / {var} * {h1}", "e": err}
+
+
+ORACLES["ss5_kalman_pairs"] = recursive(
+    _PAIRS, "pr", _pair_step("0.0", "0.0", "1.0", "0.0", "1.0"), _pair_step("p.a", "p.b", "p.c00", "p.c01", "p.c11"), "lp1 lp2",
+    f"SELECT {_NAMES}, round(a, 6) + 0.0 AS alpha, round(b, 6) + 0.0 AS beta, round(e, 6) + 0.0 AS error FROM k", "pair",
+)
+
+ORACLES["str2_online_smoothing"] = (
+    "WITH e AS (SELECT CAST(user_id AS VARCHAR) AS ticker, ts AS date, value FROM events), q AS (SELECT ticker, list(value ORDER BY date) FILTER (value IS NOT NULL) AS a FROM e GROUP BY ticker), "
+    "c AS (SELECT ticker, date, count(value) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS n FROM e) SELECT c.ticker, CAST(c.date AS TIMESTAMP) AS date, round(CASE WHEN n > 0 THEN list_reduce(a[1:n], lambda u, v: 0.7 * u + 0.3 * v) END, 6) + 0.0 AS smoothed FROM c LEFT JOIN q USING (ticker)"
+)
