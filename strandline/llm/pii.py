@@ -9,6 +9,8 @@ get equal pseudonyms in every document and different values never meet. What fai
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,49 +51,61 @@ WALK = 64
 _BLOCK = 256
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def feistel(values: Column, radixes: Column, key: str) -> Column:
     """Permute an array<bigint> of values below the radixes of the same array position."""
 
-    def one_round(v: Column, r: Column) -> Column:
-        other = F.array_join(F.transform(F.filter(v, lambda _, i: i % 2 != r % 2), lambda x: x.cast("string")), ",")
-        head = F.concat_ws("|", F.lit(key), r.cast("string"), F.array_join(F.transform(radixes, lambda x: x.cast("string")), ","), other)
+    def permuted(bounds: Column) -> Column:
+        def one_round(v: Column, r: Column) -> Column:
+            other = F.array_join(F.transform(F.filter(v, lambda _, i: i % 2 != r % 2), lambda x: x.cast("string")), ",")
+
+            def moved(head: Column) -> Column:
+                def step(x: Column, i: Column) -> Column:
+                    digest = F.sha2(F.concat_ws("|", head, i.cast("string")), 256)
+                    return F.when(i % 2 == r % 2, F.pmod(x + F.conv(F.substring(digest, 1, 14), 16, 10).cast("bigint"), F.get(bounds["r"], i))).otherwise(x)
+
+                return F.transform(v, step)
 
-        def step(x: Column, i: Column) -> Column:
-            digest = F.sha2(F.concat_ws("|", head, i.cast("string")), 256)
-            return F.when(i % 2 == r % 2, F.pmod(x + F.conv(F.substring(digest, 1, 14), 16, 10).cast("bigint"), F.get(radixes, i))).otherwise(x)
+            return let(F.concat_ws("|", F.lit(key), r.cast("string"), bounds["text"], other), moved)
 
-        return F.transform(v, step)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, one_round)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, one_round)
+    return let(F.struct(radixes.alias("r"), F.array_join(F.transform(radixes, lambda x: x.cast("string")), ",").alias("text")), permuted)
 
 
 def permute_text(text: Column, key: str, alphabet: str = "auto") -> Column:
     """Permute the ASCII digits and letters of a string, each within digits, small or capital letters
     (``hex``, ``HEX``: within 0-9a-f, 0-9A-F); all else stays in place."""
     kinds = {"hex": ["0123456789abcdef"], "HEX": ["0123456789ABCDEF"]}.get(alphabet) or ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
-    chars = F.split(text, "")
 
     def place(c: Column) -> Column:
-        out = F.struct(F.lit("").alias("set"), F.lit(0).cast("bigint").alias("v"))
-        for k in kinds:
-            at = F.instr(F.lit(k), c)
-            out = F.when((F.length(c) == 1) & (at > 0), F.struct(F.lit(k).alias("set"), (at - 1).cast("bigint").alias("v"))).otherwise(out)
+        out = F.struct(c.alias("c"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("v"))
+        for i, k in enumerate(kinds, 1):
+            out = F.when(F.lit(k).contains(c), F.struct(c.alias("c"), F.lit(i).alias("kind"), (F.instr(F.lit(k), c) - 1).cast("bigint").alias("v"))).otherwise(out)
         return out
 
-    placed = F.transform(chars, place)
-    moving = F.filter(placed, lambda p: p["set"] != "")
-    permuted = feistel(F.transform(moving, lambda p: p["v"]), F.transform(moving, lambda p: F.length(p["set"]).cast("bigint")), key)
-    # The permuted values travel in the accumulator, so they are computed once.
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), permuted.alias("v"))
+    def walked(placed: Column) -> Column:
+        moving = F.filter(placed, lambda p: p["kind"] > 0)
+        sizes = F.array(*(F.lit(len(k)).cast("bigint") for k in kinds))
+        permuted = feistel(F.transform(moving, lambda p: p["v"]), F.transform(moving, lambda p: F.get(sizes, p["kind"] - 1)), key)
+        letters = F.array(*map(F.lit, kinds))
 
-    def step(acc: Column, i: Column) -> Column:
-        p = F.get(placed, i)
-        fixed = p["set"] == ""
-        char = F.when(fixed, F.get(chars, i)).otherwise(F.substring(p["set"], F.get(acc["v"], acc["at"]).cast("int") + 1, F.lit(1)))
-        return F.struct(F.concat(acc["out"], char).alias("out"), (acc["at"] + F.when(fixed, 0).otherwise(1)).alias("at"), acc["v"].alias("v"))
+        def joined(v: Column) -> Column:
+            start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), start, step, lambda acc: acc["out"])
-    return F.when(F.length(text) == 0, text).otherwise(walked)
+            def step(acc: Column, p: Column) -> Column:
+                char = F.when(p["kind"] == 0, p["c"]).otherwise(F.substring(F.get(letters, p["kind"] - 1), F.get(v, acc["at"]).cast("int") + 1, F.lit(1)))
+                return F.struct(F.concat(acc["out"], char).alias("out"), (acc["at"] + F.when(p["kind"] == 0, 0).otherwise(1)).alias("at"))
+
+            return F.aggregate(placed, start, step, lambda acc: acc["out"])
+
+        return let(permuted, joined)
+
+    return F.when(F.length(text) == 0, text).otherwise(let(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), place), walked))
 
 
 def _digits(text: Column) -> Column:
@@ -108,20 +122,27 @@ def _luhn_digit(body: Column) -> Column:
 
 def _refill(shape: Column, digits: Column) -> Column:
     """Put digits in the places of the digits of ``shape``."""
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
-    def step(acc: Column, c: Column) -> Column:
-        is_digit = c.rlike("^[0-9]$")
-        return F.struct(F.concat(acc["out"], F.when(is_digit, F.substring(digits, acc["at"], F.lit(1))).otherwise(c)).alias("out"), (acc["at"] + F.when(is_digit, 1).otherwise(0)).alias("at"))
+    def filled(given: Column) -> Column:
+        start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+
+        def step(acc: Column, c: Column) -> Column:
+            is_digit = c.between("0", "9")
+            return F.struct(F.concat(acc["out"], F.when(is_digit, F.substring(given, acc["at"], F.lit(1))).otherwise(c)).alias("out"), (acc["at"] + F.when(is_digit, 1).otherwise(0)).alias("at"))
 
-    return F.aggregate(F.split(shape, ""), start, step, lambda acc: acc["out"])
+        return F.aggregate(F.split(shape, ""), start, step, lambda acc: acc["out"])
+
+    return let(digits, filled)
 
 
 def _card(m: Column, key: str) -> Column:
     """First digit kept, the others permuted, the check digit set anew; null unless the number passes Luhn."""
-    d = _digits(m)
-    body = F.concat(F.substring(d, 1, 1), permute_text(F.substring(d, F.lit(2), F.length(d) - 2), key + "/card"))
-    return F.when(F.call_function("luhn_check", d) & d.rlike("[1-9]"), _refill(m, F.concat(body, _luhn_digit(body))))
+
+    def made(d: Column) -> Column:
+        body = F.concat(F.substring(d, 1, 1), permute_text(F.substring(d, F.lit(2), F.length(d) - 2), key + "/card"))
+        return F.when(F.call_function("luhn_check", d) & d.rlike("[1-9]"), let(body, lambda b: _refill(m, F.concat(b, _luhn_digit(b)))))
+
+    return let(_digits(m), made)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -171,11 +192,17 @@ def _spaced(shape: Column, text: Column) -> Column:
 def _iban(m: Column, key: str) -> Column:
     """Country kept, account permuted, check digits set anew; null unless the number passes the mod-97 check.
     Grouped and compact spellings get the same pseudonym."""
-    shape, m = m, F.replace(m, F.lit(" "), F.lit(""))
-    country, account = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m) - 4)
-    moved = permute_text(account, key + "/iban/")
-    check = F.lpad((F.lit(98) - _iban_rest(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(_iban_rest(F.concat(account, F.substring(m, 1, 4))) == 1, _spaced(shape, F.concat(country, check, moved)))
+
+    def made(whole: Column) -> Column:
+        country, account = F.substring(whole, 1, 2), F.substring(whole, F.lit(5), F.length(whole) - 4)
+
+        def checked(moved: Column) -> Column:
+            check = F.lpad((F.lit(98) - _iban_rest(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0")
+            return _spaced(m, F.concat(country, check, moved))
+
+        return F.when(_iban_rest(F.concat(account, F.substring(whole, 1, 4))) == 1, let(permute_text(account, key + "/iban/"), checked))
+
+    return let(F.replace(m, F.lit(" "), F.lit("")), made)
 
 
 def _date(m: Column, key: str, pattern: str, late: bool = False) -> Column:
@@ -198,9 +225,12 @@ def _date(m: Column, key: str, pattern: str, late: bool = False) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     """North American form: country code kept, the other ten digits permuted. Otherwise the first two digits are kept."""
-    d = _digits(m)
-    code = F.when(m.rlike(r"^(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}$"), F.length(d) - 10).otherwise(2)
-    return _refill(m, F.concat(F.substring(d, F.lit(1), code), permute_text(F.substring(d, code + 1, F.length(d)), key + "/phone")))
+
+    def made(d: Column) -> Column:
+        code = F.when(m.rlike(r"^(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}$"), F.length(d) - 10).otherwise(2)
+        return let(code, lambda k: _refill(m, F.concat(F.substring(d, F.lit(1), k), permute_text(F.substring(d, k + 1, F.length(d)), key + "/phone"))))
+
+    return let(_digits(m), made)
 
 
 def _token(m: Column, key: str) -> Column:
