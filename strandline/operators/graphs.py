@@ -150,3 +150,21 @@ def spectrum(edges: DataFrame, top: int = 5, key: str = "ticker") -> DataFrame:
     ship(edges.sparkSession)
     return edges.select(key, "i", "j").groupBy(key).applyInPandas(run, f"{key} string, eigenvalues array<double>")
 
+
+
+def centralisation(edges: DataFrame, key: str = "ticker") -> DataFrame:
+    """(key, centralisation): how far the degrees lie below the largest, as a share of a star's."""
+    deg, n = degrees(edges, key), F.count(F.lit(1))
+    return deg.groupBy(key).agg(F.try_divide((n * F.max("degree") - F.sum("degree")).cast("double"), ((n - 1) * (n - 2)).cast("double")).alias("centralisation"))
+
+
+def power_law_fit(edges: DataFrame, key: str = "ticker", least: float = 2.0) -> DataFrame:
+    """(key, gamma, ks, slope): exponent of the degrees from ``least`` on by likelihood, the largest gap between their distribution and
+    the fitted one, and the exponent by regression of log shares on log degrees (2.5 with fewer than three degrees)."""
+    deg = degrees(edges, key).where(F.col("degree") >= least)
+    gamma = deg.groupBy(key).agg((1 + F.try_divide(F.count(F.lit(1)).cast("double"), F.sum(F.ln(F.col("degree") / (least - 0.5))))).alias("gamma"))
+    share = deg.groupBy(key, "degree").agg(F.count(F.lit(1)).alias("n")).withColumn("p", F.col("n") / F.sum("n").over(w.section(key)))
+    share = share.withColumn("cdf", F.sum("p").over(Window.partitionBy(key).orderBy("degree").rowsBetween(Window.unboundedPreceding, 0)))
+    gap = F.abs(F.col("cdf") - (1 - F.pow((F.col("degree") + 0.5) / (least - 0.5), 1 - F.col("gamma"))))
+    slope = F.when(F.count(F.lit(1)) >= 3, -F.regr_slope(F.ln("p"), F.ln("degree"))).otherwise(2.5)
+    return share.join(gamma, key).groupBy(key).agg(F.max("gamma").alias("gamma"), F.max(gap).alias("ks"), slope.alias("slope"))

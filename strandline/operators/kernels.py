@@ -223,3 +223,21 @@ def trailing_stop(ret: str, trail: float = 0.03, cooldown: int = 5) -> Callable[
         return out
 
     return f
+
+
+def portfolio_stops(ret: str, stop: float = 0.05, take: float = 0.1, cooldown: int = 5) -> Callable[[pd.DataFrame], np.ndarray]:
+    """Returns of a book that leaves the market for ``cooldown`` rows once it has lost ``stop`` or gained ``take`` since it last entered."""
+
+    def f(g: pd.DataFrame) -> np.ndarray:
+        out, value, rest = np.zeros(len(g)), 1.0, 0
+        for i, r in enumerate(values(g, ret)):
+            if rest:
+                rest -= 1
+                continue
+            out[i] = 0.0 if np.isnan(r) else r
+            value *= 1 + out[i]
+            if value - 1 <= -stop or value - 1 >= take:
+                value, rest = 1.0, cooldown
+        return out
+
+    return f

@@ -17,7 +17,7 @@ from strandline.operators import models as md
 from strandline.operators import stats as st
 from strandline.operators import trading as tr
 from strandline.operators import windows as w
-from strandline.plans.kernels import _HVG, _LP_PAIR, _streamed, learnable
+from strandline.plans.kernels import _DEG, _HVG, _LP_PAIR, _streamed, learnable
 from strandline.plans.recursions import _LEVEL, _LP, out, recursive
 from strandline.plans.registry import PX, R, TICKER, lagged, query, rank, roll, table_query
 from strandline.plans.research import _BOOK, _BOTH, _DAILY, _TOP, SIG, K, book, daily, signals
@@ -174,6 +174,16 @@ def _(p):
     )
 
 
+@query("gr9_centralisation", f"WITH {_HVG}{_DEG} SELECT ticker, round((count(*) * max(degree) - sum(degree)) / ((count(*) - 1.0) * (count(*) - 2)), 6) + 0.0 AS centralisation FROM g GROUP BY ticker")
+def _(p):
+    return gr.centralisation(gr.visibility_edges(p, "close", 10))
+
+
+@query("gr5_goodness_of_fit", f"WITH {_HVG}{_DEG}, f AS (SELECT ticker, 1 + count(*) / sum(ln(degree / 1.5)) AS gamma FROM g WHERE degree >= 2 GROUP BY 1), p AS (SELECT ticker, degree, count(*) / sum(count(*)) OVER (PARTITION BY ticker) AS p FROM g WHERE degree >= 2 GROUP BY 1, 2), c AS (SELECT *, sum(p) OVER (PARTITION BY ticker ORDER BY degree ROWS UNBOUNDED PRECEDING) AS cdf FROM p) SELECT ticker, round(max(gamma), 5) + 0.0 AS gamma, round(max(abs(cdf - (1 - pow((degree + 0.5) / 1.5, 1 - gamma)))), 5) + 0.0 AS ks, round(CASE WHEN count(*) >= 3 THEN -regr_slope(ln(p), ln(degree)) ELSE 2.5 END, 5) + 0.0 AS slope FROM c JOIN f USING (ticker) GROUP BY ticker", digits=5)
+def _(p):
+    return gr.power_law_fit(gr.visibility_edges(p, "close", 10))
+
+
 # -- signals, books, metrics ------------------------------------------------------------------------------------------
 
 
@@ -215,6 +225,20 @@ def _(p):
     return tr.backtest(dg.regime_sized(book(p), m, {"high": 0.5, "low": 1.0})).select("date", "gross", "turnover", "net")
 
 
+_GAIN1 = "(p.value * (1 + r.net))"
+_LEFT = f"({_GAIN1} - 1 <= -0.02 OR {_GAIN1} - 1 >= 0.05)"
+
+
+@query("bt13_stop_and_take", recursive(
+    _DAILY + ", one AS (SELECT 'equal' AS strategy, date, net FROM daily)", "one",
+    {"stopped": "net", "value": "CASE WHEN net <= -0.02 OR net >= 0.05 THEN 1.0 ELSE 1 + net END", "rest": "CASE WHEN net <= -0.02 OR net >= 0.05 THEN 5 ELSE 0 END"},
+    {"stopped": "CASE WHEN p.rest > 0 THEN 0.0 ELSE r.net END", "value": f"CASE WHEN p.rest > 0 THEN p.value WHEN {_LEFT} THEN 1.0 ELSE {_GAIN1} END", "rest": f"CASE WHEN p.rest > 0 THEN p.rest - 1 WHEN {_LEFT} THEN 5 ELSE 0 END"},
+    "net", "SELECT date, round(stopped, 6) + 0.0 AS stopped FROM k", "strategy"))
+def _(p):
+    d = daily(p).withColumn("strategy", F.lit("equal"))
+    return kn.along(d, {"stopped": kn.portfolio_stops("net", 0.02, 0.05)}, "strategy").select("date", "stopped")
+
+
 _CONVICTION = f", k1 AS (SELECT *, round({rank('signal')}, 9) - 0.5 AS o FROM g), o1 AS (SELECT *, CASE WHEN o >= 0.3 THEN o ELSE 0 END AS u, CASE WHEN o <= -0.3 THEN -o ELSE 0 END AS v FROM k1), c1 AS (SELECT *, 0.5 * coalesce(u / nullif(sum(u) OVER (PARTITION BY date), 0), 0) - 0.5 * coalesce(v / nullif(sum(v) OVER (PARTITION BY date), 0), 0) AS x FROM o1)"
 
 
