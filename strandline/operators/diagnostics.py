@@ -269,3 +269,17 @@ def alpha_beta(daily: DataFrame, r: str, market: str) -> DataFrame:
     b = F.try_divide(F.covar_samp(r, market), F.var_samp(market))
     gap = F.col(r) - F.col(market)
     return daily.dropna(subset=[r, market]).agg(F.count(F.lit(1)).alias("n"), b.alias("beta"), ((F.avg(r) - b * F.avg(market)) * YEAR).alias("alpha"), tr.safe_corr(r, market).alias("corr"), (F.stddev_samp(gap) * F.sqrt(F.lit(YEAR))).alias("tracking"), (F.try_divide(F.avg(gap), F.stddev_samp(gap)) * F.sqrt(F.lit(YEAR))).alias("info_ratio"))
+
+
+def blended(books: DataFrame, regimes: DataFrame, mix: dict[str, dict[str, float]], fallback: dict[str, float]) -> DataFrame:
+    """``books`` (ticker, date and a column of weights per book) with ``position``: the books mixed as the regime of the date before tells
+    (``fallback`` where there is none), scaled to a sum of |weights| of 1. ``regimes``: date, regime (one row a date)."""
+
+    def total(parts: dict[str, float]) -> Column:
+        return sum((v * F.coalesce(F.col(b), F.lit(0.0)) for b, v in parts.items()), F.lit(0.0))
+
+    before = regimes.select("date", F.lag("regime").over(Window.partitionBy(F.lit(1)).orderBy("date")).alias("_regime"))
+    position = total(fallback)
+    for name, parts in mix.items():
+        position = F.when(F.col("_regime") == name, total(parts)).otherwise(position)
+    return books.join(before, "date", "left").withColumn("_mixed", position).withColumn("position", tr.l1("_mixed")).drop("_mixed", "_regime")

@@ -225,6 +225,23 @@ def _(p):
     return tr.backtest(dg.regime_sized(book(p), m, {"high": 0.5, "low": 1.0})).select("date", "gross", "turnover", "net")
 
 
+_MIXED = (
+    SIG + _BOOK.replace(", k AS", ", k0 AS") + _TOP.replace("FROM k)", "FROM k0)") + ", m AS (SELECT date, avg(ret) AS mkt FROM g GROUP BY date), v AS (SELECT date, CASE WHEN count(mkt) OVER u >= 20 THEN stddev_samp(mkt) OVER u END AS vol FROM m WINDOW u AS (ORDER BY date ROWS 19 PRECEDING)), "
+    "z AS (SELECT date, lag(CASE WHEN vol > 0.5 THEN 'high' WHEN vol IS NOT NULL THEN 'low' END) OVER (ORDER BY date) AS regime FROM v), b AS (SELECT w.ticker, w.date, w.ret, pos, coalesce(l / nullif(sum(l) OVER (PARTITION BY date), 0), 0) AS lo, CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY date) AS eq FROM w), "
+    "x AS (SELECT b.ticker, b.date, ret, CASE regime WHEN 'high' THEN 0.5 * lo + 0.5 * eq WHEN 'low' THEN pos ELSE eq END AS x FROM b JOIN z USING (date)), n0 AS (SELECT *, coalesce(x / nullif(sum(abs(x)) OVER (PARTITION BY date), 0), 0) AS t FROM x)"
+)
+
+
+@query("bt21_regime_map", recursive(_MIXED, "n0", {"s": "CAST(t AS DOUBLE)"}, {"s": "0.5 * r.t + 0.5 * p.s"}, "ret t", f", w2 AS (SELECT ticker, date, ret, coalesce(s / nullif(sum(abs(s)) OVER (PARTITION BY date), 0), 0) AS pos FROM k){_BACKTEST.replace('FROM w)', 'FROM w2)').replace('coalesce(sum(d), 0)', '0.5 * coalesce(sum(d), 0)').replace(', d AS (', ', d2 AS (').replace('FROM d GROUP', 'FROM d2 GROUP')}{_NET}"))
+def _(p):
+    """Long-short after calm dates, a long-only book and equal weights after others, smoothed by half and scaled again."""
+    q = fe.add(signals(p), tr.top_bottom("signal")).withColumns({"eq": F.lit(1.0) / F.count(F.lit(1)).over(w.section()), "lo": F.coalesce(F.try_divide(F.col("_long"), F.sum("_long").over(w.section())), F.lit(0.0))}).withColumnRenamed("position", "ls")
+    m = fe.market(p).select("date", F.when(F.col("mkt_vol_20") > 0.5, "high").when(F.col("mkt_vol_20").isNotNull(), "low").alias("regime"))
+    target = dg.blended(q.select(*K, "ret", "ls", "lo", "eq"), m, {"high": {"lo": 0.5, "eq": 0.5}, "low": {"ls": 1.0}}, {"eq": 1.0})
+    smooth = kn.along(target.select(*K, "ret", "position"), {"s": kn.decay_smooth("position", 0.5)}).withColumn("position", tr.l1("s"))
+    return tr.backtest(smooth, turnover="half").select("date", "gross", "turnover", "net")
+
+
 _GAIN1 = "(p.value * (1 + r.net))"
 _LEFT = f"({_GAIN1} - 1 <= -0.02 OR {_GAIN1} - 1 >= 0.05)"
 
