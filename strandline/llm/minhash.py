@@ -163,7 +163,8 @@ class _Texts:
     reps: DataFrame  # node, doc_id, text_hash
 
     def sets(self, nodes: DataFrame, scheme: Scheme, longest: int | None = None) -> DataFrame:
-        """node and set (the sorted 64-bit hashes of its shingles, as bytes; null beyond ``longest``) of the nodes named."""
+        """node and set (the sorted 64-bit hashes of its shingles) of the nodes named: as an array, or, with ``longest``, as bytes that are null
+        beyond so many shingles."""
         wanted = self.reps.join(nodes, "node", "left_semi")
         if nodes.count() <= BROADCAST_IDS:
             wanted = F.broadcast(wanted)
@@ -172,11 +173,14 @@ class _Texts:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, "text", 2 << 20):
                 sets = shingle_sets(b.column("text"), scheme.k)
-                packs = [s.tobytes() if longest is None or len(s) <= longest else None for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(packs, pa.binary())], ["node", "set"])
+                if longest is None:
+                    column = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                else:
+                    column = pa.array([s.tobytes() if len(s) <= longest else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("node"), column], ["node", "set"])
 
         # A repeated row of a representative gives its set once.
-        return texts.mapInArrow(run, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
+        return texts.mapInArrow(run, f"node long, set {'array<long>' if longest is None else 'binary'}").groupBy("node").agg(F.first("set").alias("set"))
 
 
 def confirmed(pairs: DataFrame, texts: _Texts, scheme: Scheme) -> DataFrame:
@@ -185,17 +189,9 @@ def confirmed(pairs: DataFrame, texts: _Texts, scheme: Scheme) -> DataFrame:
     sets = cut(texts.sets(nodes, scheme))
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for piece in slices([b], "x", 8 << 20):
-                like = []
-                for x, y in zip(piece.column("x"), piece.column("y")):
-                    one, two = _unpacked(x.as_py()), _unpacked(y.as_py())
-                    shared = int(_overlaps(one, [two])[0])
-                    like.append(100 * shared >= scheme.percent * (len(one) + len(two) - shared))
-                yield pa.RecordBatch.from_arrays([piece.column("a").filter(pa.array(like, pa.bool_())), piece.column("b").filter(pa.array(like, pa.bool_()))], ["a", "b"])
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    # Row by row on the JVM: an Arrow batch of pairs of long sets would have no bound.
+    shared = F.size(F.array_intersect("x", "y")).alias("shared")
+    return both.select("a", "b", shared, F.size("x").alias("nx"), F.size("y").alias("ny")).where(f"100 * shared >= {scheme.percent} * (nx + ny - shared)").select("a", "b").distinct()
 
 
 def _unpacked(pack: bytes | None) -> np.ndarray | None:
