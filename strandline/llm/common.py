@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -39,6 +40,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: cuts the lineage and is read by column."""
+    folder = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+#: A key with more than this share of all rows is hot; so at most as many keys are hot, whatever the input.
+HOT_KEYS = 10_000
+
+
+def joined_back(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``groups``: one row per value of ``key`` (null a value like another), ``n`` its number of rows.
+
+    Groups of more than one ``HOT_KEYS``th of all rows are sent to every task, at most ``HOT_KEYS`` of them; all others are joined by
+    exchange, where no key holds more than that share. Both inputs should be materialised, as they are read twice.
+    """
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT_KEYS > total
+    other = groups.withColumnRenamed(key, "_of")
+    same = F.col(key).eqNullSafe(F.col("_of"))
+    large = F.broadcast(other.where(hot))
+    apart = rows.join(large.select("_of"), same, "left_anti").join(other.where(~hot), same)
+    return rows.join(large, same).unionByName(apart).drop("_of", "n")
+
+
 def crc_mod(col: str, modulus: int):
     """crc32 of the decimal text of an id, modulo ``modulus``."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % modulus

@@ -1,8 +1,7 @@
 """Vectorised words and shingles of Arrow text columns.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased. All work is done on the
-UTF-8 bytes with numpy; no Python string is made. Hashes are 64 bits wide: a random value per byte
-and position (tabulation times an odd power), then mixed.
+UTF-8 bytes with numpy; no Python string is made. Hashes are 64 bits wide.
 """
 
 from __future__ import annotations
@@ -13,12 +12,11 @@ import pyarrow.compute as pc
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
 _RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = 0x9E3779B97F4A7C15
-_STEP_INVERSE = pow(_STEP, -1, 1 << 64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_KEEP = np.array([0, *((1 << 8 * n) - 1 for n in range(1, 9))], np.uint64)  # the first n bytes of a block
 _PLACE = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes hashed at a time.
 WINDOW = 1 << 20
@@ -41,9 +39,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end) of each word, and for each text the number of its first word (one more entry at the end)."""
-    solid = ~_BLANK[raw]
+def word_spans(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) of each word, and for each text the number of its first word (one more entry at the end). ``apart``: bytes that part words."""
+    solid = ~apart[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     starts, ends = solid.copy(), solid.copy()
@@ -55,21 +53,26 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, equal words equal wherever they stand."""
+    """A 64-bit hash of each word, equal words equal wherever they stand.
+
+    Each block of eight bytes is mixed with a key of its place before the blocks are summed, so words of a regular build (complements, swapped
+    or shifted blocks) don't cancel out, as they do in a sum that is linear in the bytes.
+    """
+    low = np.zeros(len(raw) + 8, np.uint8)
+    low[:-8] = LOWER[raw]
+    eight = np.ndarray((len(raw) + 1,), "<u8", low, 0, (1,))  # the eight bytes from every place
     out, at = np.empty(len(starts), np.uint64), 0
     while at < len(starts):
         upto = max(at + 1, int(np.searchsorted(ends, starts[at] + WINDOW)))
-        base, span = starts[at], int(ends[upto - 1] - starts[at])
-        power = np.full(span + 1, _STEP, np.uint64)
-        power[0] = 1
-        inverse = np.full(span + 1, _STEP_INVERSE, np.uint64)
-        inverse[0] = 1
-        np.multiply.accumulate(power, out=power)
-        np.multiply.accumulate(inverse, out=inverse)
-        total = np.zeros(span + 1, np.uint64)
-        np.cumsum(_BYTE[_LOWER[raw[base : base + span]]] * power[:-1], out=total[1:])
-        s, e = starts[at:upto] - base, ends[at:upto] - base
-        out[at:upto] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
+        length = ends[at:upto] - starts[at:upto]
+        blocks = (length + 7) >> 3
+        first = np.cumsum(blocks) - blocks
+        place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+        values = eight[np.repeat(starts[at:upto], blocks) + 8 * place]
+        last = first + blocks - 1
+        values[last] &= _KEEP[length - 8 * (blocks - 1)]
+        summed = np.add.reduceat(mix(values ^ mix((place.astype(np.uint64) + np.uint64(1)) * _STEP)), first)
+        out[at:upto] = mix(summed + length.astype(np.uint64) * _STEP)
         at = upto
     return out
 
