@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, hamming_search, html, language, minhash, pieces, pii, resampling, shards, toxicity, urls
+from strandline.llm import decontaminate, hamming_search, html, language, minhash, pieces, pii, resampling, shards, toxicity, urls, vector_codes
 from strandline.llm.common import crc_mod, table
 
 URL_RULES = [urls.Rule("block", "net"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/")]
@@ -78,6 +78,46 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product code of every usable vector, its error and its label's, and the digest of the codebooks learnt on all of them."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _vector_codes_sql(rounds: int) -> str:
+    """Rounds of assignment and means as one chain of common table expressions."""
+    steps = [
+        """
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), parts AS MATERIALIZED (
+            SELECT row, vec_id, p, list_slice(v, p * len(v) // 8 + 1, (p + 1) * len(v) // 8) AS part FROM kept, range(8) AS t(p)
+        ), book0 AS MATERIALIZED (
+            SELECT p, e, part AS entry FROM parts JOIN (SELECT row, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 16) USING (row)
+        )"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} AS MATERIALIZED (
+            SELECT row, p, any_value(part) AS part, min(CAST(list_sum(list_transform(list_zip(part, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * 16 + e) AS best
+            FROM parts JOIN book{i} USING (p) GROUP BY row, p
+        )""")
+        if i < rounds:
+            steps.append(f"""mean{i} AS (
+            SELECT p, e, list(CAST(floor(CAST(total AS DOUBLE) / n) AS BIGINT) ORDER BY place) AS entry FROM (
+                SELECT p, best % 16 AS e, place, sum(part[place]) AS total, count(*) AS n FROM near{i}, range(1, (SELECT max(len(part)) + 1 FROM parts)) AS t(place) GROUP BY ALL
+            ) GROUP BY p, e
+        ), book{i + 1} AS MATERIALIZED (
+            SELECT p, e, coalesce(m.entry, b.entry) AS entry FROM book{i} b LEFT JOIN mean{i} m USING (p, e)
+        )""")
+    return ",".join(steps) + f""", coded AS (
+            SELECT row, string_agg(printf('%02x', best % 16), '' ORDER BY p) AS code, CAST(sum(best // 16) AS BIGINT) AS error FROM near{rounds} GROUP BY row
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+            (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+        FROM kept JOIN coded USING (row)
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_toxicity": op2_toxicity,
@@ -90,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_top_k_search": op9_top_k_search,
     "op10_sharding": op10_sharding,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
@@ -122,4 +163,5 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
     """,
+    "op12_vector_codes": _vector_codes_sql(6),
 }
