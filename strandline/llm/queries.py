@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, hamming_search, html, language, minhash, pieces, pii, resampling, shards, toxicity, urls, vector_codes
+from strandline.llm import decontaminate, hamming_search, html, language, minhash, pieces, pii, resampling, secret_scan, shards, toxicity, urls, vector_codes
 from strandline.llm.common import crc_mod, table
 
 URL_RULES = [urls.Rule("block", "net"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/")]
@@ -83,6 +83,19 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of the patterns, counted and digested, and all spans, those that the trained field adds included, of every whole text."""
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.find_secrets(docs, secret_scan.fit(docs))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "field")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count("field").alias("n_field"),
+    )
+
+
 def _vector_codes_sql(rounds: int) -> str:
     """Rounds of assignment and means as one chain of common table expressions."""
     steps = [
@@ -131,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_vector_codes": op12_vector_codes,
+    "op13_secret_scans": op13_secret_scans,
 }
 
 ORACLES: dict[str, str] = {
