@@ -66,6 +66,14 @@ def joined_back(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     return rows.join(large, same).unionByName(apart).drop("_of", "n")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` is named so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(col: str, modulus: int):
     """crc32 of the decimal text of an id, modulo ``modulus``."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % modulus

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut, ship, slices
+from strandline.llm.common import cut, fresh, ship, slices
 from strandline.llm.graph import components
 from strandline.llm.words import mix, shingle_sets
 
@@ -286,8 +286,9 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), text: str = "tex
 def without_copies(docs: DataFrame, scheme: Scheme = Scheme(), text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, but those that are not kept: of an id with several texts only the copies go.
     Rows with null ids and repeated rows of a kept document stay."""
-    gone = grouped(docs, scheme, text).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
-    here = (F.col("doc_id") == F.col("_gone_id")) & (F.xxhash64(text) == F.col("_gone_hash"))
+    one, other = fresh(docs, "_gone_id"), fresh(docs, "_gone_hash")
+    gone = grouped(docs, scheme, text).where("not kept").select(F.col("doc_id").alias(one), F.col("text_hash").alias(other)).distinct()
+    here = (F.col("doc_id") == F.col(one)) & (F.xxhash64(text) == F.col(other))
     return docs.join(gone, here, "left_anti")
 
 

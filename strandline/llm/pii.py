@@ -9,14 +9,32 @@ get equal pseudonyms in every document and different values never meet. What fai
 
 from __future__ import annotations
 
+import datetime
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm.common import fresh
+
 ROUNDS = 8
 #: Days permuted among themselves: blocks of 128 x 128 days from this date, so a date stays in its era.
 DATE_ORIGIN, DATE_SIDE = "1970-01-01", 128
+_FIRST_DAY, _LAST_DAY = ((d - datetime.date.fromisoformat(DATE_ORIGIN)).days for d in (datetime.date.min, datetime.date.max))
+
+
+def _radixes(days: int) -> tuple[int, int]:
+    """Two factors as near each other as may be."""
+    low = next(x for x in range(math.isqrt(days), 0, -1) if days % x == 0)
+    return low, days // low
+
+
+#: The blocks that the calendar (0001-01-01 to 9999-12-31) begins and ends in: their first day there, and radixes whose product is their number of days.
+_END_BLOCKS = {
+    _FIRST_DAY // DATE_SIDE**2: (_FIRST_DAY, _radixes(DATE_SIDE**2 - _FIRST_DAY % DATE_SIDE**2)),
+    _LAST_DAY // DATE_SIDE**2: (_LAST_DAY - _LAST_DAY % DATE_SIDE**2, _radixes(_LAST_DAY % DATE_SIDE**2 + 1)),
+}
 
 #: The part before the @ has at most 64 characters and a name at most 127 labels, so no text makes the matcher recurse deeply.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,63}"
@@ -208,19 +226,27 @@ def _iban(m: Column, key: str) -> Column:
 def _date(m: Column, key: str, pattern: str, late: bool = False) -> Column:
     """Days permuted within their block; ``late``: among the days after the 12th of a month, by permuting again until one is met."""
     day = F.datediff(F.to_date(F.try_to_timestamp(m, F.lit(pattern))), F.lit(DATE_ORIGIN).cast("date")).cast("bigint")
-    side, block = F.lit(DATE_SIDE).cast("bigint"), F.floor(day / F.lit(float(DATE_SIDE * DATE_SIDE))).cast("bigint")
-    within = day - block * side * side
+    block = F.floor(day / F.lit(float(DATE_SIDE * DATE_SIDE))).cast("bigint")
+    # The blocks at both ends of the calendar hold fewer days, so they have radixes of their own.
+    low, sides = block * DATE_SIDE * DATE_SIDE, F.array(*[F.lit(DATE_SIDE).cast("bigint")] * 2)
+    for edge, (start, radixes) in _END_BLOCKS.items():
+        low = F.when(block == edge, F.lit(start).cast("bigint")).otherwise(low)
+        sides = F.when(block == edge, F.array(*(F.lit(x).cast("bigint") for x in radixes))).otherwise(sides)
+
+    def made(at: Column) -> Column:
+        def shown(v: Column) -> Column:
+            return F.date_add(F.lit(DATE_ORIGIN).cast("date"), (at["low"] + v[0] * F.get(at["sides"], F.lit(1)) + v[1]).cast("int"))
 
-    def shown(v: Column) -> Column:
-        return F.date_add(F.lit(DATE_ORIGIN).cast("date"), (block * side * side + v[0] * side + v[1]).cast("int"))
+        def moved(v: Column) -> Column:
+            return feistel(v, at["sides"], key + "/date")
 
-    def moved(v: Column) -> Column:
-        return feistel(v, F.array(side, side), key + "/date")
+        side = F.get(at["sides"], F.lit(1))
+        out = moved(F.array(F.floor((at["day"] - at["low"]) / side.cast("double")).cast("bigint"), (at["day"] - at["low"]) % side))
+        if late:
+            out = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), out, lambda v, _: F.when(F.dayofmonth(shown(v)) > 12, v).otherwise(moved(v)))
+        return F.aggregate(F.array(out), F.lit(None).cast("string"), lambda _, v: F.date_format(shown(v), pattern))
 
-    out = moved(F.array(F.floor(within / F.lit(float(DATE_SIDE))).cast("bigint"), within % side))
-    if late:
-        out = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), out, lambda v, _: F.when(F.dayofmonth(shown(v)) > 12, v).otherwise(moved(v)))
-    return F.aggregate(F.array(out), F.lit(None).cast("string"), lambda _, v: F.date_format(shown(v), pattern))
+    return F.when((day >= _FIRST_DAY) & (day <= _LAST_DAY), let(F.struct(day.alias("day"), low.alias("low"), sides.alias("sides")), made))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -271,13 +297,6 @@ def key_of(spark: SparkSession) -> str:
     return spark.conf.get("spark.strandline.pii.key", "strandline")
 
 
-def _fresh(df: DataFrame, name: str) -> str:
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", findings: str = "pii") -> DataFrame:
     """``docs`` with its text pseudonymised, and ``findings``: array of (kind, start, length, replaced).
 
@@ -290,7 +309,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", findings: str =
     """
     t = F.col(text)
     marked = F.regexp_replace(F.replace(t, F.lit(_MARK[0]), F.lit(_GUARD)), ANY, f"{_MARK}$0{_MARK}")
-    parts, found = _fresh(docs, "_parts"), _fresh(docs, "_found")
+    parts, found = fresh(docs, "_parts"), fresh(docs, "_found")
     # One pass of the patterns: the text is cut at both ends of its findings, which take every second place.
     work = docs.withColumn(parts, F.when(t.rlike(GATE), F.split(marked, _MARK)))
     named = F.transform(F.filter(parts, lambda _, i: i % 2 == 1), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut, joined_back, ship, slices, written
+from strandline.llm.common import cut, fresh, joined_back, ship, slices, written
 from strandline.llm.crc import crc_of_spans, shifted, zero_byte
 from strandline.llm.words import LOWER, text_bytes, word_spans
 
@@ -152,6 +152,7 @@ def _placed(scored: DataFrame, order: list, percent: int) -> DataFrame:
 
 def drawn(docs: DataFrame, target: DataFrame, scheme: Scheme = Scheme(), text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are drawn, all columns, with no order. Rows equal in doc_id and text are drawn together."""
-    chosen = resample(docs, target, scheme, text, digest=True).where("rank is not null").select(F.col("doc_id").alias("_drawn_id"), F.col("digest").alias("_drawn_digest"))
-    here = F.col("doc_id").eqNullSafe(F.col("_drawn_id")) & (_digest(text) == F.col("_drawn_digest"))
+    one, other = fresh(docs, "_drawn_id"), fresh(docs, "_drawn_digest")
+    chosen = resample(docs, target, scheme, text, digest=True).where("rank is not null").select(F.col("doc_id").alias(one), F.col("digest").alias(other))
+    here = F.col("doc_id").eqNullSafe(F.col(one)) & (_digest(text) == F.col(other))
     return docs.join(chosen, here, "left_semi")

@@ -155,3 +155,30 @@ def test_links_just_at_the_threshold_are_found():
 def test_ids_of_another_type(spark):
     df = spark.createDataFrame([("b", "one two three four"), ("a", "one two three four"), ("c", "else")], "doc_id string, text string")
     assert sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()) == [("a", "a", True), ("b", "a", False), ("c", "c", True)]
+
+
+def test_words_of_regular_build_stay_apart(spark):
+    """Words made of two letters in the order of the parity of ones, and their complements, share no shingle."""
+    import numpy as np
+    import pyarrow as pa
+
+    from strandline.llm.words import hash_words, text_bytes, word_spans
+
+    order = [bin(i).count("1") % 2 for i in range(1 << 14)]
+    rows = []
+    for n in (1 << 5, 1 << 8, 1 << 10, 1 << 14):
+        rows += [(2 * n, "x y " + "".join("ab"[i] for i in order[:n])), (2 * n + 1, "x y " + "".join("ba"[i] for i in order[:n]))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id and r.kept for r in got)
+    rng = np.random.default_rng(1)
+    block = ["".join(rng.choice(list("ab"), 8)) for _ in range(60)]
+    words = {"".join(block[i] for i in rng.permutation(12)) for _ in range(30_000)} | {"".join(rng.choice(list("ab"), n)) for n in range(1, 40) for _ in range(300)}
+    raw, offsets = text_bytes(pa.array([" ".join(words)]))
+    starts, ends, _ = word_spans(raw, offsets)
+    assert len(np.unique(hash_words(raw, starts, ends))) == len(words)
+
+
+def test_columns_named_as_the_work_columns_of_copies_stay(spark):
+    df = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "other words here")], "doc_id long, text string").selectExpr("*", "7 AS _gone_id", "8 AS _gone_hash")
+    got = minhash.without_copies(df)
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]

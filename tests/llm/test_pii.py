@@ -146,3 +146,18 @@ def test_columns_named_as_the_work_columns_stay(spark):
     df = spark.createDataFrame([(1, "a@b.com", 5, 6)], "doc_id long, text string, _parts int, _found int")
     got = pii.pseudonymise(df, "k").first()
     assert (got._parts, got._found, len(got.pii)) == (5, 6, 1)
+
+
+def test_dates_at_both_ends_of_the_calendar(spark):
+    """The first and last 200 days keep their form and are permuted within the calendar; the year 0000 is none of it."""
+    days = [datetime.date.min + datetime.timedelta(i) for i in range(200)] + [datetime.date.max - datetime.timedelta(i) for i in range(200)]
+    iso, dotted = [d.isoformat() for d in days], [f"{d.day:02}.{d.month:02}.{d.year:04}" for d in days]
+    got = [t for t, _ in run(spark, iso + dotted)]
+    assert all(datetime.date.fromisoformat(t) for t in got[:400]) and len(set(got[:400])) == 400
+    assert [datetime.datetime.strptime(t, "%d.%m.%Y").date().isoformat() for t in got[400:]] == got[:400]
+    late = [f"{d.day}/{d.month:02}/{d.year:04}" for d in days if d.day > 12]
+    out = [t for t, _ in run(spark, late)]
+    assert len(set(out)) == len(out) and all(datetime.datetime.strptime(t, "%d/%m/%Y").day > 12 for t in out)
+    assert [t for t, _ in run(spark, ["0000-05-05"])] == ["0000-05-05"]
+    last = [(datetime.date(9999, 7, 24) + datetime.timedelta(i)).isoformat() for i in range(161)]
+    assert sorted(t for t, _ in run(spark, last)) == last
