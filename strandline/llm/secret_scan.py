@@ -382,8 +382,11 @@ def train(windows: list[str], seed: int = 17, epochs: int = EPOCHS) -> Field:
 
 
 def fit(docs: DataFrame, windows: int = FIT_WINDOWS, text: str = "text") -> Field:
-    """A field trained on one window of each of at most ``windows`` documents, those of the smallest hashes of id and text."""
-    keyed = docs.where(F.length(text) > 0).select(F.xxhash64("doc_id", text).alias("h"), F.col(text).alias("text"))
+    """A field trained on one window of each of at most ``windows`` documents, those of the smallest hashes of id and text among every nth hash,
+    where n leaves about four times as many: so a task hands on few windows, however many tasks there are."""
+    every = docs.count() // (4 * windows) + 1
+    hashed = docs.where(F.length(text) > 0).select(F.xxhash64("doc_id", text).alias("h"), F.col(text).alias("text"))
+    keyed = hashed.where(F.pmod("h", F.lit(every)) == 0).withColumn("h", F.xxhash64("h"))
     room = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
     rows = keyed.select("h", F.substring("text", (F.pmod(F.col("h"), room) + 1).cast("int"), F.lit(WINDOW)).alias("window")).orderBy("h", "window").limit(windows)
     return train([r.window for r in rows.collect()])
