@@ -1,6 +1,11 @@
 """Visibility graphs of series, as edge tables.
 
-An edge of a window's graph depends only on the points between its ends, so the graph of every window is
+Whole series: in a horizontal graph the partners of a row are the next row at least as high and the last one before that is, so
+its edges are two look-ups a row. They are found in chunks of rows; what sees beyond a chunk are its records (rows higher than all
+before, or after, them in the chunk), few as a rule, and the graph of the records alone gives the edges between chunks. In a natural
+graph a row sees, to its right, rows below it up to the next one as high, and then rows of the chain of ever higher ones.
+
+Windows: an edge of a window's graph depends only on the points between its ends, so the graph of every window is
 the induced part of one edge table per series: edges of at most ``span`` rows apart are found once, and a
 window's statistics are joins and counts over them. Within a series each point looks ahead at most ``span``
 rows, so the work per point is bounded and no pair of distant points is formed.
@@ -10,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +23,102 @@ from strandline.functions.shipping import ship
 from strandline.operators import windows as w
 
 
+#: Rows of a chunk of a series whose horizontal edges one task finds.
+CHUNK = 65_536
+
+
+def _numbered(df: DataFrame, x: str, key: str, time: str) -> DataFrame:
+    rows = df.where(F.col(x).isNotNull()).select(F.col(key).alias("key"), F.col(time).alias("t"), F.col(x).cast("double").alias("x"))
+    return rows.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("t")) - 1)
+
+
+def next_as_high(x: np.ndarray) -> np.ndarray:
+    """For each value the place of the next one that is at least as high, or the length: by maxima of spans of 2 ** k values."""
+    n = len(x)
+    spans = [np.append(x, np.inf)]
+    while 1 << len(spans) <= n:
+        half = 1 << (len(spans) - 1)
+        last = spans[-1]
+        spans.append(np.maximum(last, np.append(last[half:], np.full(half, np.inf))))
+    at = np.arange(1, n + 1)
+    for k in range(len(spans) - 1, -1, -1):
+        lower = spans[k][np.minimum(at, n)] < x
+        at[lower] += 1 << k
+    return np.minimum(at, n)
+
+
+def _horizontal(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends (i, j) of the edges of a whole series, i < j."""
+    n, at = len(x), np.arange(len(x))
+    after, before = next_as_high(x), n - 1 - next_as_high(x[::-1])[::-1]
+    one, two = after < n, before >= 0
+    both = np.unique(np.concatenate([at[one] * n + after[one], before[two] * n + at[two]]))
+    return both // max(n, 1), both % max(n, 1)
+
+
+def _natural(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the natural graph's edges: from all rows at once, a step further in each round."""
+    n = len(x)
+    high = next_as_high(x)
+    left, right = [], []
+
+    def seen(i: np.ndarray, j: np.ndarray, top: np.ndarray) -> np.ndarray:
+        slope = (x[j] - x[i]) / (j - i)
+        sees = slope > top[i]
+        left.append(i[sees])
+        right.append(j[sees])
+        top[i[sees]] = slope[sees]
+        return i
+
+    top, i, d = np.full(n, -np.inf), np.arange(n), 1
+    while len(i := i[i + d < high[i]]):  # rows below i
+        seen(i, i + d, top)
+        d += 1
+    i, j = np.arange(n), high
+    while len(i):
+        i, j = i[j < n], j[j < n]
+        seen(i, j, top)
+        j = high[j]
+    return np.concatenate(left) if left else np.zeros(0, np.int64), np.concatenate(right) if right else np.zeros(0, np.int64)
+
+
+def _edge_table(rows: DataFrame, by: tuple[str, ...], find, across: str | None = None) -> DataFrame:
+    """The edges that ``find`` sees among the values of each group; with ``across``, those alone whose ends differ in that column."""
+    ship(rows.sparkSession)
+    types = dict(rows.dtypes)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("i")
+        i, j = find(t.column("x").to_numpy())
+        if across:
+            of = t.column(across).to_numpy()
+            apart = of[i] != of[j]
+            i, j = i[apart], j[apart]
+        at = t.column("i").to_numpy().astype(np.int32)
+        i, j = pa.array(i, pa.int64()), pa.array(j, pa.int64())
+        return pa.table({"key": t.column("key").take(i), "i": pa.array(at).take(i), "j": pa.array(at).take(j), "ti": t.column("t").take(i), "tj": t.column("t").take(j)})
+
+    return rows.groupBy(*by).applyInArrow(run, f"key {types['key']}, i int, j int, ti {types['t']}, tj {types['t']}")
+
+
+def horizontal_edges(df: DataFrame, x: str, key: str = "ticker", time: str = "date", chunk: int | None = None) -> DataFrame:
+    """(key, i, j, ti, tj) of the whole series: every value between the ends lies below both. Nulls are left out before rows are numbered.
+
+    Only records of the chunks meet in one task per series: few, but for a trend without a pause, all of whose rows are records.
+    """
+    rows = _numbered(df, x, key, time).withColumn("chunk", F.floor(F.col("i") / (chunk or CHUNK)))
+    order = Window.partitionBy("key", "chunk").orderBy("i")
+    higher = [F.coalesce(F.col("x") > F.max("x").over(order.rowsBetween(*frame)), F.lit(True)) for frame in ((Window.unboundedPreceding, -1), (1, Window.unboundedFollowing))]
+    records = rows.withColumn("chunks", F.max("chunk").over(Window.partitionBy("key"))).where("chunks > 0").withColumns({"first": higher[0], "last": higher[1]}).where("first or last")
+    edges = _edge_table(rows, ("key", "chunk"), _horizontal).unionAll(_edge_table(records.select("key", "t", "x", "i", "chunk"), ("key",), _horizontal, "chunk"))
+    return edges.withColumnRenamed("key", key)
+
+
+def natural_edges(df: DataFrame, x: str, key: str = "ticker", time: str = "date") -> DataFrame:
+    """(key, i, j, ti, tj) of the whole series: every point between the ends lies below their line. A series is one task, with memory for it and its edges."""
+    return _edge_table(_numbered(df, x, key, time), ("key",), _natural).withColumnRenamed("key", key)
+
+
 def visibility_edges(df: DataFrame, x: str, span: int, horizontal: bool = True, key: str = "ticker", time: str = "date") -> DataFrame:
     """(key, i, j, ti, tj): ends of an edge see each other, i < j, at most ``span`` - 1 rows apart.
 
@@ -93,6 +195,10 @@ def rolling_features(df: DataFrame, x: str, window: int, key: str = "ticker", ti
     return rows.where(F.col("end") >= window - 1).join(counts, [key, "end"]).select(key, time, "edges", (2.0 * F.col("edges") / window).alias("degree_mean"), (2.0 * F.col("edges") / (window * (window - 1))).alias("density"))
 
 
+#: Sources of a breadth-first search at a time, a multiple of 64.
+SOURCES = 1_024
+
+
 def path_lengths(edges: DataFrame, key: str = "ticker") -> DataFrame:
     """(key, mean_path, diameter) of each series' whole graph, by breadth-first search from all nodes at once:
     per node a bit set of the sources that reach it, so a level is one pass over the edges."""
@@ -106,21 +212,23 @@ def path_lengths(edges: DataFrame, key: str = "ticker") -> DataFrame:
         to, other = to[order], other[order]
         turn = np.arange(len(to)) - np.searchsorted(to, to)
         sides = [(to[turn == k], other[turn == k]) for k in range(turn.max() + 1)]  # every node's k-th neighbour
-        at = np.arange(len(nodes))
-        reach = np.zeros((len(nodes), len(nodes) // 64 + 1), np.uint64)
-        reach[at, at // 64] = np.uint64(1) << (at % 64).astype(np.uint64)
-        total = far = 0
-        known = len(nodes)
-        while True:
-            before = reach.copy()
-            for x, y in sides:
-                reach[x] |= before[y]
-            now = int(np.bitwise_count(reach).sum(dtype=np.int64))
-            if now == known:
-                break
-            far += 1
-            total, known = total + far * (now - known), now
-        return pd.DataFrame({key: [g[key].iloc[0]], "mean_path": [total / max(known - len(nodes), 1)], "diameter": [far]})
+        total = far = pairs = 0
+        for begin in range(0, len(nodes), SOURCES):  # sources at a time
+            at = np.arange(begin, min(begin + SOURCES, len(nodes)))
+            reach = np.zeros((len(nodes), SOURCES // 64), np.uint64)
+            reach[at, (at - begin) // 64] = np.uint64(1) << ((at - begin) % 64).astype(np.uint64)
+            known, level = len(at), 0
+            while True:
+                before = reach.copy()
+                for x, y in sides:
+                    reach[x] |= before[y]
+                now = int(np.bitwise_count(reach).sum(dtype=np.int64))
+                if now == known:
+                    break
+                level += 1
+                total, known = total + level * (now - known), now
+            far, pairs = max(far, level), pairs + known - len(at)
+        return pd.DataFrame({key: [g[key].iloc[0]], "mean_path": [total / max(pairs, 1)], "diameter": [far]})
 
     ship(edges.sparkSession)
     return edges.select(key, "i", "j").groupBy(key).applyInPandas(run, f"{key} string, mean_path double, diameter long")
@@ -138,20 +246,42 @@ def market_state(density: str, low: float, high: float):
     return F.when(F.col(density) < low, "trending").when(F.col(density) > high, "noisy").otherwise("mixed")
 
 
+#: Nodes up to which a spectrum is solved densely.
+DENSE = 400
+
+
+def largest_eigenvalues(i: np.ndarray, j: np.ndarray, n: int, top: int) -> np.ndarray:
+    """Of the adjacency of a graph by its edges, largest first: beyond ``DENSE`` nodes by Lanczos steps, each orthogonal to all before, until the wanted ones stand."""
+    if n <= DENSE:
+        a = np.zeros((n, n))
+        a[i, j] = a[j, i] = 1
+        return np.linalg.eigvalsh(a)[::-1][:top]
+    q = np.random.default_rng(11).normal(size=n)
+    basis, diagonal, beside = [q / np.linalg.norm(q)], [], []
+    while True:
+        v = np.bincount(i, basis[-1][j], n) + np.bincount(j, basis[-1][i], n)
+        diagonal.append(float(v @ basis[-1]))
+        whole = np.array(basis)
+        for _ in range(2):
+            v -= whole.T @ (whole @ v)
+        beside.append(float(np.linalg.norm(v)))
+        if len(basis) % 20 == 0 or len(basis) == n or beside[-1] < 1e-12:
+            values, vectors = np.linalg.eigh(np.diag(diagonal) + np.diag(beside[:-1], 1) + np.diag(beside[:-1], -1))
+            if len(basis) == n or beside[-1] < 1e-12 or len(basis) > 2 * top and (np.abs(vectors[-1, -top:]) * beside[-1]).max() < 1e-9:
+                return values[::-1][:top]
+        basis.append(v / beside[-1])
+
+
 def spectrum(edges: DataFrame, top: int = 5, key: str = "ticker") -> DataFrame:
     """(key, eigenvalues) of the adjacency of each series' whole graph, largest first."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        n = int(g.j.max()) + 1
-        a = np.zeros((n, n))
-        a[g.i, g.j] = a[g.j, g.i] = 1
-        return pd.DataFrame({key: [g[key].iloc[0]], "eigenvalues": [np.linalg.eigvalsh(a)[::-1][:top].round(6).tolist()]})
+        return pd.DataFrame({key: [g[key].iloc[0]], "eigenvalues": [largest_eigenvalues(g.i.to_numpy(), g.j.to_numpy(), int(g.j.max()) + 1, top).round(6).tolist()]})
 
     ship(edges.sparkSession)
     return edges.select(key, "i", "j").groupBy(key).applyInPandas(run, f"{key} string, eigenvalues array<double>")
 
 
-
 def centralisation(edges: DataFrame, key: str = "ticker") -> DataFrame:
     """(key, centralisation): how far the degrees lie below the largest, as a share of a star's."""
     deg, n = degrees(edges, key), F.count(F.lit(1))

@@ -169,19 +169,19 @@ def _(p):
 @query("gr3_validation", f"WITH {_HVG}, n2 AS (SELECT ticker, count(*) AS nodes FROM n GROUP BY 1) SELECT e.ticker, max(nodes) AS nodes, count(*) AS edges, count(*) FILTER (j = i + 1) = max(nodes) - 1 AS connected, count(*) <= 2 * max(nodes) - 3 AS planar_bound, bool_and(i < j) AS ordered FROM e JOIN n2 ON n2.ticker = e.ticker GROUP BY 1")
 def _(p):
     nodes = p.groupBy("ticker").agg(F.count("close").alias("nodes"))
-    return gr.visibility_edges(p, "close", 10).join(nodes, "ticker").groupBy("ticker").agg(
+    return gr.horizontal_edges(p, "close").join(nodes, "ticker").groupBy("ticker").agg(
         F.max("nodes").alias("nodes"), F.count(F.lit(1)).alias("edges"), (F.count_if(F.col("j") == F.col("i") + 1) == F.max("nodes") - 1).alias("connected"), (F.count(F.lit(1)) <= 2 * F.max("nodes") - 3).alias("planar_bound"), F.bool_and(F.col("i") < F.col("j")).alias("ordered")
     )
 
 
 @query("gr9_centralisation", f"WITH {_HVG}{_DEG} SELECT ticker, round((count(*) * max(degree) - sum(degree)) / ((count(*) - 1.0) * (count(*) - 2)), 6) + 0.0 AS centralisation FROM g GROUP BY ticker")
 def _(p):
-    return gr.centralisation(gr.visibility_edges(p, "close", 10))
+    return gr.centralisation(gr.horizontal_edges(p, "close"))
 
 
 @query("gr5_goodness_of_fit", f"WITH {_HVG}{_DEG}, f AS (SELECT ticker, 1 + count(*) / sum(ln(degree / 1.5)) AS gamma FROM g WHERE degree >= 2 GROUP BY 1), p AS (SELECT ticker, degree, count(*) / sum(count(*)) OVER (PARTITION BY ticker) AS p FROM g WHERE degree >= 2 GROUP BY 1, 2), c AS (SELECT *, sum(p) OVER (PARTITION BY ticker ORDER BY degree ROWS UNBOUNDED PRECEDING) AS cdf FROM p) SELECT ticker, round(max(gamma), 5) + 0.0 AS gamma, round(max(abs(cdf - (1 - pow((degree + 0.5) / 1.5, 1 - gamma)))), 5) + 0.0 AS ks, round(CASE WHEN count(*) >= 3 THEN -regr_slope(ln(p), ln(degree)) ELSE 2.5 END, 5) + 0.0 AS slope FROM c JOIN f USING (ticker) GROUP BY ticker", digits=5)
 def _(p):
-    return gr.power_law_fit(gr.visibility_edges(p, "close", 10))
+    return gr.power_law_fit(gr.horizontal_edges(p, "close"))
 
 
 # -- signals, books, metrics ------------------------------------------------------------------------------------------

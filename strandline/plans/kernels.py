@@ -101,48 +101,50 @@ def _(p):
 # -- graphs ------------------------------------------------------------------------------------------------
 
 _N = PX + ", n AS (SELECT ticker, date, close AS x, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i FROM px)"
-_HVG = _N + ", e AS (SELECT a.ticker, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, a.date AS ti, b.date AS tj FROM n a JOIN n b ON a.ticker = b.ticker AND b.i BETWEEN a.i + 1 AND a.i + 9 WHERE NOT EXISTS (SELECT 1 FROM n k WHERE k.ticker = a.ticker AND k.i > a.i AND k.i < b.i AND k.x >= least(a.x, b.x)))"
+_HVG = _N + """, e AS (SELECT *, ta AS ti, tb AS tj FROM (
+    SELECT a.ticker, CAST(a.i AS INTEGER) AS i, CAST(min(b.i) AS INTEGER) AS j, any_value(a.date) AS ta, arg_min(b.date, b.i) AS tb FROM n a JOIN n b ON a.ticker = b.ticker AND b.i > a.i AND b.x >= a.x GROUP BY a.ticker, a.i
+    UNION SELECT b.ticker, CAST(max(a.i) AS INTEGER), CAST(b.i AS INTEGER), arg_max(a.date, a.i), any_value(b.date) FROM n a JOIN n b ON a.ticker = b.ticker AND b.i > a.i AND a.x >= b.x GROUP BY b.ticker, b.i))"""
 _DEG = ", g AS (SELECT ticker, node, count(*) AS degree FROM (SELECT ticker, i AS node FROM e UNION ALL SELECT ticker, j FROM e) GROUP BY 1, 2)"
 
 
 @query("gr1_horizontal_edges", f"WITH {_HVG} SELECT ticker, i, j, ti, tj FROM e")
 def _(p):
-    return gr.visibility_edges(p, "close", 10)
+    return gr.horizontal_edges(p, "close")
 
 
-@query("gr1_natural_edges", f"WITH {_N} SELECT a.ticker, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, a.date AS ti, b.date AS tj FROM n a JOIN n b ON a.ticker = b.ticker AND b.i BETWEEN a.i + 1 AND a.i + 9 WHERE NOT EXISTS (SELECT 1 FROM n k WHERE k.ticker = a.ticker AND k.i > a.i AND k.i < b.i AND (k.x - a.x) / (k.i - a.i) >= (b.x - a.x) / (b.i - a.i))")
+@query("gr1_natural_edges", f"WITH {_N}, pairs AS (SELECT a.ticker, a.i, b.i AS j, a.date AS ti, b.date AS tj, (b.x - a.x) / (b.i - a.i) AS slope FROM n a JOIN n b ON a.ticker = b.ticker AND b.i > a.i), top AS (SELECT *, max(slope) OVER (PARTITION BY ticker, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM pairs) SELECT ticker, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, ti, tj FROM top WHERE top IS NULL OR slope > top")
 def _(p):
-    return gr.visibility_edges(p, "close", 10, horizontal=False)
+    return gr.natural_edges(p, "close")
 
 
 @query("gr2_weighted_edges", f"WITH {_HVG} SELECT e.ticker, e.i, e.j, round(atan2(b.x - a.x, e.j - e.i), 6) + 0.0 AS weight FROM e JOIN n a ON a.ticker = e.ticker AND a.i = e.i JOIN n b ON b.ticker = e.ticker AND b.i = e.j")
 def _(p):
-    return gr.weighted(gr.visibility_edges(p, "close", 10), p, "close").select("ticker", "i", "j", "weight")
+    return gr.weighted(gr.horizontal_edges(p, "close"), p, "close").select("ticker", "i", "j", "weight")
 
 
 @query("gr3_degrees", f"WITH {_HVG}{_DEG} SELECT ticker, node, degree FROM g")
 def _(p):
-    return gr.degrees(gr.visibility_edges(p, "close", 10))
+    return gr.degrees(gr.horizontal_edges(p, "close"))
 
 
 @query("gr4_degree_statistics", f"WITH {_HVG}{_DEG}, p AS (SELECT ticker, degree, count(*) / sum(count(*)) OVER (PARTITION BY ticker) AS p FROM g GROUP BY 1, 2), h AS (SELECT ticker, -sum(p * log2(p + 1e-10)) AS degree_entropy FROM p GROUP BY 1), s AS (SELECT ticker, count(*) AS num_nodes, CAST(sum(degree) / 2 AS BIGINT) AS num_edges, avg(degree) AS degree_mean, stddev_pop(degree) AS degree_std, max(degree) AS degree_max, 1 + count(*) / sum(ln(degree / 0.5)) AS gamma FROM g GROUP BY 1) SELECT s.ticker, num_nodes, num_edges, round(degree_mean, 6) + 0.0 AS degree_mean, round(degree_std, 6) + 0.0 AS degree_std, degree_max, round(gamma, 6) + 0.0 AS gamma, round(2.0 * num_edges / (num_nodes * (num_nodes - 1)), 6) + 0.0 AS density, round(degree_entropy, 6) + 0.0 AS degree_entropy FROM s JOIN h USING (ticker)")
 def _(p):
-    return gr.degree_statistics(gr.visibility_edges(p, "close", 10)).drop("degree_skew")
+    return gr.degree_statistics(gr.horizontal_edges(p, "close")).drop("degree_skew")
 
 
 @query("gr6_clustering", f"WITH {_HVG}{_DEG}, t AS (SELECT a.ticker, a.i AS p, a.j AS q, b.j AS r FROM e a JOIN e b ON a.ticker = b.ticker AND a.j = b.i JOIN e c ON c.ticker = a.ticker AND c.i = a.i AND c.j = b.j), v AS (SELECT ticker, node, count(*) AS t FROM (SELECT ticker, unnest([p, q, r]) AS node FROM t) GROUP BY 1, 2), l AS (SELECT g.ticker, coalesce(v.t, 0) AS t, degree FROM g LEFT JOIN v ON v.ticker = g.ticker AND v.node = g.node) SELECT ticker, CAST(sum(t) / 3 AS BIGINT) AS triangles, round(avg(CASE WHEN degree > 1 THEN 2.0 * t / (degree * (degree - 1)) ELSE 0.0 END), 6) + 0.0 AS clustering FROM l GROUP BY ticker")
 def _(p):
-    return gr.clustering(gr.visibility_edges(p, "close", 10))
+    return gr.clustering(gr.horizontal_edges(p, "close"))
 
 
 @query("gr8_paths")
 def _(p):
-    return gr.path_lengths(gr.visibility_edges(p, "close", 10))
+    return gr.path_lengths(gr.horizontal_edges(p, "close"))
 
 
 @query("gr9_assortativity", f"WITH {_HVG}{_DEG} SELECT e.ticker, round(corr(a.degree, b.degree), 5) + 0.0 AS assortativity FROM e JOIN g a ON a.ticker = e.ticker AND a.node = e.i JOIN g b ON b.ticker = e.ticker AND b.node = e.j GROUP BY 1", digits=5)
 def _(p):
-    return gr.assortativity(gr.visibility_edges(p, "close", 10))
+    return gr.assortativity(gr.horizontal_edges(p, "close"))
 
 
 @query("gr10_rolling_features", f"WITH {_HVG}, x AS (SELECT n.ticker, n.date, n.i, count(*) AS edges FROM n JOIN e ON e.ticker = n.ticker AND n.i BETWEEN e.j AND e.i + 9 WHERE n.i >= 9 GROUP BY 1, 2, 3) SELECT ticker, date, edges, round(2.0 * edges / 10, 6) + 0.0 AS degree_mean, round(2.0 * edges / 90, 6) + 0.0 AS density FROM x")
@@ -152,7 +154,7 @@ def _(p):
 
 @query("gr3_spectrum")
 def _(p):
-    return gr.spectrum(gr.visibility_edges(p, "close", 10))
+    return gr.spectrum(gr.horizontal_edges(p, "close"))
 
 
 # -- learning ------------------------------------------------------------------------------------------------

@@ -263,14 +263,14 @@ def _(p):
 
 @query("gr5_power_law", f"WITH {_HVG}{_DEG} SELECT ticker, round(CASE WHEN count(*) >= 5 THEN 1 + count(*) / sum(ln(degree / 1.5)) END, 5) + 0.0 AS gamma, round(CASE WHEN count(*) >= 5 THEN (count(*) / sum(ln(degree / 1.5))) / sqrt(count(*)) END, 5) + 0.0 AS gamma_err, round(1 / nullif(avg(degree) - 2 + 1e-10, 0), 5) + 0.0 AS lambda FROM g WHERE degree >= 2 GROUP BY ticker", digits=5)
 def _(p):
-    deg = gr.degrees(gr.visibility_edges(p, "close", 10)).where("degree >= 2")
+    deg = gr.degrees(gr.horizontal_edges(p, "close")).where("degree >= 2")
     n, s = F.count(F.lit(1)).cast("double"), F.sum(F.ln(F.col("degree") / 1.5))
     return deg.groupBy("ticker").agg(F.when(n >= 5, 1 + n / s).alias("gamma"), F.when(n >= 5, n / s / F.sqrt(n)).alias("gamma_err"), (1 / (F.avg("degree") - 2 + 1e-10)).alias("lambda"))
 
 
 @query("gr7_triads", f"WITH {_HVG}{_DEG}, t AS (SELECT a.ticker, count(*) AS triangles FROM e a JOIN e b ON a.ticker = b.ticker AND a.j = b.i JOIN e c ON c.ticker = a.ticker AND c.i = a.i AND c.j = b.j GROUP BY 1), q AS (SELECT ticker, CAST(sum(degree * (degree - 1) / 2) AS BIGINT) AS paths FROM g GROUP BY 1) SELECT q.ticker, paths, coalesce(triangles, 0) AS triangles, round(CAST(3.0 * coalesce(triangles, 0) / nullif(paths, 0) AS DOUBLE), 6) + 0.0 AS transitivity FROM q LEFT JOIN t USING (ticker)")
 def _(p):
-    e = gr.visibility_edges(p, "close", 10)
+    e = gr.horizontal_edges(p, "close")
     paths = gr.degrees(e).groupBy("ticker").agg(F.sum(F.col("degree") * (F.col("degree") - 1) / 2).cast("long").alias("paths"))
     both = paths.join(gr.clustering(e), "ticker")
     return both.select("ticker", "paths", "triangles", F.try_divide(3.0 * F.col("triangles"), F.col("paths")).alias("transitivity"))
