@@ -11,6 +11,7 @@ from strandline.functions.scalars import clip, flag, ratio
 from strandline.functions.shipping import ship
 from strandline.operators import features as fe
 from strandline.operators import windows as w
+from strandline.operators.order_stats import ShareBelow
 
 
 def scored(columns: str, limit: float = 3.0) -> dict[str, Column]:
@@ -85,7 +86,7 @@ def research_volatility() -> fe.Stages:
     year = F.sqrt(F.lit(252.0))
     return [
         {f"rv_{n}": w.std("ret", n) * year for n in (5, 10, 21, 63)} | {"_tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))},
-        {"rv_5_21": ratio("rv_5", "rv_21"), "rv_21_63": ratio("rv_21", "rv_63"), "rv_change": w.diff("rv_21", 5), "rv_rank_252": w.percentile_of_last("rv_21", 252), "rv_z_252": w.zscore("rv_21", 252), "vol_of_vol": w.std("rv_21", 21), "surprise": ratio(F.abs("ret") * year, w.lag("rv_21")) - 1}
+        {"rv_5_21": ratio("rv_5", "rv_21"), "rv_21_63": ratio("rv_21", "rv_63"), "rv_change": w.diff("rv_21", 5), "rv_rank_252": ShareBelow("rv_21", 252), "rv_z_252": w.zscore("rv_21", 252), "vol_of_vol": w.std("rv_21", 21), "surprise": ratio(F.abs("ret") * year, w.lag("rv_21")) - 1}
         | {f"atr_{n}": ratio(w.mean("_tr", n), "close") for n in (5, 14, 21)},
     ]
 

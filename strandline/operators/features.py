@@ -14,14 +14,21 @@ from pyspark.sql import functions as F
 
 from strandline.functions.scalars import clip, flag, ratio
 from strandline.operators import windows as w
+from strandline.operators.order_stats import Quantile, ShareBelow, with_order_stats
 
-Stages = Sequence[Mapping[str, Column]]
+Stages = Sequence[Mapping[str, Column | Quantile | ShareBelow]]
 
 
 def add(df: DataFrame, *blocks: Stages) -> DataFrame:
-    """Add the columns of blocks, stage by stage; blocks of one stage share a projection."""
+    """Add the columns of blocks, stage by stage; blocks of one stage share a projection, and one index of their order statistics."""
     for i in range(max(map(len, blocks), default=0)):
-        df = df.withColumns({k: c for b in blocks if i < len(b) for k, c in b[i].items()})
+        stage = {k: c for b in blocks if i < len(b) for k, c in b[i].items()}
+        orders = {k: c for k, c in stage.items() if isinstance(c, (Quantile, ShareBelow))}
+        columns = {k: c for k, c in stage.items() if k not in orders}
+        if columns:
+            df = df.withColumns(columns)
+        if orders:
+            df = with_order_stats(df.drop(*orders), orders)
     return df
 
 
@@ -36,7 +43,8 @@ def momentum(r: str = "ret") -> Stages:
 def volatility(r: str = "ret") -> Stages:
     return [
         {f"vol_{n}d": w.std(r, n) for n in (5, 10, 21)},
-        {"vol_ratio": ratio("vol_5d", "vol_21d", 1e-10), "vol_zscore": ratio(F.col("vol_21d") - w.mean("vol_21d", 63), w.std("vol_21d", 63), 1e-10), "vol_regime": w.regime_flag("vol_21d", 126, 0.8)},
+        {"vol_ratio": ratio("vol_5d", "vol_21d", 1e-10), "vol_zscore": ratio(F.col("vol_21d") - w.mean("vol_21d", 63), w.std("vol_21d", 63), 1e-10), "_vol_q80": Quantile("vol_21d", 126, 0.8)},
+        {"vol_regime": flag(F.col("vol_21d") > F.col("_vol_q80"))},
     ]
 
 
@@ -61,7 +69,7 @@ def regime(r: str = "ret", lookback: int = 63, history: int = 252) -> Stages:
     p = [F.when(flat, F.lit(x)).otherwise(ratio(s, total)) for s, x in zip(score, (0.33, 0.34, 0.33))]
     return [
         {"_vol": w.std(r, lookback)},
-        {"_q33": w.quantile("_vol", history, 0.33), "_q67": w.quantile("_vol", history, 0.67)},
+        {"_q33": Quantile("_vol", history, 0.33), "_q67": Quantile("_vol", history, 0.67)},
         {"p_low": p[0], "p_mid": p[1], "p_high": p[2]},
         {
             "regime_state": F.when(v.isNull() | lo.isNull(), 0).when(v <= lo, 0).when(v >= hi, 2).otherwise(1),
@@ -192,7 +200,7 @@ def volatility_class(n: int = 252, k: float = 0.5) -> Stages:
     """0, 1 or 2 as volatility lies below, within or above its rolling median by k deviations."""
     v = F.col("vol_21d")
     return [
-        {"_med": w.quantile("vol_21d", n, 0.5, 60), "_dev": w.std("vol_21d", n, 60)},
+        {"_med": Quantile("vol_21d", n, 0.5, 60), "_dev": w.std("vol_21d", n, 60)},
         {"vol_class": F.when(F.col("_med").isNull() | v.isNull(), 1).when(v < F.col("_med") - k * F.col("_dev"), 0).when(v > F.col("_med") + k * F.col("_dev"), 2).otherwise(1)},
     ]
 
@@ -219,9 +227,6 @@ def composite(columns: Sequence[str], signs: Sequence[float] | None = None) -> C
 
 def market_regime(df: DataFrame, least: int = 60) -> DataFrame:
     """Per date: high volatility against its expanding median, uptrend, and both as one state of four."""
-    over = Window.partitionBy(F.lit(1)).orderBy("date")
-    past = w.so_far(over)
-    m = market(df)
-    med = F.when(F.count("mkt_vol_20").over(past) >= least, F.percentile("mkt_vol_20", 0.5).over(past))
-    m = m.withColumns({"high_vol": flag(F.col("mkt_vol_20") > med), "uptrend": flag(F.col("mkt_trend_20") > 0)})
-    return m.withColumn("state", 2 * F.col("uptrend") + F.col("high_vol"))
+    m = with_order_stats(market(df), {"_median": Quantile("mkt_vol_20", None, 0.5, least)}, key=None)
+    m = m.withColumns({"high_vol": flag(F.col("mkt_vol_20") > F.col("_median")), "uptrend": flag(F.col("mkt_trend_20") > 0)})
+    return m.withColumn("state", 2 * F.col("uptrend") + F.col("high_vol")).drop("_median")

@@ -11,6 +11,7 @@ from strandline.functions import scalars
 from strandline.operators import features as fe
 from strandline.operators import trading as tr
 from strandline.operators import windows as w
+from strandline.operators.order_stats import Quantile, ShareBelow, with_order_stats
 from strandline.plans.registry import PX, R, TICKER, lagged, query, rank, roll, staged, table_query, win
 from strandline.sources import panel
 
@@ -49,7 +50,7 @@ def _(p):
 
 @query("w5_rolling_quantiles", staged({"q80": roll("quantile_cont({x}, 0.8)", "ret", 126), "med": roll("quantile_cont({x}, 0.5)", "ret", 21), "pct": f"CASE WHEN count(ret) OVER {win(21)} >= 21 THEN len(list_filter(list(ret) FILTER (ret IS NOT NULL) OVER {win(21)}, lambda v: v < ret)) / 20.0 END"}, keep="q80 med pct"))
 def _(p):
-    return p.select(*K, w.quantile("ret", 126, 0.8).alias("q80"), w.quantile("ret", 21, 0.5).alias("med"), w.percentile_of_last("ret", 21).alias("pct"))
+    return with_order_stats(p.select(*K, "ret"), {"q80": Quantile("ret", 126, 0.8), "med": Quantile("ret", 21, 0.5), "pct": ShareBelow("ret", 21)}).drop("ret")
 
 
 _B = {"a": "CASE WHEN ret IS NOT NULL AND volume IS NOT NULL THEN ret END", "b": "CASE WHEN ret IS NOT NULL AND volume IS NOT NULL THEN volume END"}
@@ -75,9 +76,8 @@ _MKT = R + ", m AS (SELECT date, avg(ret) AS mkt FROM r GROUP BY date)"
 
 @query("w9_expanding_median", f"WITH {_MKT}, e AS (SELECT date, mkt, CASE WHEN count(mkt) OVER w >= 60 THEN quantile_cont(mkt, 0.5) OVER w END AS med FROM m WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)) SELECT date, round(mkt, 6) + 0.0 AS mkt, round(med, 6) + 0.0 AS med FROM e")
 def _(p):
-    over = w.so_far(Window.partitionBy(F.lit(1)).orderBy("date"))
     m = p.groupBy("date").agg(F.avg("ret").alias("mkt"))
-    return m.select("date", "mkt", F.when(F.count("mkt").over(over) >= 60, F.percentile("mkt", 0.5).over(over)).alias("med"))
+    return with_order_stats(m, {"med": Quantile("mkt", None, 0.5, 60)}, key=None)
 
 
 @query("w10_cumulative", staged({"r0": "0.001 * coalesce(ret, 0.0)"}, {"cs": f"sum(r0) OVER ({TICKER} ROWS UNBOUNDED PRECEDING)", "cp": f"product(1 + r0) OVER ({TICKER} ROWS UNBOUNDED PRECEDING)"}, {"dd": f"cp / max(cp) OVER ({TICKER} ROWS UNBOUNDED PRECEDING) - 1"}, keep="cs cp dd"))
