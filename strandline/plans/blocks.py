@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from strandline.operators import blocks as bl
 from strandline.operators import books as bk
 from strandline.operators import features as fe
-from strandline.operators import kernels as kn
 from strandline.operators import models as md
+from strandline.operators import scans as sc
 from strandline.plans.registry import R, TICKER, lagged, query, rank, roll, staged, win
 from strandline.plans.research import K
 
@@ -172,8 +172,8 @@ def _smoothed(x: str, base: str, alpha: str, name: str) -> str:
 
 @query("fe23_macd", f"WITH {R}{_smoothed('close', 'r', '2.0 / 13', 'ema_12')}{_smoothed('close', 'ema_12_t', '2.0 / 27', 'ema_26')}, m AS (SELECT *, (ema_12 - ema_26) / close AS macd FROM ema_26_t){_smoothed('macd', 'm', '2.0 / 10', 'macd_signal')} SELECT ticker, date, round(ema_12, 4) + 0.0 AS ema_12, round(ema_26, 4) + 0.0 AS ema_26, round(macd, 4) + 0.0 AS macd, round(macd_signal, 4) + 0.0 AS macd_signal, round(macd - macd_signal, 4) + 0.0 AS macd_gap FROM macd_signal_t", digits=4)
 def _(p):
-    q = kn.along(p.select(*K, "close"), {"ema_12": kn.ewm("close", span=12), "ema_26": kn.ewm("close", span=26)}).withColumn("macd", (F.col("ema_12") - F.col("ema_26")) / F.col("close"))
-    return kn.along(q, {"macd_signal": kn.ewm("macd", span=9)}).select(*K, "ema_12", "ema_26", "macd", "macd_signal", (F.col("macd") - F.col("macd_signal")).alias("macd_gap"))
+    q = sc.ewm(sc.ewm(p.select(*K, "close"), "ema_12", "close", span=12), "ema_26", "close", span=26).withColumn("macd", (F.col("ema_12") - F.col("ema_26")) / F.col("close"))
+    return sc.ewm(q, "macd_signal", "macd", span=9).select(*K, "ema_12", "ema_26", "macd", "macd_signal", (F.col("macd") - F.col("macd_signal")).alias("macd_gap"))
 
 
 @query("fe26_rolling_factors", digits=4)
@@ -184,6 +184,6 @@ def _(p):
 @query("fe33_reproducible_features")
 def _(p):
     """The panel's features, the Kalman trend and the filtered hidden regimes side by side."""
-    level = kn.along(p.select(*K, F.ln("close").alias("lp")), {"trend": kn.kalman_level("lp")}).select(*K, (F.col("trend") - F.col("lp")).alias("kalman_trend"))
+    level = sc.kalman_level(p.select(*K, F.ln("close").alias("lp")), "trend", "lp").select(*K, (F.col("trend") - F.col("lp")).alias("kalman_trend"))
     hidden = md.hmm_regimes(p).select(*K, "regime", *(F.col("probabilities")[i].alias(f"p_state_{i}") for i in range(3)))
     return bk.feature_panel(p).join(level, K, "left").join(hidden, K, "left")

@@ -14,6 +14,7 @@ from strandline.operators import graphs as gr
 from strandline.operators import kernels as kn
 from strandline.operators import learning as ml
 from strandline.operators import models as md
+from strandline.operators import scans as sc
 from strandline.operators import stats as st
 from strandline.operators import trading as tr
 from strandline.operators import windows as w
@@ -307,7 +308,7 @@ def _(p):
     """Walk-forward predictions smoothed along each ticker."""
     q = learnable(p)
     predicted = ml.walk_forward_ridge(q, ("m5", "m21"), "y", ml.folds(q, step=63, history=504))
-    return kn.along(predicted.select(*K, "prediction"), {"smooth": kn.decay_smooth("prediction", 0.3)}).select(*K, "smooth")
+    return sc.scan(predicted.select(*K, "prediction"), {"smooth": sc.decay("prediction", 0.3)}).select(*K, "smooth")
 
 
 @query("ml13_ablation", digits=5)
@@ -353,7 +354,7 @@ def _(p):
     """Features, walk-forward predictions, smoothing, book and metrics in one plan."""
     q = learnable(p)
     predicted = ml.walk_forward_ridge(q, ("m5", "m21"), "y", ml.folds(q, step=63, history=504)).select(*K, F.col("prediction"))
-    smooth = kn.along(predicted, {"signal": kn.ewm("prediction", span=5)}).select(*K, "signal")
+    smooth = sc.ewm(predicted, "signal", "prediction", span=5).select(*K, "signal")
     return tr.performance(tr.backtest(fe.add(p.join(smooth, K), tr.top_bottom("signal"))))
 
 

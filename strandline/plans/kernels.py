@@ -10,6 +10,7 @@ from strandline.operators import graphs as gr
 from strandline.operators import kernels as kn
 from strandline.operators import learning as ml
 from strandline.operators import models as md
+from strandline.operators import scans as sc
 from strandline.operators import stats as st
 from strandline.operators import trading as tr
 from strandline.operators import windows as w
@@ -28,22 +29,22 @@ def _past(x: str, base: str) -> str:
 
 @query("w11_ewm", f"WITH {R}{_past('ret', 'r')} SELECT ticker, date, round(list_reduce(l, lambda a, b: 0.8 * a + 0.2 * b), 6) + 0.0 AS ewm FROM l")
 def _(p):
-    return kn.along(p.select(*K, "ret"), {"ewm": kn.ewm("ret", alpha=0.2)}).select(*K, "ewm")
+    return sc.ewm(p.select(*K, "ret"), "ewm", "ret", alpha=0.2).select(*K, "ewm")
 
 
 @query("w12_ewm_adjusted", f"WITH {R}{_past('ret', 'r')} SELECT ticker, date, round(list_reduce(l, lambda a, b: a * pow(2, -1.0 / 5) + b) / list_reduce(list_transform(l, lambda v: CAST(1 AS DOUBLE)), lambda a, b: a * pow(2, -1.0 / 5) + b), 6) + 0.0 AS ewm FROM l")
 def _(p):
-    return kn.along(p.select(*K, "ret"), {"ewm": kn.ewm("ret", adjust=True, halflife=5)}).select(*K, "ewm")
+    return sc.ewm(p.select(*K, "ret"), "ewm", "ret", adjust=True, halflife=5).select(*K, "ewm")
 
 
 @query("w13_recursive_decay", f"WITH {R}{_past('ret', 'r')} SELECT ticker, date, round(list_reduce(l, lambda a, b: 0.7 * a + 0.3 * b), 6) + 0.0 AS s FROM l")
 def _(p):
-    return kn.along(p.select(*K, "ret"), {"s": kn.decay_smooth("ret", 0.3)}).select(*K, "s")
+    return sc.scan(p.select(*K, "ret"), {"s": sc.decay("ret", 0.3)}).select(*K, "s")
 
 
 @query("ss1_kalman_level")
 def _(p):
-    return kn.along(p.select(*K, "close").withColumn("lp", F.ln("close")), {"trend": kn.kalman_level("lp")}).select(*K, "trend", (F.col("trend") - F.col("lp")).alias("deviation"))
+    return sc.kalman_level(p.select(*K, F.ln("close").alias("lp")), "trend", "lp").select(*K, "trend", (F.col("trend") - F.col("lp")).alias("deviation"))
 
 
 @query("ss2_kalman_trend")
@@ -58,20 +59,20 @@ def _(p):
 
 @query("fe4_kalman_features")
 def _(p):
-    q = kn.along(p.select(*K, F.ln("close").alias("lp")), {"trend": kn.kalman_level("lp")})
+    q = sc.kalman_level(p.select(*K, F.ln("close").alias("lp")), "trend", "lp")
     q = q.withColumn("kalman_trend", F.col("trend") - F.col("lp")).withColumn("kalman_slope", w.diff("trend", 5))
     return q.select(*K, "kalman_trend", w.zscore("kalman_trend", 63, eps=1e-10).alias("kalman_zscore"), "kalman_slope", w.diff("kalman_slope", 5).alias("kalman_curvature"), F.abs("kalman_trend").alias("kalman_deviation"))
 
 
 @query("sg5_ema_signal", f"WITH {SIG}{_past('signal', 'g')} SELECT ticker, date, round(list_reduce(l, lambda a, b: a * (1 - 2.0 / 11) + b * 2.0 / 11), 6) + 0.0 AS smooth FROM l")
 def _(p):
-    return kn.along(signals(p).select(*K, "signal"), {"smooth": kn.ewm("signal", span=10)}).select(*K, "smooth")
+    return sc.ewm(signals(p).select(*K, "signal"), "smooth", "signal", span=10).select(*K, "smooth")
 
 
 @query("sg6_adaptive_ema")
 def _(p):
     q = fe.add(signals(p), fe.volatility()).withColumn("alpha", F.when(F.col("vol_regime") > 0, 0.1).otherwise(0.3))
-    return kn.along(q.select(*K, "signal", "alpha"), {"smooth": kn.adaptive_smooth("signal", "alpha")}).select(*K, "smooth")
+    return sc.scan(q.select(*K, "signal", "alpha"), {"smooth": sc.decay("signal", F.col("alpha"))}).select(*K, "smooth")
 
 
 @query("sg7_hysteresis")
@@ -94,7 +95,7 @@ def _(p):
 
 @query("ps8_smoothed_weights")
 def _(p):
-    q = kn.along(book(p).select(*K, "position"), {"smooth": kn.decay_smooth("position", 0.2)})
+    q = sc.scan(book(p).select(*K, "position"), {"smooth": sc.decay("position", 0.2)})
     return q.select(*K, tr.l1("smooth").alias("position"))
 
 
