@@ -7,6 +7,7 @@ puts each stage into one projection, so a block costs one exchange and one sort
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,16 +21,22 @@ Stages = Sequence[Mapping[str, Column | Quantile | ShareBelow]]
 
 
 def add(df: DataFrame, *blocks: Stages) -> DataFrame:
-    """Add the columns of blocks, stage by stage; blocks of one stage share a projection, and one index of their order statistics."""
+    """Add the columns of blocks, stage by stage; blocks of one stage share a projection.
+
+    Order statistics wait until a column asks for them, so that all share one index, after the window expressions and on their exchange.
+    """
+    waiting: dict[str, Quantile | ShareBelow] = {}
     for i in range(max(map(len, blocks), default=0)):
         stage = {k: c for b in blocks if i < len(b) for k, c in b[i].items()}
-        orders = {k: c for k, c in stage.items() if isinstance(c, (Quantile, ShareBelow))}
-        columns = {k: c for k, c in stage.items() if k not in orders}
-        if columns:
-            df = df.withColumns(columns)
-        if orders:
-            df = with_order_stats(df.drop(*orders), orders)
-    return df
+        columns = {k: c for k, c in stage.items() if isinstance(c, Column)}
+        asking = {k for k, c in columns.items() if waiting and set(re.findall(r"\w+", str(c))) & set(waiting)}
+        if first := {k: c for k, c in columns.items() if k not in asking}:
+            df = df.withColumns(first)
+        if asking:
+            df, waiting = with_order_stats(df.drop(*waiting), waiting), {}
+            df = df.withColumns({k: columns[k] for k in asking})
+        waiting |= {k: c for k, c in stage.items() if k not in columns}
+    return with_order_stats(df.drop(*waiting), waiting) if waiting else df
 
 
 def momentum(r: str = "ret") -> Stages:
