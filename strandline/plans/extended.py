@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.functions.scalars import lunar_phase, turn_of_month
+from strandline.functions.shared import scratch
 from strandline.operators import diagnostics as dg
 from strandline.operators import features as fe
 from strandline.operators import graphs as gr
@@ -18,7 +17,7 @@ from strandline.operators import scans as sc
 from strandline.operators import stats as st
 from strandline.operators import trading as tr
 from strandline.operators import windows as w
-from strandline.plans.kernels import _DEG, _HVG, _LP_PAIR, _streamed, learnable
+from strandline.plans.kernels import _DEG, _HVG, _LP_PAIR, _streamed, learnable, user_events
 from strandline.plans.recursions import _LEVEL, _LP, out, recursive
 from strandline.plans.registry import PX, R, TICKER, lagged, query, rank, roll, table_query
 from strandline.plans.research import _BOOK, _BOTH, _DAILY, _TOP, SIG, K, book, daily, signals
@@ -30,19 +29,6 @@ _BACKTEST = f", h AS (SELECT *, coalesce({lagged('pos')}, 0) AS p FROM w), d AS
 _NET = " SELECT date, round(CAST(gross AS DOUBLE), 6) + 0.0 AS gross, round(CAST(turnover AS DOUBLE), 6) + 0.0 AS turnover, round(CAST(gross - turnover * 0.001 AS DOUBLE), 6) + 0.0 AS net FROM e"
 
 
-def scratch(spark, name: str) -> str:
-    """A folder of its own under the shared checkpoint folder; a temporary one in local mode alone."""
-    import tempfile
-
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="strandline-scratch-")
-    return f"{named}/{name}-{uuid.uuid4().hex}"
-
-
 # -- diagnostics and exploration --------------------------------------------------------------------------------
 
 
@@ -449,12 +435,9 @@ def _(spark, sf_dir):
     return _streamed(spark, f"{sf_dir}/events.parquet", lambda e: online.deduplicated(e.unionAll(e))).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@table_query("str3_hit_ratios", "WITH e AS (SELECT CAST(user_id AS VARCHAR) AS ticker, ts AS date, event_id, value - 50 AS p, 40 - value AS y FROM events), h AS (SELECT *, CASE WHEN (p > 0) = (y > 0) THEN 1.0 ELSE 0.0 END AS h FROM e) SELECT ticker, count(*) AS n, round(sum(h) / count(*), 6) + 0.0 AS share FROM h WHERE p IS NOT NULL AND y IS NOT NULL GROUP BY ticker")
+@table_query("str3_hit_ratios", "WITH e AS (SELECT CAST(user_id AS VARCHAR) AS ticker, ts AS date, value, CASE WHEN value IS NOT NULL THEN CASE WHEN (value - 50 > 0) = (40 - value > 0) THEN 1.0 ELSE 0.0 END END AS h FROM events) SELECT ticker, CAST(date AS TIMESTAMP) AS date, round(avg(h) OVER (PARTITION BY ticker ORDER BY date, value ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING), 6) + 0.0 AS hit_ratio FROM e")
 def _(spark, sf_dir):
-    """The share of hits after the last event of each user, from the tracker's own state: its ratio before a further, empty event."""
-    settled = lambda e: online.hit_tracker(e.select(F.col("user_id").cast("string").alias("ticker"), F.col("ts").cast("timestamp").alias("date"), (F.col("value") - 50).alias("p"), (40 - F.col("value")).alias("y")), "p", "y", n=1_000_000)
-    got = _streamed(spark, f"{sf_dir}/events.parquet", settled)
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("ticker"), F.col("ts").cast("timestamp").alias("date"), (F.col("value") - 50).alias("p"), (40 - F.col("value")).alias("y"))
-    last = e.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.max_by(((F.col("p") > 0) == (F.col("y") > 0)).cast("double"), "date").alias("h"))
-    before = got.groupBy("ticker").agg(F.max_by("hit_ratio", "date").alias("b"))
-    return last.join(before, "ticker").select("ticker", "n", F.when(F.col("n") == 1, F.col("h")).otherwise((F.col("b") * (F.col("n") - 1) + F.col("h")) / F.col("n")).alias("share"))
+    """The share of hits among the last 63 settled predictions before each event of a user."""
+    op = online.hits("p", "y", 63)
+    build = lambda e: online.ordered(user_events(e).select("ticker", "date", (F.col("value") - 50).alias("p"), (40 - F.col("value")).alias("y")), op)
+    return _streamed(spark, f"{sf_dir}/events.parquet", build, recursion=op).withColumn("date", F.col("date").cast("timestamp_ntz"))

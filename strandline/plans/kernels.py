@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strandline.functions.shared import scratch
 from strandline.operators import features as fe
 from strandline.operators import graphs as gr
 from strandline.operators import kernels as kn
@@ -339,16 +340,17 @@ def _(p):
 # -- streams ---------------------------------------------------------------------------------------------------
 
 
-def _streamed(spark, path, build, mode="append"):
-    """All rows of a folder through a streaming query that ends when they are read; results in a memory table."""
-    import uuid
+def _streamed(spark, path, build, mode="append", recursion=None):
+    """All rows of a table through a streaming query that ends when they are read, written to files in the shared folder; with ``recursion`` also what waited at the end."""
+    folder = scratch(spark, "stream")
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path.rsplit("/", 1)[0] + "/" + path.rsplit("/", 1)[1].replace(".parquet", "*.parquet"))
+    rows = online.into_files(build(source), folder, mode)
+    return rows.unionByName(online.drained(spark, f"{folder}/checkpoint", recursion)) if recursion else rows
 
-    schema = spark.read.parquet(path).schema
-    name = f"stream_{uuid.uuid4().hex}"
-    source = spark.readStream.schema(schema).parquet(path.rsplit("/", 1)[0] + "/" + path.rsplit("/", 1)[1].replace(".parquet", "*.parquet"))
-    running = build(source).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name)
+
+def user_events(e):
+    """ticker (the user), date (the instant), and the columns of events."""
+    return e.select(F.col("user_id").cast("string").alias("ticker"), F.col("ts").cast("timestamp").alias("date"), "value")
 
 
 @table_query("str1_event_windows", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, CAST(date_trunc('hour', ts) + INTERVAL 1 HOUR AS TIMESTAMP) AS \"end\", event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY 1, 2, 3", digits=4)
@@ -356,7 +358,7 @@ def _(spark, sf_dir):
     return _streamed(spark, f"{sf_dir}/events.parquet", lambda e: online.event_windows(e), "complete").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
-@table_query("str2_online_smoothing")
+@table_query("str2_online_smoothing", "WITH q AS (SELECT user_id, list(value ORDER BY ts, value) FILTER (value IS NOT NULL) AS a FROM events GROUP BY 1), c AS (SELECT user_id, ts, count(value) OVER (PARTITION BY user_id ORDER BY ts, value ROWS UNBOUNDED PRECEDING) AS n FROM events) SELECT CAST(user_id AS VARCHAR) AS ticker, CAST(ts AS TIMESTAMP) AS date, round(list_reduce(a[1:n], lambda x, y: 0.7 * x + 0.3 * y), 6) + 0.0 AS smoothed FROM c JOIN q USING (user_id)")
 def _(spark, sf_dir):
-    build = lambda e: online.online_smoothing(e.select(F.col("user_id").cast("string").alias("ticker"), F.col("ts").cast("timestamp").alias("date"), "value"), "value", 0.3)
-    return _streamed(spark, f"{sf_dir}/events.parquet", build).withColumn("date", F.col("date").cast("timestamp_ntz"))
+    op = online.smoothing("value", 0.3)
+    return _streamed(spark, f"{sf_dir}/events.parquet", lambda e: online.ordered(user_events(e), op), recursion=op).withColumn("date", F.col("date").cast("timestamp_ntz"))
