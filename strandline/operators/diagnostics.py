@@ -15,6 +15,7 @@ from strandline.operators import kernels as kn
 from strandline.operators import learning as ml
 from strandline.operators import trading as tr
 from strandline.operators import windows as w
+from strandline.operators.stats import shuffled_correlations
 
 YEAR = 252.0
 
@@ -33,13 +34,8 @@ def wilcoxon(df: DataFrame, x: str, key: str = "ticker") -> DataFrame:
 
 def noise_floor(df: DataFrame, x: str, y: str, sims: int = 100, share: float = 0.95, seed: int = 42) -> DataFrame:
     """One row: the ``share`` quantile of |correlation| of x with y shuffled over all rows, and the true one."""
-    base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select("ticker", "date", F.col(x).alias("_x"), F.col(y).alias("_y"))
-    sim = base.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(sims))))
-    group = Window.partitionBy("sim")
-    left = sim.select("sim", F.row_number().over(group.orderBy("ticker", "date")).alias("_i"), "_x")
-    right = sim.select("sim", F.row_number().over(group.orderBy(F.xxhash64("ticker", "date", "sim", F.lit(seed)), "ticker", "date")).alias("_i"), "_y")
-    floor = left.join(right, ["sim", "_i"]).groupBy("sim").agg(F.abs(tr.safe_corr("_x", "_y")).alias("c")).agg(F.percentile("c", share).alias("floor"))
-    return floor.join(F.broadcast(base.agg(tr.safe_corr("_x", "_y").alias("real"))))
+    c = shuffled_correlations(df, x, y, sims, seed)
+    return c.agg(F.percentile(F.abs("c"), share).alias("floor"), F.max("real").alias("real"))
 
 
 # -- diagnostics ----------------------------------------------------------------------------------------------

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,38 +86,96 @@ def outliers(df: DataFrame, x: str, z: float = 5.0, iqr: float = 3.0, by: str =
     return df.withColumns({"_z": far, "_i": out}).groupBy(by).agg(F.count_if("_z").alias("by_z"), F.count_if("_i").alias("by_iqr"))
 
 
-def permutation_test(df: DataFrame, x: str, y: str, sims: int = 200, seed: int = 42, by: str | None = "date") -> DataFrame:
-    """One row: the correlation, and the share of shuffles of y (within ``by``, or over all) that reach it.
+#: Rows that are shuffled among themselves: larger groups are dealt into blocks of about so many by a hash of the row.
+BLOCK = 65_536
 
-    Each shuffle is an order by a seeded hash, so it is a join on row numbers and nothing is collected. ``sims``
-    multiplies the rows; Spark deals the simulations out.
+
+def shuffled_sums(df: DataFrame, x: str, y: str, sims: int, seed: int, by: str | None = None, block: int | None = None) -> DataFrame:
+    """(sim, sxy): sum of x times shuffled y, for ``sims`` shuffles of y within ``by`` (or over all rows), in blocks of rows chosen by a hash.
+
+    Each block is one group that evaluates all shuffles and gives one number a shuffle; rows are neither copied nor joined. Shuffles within fixed random
+    blocks are a group of permutations, so a test by them is exact as one by all shuffles is.
     """
-    keys = [by] if by else []
-    base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, "ticker", F.col(x).alias("_x"), F.col(y).alias("_y"), *([] if "date" in keys else ["date"]))
-    sim = base.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims))))
-    group = Window.partitionBy("sim", *keys)
-    a = F.row_number().over(group.orderBy(F.xxhash64("ticker", "date")))
-    b = F.row_number().over(group.orderBy(F.xxhash64("ticker", "date", "sim", F.lit(seed)), "ticker", "date"))
-    left = sim.select("sim", *keys, a.alias("_i"), "_x", F.col("_y").alias("_true"))
-    right = sim.select("sim", *keys, b.alias("_i"), F.col("_y").alias("_shuffled"))
-    both = left.join(right, ["sim", *keys, "_i"]).withColumn("_z", F.when(F.col("sim") == 0, F.col("_true")).otherwise(F.col("_shuffled")))
-    stat = both.groupBy("sim").agg(safe_corr("_x", "_z").alias("c"))
-    return stat.agg(F.max(F.when(F.col("sim") == 0, F.col("c"))).alias("real"), F.collect_list(F.when(F.col("sim") > 0, F.col("c"))).alias("null")).select("real", (F.size(F.filter("null", lambda c: c >= F.col("real"))) / F.lit(float(sims))).alias("p_value"))
+    base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    keyed = base.select((F.col(by).cast("string") if by else F.lit("all")).alias("group"), F.xxhash64("ticker", "date").alias("h"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    sizes = keyed.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / (block or BLOCK)).alias("blocks"))
+    dealt = keyed.join(sizes, "group").withColumn("block", F.pmod("h", F.col("blocks")))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("h", "ascending"), ("x", "ascending"), ("y", "ascending")])
+        a, b = (t.column(c).to_numpy() for c in "xy")
+        name = f"{seed}|{t.column('group')[0].as_py()}|{t.column('block')[0].as_py()}"
+        rng = np.random.default_rng(int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "little"))
+        return pa.table({"sums": pa.array([[float(a @ rng.permutation(b)) for _ in range(sims)]], pa.list_(pa.float64()))})
+
+    ship(df.sparkSession)
+    sums = dealt.groupBy("group", "block").applyInArrow(run, "sums array<double>")
+    return sums.select(F.posexplode("sums").alias("sim", "s")).groupBy("sim").agg(F.sum("s").alias("sxy"))
 
 
-def bootstrap_mean(df: DataFrame, x: str, sims: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """One row: mean of x and its Poisson-bootstrap interval; weights are drawn per row and simulation."""
-    base = df.where(F.col(x).isNotNull()).select(F.col(x).alias("_x"), F.xxhash64(*df.columns).alias("_h"))
-    sim = base.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(sims))))
-    u = F.pmod(F.xxhash64("_h", "sim", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    cdf, weight = 0.0, F.lit(0)
-    for k in range(8):  # inverse of the Poisson distribution of mean 1
-        cdf += math.exp(-1) / math.factorial(k)
-        weight = weight + (u > cdf).cast("int")
-    means = sim.withColumn("_w", weight).groupBy("sim").agg(F.try_divide(F.sum(F.col("_w") * F.col("_x")), F.sum("_w").cast("double")).alias("m"))
+def shuffled_correlations(df: DataFrame, x: str, y: str, sims: int, seed: int, by: str | None = None, block: int | None = None) -> DataFrame:
+    """(real, c): the true correlation beside that of each shuffle; shuffles leave all other moments as they are."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    n = F.count(F.lit(1)).cast("double")
+    one = both.agg(n.alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), (F.stddev_pop(x) * F.stddev_pop(y)).alias("d"), safe_corr(x, y).alias("real"))
+    return shuffled_sums(df, x, y, sims, seed, by, block).join(F.broadcast(one)).select("real", F.try_divide(F.col("sxy") / F.col("n") - F.col("mx") * F.col("my"), F.col("d")).alias("c"))
+
+
+def permutation_test(df: DataFrame, x: str, y: str, sims: int = 200, seed: int = 42, by: str | None = "date", block: int | None = None) -> DataFrame:
+    """One row: the correlation, and the share of shuffles of y (within ``by``, or over all) that reach it."""
+    c = shuffled_correlations(df, x, y, sims, seed, by, block)
+    return c.agg(F.max("real").alias("real"), (F.count_if(F.col("c") >= F.col("real")) / F.lit(float(sims))).alias("p_value"))
+
+
+def _weights(h: np.ndarray, sim: int, seed: int) -> np.ndarray:
+    """Poisson weights of mean 1 of rows by their hashes, the same wherever a row lies."""
+    with np.errstate(over="ignore"):
+        z = h ^ np.uint64((sim * 0x9E3779B97F4A7C15 + seed * 0xD1B54A32D192ED03) % (1 << 64))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+        z ^= z >> np.uint64(31)
+    cdf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    return np.searchsorted(cdf, (z >> np.uint64(11)).astype(np.float64) / (1 << 53), "right")
+
+
+def bootstrap_moments(df: DataFrame, x: str, sims: int, seed: int) -> DataFrame:
+    """(sim, n, m, s): weighted count, mean and deviation of x in each Poisson bootstrap; a task gives three sums a simulation, rows are not copied."""
+    rows = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("x"), F.xxhash64(*df.columns).alias("h"))
+    centre = rows.agg(F.avg("x")).first()[0] or 0.0  # sums of squares about it keep their digits
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, sims))
+        for b in batches:
+            v, h = b.column("x").to_numpy() - centre, b.column("h").to_numpy().view(np.uint64)
+            for s in range(sims):
+                k = _weights(h, s + 1, seed)
+                total[:, s] += k.sum(), k @ v, k @ (v * v)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sims), pa.int32()), *(pa.array(t) for t in total)], ["sim", "n", "a", "b"])
+
+    ship(df.sparkSession)
+    sums = rows.mapInArrow(run, "sim int, n double, a double, b double").groupBy("sim").agg(*(F.sum(c).alias(c) for c in "nab"))
+    mean = F.try_divide(F.col("a"), F.col("n"))
+    spread = F.sqrt(F.greatest(F.try_divide(F.col("b") - F.col("n") * mean * mean, F.col("n") - 1), F.lit(0.0)))
+    return sums.select("sim", "n", (mean + centre).alias("m"), spread.alias("s"))
+
+
+def _interval(values: DataFrame, c: Column, level: float) -> DataFrame:
     tail = (1 - level) / 2
-    interval = means.agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
-    return base.agg(F.avg("_x").alias("mean")).join(F.broadcast(interval))
+    return values.agg(F.percentile(c, F.array(F.lit(tail), F.lit(1 - tail))).alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def bootstrap_mean(df: DataFrame, x: str, sims: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """One row: mean of x and its Poisson-bootstrap interval."""
+    return df.agg(F.avg(x).alias("mean")).join(F.broadcast(_interval(bootstrap_moments(df, x, sims, seed), F.col("m"), level)))
+
+
+def bootstrap_sharpe(df: DataFrame, x: str, sims: int = 1000, seed: int = 42, level: float = 0.95, annual: int = 252) -> DataFrame:
+    """One row: the annualised mean by deviation of x, its interval, and the share of simulations at or below 0."""
+    ratio_of = F.try_divide(F.col("m"), F.nullif("s", F.lit(0.0))) * math.sqrt(annual)
+    drawn = bootstrap_moments(df, x, sims, seed).select(ratio_of.alias("r"))
+    real = df.agg((F.try_divide(F.avg(x), F.nullif(F.stddev_samp(x), F.lit(0.0))) * math.sqrt(annual)).alias("sharpe"))
+    below = drawn.agg((F.count_if(F.col("r") <= 0) / F.lit(float(sims))).alias("share_below"))
+    return real.join(F.broadcast(_interval(drawn, F.col("r"), level))).join(F.broadcast(below))
 
 
 def dickey_fuller(df: DataFrame, x: str, key: str = "ticker", lags: int = 1) -> DataFrame:

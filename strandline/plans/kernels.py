@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.functions.shared import scratch
+from strandline.operators import cointegration as co
 from strandline.operators import features as fe
 from strandline.operators import graphs as gr
 from strandline.operators import kernels as kn
@@ -224,6 +225,11 @@ def _(p):
     return st.bootstrap_mean(daily(p), "net")
 
 
+@query("st2_sharpe_interval")
+def _(p):
+    return st.bootstrap_sharpe(daily(p), "net")
+
+
 @query("st3_t_test", f"WITH {R} SELECT ticker, count(ret) AS n, round(avg(ret), 6) + 0.0 AS mean, round(avg(ret) / (stddev_samp(ret) / sqrt(count(ret))), 6) + 0.0 AS t FROM r GROUP BY ticker")
 def _(p):
     return p.groupBy("ticker").agg(*st.t_test("ret"))
@@ -262,6 +268,24 @@ def _(p):
     return md.half_lives(md.pair_spreads(p))
 
 
+_NAMES6 = ("d1", "d2", "p1", "p2", "e1", "e2")
+_COV = ", ".join(f"covar_pop({a}, {b}) OVER m AS {a}{b}" for i, a in enumerate(_NAMES6) for b in _NAMES6[i:])
+_FORM = {k: f"({x}1{y}1 - h * ({x}1{y}2 + {z}) + h * h * {x}2{y}2)" for k, x, y, z in (("dd", "d", "d", "d1d2"), ("pp", "p", "p", "p1p2"), ("ee", "e", "e", "e1e2"), ("dp", "d", "p", "d2p1"), ("de", "d", "e", "d2e1"), ("pe", "p", "e", "p2e1"))}
+
+
+@query("co1_rolling_cointegration", f"""WITH {R}, c AS (SELECT a.ticker AS t1, b.ticker AS t2, round(covar_pop(a.ret, b.ret) / (stddev_pop(a.ret) * stddev_pop(b.ret)), 9) AS c FROM r a JOIN r b ON a.date = b.date AND a.ticker < b.ticker AND a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 100),
+    w AS (SELECT t1, t2, c FROM c UNION ALL SELECT t2, t1, c FROM c), k AS (SELECT t1, t2 FROM w QUALIFY row_number() OVER (PARTITION BY t1 ORDER BY c DESC, t2) <= 2), pairs AS (SELECT DISTINCT least(t1, t2) AS asset1, greatest(t1, t2) AS asset2 FROM k),
+    b AS (SELECT asset1, asset2, x.date, ln(x.close) AS lp1, ln(y.close) AS lp2 FROM pairs JOIN px x ON x.ticker = asset1 JOIN px y ON y.ticker = asset2 AND y.date = x.date),
+    l AS (SELECT *, lag(lp1) OVER t AS p1, lag(lp2) OVER t AS p2, row_number() OVER t AS row FROM b WINDOW t AS (PARTITION BY asset1, asset2 ORDER BY date)),
+    d AS (SELECT *, lp1 - p1 AS d1, lp2 - p2 AS d2 FROM l), e AS (SELECT *, lag(d1) OVER t AS e1, lag(d2) OVER t AS e2 FROM d WINDOW t AS (PARTITION BY asset1, asset2 ORDER BY date)),
+    v AS (SELECT asset1, asset2, date, row, covar_pop(lp1, lp2) OVER n / var_pop(lp2) OVER n AS h, {_COV} FROM e WINDOW n AS (PARTITION BY asset1, asset2 ORDER BY date ROWS 251 PRECEDING), m AS (PARTITION BY asset1, asset2 ORDER BY date ROWS 249 PRECEDING)),
+    f AS (SELECT asset1, asset2, date, h, {", ".join(f"{v} AS {k}" for k, v in _FORM.items())} FROM v WHERE row >= 252), s AS (SELECT *, (dp * ee - de * pe) / (pp * ee - pe * pe) AS bv, (de * pp - dp * pe) / (pp * ee - pe * pe) AS bd FROM f),
+    q AS (SELECT *, bv / sqrt((dd - bv * dp - bd * de) * 250 / 247 * ee / (250 * (pp * ee - pe * pe))) AS t FROM s)
+    SELECT asset1, asset2, date, round(h, 5) + 0.0 AS hedge_ratio, round(bv, 5) + 0.0 AS speed, round(CASE WHEN bv < 0 AND bv > -1 THEN -ln(2) / ln(1 + bv) END, 5) + 0.0 AS half_life, round(t, 5) + 0.0 AS stat, t < -3.34 AS cointegrated FROM q""", digits=5)
+def _(p):
+    return co.rolling_cointegration(co.pair_prices(p, co.screened_pairs(p)))
+
+
 @query("bt18_pair_positions")
 def _(p):
     return md.pair_positions(md.pair_spreads(p))

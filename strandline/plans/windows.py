@@ -11,6 +11,7 @@ from strandline.functions import scalars
 from strandline.operators import features as fe
 from strandline.operators import trading as tr
 from strandline.operators import windows as w
+from strandline.operators.intervals import interval_join
 from strandline.operators.order_stats import Quantile, ShareBelow, with_order_stats
 from strandline.plans.registry import PX, R, TICKER, lagged, query, rank, roll, staged, table_query, win
 from strandline.sources import panel
@@ -253,14 +254,15 @@ def _(p):
 @query("jn10_event_window", f"WITH {R}, e AS (SELECT ticker, date AS event FROM r WHERE ret > 2) SELECT e.ticker, e.event, count(*) AS n, round(avg(r.ret), 6) + 0.0 AS mean_ret FROM e JOIN r ON r.ticker = e.ticker AND r.date BETWEEN e.event - INTERVAL 10 DAY AND e.event + INTERVAL 10 DAY GROUP BY 1, 2")
 def _(p):
     e = p.where("ret > 2").select("ticker", F.col("date").alias("event"))
-    return e.join(p, "ticker").where(F.col("date").between(F.date_sub("event", 10), F.date_add("event", 10))).groupBy("ticker", "event").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean_ret"))
+    near = interval_join(p, e, "date", F.date_sub("event", 10), F.date_add("event", 10), 21, ["ticker"])
+    return near.groupBy("ticker", "event").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean_ret"))
 
 
 @query("jn11_folds", f"WITH {R}, f AS (SELECT CAST(range AS INTEGER) AS fold, DATE '1995-01-01' + INTERVAL (range * 180) DAY AS a, DATE '1995-01-01' + INTERVAL (range * 180 + 365) DAY AS b FROM range(8)) SELECT fold, count(*) AS n, round(avg(ret), 6) + 0.0 AS mean_ret FROM f JOIN r ON r.date >= f.a AND r.date < f.b GROUP BY fold")
 def _(p):
     start = F.lit("1995-01-01").cast("date")
     folds = p.sparkSession.range(8).select(F.col("id").cast("int").alias("fold"), F.date_add(start, (F.col("id") * 180).cast("int")).alias("a"), F.date_add(start, (F.col("id") * 180 + 365).cast("int")).alias("b"))
-    return p.join(F.broadcast(folds), (F.col("date") >= F.col("a")) & (F.col("date") < F.col("b"))).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean_ret"))
+    return interval_join(p, folds, "date", F.col("a"), F.date_sub("b", 1), 365).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean_ret"))
 
 
 # -- sorting, selection, sets ----------------------------------------------------------------------------------
