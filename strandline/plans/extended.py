@@ -16,6 +16,7 @@ from strandline.operators import models as md
 from strandline.operators import scans as sc
 from strandline.operators import stats as st
 from strandline.operators import trading as tr
+from strandline.operators import walk_forward as wf
 from strandline.operators import windows as w
 from strandline.plans.kernels import _DEG, _HVG, _LP_PAIR, _streamed, learnable, user_events
 from strandline.plans.recursions import _LEVEL, _LP, out, recursive
@@ -289,6 +290,35 @@ def _(p):
     return ml.random_forest(learnable(p), ("m5", "m21"), "y", F.col("date") < F.lit(FIT_UNTIL).cast("date")).select(*K, "prediction")
 
 
+@query("ml7_linear_svr", digits=4)
+def _(p):
+    return wf.support_vector_regression(learnable(p), ("m5", "m21"), "y", F.col("date") < F.lit(FIT_UNTIL).cast("date")).select(*K, "prediction")
+
+
+def _perceptron(p, label, classes):
+    """Accuracy by fold of perceptrons refitted every third year on all rows before."""
+    q = learnable(p).withColumn("label", F.when(F.col("y").isNotNull(), label))
+    return wf.accuracy_by_fold(wf.walk_forward_perceptron(q, ("m5", "m21"), "label", classes, ml.folds(q, start=504, step=756), seeds=(1, 2), rounds=25))
+
+
+@query("ml17_perceptron_three_classes", digits=5)
+def _(p):
+    return _perceptron(p, tr.three_classes("y", 0.3), 3)
+
+
+@query("ml17_perceptron_binary", digits=5)
+def _(p):
+    return _perceptron(p, (F.col("y") > 0).cast("int"), 2)
+
+
+@query("sg10_stacking_grid", digits=5)
+def _(p):
+    """Ridge over the walk-forward predictions of three ridge models, by penalty."""
+    q = learnable(p)
+    bases = {"short": ["m5"], "long": ["m21"], "both": ["m5", "m21"]}
+    return wf.grid_scores(wf.stacked(q, bases, "y", ml.folds(q, step=63, history=504), ml.folds(q, start=756, step=63), (0.1, 10.0, 1000.0)))
+
+
 @query("ml11_decayed_predictions")
 def _(p):
     """Walk-forward predictions smoothed along each ticker."""
