@@ -195,6 +195,65 @@ def rolling_features(df: DataFrame, x: str, window: int, key: str = "ticker", ti
     return rows.where(F.col("end") >= window - 1).join(counts, [key, "end"]).select(key, time, "edges", (2.0 * F.col("edges") / window).alias("degree_mean"), (2.0 * F.col("edges") / (window * (window - 1))).alias("density"))
 
 
+def rolling_statistics(df: DataFrame, x: str, window: int = 20, key: str = "ticker", time: str = "date") -> DataFrame:
+    """(key, time, edges, density, degree_std, degree_max, gamma, entropy, clustering, assortativity) of the horizontal graph of the last ``window`` rows.
+
+    An edge, a triangle and a node's degree are counted in the windows that hold them, so the work is the window's length a row. gamma is the exponent of the degrees from 1 on (null with fewer
+    than five nodes); clustering is three times the triangles at all corners by the paths of two edges, so it may exceed 1; assortativity is 0 where the degrees are constant.
+    """
+    edges = visibility_edges(df, x, window, True, key, time).select(key, "i", "j")
+    over = lambda first, last: F.explode(F.sequence(F.greatest(F.col(last), F.lit(window - 1)), F.greatest(F.col(first) + window - 1, F.lit(window - 1))))
+    held = edges.withColumn("end", over("i", "j"))
+    deg = held.select(key, "end", F.explode(F.array("i", "j")).alias("node")).groupBy(key, "end", "node").agg(F.count(F.lit(1)).alias("d"))
+    shares = deg.groupBy(key, "end", "d").agg(F.count(F.lit(1)).alias("c"))
+    p, d, c = F.col("c") / window, F.col("d"), F.col("c")
+    mean, square = F.sum(c * d) / window, F.sum(c * d * d) / window
+    stats = shares.groupBy(key, "end").agg(
+        (F.sum(c * d) / 2).cast("long").alias("edges"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("degree_std"), F.max("d").alias("degree_max"),
+        F.when(F.sum(c) >= 5, 1 + F.sum(c) / F.sum(c * F.ln(d / 0.5))).alias("gamma"), (-F.sum(p * F.log2(p + 1e-10))).alias("entropy"), F.sum(c * d * (d - 1) / 2).alias("paths"),
+    )
+    one, two, three = (edges.select(key, F.col("i").alias(a), F.col("j").alias(b)) for a, b in (("p", "q"), ("q", "r"), ("p", "r")))
+    triangles = one.join(two, [key, "q"]).join(three, [key, "p", "r"]).where(F.col("r") - F.col("p") < window).withColumn("end", over("p", "r")).groupBy(key, "end").agg(F.count(F.lit(1)).alias("t"))
+    ends = held.join(deg.toDF(key, "end", "i", "di"), [key, "end", "i"]).join(deg.toDF(key, "end", "j", "dj"), [key, "end", "j"])
+    from strandline.operators.trading import safe_corr
+
+    mixing = ends.groupBy(key, "end").agg(safe_corr("di", "dj").alias("assortativity"))
+    rows = df.where(F.col(x).isNotNull()).select(key, time).withColumn("end", (F.row_number().over(Window.partitionBy(key).orderBy(time)) - 1).cast("int"))
+    every = rows.join(stats, [key, "end"]).join(triangles, [key, "end"], "left").join(mixing, [key, "end"])
+    return every.select(
+        key, time, "edges", (2.0 * F.col("edges") / (window * (window - 1))).alias("density"), "degree_std", "degree_max", "gamma", "entropy",
+        F.coalesce(9.0 * F.col("t") / F.col("paths"), F.lit(0.0)).alias("clustering"), F.coalesce("assortativity", F.lit(0.0)).alias("assortativity"),
+    )
+
+
+def composite_signal(df: DataFrame, x: str, window: int = 20, smooth: int = 5, limits: tuple[float, float, float] = (2.5, 0.3, 2.0), key: str = "ticker", time: str = "date") -> DataFrame:
+    """(key, time, raw, signal): structure of the last ``window`` rows' graph in the direction of their mean return, and its mean over ``smooth`` rows, for series of at least ``window`` + 10 rows.
+
+    The structure weighs the exponent of the degrees by one half, their entropy by 0.3 and the clustering by 0.4, each against its limit of ``limits`` (exponent, clustering, entropy).
+    """
+    cut = lambda c: F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(1.0)), F.lit(-1.0)))
+    exponent, clustered, disorder = limits
+    tilt = F.coalesce(cut((exponent - F.col("gamma")) / exponent), F.lit(0.0)) * 0.5 + cut((disorder - F.col("entropy")) / disorder) * 0.3 + (F.col("clustering") / (F.col("clustering") + clustered) - 0.5) * 0.4
+    order = Window.partitionBy(key).orderBy(time)
+    rows = df.where(F.col(x).isNotNull()).select(key, time, (F.try_divide(F.col(x), F.lag(x).over(order)) - 1).alias("_r"))
+    rows = rows.withColumns({"_m": w.mean("_r", window, w=order), "_n": F.count(F.lit(1)).over(Window.partitionBy(key))}).where(F.col("_n") >= window + 10)
+    raw = rolling_statistics(df, x, window, key, time).join(rows, [key, time]).select(key, time, cut(tilt * F.signum("_m")).alias("raw"))
+    return raw.withColumn("signal", cut(F.avg("raw").over(order.rowsBetween(1 - smooth, 0))))
+
+
+def signal_quality(signals: DataFrame, returns: DataFrame, ret: str, cost_bps: float = 10.0, key: str = "ticker", time: str = "date") -> DataFrame:
+    """Per key: n, correlation of the signal with the return beside it, share of equal signs, mean change of the signal, what that costs a year, correlation with the row before, mean and deviation."""
+    from strandline.operators.trading import safe_corr
+
+    order = Window.partitionBy(key).orderBy(time)
+    both = signals.select(key, time, "signal").join(returns.select(key, time, F.col(ret).alias("_r")), [key, time]).withColumn("_b", F.lag("signal").over(order))
+    turned = F.avg(F.abs(F.col("signal") - F.col("_b")))
+    return both.groupBy(key).agg(
+        F.count("signal").alias("n"), safe_corr("signal", "_r").alias("ic"), F.avg(F.coalesce(F.signum("signal") == F.signum("_r"), F.lit(False)).cast("double")).alias("hit_rate"), turned.alias("turnover"),
+        (turned * cost_bps / 10_000 * 252).alias("cost"), safe_corr("signal", "_b").alias("stay"), F.avg("signal").alias("mean"), F.stddev_samp("signal").alias("std"),
+    )
+
+
 #: Sources of a breadth-first search at a time, a multiple of 64.
 SOURCES = 1_024
 

@@ -15,6 +15,7 @@ from strandline.operators import learning as ml
 from strandline.operators import models as md
 from strandline.operators import scans as sc
 from strandline.operators import stats as st
+from strandline.operators import trades as td
 from strandline.operators import trading as tr
 from strandline.operators import walk_forward as wf
 from strandline.operators import windows as w
@@ -275,6 +276,16 @@ def _(p):
     return dg.alpha_beta(tr.backtest(book(p)).join(m, "date"), "net", "mkt")
 
 
+@query("bt24_stopped_trailing")
+def _(p):
+    return td.book_returns(td.stopped_book(signals(p), "signal", stop=0.5, take=1.0, trail=0.3)).select("date", "gross", "turnover", "net")
+
+
+@query("bt24_trade_concentration", digits=5)
+def _(p):
+    return td.trade_summary(td.stopped_book(signals(p), "signal", stop=0.5, take=1.0, trail=0.3))
+
+
 # -- learning -------------------------------------------------------------------------------------------------------
 
 
@@ -425,6 +436,43 @@ def _(p):
     return q.select(*K, *(c for c in q.columns if c.endswith("_5d") and "reversal" not in c))
 
 
+_ASSET = "'Asset_' || substr(ticker, 7)"
+
+
+def _asset_files(p, name):
+    """The panel as CSV files, one folder an asset, with column names as vendors write them."""
+    folder = scratch(p.sparkSession, name)
+    asset = F.concat(F.lit("Asset_"), F.substring("ticker", 7, 9))
+    rows = p.select(asset.alias("asset"), F.col("date").cast("string").alias("Date"), *(F.col(c).cast("double").alias(c.title()) for c in ("open", "high", "low", "close", "volume")))
+    return folder, rows
+
+
+@query("src1_asset_files", f"WITH {PX} SELECT {_ASSET} AS ticker, date, round(open, 4) + 0.0 AS open, round(high, 4) + 0.0 AS high, round(low, 4) + 0.0 AS low, round(close, 4) + 0.0 AS close, round(volume, 4) + 0.0 AS volume FROM px", digits=4)
+def _(p):
+    folder, rows = _asset_files(p, "assets")
+    panel.write_panel(rows, folder, "csv", ["asset"])
+    return panel.read_assets(p.sparkSession, folder, r"asset=(Asset_\d+)")
+
+
+@query("src2_unclean_asset_files", f"WITH {PX} SELECT {_ASSET} AS ticker, date, round(open, 4) + 0.0 AS open, round(high, 4) + 0.0 AS high, round(low, 4) + 0.0 AS low, CASE WHEN day(date) <> 7 THEN round(close, 4) + 0.0 END AS close, round(volume, 4) + 0.0 AS volume FROM px WHERE day(date) <> 13", digits=4)
+def _(p):
+    """Dates of the 13th can't be read and go; closes of the 7th are NaN and become null; every row of the 5th stands there twice and counts once."""
+    folder, rows = _asset_files(p, "unclean")
+    day = F.dayofmonth(F.col("Date").cast("date"))
+    rows = rows.withColumns({"Close": F.when(day == 7, F.lit(float("nan"))).otherwise(F.col("Close")), "_n": F.explode(F.when(day == 5, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))})
+    panel.write_panel(rows.withColumn("Date", F.when(day == 13, "n/a").otherwise(F.col("Date"))).drop("_n"), folder, "csv", ["asset"])
+    return panel.read_assets(p.sparkSession, folder, r"asset=(Asset_\d+)")
+
+
+@query("src6_json_settings", f"WITH {PX} SELECT 'Asset_' || substr(ticker, 7) AS ticker, count(*) AS n, CAST(min(date) AS VARCHAR) AS first_date, round(avg(close), 4) + 0.0 AS mean_close FROM px GROUP BY ticker", digits=4)
+def _(p):
+    """What is known of each asset, written as JSON and read back."""
+    folder = scratch(p.sparkSession, "settings")
+    about = p.groupBy(F.concat(F.lit("Asset_"), F.substring("ticker", 7, 9)).alias("ticker")).agg(F.count(F.lit(1)).alias("n"), F.min("date").cast("string").alias("first_date"), F.avg("close").alias("mean_close"))
+    panel.write_panel(about, folder, "json")
+    return p.sparkSession.read.schema(about.schema).json(folder)
+
+
 @query("snk1_parquet_round_trip", f"WITH {PX} SELECT ticker, date, round(close, 4) + 0.0 AS close, volume FROM px", digits=4)
 def _(p):
     path = scratch(p.sparkSession, "panel")

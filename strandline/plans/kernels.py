@@ -155,6 +155,34 @@ def _(p):
     return gr.rolling_features(p, "close", 10)
 
 
+_WIN = _HVG + """, h AS (SELECT ticker, i, j, unnest(range(greatest(j, 19), i + 20)) AS "end" FROM e WHERE j - i <= 19), d AS (SELECT ticker, "end", node, count(*) AS d FROM (SELECT ticker, "end", i AS node FROM h UNION ALL SELECT ticker, "end", j FROM h) GROUP BY ALL),
+    s AS (SELECT ticker, "end", d, count(*) AS c FROM d GROUP BY ALL), u AS (SELECT ticker, "end", CAST(sum(c * d) / 2 AS BIGINT) AS edges, max(d) AS degree_max, 1 + sum(c) / sum(c * ln(d / 0.5)) AS gamma, -sum(c / 20 * log2(c / 20 + 1e-10)) AS entropy, sum(c * d * (d - 1) / 2) AS paths FROM s GROUP BY ALL),
+    v AS (SELECT ticker, "end", stddev_pop(d) AS degree_std FROM d GROUP BY ALL), t AS (SELECT ticker, "end", count(*) AS t FROM (SELECT a.ticker, unnest(range(greatest(b.j, 19), a.i + 20)) AS "end" FROM e a JOIN e b ON a.ticker = b.ticker AND a.j = b.i JOIN e c ON c.ticker = a.ticker AND c.i = a.i AND c.j = b.j WHERE b.j - a.i <= 19) GROUP BY ALL),
+    z AS (SELECT h.ticker, h."end", covar_pop(a.d, b.d) / nullif(stddev_pop(a.d) * stddev_pop(b.d), 0) AS assortativity FROM h JOIN d a ON a.ticker = h.ticker AND a."end" = h."end" AND a.node = h.i JOIN d b ON b.ticker = h.ticker AND b."end" = h."end" AND b.node = h.j GROUP BY ALL),
+    w AS (SELECT n.ticker, n.date, u.edges, 2.0 * u.edges / 380 AS density, degree_std, degree_max, gamma, entropy, coalesce(9.0 * t / paths, 0) AS clustering, coalesce(assortativity, 0) AS assortativity FROM n JOIN u ON u.ticker = n.ticker AND u."end" = n.i JOIN v ON v.ticker = n.ticker AND v."end" = n.i LEFT JOIN t ON t.ticker = n.ticker AND t."end" = n.i JOIN z ON z.ticker = n.ticker AND z."end" = n.i)"""
+
+
+@query("gr10_rolling_statistics", f"WITH {_WIN} SELECT ticker, date, edges, degree_max, " + ", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in "density degree_std gamma entropy clustering assortativity".split()) + " FROM w")
+def _(p):
+    return gr.rolling_statistics(p, "close")
+
+
+_COMPOSITE = _WIN.replace(PX, R, 1) + """, o AS (SELECT ticker, date, sign(CASE WHEN count(ret) OVER k >= 20 THEN avg(ret) OVER k END) AS way, count(*) OVER (PARTITION BY ticker) AS rows FROM r WINDOW k AS (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING)),
+    q AS (SELECT ticker, date, greatest(least((greatest(least((2.5 - gamma) / 2.5, 1), -1) * 0.5 + greatest(least((2 - entropy) / 2, 1), -1) * 0.3 + (clustering / (clustering + 0.3) - 0.5) * 0.4) * way, 1), -1) AS raw FROM w JOIN o USING (ticker, date) WHERE rows >= 30 AND way IS NOT NULL
+        UNION ALL SELECT ticker, date, NULL FROM w JOIN o USING (ticker, date) WHERE rows >= 30 AND way IS NULL),
+    g AS (SELECT ticker, date, raw, greatest(least(avg(raw) OVER (PARTITION BY ticker ORDER BY date ROWS 4 PRECEDING), 1), -1) AS signal0 FROM q), g2 AS (SELECT ticker, date, raw, CASE WHEN count(raw) OVER (PARTITION BY ticker ORDER BY date ROWS 4 PRECEDING) > 0 THEN signal0 END AS signal FROM g)"""
+
+
+@query("sg13_composite_universe", f"WITH {_COMPOSITE} SELECT ticker, date, round(raw, 5) + 0.0 AS raw, round(signal, 5) + 0.0 AS signal FROM g2", digits=5)
+def _(p):
+    return gr.composite_signal(p, "close")
+
+
+@query("sg13_signal_quality", f"WITH {_COMPOSITE}, x AS (SELECT ticker, date, lead(ret) OVER ({TICKER}) AS fwd FROM r), y AS (SELECT g2.ticker, signal, fwd, lag(signal) OVER (PARTITION BY g2.ticker ORDER BY g2.date) AS b FROM g2 JOIN x USING (ticker, date)) SELECT ticker, count(signal) AS n, " + ", ".join(f"round(CAST({v} AS DOUBLE), 5) + 0.0 AS {c}" for c, v in {"ic": "covar_pop(signal, fwd) FILTER (signal IS NOT NULL AND fwd IS NOT NULL) / nullif(stddev_pop(signal) FILTER (signal IS NOT NULL AND fwd IS NOT NULL) * stddev_pop(fwd) FILTER (signal IS NOT NULL AND fwd IS NOT NULL), 0)", "hit_rate": "avg(CASE WHEN coalesce(sign(signal) = sign(fwd), false) THEN 1.0 ELSE 0.0 END)", "turnover": "avg(abs(signal - b))", "cost": "avg(abs(signal - b)) * 0.252", "stay": "covar_pop(signal, b) FILTER (signal IS NOT NULL AND b IS NOT NULL) / nullif(stddev_pop(signal) FILTER (signal IS NOT NULL AND b IS NOT NULL) * stddev_pop(b) FILTER (signal IS NOT NULL AND b IS NOT NULL), 0)", "mean": "avg(signal)", "std": "stddev_samp(signal)"}.items()) + " FROM y GROUP BY ticker", digits=5)
+def _(p):
+    return gr.signal_quality(gr.composite_signal(p, "close"), p.withColumn("fwd", w.lag("ret", -1)), "fwd")
+
+
 @query("gr3_spectrum")
 def _(p):
     return gr.spectrum(gr.horizontal_edges(p, "close"))

@@ -88,6 +88,27 @@ ORACLES["ps8_smoothed_weights"] = recursive(
     ", n AS (SELECT ticker, date, coalesce(s / nullif(sum(abs(s)) OVER (PARTITION BY date), 0), 0) AS position FROM k) " + out("position", "n"),
 )
 
+# Books with stops on summed returns: day of each date, the five best of every 21st date, and the states of each name.
+_DAYS = SIG + f", dd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS day FROM (SELECT DISTINCT date FROM g)), k0 AS (SELECT g.*, day, day // 21 AS period, row_number() OVER (PARTITION BY date ORDER BY signal DESC NULLS LAST, ticker) AS place, count(signal) OVER (PARTITION BY date) AS c, {roll('stddev_samp', 'ret', 20)} AS dev FROM g JOIN dd USING (date)), t AS (SELECT *, CASE WHEN day % 21 = 0 THEN CASE WHEN signal IS NOT NULL AND place <= 5 THEN 1.0 / least(c, 5) ELSE 0.0 END WHEN period <> lag(period) OVER ({TICKER}) THEN 0.0 END AS want FROM k0)"
+_ON = "p.held > 0.001"
+_SUM = f"(CASE WHEN {_ON} THEN p.gained + coalesce(r.ret, 0) ELSE p.gained END)"
+_TOP0 = f"(CASE WHEN {_ON} THEN greatest(p.peak, {_SUM}) ELSE p.peak END)"
+_GONE = f"({_ON} AND ({_SUM} < -0.5 OR {_SUM} > 1.0 OR coalesce({_TOP0} > 0.02 AND {_SUM} < {_TOP0} - 0.3 * r.dev * sqrt(20), false)))"
+_STAYS = f"(CASE WHEN {_GONE} THEN 0.0 ELSE p.held END)"
+_ANEW = f"({_GONE} OR coalesce(r.want > 0.001 AND {_STAYS} < 0.001, false))"
+_TRADES = (
+    _DAYS, "t", {"held": "CAST(coalesce(want, 0) AS DOUBLE)", "gained": "CAST(0 AS DOUBLE)", "peak": "CAST(0 AS DOUBLE)", "closed": "CAST(NULL AS DOUBLE)"},
+    {"held": f"CAST(coalesce(r.want, {_STAYS}) AS DOUBLE)", "gained": f"CASE WHEN {_ANEW} THEN 0.0 ELSE {_SUM} END", "peak": f"CASE WHEN {_ANEW} THEN 0.0 ELSE {_TOP0} END", "closed": f"CASE WHEN {_GONE} THEN {_SUM} END"}, "ret want dev",
+)
+ORACLES["bt24_stopped_trailing"] = recursive(
+    *_TRADES, f", h AS (SELECT *, abs(held - coalesce({lagged('held')}, 0)) AS d FROM k), e AS (SELECT date, sum(held * coalesce(ret, 0)) AS gross, sum(d) AS turnover FROM h GROUP BY date) "
+    "SELECT date, round(gross, 6) + 0.0 AS gross, round(turnover, 6) + 0.0 AS turnover, round(gross - turnover * 0.001, 6) + 0.0 AS net FROM e",
+)
+ORACLES["bt24_trade_concentration"] = recursive(
+    *_TRADES, ", c AS (SELECT closed, row_number() OVER (ORDER BY closed DESC) AS place FROM k WHERE closed IS NOT NULL) SELECT count(*) AS trades, round(avg(closed), 5) + 0.0 AS mean_profit, round(avg(CASE WHEN closed > 0 THEN 1.0 ELSE 0.0 END), 5) + 0.0 AS won, "
+    "round(coalesce(sum(closed) FILTER (place <= 10) / nullif(sum(closed), 0), 0), 5) + 0.0 AS concentration FROM c",
+)
+
 # -- composed queries -----------------------------------------------------------------------------------------
 
 _MOM = {f"mom_{n}d": roll("sum", "ret", n) for n in (5, 10, 21, 63)} | {"pos": "CASE WHEN ret IS NOT NULL THEN CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END END"}
