@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,49 +86,83 @@ class Rules:
     cost_bps: float = 10.0
 
 
-def simulate(df: DataFrame, rules: Rules, signal: str = "signal", r: str = "ret", strategy: str | None = None) -> DataFrame:
-    """Per date (and strategy) gross, turnover, net and names of a path-dependent book.
-
-    One grouped map per strategy: a date's weights depend on all names' weights of the date before. The rows of
-    a date are folded to arrays first, so a task holds one row per date of its strategy.
+class _Book:
+    """The state of one strategy's book, moved a date at a time."""
+
+    def __init__(self, rules: Rules):
+        self.rules, self.held, self.gained = rules, {}, {}
+        self.value = self.peak = 1.0
+        self.rest = self.clock = 0
+
+    def move(self, today: dict[str, tuple[float | None, float | None]]) -> tuple[float, float, float, int]:
+        """(gross, turnover, net, names) of a date whose names have (signal, return); the weights change for the next date."""
+        rules, held, gained = self.rules, self.held, self.gained
+        got = {t: today[t][1] for t in held if t in today and today[t][1] is not None and not np.isnan(today[t][1])}
+        gross = sum(held[t] * got[t] for t in got)
+        old = dict(held)
+        for t in got:
+            gained[t] = (1 + gained.get(t, 0.0)) * (1 + np.sign(held[t]) * got[t]) - 1
+        self.value *= 1 + gross
+        self.peak = max(self.peak, self.value)
+        for t in list(held):
+            if rules.stop is not None and gained.get(t, 0.0) <= -rules.stop or rules.take is not None and gained.get(t, 0.0) >= rules.take:
+                held.pop(t)
+        if self.rest:
+            self.rest -= 1
+            if not self.rest:
+                self.value = self.peak = 1.0
+        elif rules.trail is not None and self.value / self.peak - 1 <= -rules.trail:
+            held, self.rest = {}, rules.cooldown
+        else:
+            if self.clock % rules.every == 0:
+                held = _chosen(today, held, rules)
+            self.clock += 1
+        self.gained = {t: gained.get(t, 0.0) if np.sign(old.get(t, 0.0)) == np.sign(held[t]) else 0.0 for t in held}
+        self.held = held
+        turnover = sum(abs(held.get(t, 0.0) - old.get(t, 0.0)) for t in held.keys() | old.keys())
+        return float(gross), float(turnover), float(gross - turnover * rules.cost_bps / 1e4), len(held)
+
+
+def simulate(df: DataFrame, rules: Rules | Mapping[str, Rules], signal: str = "signal", r: str = "ret", strategy: str | None = None) -> DataFrame:
+    """Per date (and strategy, and name of the ``rules`` if several are given) gross, turnover, net and names of a path-dependent book.
+
+    A date's weights depend on all names' weights of the date before, so a book is moved date by date: rows are dealt by strategy and sorted by date, and stream through
+    the task, which holds the rows of one date and the weights. All sets of rules are moved along in the same pass. Rows without a date are left out.
     """
-    keyed = df.withColumn("_strategy", F.col(strategy) if strategy else F.lit("book"))
-    folded = keyed.groupBy("_strategy", "date").agg(F.sort_array(F.collect_list(F.struct("ticker", F.col(signal).alias("s"), F.col(r).alias("r")))).alias("rows"))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("date")
-        held: dict[str, float] = {}
-        gained: dict[str, float] = {}
-        out, value, peak, rest, clock = [], 1.0, 1.0, 0, 0
-        for date, rows in zip(g["date"], g["rows"]):
-            today = {x["ticker"]: (x["s"], x["r"]) for x in rows}
-            got = {t: today[t][1] for t in held if t in today and today[t][1] is not None and not np.isnan(today[t][1])}
-            gross = sum(held[t] * got[t] for t in got)
-            old = dict(held)
-            for t in got:
-                gained[t] = (1 + gained.get(t, 0.0)) * (1 + np.sign(held[t]) * got[t]) - 1
-            value *= 1 + gross
-            peak = max(peak, value)
-            for t in list(held):
-                if rules.stop is not None and gained.get(t, 0.0) <= -rules.stop or rules.take is not None and gained.get(t, 0.0) >= rules.take:
-                    held.pop(t)
-            if rest:
-                rest -= 1
-                if not rest:
-                    value = peak = 1.0
-            elif rules.trail is not None and value / peak - 1 <= -rules.trail:
-                held, rest = {}, rules.cooldown
-            else:
-                if clock % rules.every == 0:
-                    held = _chosen(today, held, rules)
-                clock += 1
-            gained = {t: gained.get(t, 0.0) if np.sign(old.get(t, 0.0)) == np.sign(held[t]) else 0.0 for t in held}
-            turnover = sum(abs(held.get(t, 0.0) - old.get(t, 0.0)) for t in held.keys() | old.keys())
-            out.append((g["_strategy"].iloc[0], date, gross, turnover, gross - turnover * rules.cost_bps / 1e4, len(held)))
-        return pd.DataFrame(out, columns=["strategy", "date", "gross", "turnover", "net", "names"])
+    named = rules if isinstance(rules, Mapping) else {"": rules}
+    keyed = df.where(F.col("date").isNotNull()).select((F.col(strategy).cast("string") if strategy else F.lit("book")).alias("strategy"), "date", "ticker", F.col(signal).cast("double").alias("s"), F.col(r).cast("double").alias("r"))
+    dealt = keyed.repartition("strategy").sortWithinPartitions("strategy", "date", "ticker")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, today, books, out = None, {}, {}, []
+
+        def close() -> None:
+            for name, book in books.items():
+                out.append((*at, name, *book.move(today)))
+
+        def table() -> pa.RecordBatch:
+            kinds = [pa.string(), pa.date32(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+            columns = list(zip(*out)) if out else [()] * len(kinds)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["strategy", "date", "rules", "gross", "turnover", "net", "names"])
+
+        for b in batches:
+            for k, date, ticker, s, ret in zip(*(b.column(c).to_pylist() for c in ("strategy", "date", "ticker", "s", "r"))):
+                if (k, date) != at:
+                    if at is not None:
+                        close()
+                    if at is None or k != at[0]:
+                        books = {name: _Book(x) for name, x in named.items()}
+                    at, today = (k, date), {}
+                today[ticker] = s, ret
+            yield table()
+        if at is not None:
+            close()
+            yield table()
 
     ship(df.sparkSession)
-    return folded.groupBy("_strategy").applyInPandas(run, "strategy string, date date, gross double, turnover double, net double, names long")
+    done = dealt.mapInArrow(run, "strategy string, date date, rules string, gross double, turnover double, net double, names long")
+    return done if isinstance(rules, Mapping) else done.drop("rules")
 
 
 def _chosen(today: dict, held: dict[str, float], rules: Rules) -> dict[str, float]:

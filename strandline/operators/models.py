@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.shared import scratch
 from strandline.functions.shipping import ship
 from strandline.operators import kernels as kn
 from strandline.operators import windows as w
@@ -202,48 +205,146 @@ def lead_lag(df: DataFrame, reach: int = 5, x: str = "ret") -> DataFrame:
     return both.groupBy("asset1", "asset2", "lag").agg(safe_corr(x, "y").alias("corr"))
 
 
-def factors(df: DataFrame, x: str = "ret", components: int = 3) -> DataFrame:
-    """(component, ticker, loading, explained): eigenvectors of the tickers' correlation matrix, which is counted by
-    a join within dates; each is signed so that its largest loading is positive. The matrix (tickers squared)
-    is solved on the driver."""
-    z = df.where(F.col(x).isNotNull()).select("ticker", "date", x)
-    a, b = (z.toDF(f"t{i}", "date", f"x{i}") for i in (1, 2))
+def correlation_table(df: DataFrame, x: str = "ret") -> DataFrame:
+    """(a, b, c): correlations of all pairs of tickers over their common dates, both ways round and each with itself; 0 where there is none. Written in the shared folder."""
     from strandline.operators.trading import safe_corr
 
-    pairs = a.join(b, "date").where("t1 <= t2").groupBy("t1", "t2").agg(safe_corr("x1", "x2").alias("c")).collect()
-    names = sorted({r.t1 for r in pairs} | {r.t2 for r in pairs})
-    m, at = np.zeros((len(names), len(names))), {t: i for i, t in enumerate(names)}
-    for r in pairs:
-        m[at[r.t1], at[r.t2]] = m[at[r.t2], at[r.t1]] = r.c if r.c is not None else 0.0
-    values, vectors = np.linalg.eigh(m)
-    rows = []
-    for k in range(min(components, len(names))):
-        v = vectors[:, -1 - k]
-        v = v * np.sign(v[np.abs(v).argmax()])
-        rows += [(k, t, float(v[i]), float(values[-1 - k] / len(names))) for t, i in at.items()]
-    return df.sparkSession.createDataFrame(rows, "component int, ticker string, loading double, explained double")
+    z = df.where(F.col(x).isNotNull()).select("ticker", "date", x)
+    one, other = (z.toDF(f"t{i}", "date", f"x{i}") for i in (1, 2))
+    half = one.join(other, "date").where("t1 <= t2").groupBy("t1", "t2").agg(safe_corr("x1", "x2").alias("c")).select(F.col("t1").alias("a"), F.col("t2").alias("b"), F.coalesce("c", F.lit(0.0)).alias("c"))
+    folder = scratch(df.sparkSession, "correlations")
+    half.unionByName(half.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), "c")).write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def _matrix(column: pa.Array, k: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+
+
+def _products(of: DataFrame, left: str, right: str, k: int) -> np.ndarray:
+    """left' right of two columns of arrays of ``k``: a task gives one small matrix, Spark adds them up."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for b in batches:
+            total += _matrix(b.column("l"), k).T @ _matrix(b.column("r"), k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k), pa.int32()), pa.array(total.reshape(-1))], ["i", "p"])
+
+    rows = of.select(F.col(left).alias("l"), F.col(right).alias("r")).mapInArrow(run, "i int, p double").groupBy("i").agg(F.sum("p").alias("p"))
+    return np.array([r.p for r in rows.orderBy("i").collect()]).reshape(k, k)
+
+
+def _turned(of: DataFrame, v: str, m: np.ndarray) -> DataFrame:
+    """(t, v): the arrays times a small matrix."""
+    k = len(m)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("t"), pa.array(list(_matrix(b.column("v"), k) @ m), pa.list_(pa.float64()))], ["t", "v"])
+
+    return of.select("t", F.col(v).alias("v")).mapInArrow(run, "t string, v array<double>")
+
+
+def _orthonormal(gram: np.ndarray) -> np.ndarray:
+    """What makes columns of these products orthonormal."""
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    return vectors / np.sqrt(np.maximum(values, values.max() * 1e-24))
+
+
+def factors(df: DataFrame, x: str = "ret", components: int = 3, spare: int = 24, rounds: int = 100, tolerance: float = 1e-10, seed: int = 5) -> DataFrame:
+    """(component, ticker, loading, explained): leading eigenvectors of the tickers' correlation matrix, each signed so that its largest loading is positive (ties: the first ticker's).
+
+    Subspace iteration from seeded random columns, ``spare`` more than are wanted: the matrix and the columns stay tables, a round is a join and a sum by ticker, and only the products of
+    the columns with each other (their number squared) reach the driver. It ends when the eigenvalues stand to ``tolerance``, at once where there are as many columns as tickers.
+    """
+    ship(df.sparkSession)
+    table, spark = correlation_table(df, x), df.sparkSession
+    tickers = table.select(F.col("a").alias("t")).distinct()
+    n = tickers.count()
+    k, values = min(components + spare, n), np.zeros(components)
+    if n == 0:
+        return spark.createDataFrame([], "component int, ticker string, loading double, explained double")
+
+    def written(of: DataFrame) -> DataFrame:
+        folder = scratch(spark, "columns")
+        of.write.parquet(folder)
+        return spark.read.parquet(folder)
+
+    columns = written(tickers.select("t", F.array(*((F.pmod(F.xxhash64("t", F.lit(seed), F.lit(i)), F.lit(1 << 40)) / F.lit(float(1 << 40)) - 0.5) for i in range(k))).alias("v")))
+    for _ in range(2):  # twice, as one pass leaves rounding of the condition's square
+        columns = written(_turned(columns, "v", _orthonormal(_products(columns, "v", "v", k))))
+    for _ in range(rounds):
+        moved = table.join(columns.withColumnRenamed("t", "b"), "b").groupBy(F.col("a").alias("t")).agg(F.array(*(F.sum(F.col("c") * F.col("v")[i]) for i in range(k))).alias("m"))
+        both = written(columns.join(moved, "t"))
+        inner = _products(both, "v", "m", k)
+        found, q = np.linalg.eigh((inner + inner.T) / 2)
+        found, before = found[::-1], values
+        values, vectors = found, _turned(both, "v", q[:, ::-1])
+        if k == n or np.abs(found[:components] - before[:components]).max() <= tolerance * n:
+            break
+        columns = both.select("t", F.col("m").alias("v"))
+        for _ in range(2):
+            columns = written(_turned(columns, "v", _orthonormal(_products(columns, "v", "v", k))))
+    wanted = min(components, n)
+    shown = written(vectors).select("t", F.posexplode(F.slice("v", 1, wanted)).alias("component", "loading"))
+    sign = shown.groupBy("component").agg(F.signum(F.min_by("loading", F.struct(-F.round(F.abs("loading"), 9), "t"))).alias("s"))
+    shares = F.array(*(F.lit(float(v / n)) for v in values[:wanted]))
+    return shown.join(F.broadcast(sign), "component").select(F.col("component").cast("int").alias("component"), F.col("t").alias("ticker"), (F.col("loading") * F.col("s")).alias("loading"), F.get(shares, F.col("component")).alias("explained"))
 
 
 def ward_clusters(df: DataFrame, clusters: int = 4, x: str = "ret") -> DataFrame:
-    """(ticker, cluster) by Ward linkage on sqrt(2 (1 - correlation)); the N x N matrix is on the driver."""
-    from strandline.operators.trading import safe_corr
+    """(ticker, cluster) by Ward linkage on sqrt(2 (1 - correlation)), clusters numbered by their first ticker.
 
-    z = df.where(F.col(x).isNotNull()).select("ticker", "date", x)
-    a, b = (z.toDF(f"t{i}", "date", f"x{i}") for i in (1, 2))
-    pairs = a.join(b, "date").where("t1 < t2").groupBy("t1", "t2").agg(safe_corr("x1", "x2").alias("c")).collect()
-    names = sorted({r.t1 for r in pairs} | {r.t2 for r in pairs})
-    far = {frozenset((r.t1, r.t2)): 2 * (1 - (r.c or 0.0)) for r in pairs}  # squared distances
-    groups = {i: [t] for i, t in enumerate(names)}
-    dist = {(i, j): far.get(frozenset((names[i], names[j])), 2.0) for i in groups for j in groups if i < j}
-    while len(groups) > clusters and dist:
-        i, j = min(dist, key=lambda p: (dist[p], p))
-        ni, nj, dij = len(groups[i]), len(groups[j]), dist.pop((i, j))
-        for k in [k for k in groups if k not in (i, j)]:
-            dik, djk, nk = dist.pop((min(i, k), max(i, k))), dist.pop((min(j, k), max(j, k))), len(groups[k])
-            dist[min(i, k), max(i, k)] = ((ni + nk) * dik + (nj + nk) * djk - nk * dij) / (ni + nj + nk)
-        groups[i] += groups.pop(j)
-    rows = [(t, c) for c, g in enumerate(sorted(groups.values(), key=min)) for t in sorted(g)]
-    return df.sparkSession.createDataFrame(rows, "ticker string, cluster int")
+    All pairs of clusters that are each other's nearest are merged at once, which gives the tree of merging one pair at a time. Distances between clusters follow from sums of squared distances
+    between and within them, so a round is a relabelling and a sum over the pairs, which stay a table; the driver sees one row a merge.
+    """
+    spark = df.sparkSession
+    corr = correlation_table(df, x)
+    tickers = corr.select(F.col("a").alias("t")).distinct()
+    names = tickers.withColumnRenamed("t", "a").join(tickers.withColumnRenamed("t", "b"))
+    pairs = names.join(corr, ["a", "b"], "left").where("a != b").select("a", "b", (2 * (1 - F.coalesce("c", F.lit(0.0)))).alias("s"))
+
+    def written(of: DataFrame, name: str) -> DataFrame:
+        folder = scratch(spark, name)
+        of.write.parquet(folder)
+        return spark.read.parquet(folder)
+
+    # Clusters by their first ticker: how many they hold, and the sum of squared distances within; sums between them, both ways.
+    sizes, between, merges = written(tickers.select("t", F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("within")), "sizes"), written(pairs, "between"), []
+    left = sizes.count()
+    while left > 1:
+        one, other = sizes.toDF("a", "na", "wa"), sizes.toDF("b", "nb", "wb")
+        apart = F.col("s") / (F.col("na") * F.col("nb")) - F.col("wa") / (F.col("na") * F.col("na")) - F.col("wb") / (F.col("nb") * F.col("nb"))
+        height = F.round(2 * F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")) * apart, 12)
+        # Equal distances go to the pair that comes first, so that the choice is the same from both sides.
+        nearest = between.join(one, "a").join(other, "b").groupBy("a").agg(F.min(F.struct(height.alias("h"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))).alias("best"))
+        nearest = written(nearest.select("best.*"), "nearest")
+        found = [(r.h, r.x, r.y) for r in nearest.groupBy("x", "y").agg(F.count(F.lit(1)).alias("k"), F.min("h").alias("h")).where("k = 2").collect()]
+        if not found:  # rounding has hidden the nearest pair of all
+            found = [tuple(nearest.orderBy("h", "x", "y").first())]
+        merges += found
+        left -= len(found)
+        label = spark.createDataFrame([(y, x) for _, x, y in found], "old string, new string")
+        renamed = lambda of, c: of.join(F.broadcast(label.toDF(c, f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+        joint = renamed(renamed(between, "a"), "b").groupBy("a", "b").agg(F.sum("s").alias("s"))
+        inside = joint.where("a = b").select(F.col("a").alias("t"), (F.col("s") / 2).alias("more"))
+        total = renamed(sizes, "t").groupBy("t").agg(F.sum("n").alias("n"), F.sum("within").alias("within"))
+        sizes = written(total.join(inside, "t", "left").select("t", "n", (F.col("within") + F.coalesce("more", F.lit(0.0))).alias("within")), "sizes")
+        between = written(joint.where("a != b"), "between")
+    merges.sort()
+    head = {t.t: t.t for t in tickers.collect()}
+
+    def top(t: str) -> str:
+        while head[t] != t:
+            t = head[t]
+        return t
+
+    for _, a, b in merges[: max(len(head) - clusters, 0)]:
+        a, b = sorted((top(a), top(b)))
+        head[b] = a
+    heads = sorted({top(t) for t in head})
+    return spark.createDataFrame([(t, heads.index(top(t))) for t in sorted(head)], "ticker string, cluster int")
 
 
 def average_correlation(df: DataFrame, n: int = 63, x: str = "ret") -> DataFrame:
