@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute
@@ -79,6 +79,17 @@ def crc_mod(col: str, modulus: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % modulus
 
 
+def placed(docs: DataFrame, extra: Sequence[str], text: str) -> tuple[DataFrame, list[str], str]:
+    """(the columns ``extra`` under names by place, and the text as ``text``; those names; their types as a schema).
+
+    So any names may stand in ``extra``: the text's own, repeated ones, and those of the results.
+    """
+    names = [f"c{i}" for i in range(len(extra))]
+    fields = docs.select(*(F.col(c).alias(n) for c, n in zip(extra, names))).schema.fields
+    kept = docs.select(*(F.col(c).alias(n) for c, n in zip(extra, names)), F.col(text).alias("text"))
+    return kept, names, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each slice holds about ``max_bytes`` of one text column (a row stays whole)."""
     for batch in batches:

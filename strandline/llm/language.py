@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import ship, slices
+from strandline.llm.common import placed, ship, slices
 
 #: Labelled text that a language is learnt from: documents at most, and symbols at most; symbols of all languages together.
 FIT_DOCUMENTS, FIT_SYMBOLS, ALL_SYMBOLS = 400, 60_000, 1_200_000
 #: Symbols between the places at which the parse of a long text is begun.
 PIECE = 256
+#: Places times languages that are parsed at once, at five bytes each.
+CELLS = 1 << 25
 UNDETERMINED = "und"
 
 
@@ -161,7 +163,13 @@ class LanguageModel:
         A phrase ends before a symbol that doesn't continue it and the next begins with that symbol; a symbol that no
         phrase begins with is a phrase of its own.
         """
-        counts, k, step, width = np.diff(offsets), len(self.languages), self.step, self.begin.shape[1]
+        at_once = max(1, CELLS // (len(symbols) + 1))
+        languages = range(0, len(self.languages), at_once)
+        return np.concatenate([self._phrases(symbols, offsets, i, min(i + at_once, len(self.languages))) for i in languages], 1)
+
+    def _phrases(self, symbols: np.ndarray, offsets: np.ndarray, since: int, upto: int) -> np.ndarray:
+        """As ``phrases``, for the languages numbered ``since`` to ``upto`` - 1."""
+        counts, k, step, width = np.diff(offsets), upto - since, self.step, self.begin.shape[1]
         pieces = -(-counts // PIECE)
         owner = np.repeat(np.arange(len(counts)), pieces)
         begins = offsets[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
@@ -170,7 +178,7 @@ class LanguageModel:
         # A lane per piece and language; every language has its own stretch of ``starts``, the places where phrases begin.
         n = len(symbols) + 1
         stretch, fresh = np.tile(np.arange(k) * n, len(order)), np.tile(np.arange(k) * width, len(order))
-        first = self.begin.ravel()
+        first = self.begin[since:upto].ravel()
         starts = np.zeros(n * k, bool)
         text = np.append(symbols, 0)
         at, till, size = (np.repeat(x[order], k) for x in (begins, ends, ends - begins))
@@ -262,14 +270,17 @@ def fit(docs: DataFrame, train: Column, documents: int = FIT_DOCUMENTS, symbols:
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``extra`` columns, lang_pred and score (0 to 1) of each whole text: a narrow map, rows as they were."""
+    """``extra`` columns, lang_pred and score (0 to 1) of each whole text: a narrow map, rows as they were.
+
+    Letters that no labelled text has are one symbol alike; a text of such letters alone costs every language the same, so the first name wins.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*extra, text)
+    kept, columns, schema = placed(docs, extra, text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text):
-            names, scores = shared.value.predict(b.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in extra), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*extra, "lang_pred", "score"])
+        for b in slices(batches, "text"):
+            names, scores = shared.value.predict(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*columns, "lang_pred", "score"])
 
-    return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in extra) + ", lang_pred string, score double")
+    return kept.mapInArrow(run, f"{schema}{', ' if columns else ''}lang_pred string, score double").toDF(*extra, "lang_pred", "score")

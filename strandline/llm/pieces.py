@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strandline.llm.common import ship, slices
+from strandline.llm.common import placed, ship, slices
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
@@ -247,13 +247,13 @@ def digest_documents(docs: DataFrame, table: PieceTable, text: str = "text", ext
 def _mapped(docs: DataFrame, table: PieceTable, text: str, extra: Sequence[str], schema: str, columns) -> DataFrame:
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    kept = docs.select(*extra, text)
-    names = [*extra, *(x.strip().split()[0] for x in schema.split(", "))]
+    kept, names, given = placed(docs, extra, text)
+    made = [x.strip().split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared.value
-        for b in slices(batches, text, 1 << 20):
-            ids = pieces.encode(b.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in extra), *columns(ids, list(map(pieces.decode, ids)))], names)
+        for b in slices(batches, "text", 1 << 20):
+            ids = pieces.encode(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *columns(ids, list(map(pieces.decode, ids)))], [*names, *made])
 
-    return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in extra) + ", " + schema)
+    return kept.mapInArrow(run, f"{given}{', ' if names else ''}{schema}").toDF(*extra, *made)

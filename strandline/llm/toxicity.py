@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut, ship, slices
+from strandline.llm.common import cut, placed, ship, slices
 
 #: At most so many labelled rows are learnt from: those of the smallest hashed ids.
 FIT_ROWS = 20_000
@@ -40,7 +40,6 @@ HOMOGLYPHS = str.maketrans(
 )
 # Digits and signs written for letters.
 LEET = str.maketrans("013457@$!|", "oieastasii")
-_LEET_TOKEN = re.compile(r"(?<![^\W\d_])[^\W_@$!|]*[013457@$!|][^\s.,;:?*%#&\"'()\-]*")
 _INSIDE = re.compile(r"(?:(?<=[a-z])|(?<![\w@$!|]))[013457@$!|]+(?=[a-z])|(?<=[a-z])[013457]+(?![\w@$!|])")
 _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 _OTHER = re.compile(r"[^a-z]+")
@@ -204,19 +203,19 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, text: str = "text", extra
     get the score of a text without entries. A narrow map: rows stay as they are."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    kept = docs.select(*extra, text)
+    kept, names, schema = placed(docs, extra, text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
-        for b in slices(batches, text):
-            folded = list(map(fold, b.column(text).to_pylist()))
+        for b in slices(batches, "text"):
+            folded = list(map(fold, b.column("text").to_pylist()))
             hits = list(map(lex.found, folded))
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in extra), pa.array(list(map(lex.score, folded, hits)), pa.float64()), pa.array([[e for e, _ in h] for h in hits], pa.list_(pa.string()))],
-                [*extra, "score", "hits"],
+                [*(b.column(c) for c in names), pa.array(list(map(lex.score, folded, hits)), pa.float64()), pa.array([[e for e, _ in h] for h in hits], pa.list_(pa.string()))],
+                [*names, "score", "hits"],
             )
 
-    return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in extra) + ", score double, hits array<string>")
+    return kept.mapInArrow(run, f"{schema}{', ' if names else ''}score double, hits array<string>").toDF(*extra, "score", "hits")
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5, text: str = "text") -> DataFrame:

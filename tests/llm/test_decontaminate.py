@@ -87,3 +87,35 @@ def test_ids_of_other_types(spark):
     docs = spark.createDataFrame([("a", "x " + words + " y"), ("b", "nothing of it"), (None, words)], "doc_id string, text string")
     bench = spark.createDataFrame([(3, words)], "item_id int, text string")
     assert sorted((str(r.doc_id), r.item_id, r.first_word) for r in decontaminate.find_leaks(docs, bench).collect()) == [("None", 3, 0), ("a", 3, 1)]
+
+
+def test_the_radius_holds_windows_at_the_threshold():
+    """Windows whose weighted similarity is just 0.8 or above: their fingerprints lie within the radius, for items of 5 to 200 words."""
+    import numpy as np
+
+    from strandline.llm import decontaminate as dc
+    from strandline.llm.words import shingle_hashes
+
+    rng, missed, tried = np.random.default_rng(11), 0, 0
+    for words in (5, 6, 8, 12, 20, 40, 80, 120, 200):
+        per = words - dc.SHINGLE + 1
+        for _ in range(600):
+            item = rng.integers(0, 1 << 63, words).astype(np.uint64)
+            window = item.copy()
+            while True:  # change words one after the other, as long as the similarity holds
+                trial = window.copy()
+                trial[rng.integers(0, words)] = rng.integers(0, 1 << 63)
+                if dc.weighted_similarity(shingle_hashes(trial, dc.SHINGLE), shingle_hashes(item, dc.SHINGLE)) < dc.SIMILARITY:
+                    break
+                window = trial
+            if per >= 9:  # fill up to the threshold at the item's ends, where a word changes one shingle
+                for k in range(1, per):
+                    trial = window.copy()
+                    trial[:k] = rng.integers(0, 1 << 63, k).astype(np.uint64)
+                    if dc.weighted_similarity(shingle_hashes(trial, dc.SHINGLE), shingle_hashes(item, dc.SHINGLE)) < dc.SIMILARITY:
+                        break
+                    window = trial
+            prints = [dc.simhash(dc.votes(shingle_hashes(x, dc.SHINGLE)).sum(0, dtype=np.int64)[None]) for x in (item, window)]
+            tried += 1
+            missed += int(np.bitwise_count(prints[0] ^ prints[1]).sum()) > dc.RADIUS
+    assert tried == 5400 and missed == 0

@@ -80,3 +80,16 @@ def test_very_long_text(spark):
     model = language.LanguageModel.learn({k: [t] for k, t in TEXTS.items()})
     docs = spark.createDataFrame([(1, TEXTS["bb"] * 20_000)], "doc_id long, text string")
     assert language.identify(docs, model).first().lang_pred == "bb"
+
+
+def test_languages_in_blocks_and_columns_of_any_name(spark, monkeypatch):
+    texts = {f"l{i}": [f"{chr(97 + i)}{chr(98 + i)}{chr(99 + i)} " * 40] for i in range(7)}
+    model = language.LanguageModel.learn(texts)
+    some = [t for v in texts.values() for t in v] + ["abc bcd " * 9, "", None, "漢字"]
+    whole = model.predict(some)
+    monkeypatch.setattr(language, "CELLS", 1)  # one language at a time
+    assert model.predict(some) == whole
+    df = spark.createDataFrame([(1, t) for t in some], "doc_id long, text string").selectExpr("*", "7 AS lang_pred", "8 AS score")
+    got = language.identify(df, model, extra=("text", "score", "doc_id", "lang_pred"))
+    assert got.columns == ["text", "score", "doc_id", "lang_pred", "lang_pred", "score"]
+    assert [(r[0], r[1], r[3], r[4]) for r in got.collect()] == [(t, 8, 7, n) for t, n in zip(some, whole[0])]

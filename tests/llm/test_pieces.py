@@ -59,3 +59,14 @@ def test_long_words_in_little_time():
     got = table.encode(words)
     assert time.process_time() - began < 30
     assert got == [sp.encode(w) + [sp.eos_id()] for w in words]
+
+
+def test_columns_of_any_name_beside_the_ids(spark):
+    import public_tokenizers
+
+    table = pieces.PieceTable.load(public_tokenizers.path("piece_bpe_32k.model"))
+    df = spark.createDataFrame([(1, "a text", 5)], "doc_id long, text string, ids int")
+    got = pieces.encode_documents(df, table, extra=("ids", "text", "doc_id"))
+    assert got.columns == ["ids", "text", "doc_id", "ids", "decoded"]
+    row = got.first()
+    assert (row[0], row[1], row[2], row[4]) == (5, "a text", 1, "a text") and row[3] == table.encode(["a text"])[0]

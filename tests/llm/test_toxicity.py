@@ -71,3 +71,11 @@ def test_score_by_its_definition(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.score for r in toxicity.score_documents(df, lex).collect()}
     assert all(abs(got[i] - plain(t)) < 1e-12 for i, t in enumerate(texts))
+
+
+def test_columns_of_any_name_beside_the_score(spark):
+    lexicon = toxicity.Lexicon({"bad": 3.0})
+    df = spark.createDataFrame([(1, "a bad one", 5), (2, None, 6)], "doc_id long, text string, score int")
+    got = toxicity.score_documents(df, lexicon, extra=("doc_id", "score", "text"))
+    assert got.columns == ["doc_id", "score", "text", "score", "hits"]
+    assert [(r[0], r[1], r[2], r[4]) for r in got.collect()] == [(1, 5, "a bad one", ["bad"]), (2, 6, None, [])]
