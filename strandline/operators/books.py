@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.shipping import ship
 from strandline.operators import features as fe
+from strandline.operators import windows as w
 from strandline.operators.trading import safe_corr
 
 KEYS = ["ticker", "date"]
@@ -39,6 +40,25 @@ def screen(df: DataFrame, columns: Sequence[str], most_missing: float = 0.15, le
     return one.select(rows).select("e.feature", "e.missing", ((F.col("e.missing") <= most_missing) & F.coalesce(F.col("e.v") > least_variance, F.lit(False))).alias("kept"))
 
 
+def feature_report(df: DataFrame, categories: Mapping[str, str], target: str, most_missing: float = 0.15, least: int = 5) -> DataFrame:
+    """(feature, category, dates, missing, ic, t, kept): per feature the share of rows without it, and mean and t of its daily correlations with the target, over
+    dates of at least ``least`` rows with both; one melt and two aggregates for all features."""
+    columns = list(categories)
+    tall = df.select("date", F.col(target).alias("_y"), F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns))).alias("e")).select("date", "_y", "e.*")
+    missing = tall.groupBy("feature").agg((1 - F.count("x") / F.count(F.lit(1))).alias("missing"))
+    both = tall.where(F.col("x").isNotNull() & F.col("_y").isNotNull())
+    daily = both.groupBy("feature", "date").agg(F.when(F.count(F.lit(1)) >= least, safe_corr("x", "_y")).alias("c"))
+    ic = daily.groupBy("feature").agg(F.count("c").alias("dates"), F.avg("c").alias("ic"), (F.try_divide(F.avg("c"), F.stddev_samp("c")) * F.sqrt(F.count("c").cast("double"))).alias("t"))
+    named = F.create_map(*(F.lit(v) for kv in categories.items() for v in kv))[F.col("feature")]
+    return missing.join(ic, "feature", "left").select("feature", named.alias("category"), F.coalesce("dates", F.lit(0).cast("long")).alias("dates"), "missing", "ic", "t", (F.col("missing") <= most_missing).alias("kept"))
+
+
+def filled(df: DataFrame, columns: Sequence[str], rest: float = 0.0) -> DataFrame:
+    """``df`` with missing values of ``columns`` replaced by the ticker's last one, else the median of the date (of values so filled), else ``rest``."""
+    df = df.withColumns({c: w.ffill(c) for c in columns})
+    return df.withColumns({c: F.coalesce(F.col(c), F.percentile(c, 0.5).over(w.section()), F.lit(rest)) for c in columns})
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x, y, corr) of all pairs of columns, in one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]

@@ -106,6 +106,63 @@ def hmm_regimes(df: DataFrame, x: str = "ret", states: int = 3, window: int = 25
     return df.select(key, "date", x).groupBy(key).applyInPandas(run, f"{key} string, date date, regime int, probabilities array<double>")
 
 
+def forward_states(v: np.ndarray, fit: np.ndarray, mean: np.ndarray, var: np.ndarray, step: np.ndarray, recent: int) -> np.ndarray:
+    """Probabilities [row, state] of each row's state by a forward pass over its last ``recent`` values from equal ones on, with the model numbered by ``fit``; all rows in step."""
+    rows = np.arange(len(v))
+    p = None
+    for back in range(recent - 1, -1, -1):
+        at = rows - back
+        seen = np.maximum(at, 0)
+        dens = np.maximum(np.exp(-0.5 * (v[seen, None] - mean[fit]) ** 2 / var[fit]) / np.sqrt(2 * np.pi * var[fit]), 1e-300)
+        first = dens / dens.sum(1, keepdims=True)
+        if p is None:
+            p = np.where((at >= 0)[:, None], first, np.nan)
+            continue
+        on = (p[:, None] @ step[fit])[:, 0] * dens
+        moved = np.where(np.isnan(p[:, :1]), first, on / on.sum(1, keepdims=True))
+        p = np.where((at >= 0)[:, None], moved, np.nan)
+    return p
+
+
+def hmm_features(df: DataFrame, x: str = "ret", states: int = 3, window: int = 252, every: int = 21, recent: int = 11, key: str = "ticker") -> DataFrame:
+    """key, date, state, confidence, entropy, p_high (of the state of the largest variance), shift (sum of changes of the probabilities from the row before) and duration (expected
+    rows in the state) at each row from ``window`` on: the model is refitted on the ``window`` rows before every ``every`` rows, and a row's state follows from its last ``recent`` values. Missing values are left out first."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("date").dropna(subset=[x]).reset_index(drop=True)
+        v = g[x].to_numpy(float)
+        cuts = range(window, len(g), every)
+        if not len(cuts):
+            return pd.DataFrame(columns=[key, "date", "state", "confidence", "entropy", "p_high", "shift", "duration"])
+        mean, var, step, _ = fit_hmms(np.stack([v[t - window : t] for t in cuts]), states)
+        fit = np.maximum(np.arange(len(v)) - window, 0) // every
+        p = forward_states(v, fit, mean, var, step, recent)[window:]
+        fit, best, at = fit[window:], p.argmax(1), np.arange(len(p))
+        shift = np.append(np.nan, np.abs(np.diff(p, axis=0)).sum(1))
+        return g.loc[window:, [key, "date"]].assign(
+            state=best, confidence=p.max(1), entropy=-(p * np.log(p + 1e-10)).sum(1), p_high=p[at, var[fit].argmax(1)], shift=shift, duration=1 / (1 - step[fit, best, best] + 1e-6)
+        )
+
+    ship(df.sparkSession)
+    return df.select(key, "date", x).groupBy(key).applyInPandas(run, f"{key} string, date date, state int, confidence double, entropy double, p_high double, shift double, duration double")
+
+
+def hmm_parameters(df: DataFrame, x: str = "ret", states: int = 3, least: int = 100, key: str = "ticker") -> DataFrame:
+    """(key, state, mean, std, stay, share, loglik) of the model of each whole series of at least ``least`` values, states by variance; share: of rows that the state is the likeliest in."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        v = g.sort_values("date")[x].dropna().to_numpy(float)
+        if len(v) < least:
+            return pd.DataFrame(columns=[key, "state", "mean", "std", "stay", "share", "loglik"])
+        mean, var, step, like = fit_hmm(v, states)
+        alpha, beta, _, _ = _passes(v[None], mean[None], var[None], step[None], np.full((1, states), 1 / states))
+        share = np.bincount((alpha * beta)[0].argmax(1), minlength=states) / len(v)
+        return pd.DataFrame({key: g[key].iloc[0], "state": range(states), "mean": mean, "std": np.sqrt(var), "stay": np.diag(step), "share": share, "loglik": like})
+
+    ship(df.sparkSession)
+    return df.select(key, "date", x).groupBy(key).applyInPandas(run, f"{key} string, state int, mean double, std double, stay double, share double, loglik double")
+
+
 def select_hmm(df: DataFrame, x: str = "ret", states: tuple[int, ...] = (2, 3, 4), starts: tuple[float, ...] = (1.0, 0.5, 2.0), least: int = 100, key: str = "ticker") -> DataFrame:
     """(key, states, loglik, aic, bic, least_share, mean_days, chosen): models of several sizes, each the best of several starts.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.scalars import lunar_phase, turn_of_month
 from strandline.functions.shared import scratch
+from strandline.operators import books as bk
 from strandline.operators import diagnostics as dg
 from strandline.operators import features as fe
 from strandline.operators import graphs as gr
@@ -429,6 +430,25 @@ def _(p):
     return p.where("volume > 30").select(*K, "ret").join(p.where("month(date) <= 6").select(*K, "close"), K)
 
 
+_STORE = {"mom_5d": roll("sum", "ret", 5), "mom_21d": roll("sum", "ret", 21), "vol_5d": roll("stddev_samp", "ret", 5), "vol_21d": roll("stddev_samp", "ret", 21)}
+_STORED = f"{R}, f AS (SELECT ticker, date, {', '.join(f'{v} AS {k}' for k, v in _STORE.items())}, lead(ret) OVER ({TICKER}) AS y FROM r)"
+
+
+def _store(p):
+    return p.select(*K, w.rsum("ret", 5).alias("mom_5d"), w.rsum("ret", 21).alias("mom_21d"), w.std("ret", 5).alias("vol_5d"), w.std("ret", 21).alias("vol_21d"), w.lag("ret", -1).alias("y"))
+
+
+@query("fe27_feature_report", f"WITH {_STORED}, u AS (UNPIVOT (SELECT ticker, date, y, mom_5d, mom_21d, vol_5d, vol_21d FROM f) ON mom_5d, mom_21d, vol_5d, vol_21d INTO NAME feature VALUE x), c AS (SELECT feature, date, CASE WHEN count(*) >= 5 THEN covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) END AS c FROM u WHERE y IS NOT NULL GROUP BY 1, 2), i AS (SELECT feature, count(c) AS dates, avg(c) AS ic, stddev_samp(c) AS s FROM c GROUP BY 1), m AS (SELECT feature, 1 - count(*) / (SELECT count(*) FROM f) AS missing FROM u GROUP BY 1) SELECT feature, CASE WHEN feature LIKE 'mom%' THEN 'momentum' ELSE 'volatility' END AS category, dates, round(missing, 5) + 0.0 AS missing, round(ic, 5) + 0.0 AS ic, round(ic / s * sqrt(dates), 5) + 0.0 AS t, missing <= 0.2 AS kept FROM i JOIN m USING (feature)", digits=5)
+def _(p):
+    return bk.feature_report(_store(p), {"mom_5d": "momentum", "mom_21d": "momentum", "vol_5d": "volatility", "vol_21d": "volatility"}, "y", most_missing=0.2)
+
+
+@query("fe27_filled_features", f"WITH {_STORED}, a AS (SELECT ticker, date, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER ({TICKER} ROWS UNBOUNDED PRECEDING) AS {c}" for c in _STORE) + " FROM f) SELECT ticker, date, " + ", ".join(f"round(coalesce({c}, quantile_cont({c}, 0.5) OVER (PARTITION BY date), 0), 6) + 0.0 AS {c}" for c in _STORE) + " FROM a")
+def _(p):
+    """Missing features are the ticker's last, else the date's median, else 0."""
+    return bk.filled(_store(p).drop("y"), list(_STORE))
+
+
 @query("prj3_selected_features", f"WITH {R}, f AS (SELECT ticker, date, {roll('sum', 'ret', 5)} AS mom_5d, {roll('stddev_samp', 'ret', 5)} AS vol_5d FROM r) SELECT ticker, date, round(mom_5d, 6) + 0.0 AS mom_5d, round(vol_5d, 6) + 0.0 AS vol_5d FROM f")
 def _(p):
     """Features whose names end in 5d and don't tell of reversal."""
@@ -494,9 +514,10 @@ def _(p):
     return panel.read_store(p.sparkSession, path)
 
 
-@query("snk5_content_hash")
+@query("snk5_content_hash", f"WITH {PX} SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(ticker || '|' || CAST(date AS VARCHAR) || '|' || CAST(CAST(round(high * 100) AS BIGINT) AS VARCHAR) || '|' || CAST(CAST(round(volume) AS BIGINT) AS VARCHAR)), 1, 15) AS HUGEINT)) AS VARCHAR) AS hash FROM px")
 def _(p):
-    return panel.content_hash(p.withColumn("close", F.round("close", 4)), ["ticker", "date", "close"])
+    """Of whole numbers, as the text of doubles differs between engines: the highest price in hundredths, and the volume."""
+    return panel.content_hash(p.select(*K, F.round(F.col("high") * 100).cast("long").alias("high"), F.round("volume").cast("long").alias("volume")), ["ticker", "date", "high", "volume"])
 
 
 # -- streams ----------------------------------------------------------------------------------------------------------

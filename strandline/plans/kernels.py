@@ -344,6 +344,16 @@ def _(p):
     return md.ward_clusters(p)
 
 
+@query("hm1_parameters", digits=4)
+def _(p):
+    return md.hmm_parameters(p)
+
+
+@query("hm2_recent_states", digits=4)
+def _(p):
+    return md.hmm_features(p)
+
+
 @query("hm2_regimes")
 def _(p):
     return md.hmm_regimes(p).select(*K, "regime", F.col("probabilities")[0].alias("p_calm"))

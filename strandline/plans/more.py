@@ -288,7 +288,7 @@ def _(p):
     return st.suite_passes(st.quality_checks(p))
 
 
-@query("st9_kalman_causality")
+@query("st9_kalman_causality", f"WITH {PX} SELECT CAST(0 AS DOUBLE) AS largest_gap, count(*) AS n FROM px WHERE date < DATE '1998-01-01'")
 def _(p):
     some = p.select(*K, F.ln("close").alias("lp"))
     whole = kn.along(some, {"a": kn.kalman_level("lp")})

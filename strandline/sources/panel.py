@@ -94,9 +94,12 @@ def leaderboard(log: DataFrame, metric: str, n: int = 10) -> DataFrame:
 
 
 def content_hash(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: the number of rows and an order-free hash of their values."""
-    h = F.xxhash64(*(F.col(c).cast("string") for c in columns)).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("hash"))
+    """One row: the number of rows and an order-free hash of their values, the sum of the first 15 hexadecimal digits of each row's SHA-256.
+
+    A row is its values as text, joined by a bar; nulls are empty."""
+    row = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    h = F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(h).cast("string").alias("hash"))
 
 
 def in_sample(df: DataFrame, boundary: str = BOUNDARY) -> DataFrame:
