@@ -16,7 +16,7 @@ from strandline.operators import scans as sc
 from strandline.operators import stats as st
 from strandline.operators import trading as tr
 from strandline.operators import windows as w
-from strandline.plans.registry import PX, R, TICKER, query, rank, roll, staged, table_query
+from strandline.plans.registry import PX, R, TICKER, query, rank, roll, table_query
 from strandline.plans.research import K, SIG, book, daily, signals
 from strandline.streaming import online
 
