@@ -226,7 +226,7 @@ def _(p):
     return tr.backtest(fe.add(signals(p), tr.quantile_books("signal"))).select("date", "gross")
 
 
-@query("bt21_regime_blend")
+@query("bt21_regime_blend", digits=10)
 def _(p):
     return bk.simulate(signals(p), bk.Rules(top=5, every=5, trail=0.3, cooldown=5, weight_on_new=0.5))
 

@@ -109,6 +109,42 @@ ORACLES["bt24_trade_concentration"] = recursive(
     "round(coalesce(sum(closed) FILTER (place <= 10) / nullif(sum(closed), 0), 0), 5) + 0.0 AS concentration FROM c",
 )
 
+
+def book_of_rules(top: int = 10, bottom: int = 0, every: int = 5, on_new: float = 1.0, bias: float = 0.5, stop: float | None = None, trail: float | None = None, cooldown: int = 5, digits: int = 6) -> str:
+    """A path-dependent book date by date: the names held with weight and return since entry are one list."""
+    none = "CAST([] AS STRUCT(t VARCHAR, w DOUBLE, g DOUBLE)[])"
+    of = lambda names, t, field="w": f"coalesce(list_sum(list_transform(list_filter({names}, lambda q: q.t = {t}), lambda q: q.{field})), 0)"
+    side = f"(CASE WHEN len(downs) > 0 THEN {bias} ELSE 1.0 END)"
+    new = f"list_concat(list_transform(ups, lambda t: struct_pack(t := t, w := CAST({side} / len(ups) AS DOUBLE))), list_transform(downs, lambda t: struct_pack(t := t, w := CAST(-(1 - {side}) / len(downs) AS DOUBLE))))"
+    mixed = f"list_transform(list_distinct(list_concat(list_transform(fresh, lambda y: y.t), list_transform(kept, lambda y: y.t))), lambda t: struct_pack(t := t, w := {on_new} * {of('fresh', 't')} + (1 - {on_new}) * {of('kept', 't')}))"
+    fell = f"(v1 / p1 - 1 <= -{trail})" if trail is not None else "false"
+    first = (
+        "SELECT r.step, r.date, p.held AS old, r.ups, r.downs, p.rest, p.clock, p.value, p.peak, coalesce(list_sum(list_transform(list_filter(p.held, lambda y: r.rets[y.t] IS NOT NULL), lambda y: y.w * r.rets[y.t])), 0) AS gross, "
+        "list_transform(p.held, lambda y: struct_pack(t := y.t, w := y.w, g := CASE WHEN r.rets[y.t] IS NOT NULL THEN (1 + y.g) * (1 + sign(y.w) * r.rets[y.t]) - 1 ELSE y.g END)) AS moved FROM k p JOIN d r ON r.step = p.step + 1"
+    )
+    second = f"SELECT *, value * (1 + gross) AS v1, greatest(peak, value * (1 + gross)) AS p1, {'moved' if stop is None else f'list_filter(moved, lambda y: y.g > -{stop})'} AS kept, {new} AS fresh FROM ({first})"
+    third = f"SELECT *, CASE WHEN rest > 0 THEN 'rests' WHEN {fell} THEN 'leaves' WHEN clock % {every} = 0 THEN 'chooses' ELSE 'stays' END AS does, {mixed} AS mixed FROM ({second})"
+    fourth = f"SELECT *, CASE does WHEN 'leaves' THEN {none} WHEN 'chooses' THEN list_transform(list_filter(mixed, lambda y: abs(y.w) > 1e-6), lambda y: struct_pack(t := y.t, w := y.w / list_sum(list_transform(mixed, lambda z: abs(z.w))), g := CAST(0 AS DOUBLE))) ELSE kept END AS next FROM ({third})"
+    turned = f"coalesce(list_sum(list_transform(list_distinct(list_concat(list_transform(next, lambda y: y.t), list_transform(old, lambda y: y.t))), lambda t: abs({of('next', 't')} - {of('old', 't')}))), 0)"
+    last = (
+        f"SELECT step, date, list_transform(next, lambda y: struct_pack(t := y.t, w := y.w, g := CASE WHEN sign({of('old', 'y.t')}) = sign(y.w) THEN {of('moved', 'y.t', 'g')} ELSE 0 END)) AS held, "
+        f"CASE WHEN does = 'rests' AND rest = 1 THEN 1.0 ELSE v1 END AS value, CASE WHEN does = 'rests' AND rest = 1 THEN 1.0 ELSE p1 END AS peak, CASE does WHEN 'rests' THEN rest - 1 WHEN 'leaves' THEN {cooldown} ELSE 0 END AS rest, "
+        f"CASE WHEN does IN ('chooses', 'stays') THEN clock + 1 ELSE clock END AS clock, gross, {turned} AS turnover FROM ({fourth})"
+    )
+    ranked = "SELECT *, row_number() OVER (PARTITION BY date ORDER BY signal DESC, ticker) AS place, count(*) OVER (PARTITION BY date) AS c FROM g WHERE signal IS NOT NULL"
+    return (
+        f"WITH RECURSIVE {SIG}, ranked AS ({ranked}), u AS (SELECT date, list(ticker ORDER BY place) FILTER (place <= {top}) AS ups, coalesce(list(ticker ORDER BY place) FILTER (c >= {top + bottom} AND place > c - {bottom}), []) AS downs FROM ranked GROUP BY date), "
+        "a AS (SELECT date, map_from_entries(list((ticker, ret)) FILTER (ret IS NOT NULL)) AS rets FROM g GROUP BY date), "
+        "d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY date) AS step, date, coalesce(rets, map_from_entries(CAST([] AS STRUCT(k VARCHAR, v DOUBLE)[]))) AS rets, coalesce(ups, CAST([] AS VARCHAR[])) AS ups, coalesce(downs, CAST([] AS VARCHAR[])) AS downs FROM a LEFT JOIN u USING (date)), "
+        f"k AS (SELECT CAST(0 AS BIGINT) AS step, CAST(NULL AS DATE) AS date, {none} AS held, CAST(1 AS DOUBLE) AS value, CAST(1 AS DOUBLE) AS peak, 0 AS rest, 0 AS clock, CAST(0 AS DOUBLE) AS gross, CAST(0 AS DOUBLE) AS turnover UNION ALL {last}) "
+        f"SELECT 'book' AS strategy, date, round(gross, {digits}) + 0.0 AS gross, round(turnover, {digits}) + 0.0 AS turnover, round(gross - turnover * 0.001, {digits}) + 0.0 AS net, CAST(len(held) AS BIGINT) AS names FROM k WHERE step > 0"
+    )
+
+
+ORACLES["bt12_path_dependent_stops"] = book_of_rules(top=5, every=5, stop=0.5)
+ORACLES["bt15_smoothed_long_bias"] = book_of_rules(top=5, bottom=5, every=5, on_new=0.5, bias=0.7)
+ORACLES["bt21_regime_blend"] = book_of_rules(top=5, every=5, trail=0.3, cooldown=5, on_new=0.5, digits=10)  # weights are sums of powers of one half, so six digits would often be halfway
+
 # -- composed queries -----------------------------------------------------------------------------------------
 
 _MOM = {f"mom_{n}d": roll("sum", "ret", n) for n in (5, 10, 21, 63)} | {"pos": "CASE WHEN ret IS NOT NULL THEN CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END END"}
