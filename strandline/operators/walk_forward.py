@@ -140,6 +140,20 @@ def stacked(df: DataFrame, bases: Mapping[str, Sequence[str]], y: str, base_fold
     return reduce(DataFrame.unionByName, grid)
 
 
+def pipeline_results(panel: DataFrame, signals: DataFrame, mask: DataFrame | None = None, share: float = 0.2) -> DataFrame:
+    """One row: n, mean_net, sharpe and turnover of the lagged long-short book of the top and bottom ``share`` of the names by signal (ticker, date, signal).
+
+    ``mask`` (date, on): weights count times ``on`` of their date, 0 where there is none."""
+    from strandline.operators import features as fe
+    from strandline.operators import trading as tr
+
+    book = fe.add(panel.join(signals, ["ticker", "date"]), tr.top_bottom("signal", share))
+    if mask is not None:
+        book = book.join(mask.select("date", "on"), "date", "left").withColumn("position", F.col("position") * F.coalesce("on", F.lit(0.0)))
+    daily = tr.backtest(book)
+    return daily.agg(F.count("net").alias("n"), F.avg("net").alias("mean_net"), (F.try_divide(F.avg("net"), F.stddev_samp("net")) * F.sqrt(F.lit(252.0))).alias("sharpe"), F.avg("turnover").alias("turnover"))
+
+
 def grid_scores(predictions: DataFrame) -> DataFrame:
     """(penalty, n, ic, best): mean over dates of the daily correlation of prediction and target, and whether it is the largest (ties: the smaller penalty)."""
     from pyspark.sql import Window

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandline.functions.scalars import lunar_phase, turn_of_month
+from strandline.functions.scalars import flag, lunar_phase, turn_of_month
 from strandline.functions.shared import scratch
 from strandline.operators import books as bk
 from strandline.operators import diagnostics as dg
@@ -385,6 +388,22 @@ def _(p):
     return tr.performance(tr.backtest(fe.add(p.join(smooth, K), tr.top_bottom("signal"))))
 
 
+@query("ml16_orchestrations", digits=5)
+def _(p):
+    """The whole way from features to results: a baseline, it with a new feature, that smoothed, and that in rising markets alone."""
+    q = learnable(p)
+    predicted = {name: ml.walk_forward_ridge(q, x, "y", ml.folds(q, step=63, history=504)).select(*K, F.col("prediction").alias("signal")) for name, x in {"baseline": ["m5"], "with_feature": ["m5", "m21"]}.items()}
+    for name, rows in predicted.items():  # read several times
+        folder = scratch(p.sparkSession, name)
+        rows.write.parquet(folder)
+        predicted[name] = p.sparkSession.read.parquet(folder)
+    smooth = sc.scan(predicted["with_feature"], {"signal": sc.decay("signal", 0.3)})
+    rising = fe.market(p).select("date", F.lag(flag(F.col("mkt_trend_20") > 0)).over(Window.partitionBy(F.lit(1)).orderBy("date")).alias("on"))
+    ways = {**{k: (v, None) for k, v in predicted.items()}, "smoothed": (smooth, None), "regime": (predicted["with_feature"], rising)}
+    rows = [wf.pipeline_results(p, signals, mask).withColumn("way", F.lit(k)) for k, (signals, mask) in ways.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
 @query("ml17_three_classes", digits=5)
 def _(p):
     q = learnable(p).withColumn("label", F.when(F.col("y").isNotNull(), tr.three_classes("y", 0.3)))

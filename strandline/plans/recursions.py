@@ -270,6 +270,27 @@ ORACLES["ml11_decayed_predictions"] = (
     f"WITH {_LEARN}{ridge('w', ['m5', 'm21'], 'y', 63)}, q AS (SELECT ticker, list(prediction ORDER BY date) AS a FROM w_p GROUP BY ticker), c AS (SELECT ticker, date, count(*) OVER ({TICKER} ROWS UNBOUNDED PRECEDING) AS n FROM w_p) "
     "SELECT c.ticker, c.date, round(list_reduce(a[1:n], lambda u, v: 0.7 * u + 0.3 * v), 6) + 0.0 AS smooth FROM c JOIN q USING (ticker)"
 )
+
+
+def _way(name: str, signals: str, mask: str = "1.0", join: str = "") -> str:
+    """CTEs ending with <name>_r: results of the lagged long-short book of a table of signals."""
+    return (
+        f", {name}_g AS (SELECT r.ticker, r.date, r.ret, z.signal FROM r JOIN {signals} z USING (ticker, date)), {name}_k AS (SELECT *, {rank('signal')} AS k FROM {name}_g), "
+        f"{name}_t AS (SELECT *, CASE WHEN coalesce(k > 1 - 0.2, false) THEN 1.0 ELSE 0.0 END AS l, CASE WHEN coalesce(k <= 0.2, false) THEN 1.0 ELSE 0.0 END AS sh FROM {name}_k), "
+        f"{name}_w AS (SELECT ticker, date, ret, {mask} * (0.5 * coalesce(l / nullif(sum(l) OVER (PARTITION BY date), 0), 0) - 0.5 * coalesce(sh / nullif(sum(sh) OVER (PARTITION BY date), 0), 0)) AS pos FROM {name}_t{join}), "
+        f"{name}_h AS (SELECT *, coalesce(lag(pos) OVER ({TICKER}), 0) AS p FROM {name}_w), {name}_d AS (SELECT *, abs(p - lag(p) OVER ({TICKER})) AS d FROM {name}_h), "
+        f"{name}_e AS (SELECT date, coalesce(sum(d), 0) AS turnover, sum(p * coalesce(ret, 0)) - coalesce(sum(d), 0) * 0.001 AS net FROM {name}_d GROUP BY date), "
+        f"{name}_r AS (SELECT '{name}' AS way, count(net) AS n, round(avg(net), 5) + 0.0 AS mean_net, round(avg(net) / stddev_samp(net) * sqrt(252), 5) + 0.0 AS sharpe, round(avg(turnover), 5) + 0.0 AS turnover FROM {name}_e)"
+    )
+
+
+ORACLES["ml16_orchestrations"] = (
+    f"WITH {_LEARN}{ridge('b', ['m5'], 'y', 63)}{ridge('w', ['m5', 'm21'], 'y', 63)}, zb AS (SELECT ticker, date, prediction AS signal FROM b_p), zw AS (SELECT ticker, date, prediction AS signal FROM w_p), "
+    f"q AS (SELECT ticker, list(prediction ORDER BY date) AS a FROM w_p GROUP BY ticker), c AS (SELECT ticker, date, count(*) OVER ({TICKER} ROWS UNBOUNDED PRECEDING) AS n FROM w_p), zs AS (SELECT c.ticker, c.date, list_reduce(a[1:n], lambda u, v: 0.7 * u + 0.3 * v) AS signal FROM c JOIN q USING (ticker)), "
+    "m AS (SELECT date, avg(ret) AS mkt FROM r GROUP BY date), mu AS (SELECT date, CASE WHEN coalesce(CASE WHEN count(mkt) OVER u >= 20 THEN sum(mkt) OVER u END > 0, false) THEN 1.0 ELSE 0.0 END AS up FROM m WINDOW u AS (ORDER BY date ROWS 19 PRECEDING)), mt AS (SELECT date, lag(up) OVER (ORDER BY date) AS on_ FROM mu)"
+    + _way("baseline", "zb") + _way("with_feature", "zw") + _way("smoothed", "zs") + _way("regime", "zw", "coalesce(on_, 0)", " LEFT JOIN mt USING (date)")
+    + " " + " UNION ALL ".join(f"SELECT * FROM {w}_r" for w in ("baseline", "with_feature", "smoothed", "regime"))
+)
 _ABLATED = {"none": ["m5", "m21"], "m5": ["m21"], "m21": ["m5"]}
 ORACLES["ml13_ablation"] = (
     f"WITH {_LEARN}" + "".join(ridge(f"w_{k}", x, "y", 252) + daily_ic(f"w_{k}") for k, x in _ABLATED.items()) + " " + " UNION ALL ".join(f"SELECT '{k}' AS dropped, round(avg(ic), 5) + 0.0 AS mean_ic, count(ic) AS n FROM w_{k}_i" for k in _ABLATED)
