@@ -29,7 +29,8 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import cut, ship, slices
@@ -41,8 +42,8 @@ LEAST_IMPORTANCE, LEAST_PAGES, DAMPING = 0.3, 5, 0.9
 DULL, MAIN = 0.1, 1.5
 #: Code points from which a text is more than a label.
 LABEL = 40
-#: Merged nodes (of all hosts) that may be sent to every task; beyond it, pages and nodes are joined by host, each host's pages in so many parts.
-BROADCAST_NODES, HOST_PARTS = 200_000, 16
+#: Merged nodes (of all hosts) that may be sent to every task, those of most pages first; all others are joined with the pages that have them.
+BROADCAST_NODES = 200_000
 
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -396,7 +397,7 @@ def _counted(pages: DataFrame, page: str, url: str) -> DataFrame:
     links = F.coalesce(F.try_divide(F.col("linked").cast("double"), F.col("chars").cast("double")), F.lit(0.0))
     against = F.least(F.col("chars") / F.col("within"), F.lit(1.0)) * (1 - links)
     weight = F.when(F.col("beside") == 0, 1.0).when(F.col("within") > 0, against).when(links > 0.5, 1 - links).otherwise(1.0)
-    return by_host.unionByName(over_all).where(F.col("m") >= LEAST_PAGES).select("host", "path", "m", "node", "leaf", weight.alias("weight"))
+    return by_host.unionByName(over_all).select("host", "path", "m", "node", "leaf", weight.alias("weight"))
 
 
 def branch_sizes(root: Node) -> dict[int, tuple[int, int, int]]:
@@ -420,7 +421,7 @@ def site_tree(pages: DataFrame, page: str = "html", url: str = "url") -> DataFra
     form of the smallest digests counts. Nodes of fewer than ``LEAST_PAGES`` pages and
     nodes of full importance are left out; they count as 1.
     """
-    return _counted(pages, page, url).where("host is not null and least(node, leaf) < 0.999").select("host", "path", "node", "leaf")
+    return _counted(pages, page, url).where(F.col("m") >= LEAST_PAGES).where("host is not null and least(node, leaf) < 0.999").select("host", "path", "node", "leaf")
 
 
 class _Trees:
@@ -433,18 +434,16 @@ class _Trees:
         self.values = np.array([k[3:6] for k in keyed], float).reshape(-1, 3)
         self.first = int(np.count_nonzero(~self.some))
 
-    def of(self, host: int | None) -> Mapping[int, tuple[float, float, float]]:
-        """What is known of a host's paths, its own counts before those over all hosts; of the latter alone for None."""
-        if host is None:
-            return self.every
-        return ChainMap(self._own(host), self.every)
+    def of(self, host: int) -> ChainMap[int, tuple[float, float, float]]:
+        """What is known of a host's paths, its own counts before those over all hosts."""
+        return ChainMap(self.own(host), self.every)
 
     @cached_property
     def every(self) -> dict[int, tuple[float, float, float]]:
         return dict(zip(self.path[: self.first].tolist(), map(tuple, self.values[: self.first].tolist())))
 
     @lru_cache(1024)  # noqa: B019  pages of a host stand together more often than not
-    def _own(self, host: int) -> dict[int, tuple[float, float, float]]:
+    def own(self, host: int) -> dict[int, tuple[float, float, float]]:
         low, high = (self.first + int(np.searchsorted(self.host[self.first :], host, side)) for side in ("left", "right"))
         return dict(zip(self.path[low:high].tolist(), map(tuple, self.values[low:high].tolist())))
 
@@ -455,6 +454,29 @@ class _Trees:
         self.some, self.host, self.path, self.values, self.first = state
 
 
+def _nodes_of_pages(rows: DataFrame, counted: DataFrame, rest: DataFrame, shared: Broadcast) -> DataFrame:
+    """(host, page, nodes): the nodes of ``rest``, which are not sent, that stand on each page.
+
+    Hosts of few pages take those over all hosts, by the (host, path) that ``counted`` has of them. ``page`` is a hash of the whole html; two pages
+    of a host under one hash take the nodes of both, of which each looks up its own paths.
+    """
+    fields = ("node", "leaf", "weight")
+    over_all = rest.where("host is null").select("path", *fields)
+    taken = counted.where(F.col("host").isNotNull() & (F.col("m") < LEAST_PAGES)).select("host", "path").join(over_all, "path").select("host", "path", *fields)
+    nodes = rest.where("host is not null").select("host", "path", *fields).unionByName(taken)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "html"):
+            paths = []
+            for h, t in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
+                sent = shared.value.own(h)
+                paths.append([p for p in {n.path for n in preorder(parse(t)[0])} if p not in sent])
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("page"), pa.array(paths, pa.list_(pa.int64()))], ["host", "page", "paths"])
+
+    asked = rows.select("host", "page", "html").mapInArrow(run, "host long, page long, paths array<long>").select("host", "page", F.explode("paths").alias("path"))
+    return asked.join(nodes, ["host", "path"]).groupBy("host", "page").agg(F.collect_set(F.struct("path", *fields)).alias("nodes"))
+
+
 def extract(pages: DataFrame, page: str = "html", url: str = "url", extra: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``extra`` columns and text, the main text of each whole page.
 
@@ -464,27 +486,27 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", extra: tuple
     with a null url belong to one nameless host.
     """
     ship(pages.sparkSession)
-    tree = cut(_counted(pages, page, url).where("least(node, leaf) < 0.999 or weight < 1 or host is not null"))
-    tree = tree.where("least(node, leaf, weight) < 0.999 or host is not null")
+    counted = _counted(pages, page, url)
+    tree = cut(counted.where(F.col("m") >= LEAST_PAGES).where("least(node, leaf, weight) < 0.999 or host is not null"))
     # Columns are renamed by place, so that any names may stand in ``extra``.
     given = pages.select(*extra).schema.fields
     placed = [F.col(c).alias(f"c{i}") for i, c in enumerate(extra)]
     rows = pages.select(*placed, F.col(page).alias("html"), F.xxhash64(host_of(F.col(url))).alias("host"))
-    over_all = tree.where("host is null and weight < 0.999")
-    few = tree.count() <= BROADCAST_NODES
-    shared = pages.sparkSession.sparkContext.broadcast(_Trees(tree.collect() if few else over_all.orderBy(F.desc("m"), "path").limit(BROADCAST_NODES).collect()))
+    upto = tree.groupBy("m").agg(F.count(F.lit(1)).alias("n")).select("m", F.sum("n").over(Window.orderBy(F.desc("m"))).alias("n"))
+    beyond = upto.where(F.col("n") > BROADCAST_NODES).agg(F.max("m")).first()[0]  # nodes of so many pages or fewer are not sent
+    few = beyond is None
+    shared = pages.sparkSession.sparkContext.broadcast(_Trees((tree if few else tree.where(F.col("m") > beyond)).collect()))
     if not few:
-        parts = F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))
-        per_host = tree.where("host is not null").groupBy("host").agg(F.collect_list(F.struct("path", "node", "leaf", "weight")).alias("nodes")).withColumn("part", F.explode(parts))
-        rows = rows.withColumn("part", F.pmod(F.xxhash64("html"), F.lit(HOST_PARTS)).cast("int")).join(per_host, ["host", "part"], "left").drop("part")
+        rows = rows.withColumn("page", F.xxhash64("html"))
+        rows = rows.join(_nodes_of_pages(rows, counted, tree.where(F.col("m") <= beyond), shared), ["host", "page"], "left").drop("page")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):
             hosts, texts = b.column("host").to_pylist(), []
             for i, t in enumerate(b.column("html").to_pylist()):
-                known = shared.value.of(hosts[i] if few else None)
+                known = shared.value.of(hosts[i])
                 if not few:
-                    known = ChainMap({x["path"]: (x["node"], x["leaf"], x["weight"]) for x in b.column("nodes")[i].as_py() or ()}, known)
+                    known = known.new_child({x["path"]: (x["node"], x["leaf"], x["weight"]) for x in b.column("nodes")[i].as_py() or ()})
                 texts.append(main_text(t, known))
             yield pa.RecordBatch.from_arrays([*(b.column(f"c{i}") for i in range(len(extra))), pa.array(texts, pa.string())], [*names, "text"])
 

@@ -217,6 +217,21 @@ def test_extraction_equals_the_definition(spark, monkeypatch):
     assert {r.page_id: r.text for r in html.extract(df).collect()} == want
 
 
+def test_nodes_beyond_those_sent_are_joined(spark, monkeypatch):
+    """Many hosts of one page each and some of seven, on six layouts: the weights over all hosts decide, whether sent or joined with the pages."""
+    page = '<div class="k{1}"><p>Go {0}</p><p>See {0}</p></div><article class="f{1}"><h1>Head {0}</h1><p>Story {0} is a long one, and it goes on and on until it ends at last.</p></article><div class="z{1}">(c) {0}</div>'
+    rows = [(i, f"h{i if i < 60 else 100 + i % 6}.example.org", page.format(i, i % 6)) for i in range(102)]
+    rows += [(200 + i, r[1], r[2]) for i, r in enumerate(rows[:9])]  # repeated pages
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", b) for i, h, b in rows], "page_id long, url string, html string")
+    want = plain_extraction(rows)
+    assert all(t.startswith("Head") and t.endswith("at last.") for t in want.values())
+    assert sum(html.main_text(b, {}) != want[i] for i, _, b in rows) == len(rows)
+    for sent in (0, 1, 20, 40, html.BROADCAST_NODES):
+        monkeypatch.setattr(html, "BROADCAST_NODES", sent)
+        got = html.extract(df).collect()
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want, sent
+
+
 def test_shared_bodies_and_introductions_stay(spark):
     body = "<p>The agency's report, word for word, as it stands on every page of this host today.</p>"
     pages = [f"<nav>Menu {i}</nav><article><h1>Headline {i}</h1>{body}<p>And the second paragraph of it, which is shorter by far</p></article>" for i in range(8)]
